@@ -84,14 +84,12 @@ def crash_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("seq", "run", "message")
 
 
-FIRST_CRASH_SQL = (
-    view_sql("messages")
-    + f""", hits AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts, seq) AS k FROM messages WHERE {_CRASH})
-SELECT run, seq, left(trim(message), 300) AS message FROM hits WHERE k = 1"""
-)
+CRASH_HITS = f""",
+hits AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts, seq) AS k FROM messages WHERE {_CRASH})
+"""
 
 
-@query("first_crash", FIRST_CRASH_SQL)
+@query("first_crash", view_sql("messages") + CRASH_HITS + "SELECT run, seq, left(trim(message), 300) AS message FROM hits WHERE k = 1")
 def first_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.first_crash(view(spark, sf_dir, "messages")).select("run", "seq", "message")
 

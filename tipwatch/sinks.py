@@ -30,12 +30,17 @@ def write_summary(summary: DataFrame, path: str) -> None:
 
 
 def write_instance_logs(grouped: DataFrame, path: str) -> None:
-    """Text per instance and channel, lines by time: sorted over the cluster, split at range limits.
+    """Text per instance and channel, lines by time.
 
-    Sorting by range keeps a hot instance's lines in order over several files instead of in one task.
+    Range partitioning keeps a hot instance in order over several files instead of in one task. The sort starts with
+    the folder columns as the writer wants them; any other start would make it sort again and lose the times.
     """
-    lines = grouped.filter("channel is not null")
-    order = ["instance_id", F.desc("channel"), "ts", "seq"]
-    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("instance_id", "channel", F.col("line").alias("value")).write.mode(
-        "overwrite"
-    ).partitionBy("instance_id", "channel").text(path)
+    order = ["instance_id", "channel", "ts", "seq"]
+    lines = grouped.filter("channel is not null").repartitionByRange(*order).sortWithinPartitions(*order)
+    named = lines.select("instance_id", "channel", F.col("line").alias("value"))
+    named.write.mode("overwrite").partitionBy("instance_id", "channel").text(path)
+
+
+def land_measurements(rows: DataFrame, root: str) -> None:
+    """Measurements by test, the table the analyses read: they skip the tests they do not need."""
+    rows.write.mode("overwrite").partitionBy("test").parquet(root)
