@@ -21,12 +21,15 @@ NORMAL_DF = 100.0
 _POINTS = 48
 
 
+def _doubles(values: np.ndarray) -> Column:
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+
+
 def _integral01(f: Callable[[Column], Column], points: int = _POINTS) -> Column:
     """Integral of f over [0, 1]."""
     x, w = np.polynomial.legendre.leggauss(points)
-    nodes = F.lit([float(v) for v in (x + 1) / 2])
-    weights = F.lit([float(v) for v in w / 2])
-    return F.aggregate(F.zip_with(nodes, weights, lambda s, c: c * f(s)), F.lit(0.0), lambda a, b: a + b)
+    terms = F.zip_with(_doubles((x + 1) / 2), _doubles(w / 2), lambda s, c: c * f(s))
+    return F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
 
 
 def erfc(y: Column) -> Column:

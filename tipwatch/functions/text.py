@@ -17,11 +17,23 @@ SCRUB_RULES = [
     ("bearer-token", r"(?iU)\b(Bearer\s+)([A-Za-z0-9._\-+/=]{8,})", "$1"),
     (
         "credential-kv",
-        r"(?iU)\b((?:password|passwd|secret|api[_-]?key|access[_-]?key|private[_-]?key|session[_-]?token"
+        r"(?iU)(?=[pasc])\b((?:password|passwd|secret|api[_-]?key|access[_-]?key|private[_-]?key|session[_-]?token"
         r"|auth[_-]?token|client[_-]?secret)\s*[:=]\s*['\"]?)[^\s'\"]{6,}",
         "$1",
     ),
 ]
+# Plain text without which a rule cannot match (rules ignoring case: in upper case). Most texts stop here, long before
+# a pattern runs. A marker left by an earlier rule cannot complete a match, so the original text is what to look at.
+_NEEDED = {
+    "pem-private-key": ["PRIVATE KEY-----"],
+    "ssh-public-key": ["ssh-"],
+    "jwt": [".eyJ"],
+    "github-token": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"],
+    "aws-access-key-id": ["AKIA", "ASIA"],
+    "bearer-token": ["BEARER"],
+    "credential-kv": ["PASSW", "SECRET", "KEY", "TOKEN"],
+}
+_ANY_CASE = {"bearer-token", "credential-kv"}
 REDACTION = "[REDACTED:{kind}]"
 
 # ---- Fixed values: markers looked for in a scrubbed console, first listed wins; plain case-sensitive text ----
@@ -59,25 +71,43 @@ EXCERPT_CHARS = 200
 ALERT_CHARS = 300
 
 
+def may_contain(text: Column, capitals: Column, words: list[str]) -> Column:
+    """False only if no word occurs in any case. ``capitals`` is ``upper(text)``, the words are in upper case.
+
+    Upper case makes the long s and the dotless i plain; the dotted capital I and the Kelvin sign have no plain upper
+    case though patterns take them for i and k, so texts with these pass.
+    """
+    return any_of([capitals.contains(w) for w in words]) | text.contains("\u0130") | text.contains("\u212a")
+
+
 def scrub(df: DataFrame, text: str = "text", counts: str = "redactions") -> DataFrame:
     """Redact ``text`` rule by rule and add ``counts``, a map of the rules that hit to how often.
 
     Each rule counts on the text the rules before it left. Whole texts stay on one row: keys span lines.
     """
     fields = df.columns
-    work = df.withColumn("_text", F.col(text))
+    work = df.withColumns({"_text0": F.col(text), "_capitals": F.upper(text)})
+    plain = F.col("_text0")
+    possible = {
+        f"_may{i}": may_contain(plain, F.col("_capitals"), _NEEDED[kind])
+        if kind in _ANY_CASE
+        else any_of([plain.contains(w) for w in _NEEDED[kind]])
+        for i, (kind, _, _) in enumerate(SCRUB_RULES)
+    }
+    work = work.withColumns(possible).drop("_capitals")
     hits = []
     for i, (kind, pattern, keep) in enumerate(SCRUB_RULES):
-        marker = keep + REDACTION.format(kind=kind)
-        work = work.withColumns(
-            {
-                f"_hits{i}": F.coalesce(F.regexp_count("_text", F.lit(pattern)), F.lit(0)),
-                "_text": F.regexp_replace("_text", pattern, marker),
-            }
+        marker = REDACTION.format(kind=kind)
+        before, after = F.col(f"_text{i}"), F.col(f"_text{i + 1}")
+        work = work.withColumn(
+            f"_text{i + 1}", F.when(F.col(f"_may{i}"), F.regexp_replace(before, pattern, keep + marker)).otherwise(before)
         )
-        hits.append(F.struct(F.lit(kind).alias("key"), F.col(f"_hits{i}").alias("value")))
+        # an unchanged text was not hit, unless what was replaced is the marker itself
+        hit = F.col(f"_may{i}") & ((before != after) | before.contains(marker))
+        count = F.when(hit, F.regexp_count(before, F.lit(pattern))).otherwise(0)
+        hits.append(F.struct(F.lit(kind).alias("key"), count.alias("value")))
     found = F.map_from_entries(F.filter(F.array(*hits), lambda e: e["value"] > 0))
-    columns = [F.col("_text").alias(c) if c == text else F.col(c) for c in fields]
+    columns = [F.col(f"_text{len(SCRUB_RULES)}").alias(c) if c == text else F.col(c) for c in fields]
     return work.select(*columns, found.alias(counts))
 
 
@@ -88,8 +118,10 @@ def scrub_bytes(df: DataFrame, data: str, counts: str = "redactions") -> DataFra
 
 
 def redaction_totals(scrubbed: DataFrame, counts: str = "redactions") -> DataFrame:
-    entries = scrubbed.select(F.explode(counts).alias("rule", "hits"))
-    return entries.groupBy("rule").agg(F.sum("hits").alias("hits"))
+    """Hits per rule over all rows, rules without any left out. Sums first; only their one row is turned."""
+    kinds = [kind for kind, _, _ in SCRUB_RULES]
+    sums = scrubbed.agg(*[F.sum(F.try_element_at(counts, F.lit(k))).alias(k) for k in kinds])
+    return sums.unpivot([], kinds, "rule", "hits").filter("hits > 0")
 
 
 def panic_marker(text: Column) -> Column:
@@ -102,43 +134,46 @@ def is_crash(message: Column) -> Column:
     return F.coalesce(message.rlike("(?dU)" + "|".join(CRASH_PATTERNS)), F.lit(False))
 
 
-def lines(text: Column) -> Column:
-    """Lines of a text; a trailing newline does not make an extra line."""
-    parts = F.split(text, r"\r\n|[\n\r\x0B\f\x1C-\x1E\u0085\u2028\u2029]")
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+# Every character that ends a line ends one here; \r\n makes an extra empty line, which no search finds.
+_LINE_ENDS = r"[\n\r\x0B\f\x1C\x1D\x1E\u0085\u2028\u2029]"
+
+
+def split_lines(text: Column) -> Column:
+    return F.split(text, _LINE_ENDS)
 
 
 def _strip(s: Column) -> Column:
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
 
 
-def excerpt(text: Column, pattern: str) -> Column:
-    """First matching lines that are not shell trace, trimmed and cut."""
-    hits = F.filter(lines(text), lambda x: x.rlike(pattern) & ~x.startswith("+"))
+def _excerpt(lines: Column, pattern: str, words: list[str]) -> Column:
+    """First matching lines that are not shell trace, trimmed and cut. A plain search spares most lines the pattern."""
+    hits = F.filter(lines, lambda x: may_contain(x, F.upper(x), words) & x.rlike("(?iU)" + pattern) & ~x.startswith("+"))
     return F.transform(F.slice(hits, 1, EXCERPT_LINES), lambda x: F.substring(_strip(x), 1, EXCERPT_CHARS))
 
 
-def warning_lines(text: Column) -> Column:
-    return excerpt(text, r"(?iU)warning|warn\b")
+def warning_lines(lines: Column) -> Column:
+    return _excerpt(lines, r"warning|warn\b", ["WARN"])
 
 
-def error_lines(text: Column) -> Column:
-    return excerpt(text, r"(?iU)error|failed")
+def error_lines(lines: Column) -> Column:
+    return _excerpt(lines, r"error|failed", ["ERROR", "FAILED"])
 
 
-def failure_lines(text: Column) -> Column:
+def failure_lines(lines: Column) -> Column:
     """Container log lines that report a failure, without the timestamp and source in front."""
-    hits = F.filter(lines(text), lambda x: x.contains("FAILED") | x.contains("✗ Test result"))
+    hits = F.filter(lines, lambda x: x.contains("FAILED") | x.contains("✗ Test result"))
     message = r"(?s)^.*?\[CONTAINER\] "
     return F.transform(hits, lambda x: F.regexp_replace(_strip(x), message, ""))
 
 
 def test_of_log(text: Column) -> Column:
     """Test name from the first line that names an input folder; null if there is none."""
-    candidates = F.filter(F.split(text, "\n"), lambda x: x.contains("test_") & x.contains("/input/"))
-    line = F.get(candidates, F.lit(0))
+    line = F.regexp_extract(text, r"(?d)(?<![^\n])((?=[^\n]*test_)[^\n]*/input/[^\n]*)", 1)
     named = F.regexp_extract(line, r"test_([^/]+)/input/", 1)
-    return F.coalesce(F.nullif(named, F.lit("")), F.regexp_extract(line, r"test_([^/]*?)(?:/|test_|$)", 1))
+    loose = F.regexp_extract(line, r"test_([^/]*?)(?:/|test_|$)", 1)
+    found = F.coalesce(F.nullif(named, F.lit("")), loose)
+    return F.when(text.contains("/input/") & (line != ""), found)
 
 
 def first_alert_text(message: Column) -> Column:

@@ -64,14 +64,18 @@ def _first_labels(rows: DataFrame) -> DataFrame:
     return spread.groupBy("metric", "arch").agg(F.min("first").alias("f")).select("metric", "arch", "f.unit", "f.more_is_better")
 
 
-def compare_kernels(rows: DataFrame, kernels: DataFrame | None = None) -> DataFrame:
+def compare_kernels(rows: DataFrame, kernels: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Change from kernel a to kernel b per metric, for ``arch`` all, x86_64 and aarch64.
 
     Rows: ``metric, unit, value, more_is_better, kernel_version, arch, ord``. Slices reuse the sums of the one pass.
-    ``kernels(kernel_a, kernel_b)`` overrides the pair taken from the data.
+    ``kernels(kernel_a, kernel_b)`` overrides the pair taken from the data. With fewer than two kernels there is
+    nothing to compare: no rows, or an error with ``strict``.
     """
     sums = _sums(rows)
     pair = kernels if kernels is not None else two_lowest_kernels(rows)
+    if strict:
+        lacking = F.raise_error(F.lit("need at least two kernel versions to compare"))
+        pair = pair.withColumn("kernel_b", F.when(F.col("kernel_b").isNull(), lacking).otherwise(F.col("kernel_b")))
     a, b = pair.select("kernel_a").scalar(), pair.select("kernel_b").scalar()
     arch = F.explode(F.array_compact(F.array(F.lit("all"), "slice"))).alias("arch")
     spread = sums.select("metric", "kernel", "total", "n", arch)

@@ -170,8 +170,9 @@ def stage_progress(stages: DataFrame) -> DataFrame:
     once, with its last upload; run_id cannot exceed total_runs. That bounds each group by the number of scripts.
     """
     keys = ["run", "test", "instance_id"]
-    last = F.max(F.struct("ord", "exit_code", "runtime_s", "total_runs")).alias("s")
-    once = stages.filter("run_id between 1 and total_runs").groupBy(*keys, "run_id").agg(last).select(*keys, "run_id", "s.*")
+    fields = ["exit_code", "runtime_s", "total_runs"]  # numbers, so that Spark can aggregate them by hash
+    valid = stages.filter("run_id between 1 and total_runs")
+    once = valid.groupBy(*keys, "run_id").agg(*[F.max_by(c, "ord").alias(c) for c in fields])
     code = F.when(F.col("exit_code").isin(0, REBOOT_CODE), F.col("exit_code")).otherwise(F.least("exit_code", F.lit(MAX_CODE)))
     bad = ~F.col("code").isin(0, REBOOT_CODE)
     chain = Window.partitionBy(*keys).orderBy("run_id")
@@ -245,4 +246,6 @@ def last_run_log(tests: DataFrame, inventory: DataFrame) -> DataFrame:
 def failure_excerpts(logs: DataFrame) -> DataFrame:
     """First warnings and errors of each log; no row leaves its place for it."""
     others = [c for c in logs.columns if c != "content"]
-    return logs.select(*others, text.warning_lines(F.col("content")).alias("warnings"), text.error_lines(F.col("content")).alias("errors"))
+    lined = logs.withColumn("_lines", text.split_lines(F.col("content")))
+    lines = F.col("_lines")
+    return lined.select(*others, text.warning_lines(lines).alias("warnings"), text.error_lines(lines).alias("errors"))

@@ -165,22 +165,25 @@ def pipeline_rollup(tests: DataFrame, rollup: DataFrame, vm_success: DataFrame |
         plan = plan.join(vm_success, "test", "full")
     else:
         plan = plan.withColumn("success", F.lit(None).cast("boolean"))
-
-    names = {
-        "failed_test_names": F.expr("success = false"),
-        "regression_test_names": F.col("has_regression"),
-    }
     planned = tests.distinct().select("test", F.lit(True).alias("planned"))
     plan = plan.join(planned, "test", "left")
     return plan.agg(
         F.count_if("planned").alias("total_tests"),
         F.count_if("success").alias("successful_tests"),
-        F.count_if(names["failed_test_names"]).alias("failed_tests"),
+        F.count_if(~F.col("success")).alias("failed_tests"),
         F.count_if(F.col("has_regression").isNotNull()).alias("tests_with_benchmarks"),
         F.count_if("has_regression").alias("tests_with_regression"),
     )
 
 
+def pipeline_names(rollup: DataFrame, vm_success: DataFrame | None = None) -> DataFrame:
+    """The names behind the counts, one row each: ``kind`` is regression or failed."""
+    names = rollup.filter("has_regression").select(F.lit("regression").alias("kind"), "test")
+    if vm_success is None:
+        return names
+    return names.unionByName(vm_success.filter(~F.col("success")).select(F.lit("failed").alias("kind"), "test"))
+
+
 def regression_report(comparisons: DataFrame, rollup: DataFrame, part_rows: int = 1000) -> DataFrame:
     """JSON document per test with a regression; long lists continue in further parts of about ``part_rows``."""
     kernels = rollup.select("test", "base_kernel", "tip_kernel")

@@ -66,14 +66,14 @@ def publish_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "write_instance_logs",
-    view_sql("messages") + _GROUPED + "SELECT instance_id, channel, line FROM g WHERE channel IS NOT NULL",
+    view_sql("messages") + _GROUPED + "SELECT instance_id, line FROM g WHERE channel IS NOT NULL",
 )
 def write_instance_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "lines")
     sinks.write_instance_logs(logs.group_streams(view(spark, sf_dir, "messages")), out)
     # read as one text folder: tasks follow bytes, not the number of instances
     folders = spark.read.option("basePath", out).text(out)
-    return folders.select("instance_id", "channel", F.col("value").alias("line"))
+    return folders.select("instance_id", F.col("value").alias("line"))
 
 
 @query(

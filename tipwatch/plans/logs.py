@@ -23,7 +23,7 @@ def _scrub_sql() -> str:
     """The rules as a chain of CTEs; the checking engine writes groups as \\1 and has no flag for Unicode classes."""
     steps, previous = [], "secrets"
     for i, (kind, pattern, keep) in enumerate(text.SCRUB_RULES):
-        plain = pattern.replace("(?U)", "").replace("(?iU)", "(?i)")
+        plain = pattern.replace("(?U)", "").replace("(?iU)", "(?i)").replace("(?=[pasc])", "")
         marker = keep.replace("$1", "\\1") + text.REDACTION.format(kind=kind)
         hits = f"len(regexp_extract_all(text, {_quoted(plain)}))"
         earlier = "".join(f", h{j}" for j in range(i))
@@ -310,7 +310,7 @@ SELECT doc_id, array_to_string(list_transform(lines, lambda x: regexp_replace(re
 def failure_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     langs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     containers = view(spark, sf_dir, "vmlog").filter("content is not null").join(langs, "doc_id").select("doc_id", F.expr(_CONTAINER).alias("content"))
-    return containers.select("doc_id", F.array_join(text.failure_lines(F.col("content")), "|").alias("lines"))
+    return containers.select("doc_id", F.array_join(text.failure_lines(text.split_lines(F.col("content"))), "|").alias("lines"))
 
 
 @query(

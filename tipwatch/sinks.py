@@ -30,15 +30,14 @@ def write_summary(summary: DataFrame, path: str) -> None:
 
 
 def write_instance_logs(grouped: DataFrame, path: str) -> None:
-    """Text per instance and channel, lines by time.
+    """A text folder per instance: its stdout lines by time, then its stderr lines.
 
     Range partitioning keeps a hot instance in order over several files instead of in one task. The sort starts with
-    the folder columns as the writer wants them; any other start would make it sort again and lose the times.
+    the folder column as the writer wants it; any other start would make it sort again and lose the times.
     """
-    order = ["instance_id", "channel", "ts", "seq"]
+    order = [F.asc("instance_id"), F.desc("channel"), F.asc("ts"), F.asc("seq")]
     lines = grouped.filter("channel is not null").repartitionByRange(*order).sortWithinPartitions(*order)
-    named = lines.select("instance_id", "channel", F.col("line").alias("value"))
-    named.write.mode("overwrite").partitionBy("instance_id", "channel").text(path)
+    lines.select("instance_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("instance_id").text(path)
 
 
 def land_measurements(rows: DataFrame, root: str) -> None:

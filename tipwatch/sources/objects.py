@@ -46,14 +46,13 @@ def side_of(path: Column) -> Column:
 
 def _fields(line: Column) -> Column:
     """Fields of one CSV record; the comma in front makes every field, also an empty one, match once."""
-    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELDS), F.lit(1))
-    quoted = F.lit('"')
-    return F.transform(
-        raw,
-        lambda f: F.when(
-            f.startswith('"') & f.endswith('"') & (F.length(f) >= 2), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), quoted)
-        ).otherwise(f),
-    )
+
+    def unquoted(f: Column) -> Column:
+        inner = F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
+        return F.when(f.startswith('"') & f.endswith('"') & (F.length(f) >= 2), inner).otherwise(f)
+
+    quoted = F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELDS), F.lit(1)), unquoted)
+    return F.when(line.contains('"'), quoted).otherwise(F.split(line, ",", -1))
 
 
 def parse_csv(objects: DataFrame, columns: list[str], content: str = "content") -> DataFrame:
@@ -64,33 +63,25 @@ def parse_csv(objects: DataFrame, columns: list[str], content: str = "content")
     """
     kept = [c for c in objects.columns if c != content]
     records = objects.withColumn("_records", F.regexp_extract_all(content, F.lit(_RECORDS), F.lit(1)))
-    headed = records.select(
-        *kept,
-        _fields(F.get("_records", F.lit(0))).alias("_header"),
-        F.posexplode(F.slice("_records", F.lit(2), F.greatest(F.size("_records") - 1, F.lit(0)))).alias("pos", "_line"),
-    )
-    rows = headed.select(*kept, "pos", "_header", _fields(F.col("_line")).alias("_row"))
-
-    def named(name: str) -> Column:
-        # of repeated headers the last one counts
-        from_end = F.array_position(F.reverse("_header"), name)
-        index = F.size("_header") - from_end
-        return F.when(from_end > 0, F.get("_row", index.cast("int")))
-
+    headers = records.withColumn("_header", _fields(F.get("_records", F.lit(0))))
+    # where the columns are is worked out once per file; of repeated headers the last one counts
+    backwards = F.reverse("_header")
+    found = [F.array_position(backwards, c) for c in columns]
+    places = F.array(*[F.when(p > 0, F.size("_header") - p).cast("int") for p in found])
     extra_names = F.array_distinct(F.array_except("_header", F.lit(columns)))
-    extras = F.map_from_entries(
-        F.transform(
-            extra_names,
-            lambda n: F.struct(n.alias("key"), F.get("_row", (F.array_position(F.col("_header"), n) - 1).cast("int")).alias("value")),
-        )
-    )
-    return rows.select(
+    extra_places = F.transform(extra_names, lambda n: (F.array_position(F.col("_header"), n) - 1).cast("int"))
+    lines = headers.select(
         *kept,
-        "pos",
-        *[named(c).alias(c) for c in columns],
+        places.alias("_places"),
         F.array_intersect(F.lit(columns), "_header").alias("present"),
-        extras.alias("extras"),
+        extra_names.alias("_extra_names"),
+        extra_places.alias("_extra_places"),
+        F.posexplode(F.slice("_records", F.lit(2), F.greatest(F.size("_records") - 1, F.lit(0)))).alias("pos", "_line"),
     )
+    rows = lines.withColumn("_row", _fields(F.col("_line")))
+    named = [F.get("_row", F.get("_places", F.lit(i))).alias(c) for i, c in enumerate(columns)]
+    extra_values = F.transform("_extra_places", lambda p: F.get(F.col("_row"), p))
+    return rows.select(*kept, "pos", *named, "present", F.map_from_arrays("_extra_names", extra_values).alias("extras"))
 
 
 def benchmark_rows(objects: DataFrame) -> DataFrame:
