@@ -59,8 +59,9 @@ def test_build_lookup(spark):
     df = spark.createDataFrame([(k, *v) for k, v in nodes.items()], "id string, kind string, parent string")
     found = jobs.resolve_build_ids(df, "o")
     assert {r.id: r.build_id for r in found.collect()} == {n: walk(n) for n in nodes}
-    asked = spark.createDataFrame([("n211",), ("n201",)], "node_id string")
-    assert {r.node_id: r.build_id for r in jobs.with_build_ids(asked, found, "o").collect()} == {"n211": "o:unknown_n211", "n201": "o:n200"}
+    asked = df.filter("kind <> 'checkout'").withColumnRenamed("id", "node_id")
+    wanted = {n: walk(n) or f"o:unknown_{n}" for n, (kind, _) in nodes.items() if kind != "checkout"}
+    assert {r.node_id: r.build_id for r in jobs.with_build_ids(asked, df, "o").collect()} == wanted
 
 
 JOB = {"environment": {"arch": "arm64", "platform": "vm"}, "artifacts": {"kernel": "k", "modules": "m", "rootfs": "r"}, "tests": [{"id": "a", "type": "baseline"}, {"type": "ltp"}], "timeout": 900}

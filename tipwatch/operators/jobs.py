@@ -85,27 +85,37 @@ def strip_readonly_fields(nodes: DataFrame, *service_fields: str) -> DataFrame:
     return nodes.drop(*READ_ONLY_FIELDS, *service_fields)
 
 
-def resolve_build_ids(nodes: DataFrame, origin: str, doublings: int = 3) -> DataFrame:
+def resolve_build_ids(nodes: DataFrame, origin: str, asked: DataFrame | None = None, inspect: int = 8) -> DataFrame:
     """``build_id`` per node: origin and id of the nearest build among the node and its ancestors, else null.
 
-    Looks at 2**doublings nodes of each chain (8). Every round joins the table with itself and doubles the distance
-    covered, so it takes three joins, not one per hop, and no driver loop over rows. Many nodes share an ancestor:
-    the join key may be hot on the left only (ids are unique), where adaptive execution splits it.
+    ``nodes(id, kind, parent)``; ``asked(id)`` limits the answer to these ids, each once. At most ``inspect`` nodes of
+    a chain are looked at: a fixed number of left joins against the same three columns, whose exchange is shared.
+    A chain that has ended gets a key of its own that matches nothing, so that ends do not pile up on null.
     """
-    known = nodes.select("id", F.nullif("parent", F.lit("")).alias("next"), F.when(F.col("kind") == "kbuild", F.col("id")).alias("build"))
-    for _ in range(doublings):
-        ahead = known.select(F.col("id").alias("next"), F.col("next").alias("_next"), F.col("build").alias("_build"))
-        known = known.join(ahead, "next", "left").select(
-            "id", F.col("_next").alias("next"), F.coalesce("build", "_build").alias("build")
+    is_build = F.col("kind") == "kbuild"
+    steps = nodes.select(F.col("id").alias("at"), F.nullif("parent", F.lit("")).alias("_up"), is_build.alias("_is_build"))
+    chains = (nodes if asked is None else asked).select("id", F.col("id").alias("at"), F.lit(None).cast("string").alias("build"))
+    ended = F.concat(F.lit("end of "), "id")
+    for _ in range(inspect):
+        chains = chains.join(steps, "at", "left").select(
+            "id",
+            F.when(F.col("build").isNull() & ~F.coalesce("_is_build", F.lit(True)), F.coalesce("_up", ended)).otherwise(ended).alias("at"),
+            F.coalesce("build", F.when(F.col("_is_build"), F.col("at"))).alias("build"),
         )
-    return known.select("id", F.concat(F.lit(origin + ":"), "build").alias("build_id"))
+    return chains.select("id", F.concat(F.lit(origin + ":"), "build").alias("build_id"))
 
 
-def with_build_ids(jobs: DataFrame, builds: DataFrame, origin: str) -> DataFrame:
-    """Jobs ``(node_id, ...)`` with their build, or a stand-in id where no ancestor is a build."""
+def with_build_ids(jobs: DataFrame, nodes: DataFrame, origin: str) -> DataFrame:
+    """Jobs ``(node_id, kind, parent, ...)`` with their build, or a stand-in id where no ancestor is a build.
+
+    Jobs share few parents, so chains are walked once per parent and not once per job.
+    """
+    parents = jobs.filter("parent <> ''").select(F.col("parent").alias("id")).distinct()
+    builds = resolve_build_ids(nodes, origin, parents, inspect=7).withColumnRenamed("id", "parent")
+    own = F.when(F.col("kind") == "kbuild", F.concat(F.lit(origin + ":"), "node_id"))
     unknown = F.concat(F.lit(f"{origin}:unknown_"), "node_id")
-    joined = jobs.join(builds.withColumnRenamed("id", "node_id"), "node_id", "left")
-    return joined.withColumn("build_id", F.coalesce("build_id", unknown))
+    joined = jobs.join(builds, "parent", "left")
+    return joined.withColumn("build_id", F.coalesce(own, "build_id", unknown))
 
 
 def normalise_arch(arch: Column, platform: Column) -> Column:
@@ -166,7 +176,8 @@ def plan_runs(
     A plan is one VM entry per job. A definition without kernel or modules is rejected as invalid. ``id_prefix`` and
     the two parameter names are what the deployment's test scripts expect.
     """
-    parsed = jobs.withColumn("d", F.from_json("definition", JOB_DEFINITION))
+    # the random id beside the parsed text keeps the filters below from being moved under it, which would parse twice
+    parsed = jobs.withColumns({"d": F.from_json("definition", JOB_DEFINITION), "token": F.replace(F.uuid(), F.lit("-"), F.lit(""))})
     env, art = "d.environment.", "d.artifacts."
     present = {n: F.nullif(F.col(art + n), F.lit("")) for n in ("kernel", "modules", "rootfs", "ramdisk")}
     fields = parsed.withColumns(
@@ -199,7 +210,7 @@ def plan_runs(
     ]
     entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in optional])
     params = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
-    short = F.substring(F.coalesce("node", F.replace(F.uuid(), F.lit("-"), F.lit(""))), 1, 12)
+    short = F.substring(F.coalesce("node", "token"), 1, 12)
     plans = fields.filter(complete).select(
         "node_id",
         F.concat_ws("-", F.lit(id_prefix), "arch", short).alias("test_id"),

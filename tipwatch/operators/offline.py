@@ -78,15 +78,16 @@ def compare_kernels(rows: DataFrame, kernels: DataFrame | None = None, strict: b
         pair = pair.withColumn("kernel_b", F.when(F.col("kernel_b").isNull(), lacking).otherwise(F.col("kernel_b")))
     a, b = pair.select("kernel_a").scalar(), pair.select("kernel_b").scalar()
     arch = F.explode(F.array_compact(F.array(F.lit("all"), "slice"))).alias("arch")
-    spread = sums.select("metric", "kernel", "total", "n", arch)
+    named = sums.withColumns({"kernel_a": a, "kernel_b": b})
+    spread = named.select("metric", "kernel", "kernel_a", "kernel_b", "total", "n", arch)
 
-    def mean(kernel: Column) -> Column:
-        mine = F.col("kernel") == kernel
+    def mean(side: str) -> Column:
+        mine = F.col("kernel") == F.col(side)
         n = F.sum(F.when(mine, F.col("n")))
         return F.sum(F.when(mine, F.col("total"))) / F.when(n > 0, n)
 
-    means = spread.groupBy("metric", "arch").agg(
-        F.max(a).alias("kernel_a"), F.max(b).alias("kernel_b"), mean(a).alias("mean_a"), mean(b).alias("mean_b")
+    means = spread.groupBy("metric", "arch", "kernel_a", "kernel_b").agg(
+        mean("kernel_a").alias("mean_a"), mean("kernel_b").alias("mean_b")
     )
     change = F.col("mean_b") - F.col("mean_a")
     percent = F.when(F.col("mean_a") > 0, change / F.col("mean_a") * 100.0).otherwise(0.0)

@@ -98,8 +98,8 @@ def resolve_build_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def job_build_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = view(spark, sf_dir, "nodes")
-    wanted = nodes.filter("kind = 'job'").select(F.col("id").alias("node_id"))
-    return jobs.with_build_ids(wanted, jobs.resolve_build_ids(nodes, ORIGIN), ORIGIN)
+    wanted = nodes.filter("kind = 'job'").select(F.col("id").alias("node_id"), "kind", "parent")
+    return jobs.with_build_ids(wanted, nodes, ORIGIN).select("node_id", "build_id")
 
 
 _ARCH = "CASE WHEN a IS NOT NULL THEN a WHEN platform LIKE '%aarch64%' THEN 'arm64' ELSE 'x86_64' END"

@@ -103,29 +103,27 @@ def condense(events: DataFrame) -> DataFrame:
     return marked.mapInPandas(fold, CONDENSED)
 
 
-@dataclass(frozen=True)
 class _Folded:
-    news: News = News()
-    first_us: int | None = None
-    last_us: int | None = None
-    crash_at: tuple[int, int] | None = None
-
-    def add(self, rows: pd.DataFrame) -> _Folded:
-        news, at = self.news, self.crash_at
-        hits = rows[rows["crash_message"].notna()].sort_values(["crash_us", "crash_seq"])
-        crash = news.crash
-        if not hits.empty:
-            first = hits.iloc[0]
-            place = (int(first["crash_us"]), int(first["crash_seq"]))
-            if at is None or place < at:
-                at, crash = place, str(first["crash_message"])
+    """One run's condensed rows taken together; there are a few per task, not one per line."""
+
+    def __init__(self) -> None:
+        self.lines, self.stopped = 0, False
+        self.first_us: int | None = None
+        self.last_us: int | None = None
+        self.crash: tuple[int, int, str] | None = None
+
+    def add(self, rows: pd.DataFrame) -> None:
+        self.lines += int(rows["lines"].sum())
+        self.stopped = self.stopped or bool(rows["stopped"].any())
         low, high = int(rows["first_us"].min()), int(rows["last_us"].max())
-        return _Folded(
-            News(news.lines + int(rows["lines"].sum()), news.stopped or bool(rows["stopped"].any()), crash),
-            low if self.first_us is None else min(low, self.first_us),
-            high if self.last_us is None else max(high, self.last_us),
-            at,
-        )
+        self.first_us = low if self.first_us is None else min(low, self.first_us)
+        self.last_us = high if self.last_us is None else max(high, self.last_us)
+        for us, seq, message in zip(rows["crash_us"], rows["crash_seq"], rows["crash_message"]):
+            if message is not None and (self.crash is None or (us, seq) < self.crash[:2]):
+                self.crash = (int(us), int(seq), str(message))
+
+    def news(self) -> News:
+        return News(self.lines, self.stopped, self.crash[2] if self.crash else None)
 
 
 def run_monitor(events: DataFrame, limits: Limits = Limits(), clock: str = "processing", delay: str = "0 seconds") -> DataFrame:
@@ -141,7 +139,7 @@ def run_monitor(events: DataFrame, limits: Limits = Limits(), clock: str = "proc
         if not held.hasTimedOut:
             for batch in batches:
                 if not batch.empty:
-                    folded = folded.add(batch)
+                    folded.add(batch)
         now = held.getCurrentWatermarkMs() if by_event else held.getCurrentProcessingTimeMs()
         if by_event and folded.last_us is not None:
             now = max(now, folded.last_us // 1000)
@@ -155,7 +153,7 @@ def run_monitor(events: DataFrame, limits: Limits = Limits(), clock: str = "proc
         if was_ended and held.hasTimedOut:
             held.remove()
             return
-        state, message = advance(state, folded.news, now, limits)
+        state, message = advance(state, folded.news(), now, limits)
         held.update((state.status, state.start_ms, state.last_ms))
         wake = now + KEEP_ENDED_MS if state.ended else state.deadline(limits)
         if by_event:
