@@ -1,4 +1,6 @@
-"""Statistical tests as column expressions over already aggregated rows.
+"""Statistical tests as SQL expressions over already aggregated rows.
+
+Arguments are column names or expressions, results are expressions for ``selectExpr`` or ``expr``.
 
 Spark has no ``erf``/``lgamma``. Both tail areas below are integrals of smooth positive functions, so a fixed
 Gauss-Legendre rule, folded over a literal array, gives them to about 1e-12 without leaving the JVM.
@@ -7,11 +9,9 @@ Gauss-Legendre rule, folded over a literal array, gives them to about 1e-12 with
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 P_VALUE_LIMIT = 0.05
 EFFECT_LIMIT = 0.5
@@ -21,101 +21,104 @@ NORMAL_DF = 100.0
 _POINTS = 48
 
 
-def _doubles(values: np.ndarray) -> Column:
-    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+class Sample(NamedTuple):
+    """Names of the columns that describe one side; ``n`` is a double (products of counts overflow integers)."""
+
+    mean: str
+    var: str
+    n: str
+
+
+def _doubles(values: np.ndarray) -> str:
+    return "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")"
 
 
-def _integral01(f: Callable[[Column], Column], points: int = _POINTS) -> Column:
-    """Integral of f over [0, 1]."""
+def _integral01(integrand: str, points: int = _POINTS) -> str:
+    """Integral over [0, 1] of an expression of ``node_``."""
     x, w = np.polynomial.legendre.leggauss(points)
-    terms = F.zip_with(_doubles((x + 1) / 2), _doubles(w / 2), lambda s, c: c * f(s))
-    return F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
+    terms = f"zip_with({_doubles((x + 1) / 2)}, {_doubles(w / 2)}, (node_, weight_) -> weight_ * ({integrand}))"
+    return f"aggregate({terms}, 0D, (sum_, term_) -> sum_ + term_)"
 
 
-def erfc(y: Column) -> Column:
+def erfc(y: str) -> str:
     """Complementary error function for y >= 0."""
-    small = 1.0 - 2.0 / math.sqrt(math.pi) * y * _integral01(lambda s: F.exp(-(y * s) * (y * s)), 32)
+    small = f"1 - {2 / math.sqrt(math.pi)!r}D * ({y}) * {_integral01(f'exp(-pow(({y}) * node_, 2))', 32)}"
     # Craig's form: (2/pi) * integral over [0, pi/2] of exp(-(y / sin theta)^2)
-    tail = _integral01(lambda s: F.exp(-F.pow(y / F.sin(s * (math.pi / 2)), F.lit(2.0))))
-    return F.when(y < 2.0, small).otherwise(tail)
+    tail = _integral01(f"exp(-pow(({y}) / sin(node_ * {math.pi / 2!r}D), 2))")
+    return f"(case when ({y}) < 2 then {small} else {tail} end)"
 
 
-def normal_cdf(z: Column) -> Column:
-    half = erfc(F.abs(z) / math.sqrt(2.0)) * 0.5
-    return F.when(z <= 0, half).otherwise(1.0 - half)
+def normal_two_tailed(z: str) -> str:
+    return erfc(f"abs({z}) / {math.sqrt(2)!r}D")
 
 
-def normal_two_tailed(z: Column) -> Column:
-    return erfc(F.abs(z) / math.sqrt(2.0))
+def normal_cdf(z: str) -> str:
+    return f"abs(if(({z}) <= 0, 0, 1) - {normal_two_tailed(z)} / 2)"
 
 
-def t_two_tailed(t: Column, df: Column) -> Column:
+def t_two_tailed(t: str, df: str) -> str:
     """Two-tailed Student t p-value; normal above NORMAL_DF, 1 for df <= 0 or NaN input.
 
     With x = sqrt(df) / tan(phi) the tail area is the share of the integral of sin(phi)^(df-1) over [0, pi/2]
     that lies below phi0 = atan(sqrt(df) / |t|). The cube moves points towards the steep end.
     """
-    power = F.greatest(df - 1.0, F.lit(0.0))
 
-    def area(phi: Column) -> Column:
-        return phi * _integral01(lambda s: 3.0 * s * s * F.pow(F.sin(phi * s * s * s), power))
+    def area(phi: str) -> str:
+        integrand = f"3 * node_ * node_ * pow(sin(({phi}) * pow(node_, 3)), greatest(({df}) - 1, 0D))"
+        return f"({phi}) * {_integral01(integrand)}"
 
-    p = area(F.atan2(F.sqrt(df), F.abs(t))) / area(F.lit(math.pi / 2))
-    p = F.when(df > NORMAL_DF, normal_two_tailed(t)).when(df > 0, p).otherwise(1.0)
-    return F.nanvl(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)), F.lit(1.0))
+    exact = f"{area(f'atan2(sqrt({df}), abs({t}))')} / ({area(f'{math.pi / 2!r}D')})"
+    p = f"case when ({df}) > {NORMAL_DF}D then {normal_two_tailed(t)} when ({df}) > 0 then {exact} else 1D end"
+    return f"nanvl(greatest(0D, least(1D, {p})), 1D)"
 
 
-def pct_change(base: Column, tip: Column) -> Column:
+def pct_change(base: str, tip: str) -> str:
     """Change in percent of |base|; 0 when base is 0."""
-    return F.when(base != 0, (tip - base) / F.abs(base) * 100.0).otherwise(0.0)
+    return f"if({base} <> 0, ({tip} - {base}) / abs({base}) * 100, 0D)"
 
 
-def welch_t(mean_a: Column, var_a: Column, n_a: Column, mean_b: Column, var_b: Column, n_b: Column) -> tuple[Column, Column]:
+def welch_t(a: Sample, b: Sample) -> tuple[str, str]:
     """(t, degrees of freedom); t is 0 and df null when either side has fewer than two values or no spread."""
-    qa, qb = var_a / n_a, var_b / n_b
-    se = F.sqrt(qa + qb)
-    usable = (n_a >= 2) & (n_b >= 2) & (se != 0)
-    spread = qa * qa / (n_a - 1) + qb * qb / (n_b - 1)
-    t = F.when(usable, (mean_a - mean_b) / se).otherwise(0.0)
-    df = F.when(usable, F.when(spread > 0, (qa + qb) * (qa + qb) / spread).otherwise(1.0))
-    return t, df
+    qa, qb = f"({a.var} / {a.n})", f"({b.var} / {b.n})"
+    usable = f"{a.n} >= 2 and {b.n} >= 2 and {qa} + {qb} <> 0"
+    t = f"if({usable}, ({a.mean} - {b.mean}) / sqrt({qa} + {qb}), 0D)"
+    spread = f"({qa} * {qa} / ({a.n} - 1) + {qb} * {qb} / ({b.n} - 1))"
+    return t, f"if({usable}, if({spread} > 0, pow({qa} + {qb}, 2) / {spread}, 1D), null)"
 
 
-def welch_p(t: Column, df: Column) -> Column:
-    return F.when(df.isNull(), 1.0).otherwise(t_two_tailed(t, df))
+def welch_p(t: str, df: str) -> str:
+    return f"if({df} is null, 1D, {t_two_tailed(t, df)})"
 
 
-def mann_whitney(u_a: Column, n_a: Column, n_b: Column) -> tuple[Column, Column]:
-    """(U, z) from the first sample's U; z is null when undefined. Counts must be doubles (products overflow ints)."""
-    pairs = n_a * n_b
-    u = F.least(u_a, pairs - u_a)
-    sigma = F.sqrt(pairs * (n_a + n_b + 1.0) / 12.0)
-    usable = (n_a >= 2) & (n_b >= 2)
-    return F.when(usable, u).otherwise(0.0), F.when(usable & (sigma > 0), (u - pairs / 2.0) / sigma)
+def mann_whitney(u_a: str, n_a: str, n_b: str) -> tuple[str, str]:
+    """(U, z) from the first sample's U; z is null when undefined. Counts are doubles."""
+    usable = f"{n_a} >= 2 and {n_b} >= 2"
+    u = f"least({u_a}, {n_a} * {n_b} - {u_a})"
+    sigma = f"sqrt({n_a} * {n_b} * ({n_a} + {n_b} + 1) / 12)"
+    return f"if({usable}, {u}, 0D)", f"if({usable}, ({u} - {n_a} * {n_b} / 2) / {sigma}, null)"
 
 
-def mann_whitney_p(z: Column) -> Column:
+def mann_whitney_p(z: str) -> str:
     """Normal approximation, no tie or continuity correction; U never exceeds its mean so z <= 0."""
-    return F.when(z.isNull(), 1.0).otherwise(normal_two_tailed(z))
+    return f"if({z} is null, 1D, {normal_two_tailed(z)})"
 
 
-def cohens_d(mean_a: Column, var_a: Column, n_a: Column, mean_b: Column, var_b: Column, n_b: Column) -> Column:
-    pooled = F.sqrt(((n_a - 1) * var_a + (n_b - 1) * var_b) / (n_a + n_b - 2))
-    usable = (n_a >= 2) & (n_b >= 2) & (pooled != 0)
-    return F.when(usable, (mean_a - mean_b) / pooled).otherwise(0.0)
+def cohens_d(a: Sample, b: Sample) -> str:
+    pooled = f"sqrt((({a.n} - 1) * {a.var} + ({b.n} - 1) * {b.var}) / ({a.n} + {b.n} - 2))"
+    return f"if({a.n} >= 2 and {b.n} >= 2, if({pooled} <> 0, ({a.mean} - {b.mean}) / {pooled}, 0D), 0D)"
 
 
 def is_regression(
-    t_p: Column,
-    u_p: Column,
-    d: Column,
-    pct: Column,
-    more_is_better: Column,
+    t_p: str,
+    u_p: str,
+    d: str,
+    pct: str,
+    more_is_better: str,
     p_limit: float = P_VALUE_LIMIT,
     effect_limit: float = EFFECT_LIMIT,
-) -> Column:
+) -> str:
     """Significant, large enough and in the harmful direction. Spark orders NaN above every number, hence isnan."""
-    significant = (t_p < p_limit) | (u_p < p_limit)
-    large = F.when(F.isnan(d), False).otherwise(F.abs(d) >= effect_limit)
-    harmful = F.when(F.isnan(pct), False).when(more_is_better, pct < 0).otherwise(pct > 0)
-    return significant & large & harmful
+    significant = f"({t_p} < {p_limit}D or {u_p} < {p_limit}D)"
+    large = f"(not isnan({d}) and abs({d}) >= {effect_limit}D)"
+    harmful = f"(not isnan({pct}) and if({more_is_better}, {pct} < 0, {pct} > 0))"
+    return f"{significant} and {large} and {harmful}"

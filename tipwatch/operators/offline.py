@@ -38,7 +38,8 @@ def suite_label(rows: DataFrame) -> DataFrame:
 
 def two_lowest_kernels(rows: DataFrame) -> DataFrame:
     """One row (kernel_a, kernel_b): the first two kernels in text order, architecture suffix aside."""
-    names = rows.select(kernel_base(F.col("kernel_version")).alias("kernel")).filter("kernel is not null")
+    versions = rows.select("kernel_version").distinct()
+    names = versions.select(kernel_base(F.col("kernel_version")).alias("kernel")).filter("kernel is not null")
     lowest = names.distinct().orderBy("kernel").limit(2)
     return lowest.agg(F.min("kernel").alias("kernel_a"), F.when(F.count("*") == 2, F.max("kernel")).alias("kernel_b"))
 
@@ -48,64 +49,59 @@ def arch_slice(arch: Column) -> Column:
     return F.when(lowered.contains("x86_64"), "x86_64").when(lowered.contains("aarch64") | lowered.contains("arm64"), "aarch64")
 
 
-def _sums(rows: DataFrame) -> DataFrame:
-    """Per (metric, kernel, slice) sums: the only pass over the measurements."""
-    usable = rows.withColumns({"kernel": kernel_base(F.col("kernel_version")), "slice": arch_slice(F.col("arch"))})
-    number = F.when(~F.isnan("value"), F.col("value"))
-    return usable.groupBy("metric", "kernel", "slice").agg(F.sum(number).alias("total"), F.count(number).alias("n"))
-
-
-def _first_labels(rows: DataFrame) -> DataFrame:
-    """Unit and direction a metric shows first, per slice and overall."""
-    tagged = rows.withColumn("slice", arch_slice(F.col("arch")))
-    combos = tagged.groupBy("metric", "slice", "unit", "more_is_better").agg(F.min("ord").alias("ord"))
-    arch = F.explode(F.array_distinct(F.array_compact(F.array(F.lit("all"), "slice")))).alias("arch")
-    spread = combos.select("metric", arch, F.struct("ord", "unit", "more_is_better").alias("first"))
-    return spread.groupBy("metric", "arch").agg(F.min("first").alias("f")).select("metric", "arch", "f.unit", "f.more_is_better")
-
-
 def compare_kernels(rows: DataFrame, kernels: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Change from kernel a to kernel b per metric, for ``arch`` all, x86_64 and aarch64.
 
-    Rows: ``metric, unit, value, more_is_better, kernel_version, arch, ord``. Slices reuse the sums of the one pass.
-    ``kernels(kernel_a, kernel_b)`` overrides the pair taken from the data. With fewer than two kernels there is
-    nothing to compare: no rows, or an error with ``strict``.
+    Rows: ``metric, unit, value, more_is_better, kernel_version, arch, ord``. One pass over them sums by the labels as
+    they are; names, slices and the pair are worked out on the few sums. ``kernels(kernel_a, kernel_b)`` overrides the
+    pair taken from the data. With fewer than two kernels there is nothing to compare: no rows, or an error with
+    ``strict``.
     """
-    sums = _sums(rows)
+    number = F.when(~F.isnan("value"), F.col("value"))
+    sums = rows.groupBy("metric", "kernel_version", "arch", "unit", "more_is_better").agg(
+        F.sum(number).alias("total"), F.count(number).alias("n"), F.min("ord").alias("ord")
+    )
     pair = kernels if kernels is not None else two_lowest_kernels(rows)
     if strict:
         lacking = F.raise_error(F.lit("need at least two kernel versions to compare"))
         pair = pair.withColumn("kernel_b", F.when(F.col("kernel_b").isNull(), lacking).otherwise(F.col("kernel_b")))
     a, b = pair.select("kernel_a").scalar(), pair.select("kernel_b").scalar()
-    arch = F.explode(F.array_compact(F.array(F.lit("all"), "slice"))).alias("arch")
-    named = sums.withColumns({"kernel_a": a, "kernel_b": b})
-    spread = named.select("metric", "kernel", "kernel_a", "kernel_b", "total", "n", arch)
+    slices = F.explode(F.array_compact(F.array(F.lit("all"), arch_slice(F.col("arch"))))).alias("arch")
+    named = sums.select(
+        "metric",
+        "total",
+        "n",
+        F.struct("ord", "unit", "more_is_better").alias("labels"),
+        kernel_base(F.col("kernel_version")).alias("kernel"),
+        a.alias("kernel_a"),
+        b.alias("kernel_b"),
+        slices,
+    )
 
     def mean(side: str) -> Column:
         mine = F.col("kernel") == F.col(side)
         n = F.sum(F.when(mine, F.col("n")))
         return F.sum(F.when(mine, F.col("total"))) / F.when(n > 0, n)
 
-    means = spread.groupBy("metric", "arch", "kernel_a", "kernel_b").agg(
-        mean("kernel_a").alias("mean_a"), mean("kernel_b").alias("mean_b")
+    means = named.groupBy("metric", "arch", "kernel_a", "kernel_b").agg(
+        mean("kernel_a").alias("mean_a"), mean("kernel_b").alias("mean_b"), F.min("labels").alias("first")
     )
     change = F.col("mean_b") - F.col("mean_a")
     percent = F.when(F.col("mean_a") > 0, change / F.col("mean_a") * 100.0).otherwise(0.0)
-    both = means.filter("mean_a is not null and mean_b is not null").join(_first_labels(rows), ["metric", "arch"])
     worse = F.when(F.col("more_is_better"), F.col("percent_change") < 0).otherwise(F.col("percent_change") > 0)
-    return both.withColumns({"absolute_change": change, "percent_change": percent}).select(
+    both = means.filter("mean_a is not null and mean_b is not null").select(
         "metric",
         "arch",
-        "unit",
-        "more_is_better",
+        "first.unit",
+        "first.more_is_better",
         "kernel_a",
         "kernel_b",
         "mean_a",
         "mean_b",
-        "absolute_change",
-        "percent_change",
-        worse.alias("is_regression"),
+        change.alias("absolute_change"),
+        percent.alias("percent_change"),
     )
+    return both.withColumn("is_regression", worse)
 
 
 def with_kernel_columns(result: DataFrame, kernel_a: str, kernel_b: str) -> DataFrame:

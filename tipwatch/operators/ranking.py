@@ -6,7 +6,7 @@ and, on each row, the counts per side below it and the group's totals.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tipwatch.session import fits_one_task, materialise
@@ -14,19 +14,15 @@ from tipwatch.session import fits_one_task, materialise
 _SIDES = ("base", "tip")
 
 
-def value_frequencies(measures: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per (keys, value) with the number of base and tip measurements; combines map-side."""
-    counts = [F.count(F.when(F.col("side") == s, 1)).alias(f"n_{s}") for s in _SIDES]
-    return measures.filter(F.col("side").isin(*_SIDES)).groupBy(*keys, "value").agg(*counts)
-
-
-def _total(side: str) -> Column:
-    return F.sum(f"n_{side}")
+def _each(*templates: str) -> list[str]:
+    """The expressions for both sides, ``{s}`` standing for the side."""
+    return [t.format(s=s) for t in templates for s in _SIDES]
 
 
-def _weighted(side: str) -> Column:
-    # a side without this value must not turn inf or NaN into a NaN total for itself
-    return F.sum(F.when(F.col(f"n_{side}") > 0, F.col(f"n_{side}") * F.col("value")))
+def value_frequencies(measures: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per (keys, value) with the number of base and tip measurements; combines map-side."""
+    counts = _each("count_if(side = '{s}') as n_{s}")
+    return measures.filter("side in ('base', 'tip')").groupBy(*keys, "value").agg(*map(F.expr, counts))
 
 
 def ranked_frequencies(measures: DataFrame, keys: list[str], split: bool | None = None) -> DataFrame:
@@ -39,83 +35,75 @@ def ranked_frequencies(measures: DataFrame, keys: list[str], split: bool | None
     if split is None:
         split = not fits_one_task(measures)
     ranked = _ranked_split(freq, keys) if split else _ranked_whole(freq, keys)
-    means = [(F.col(f"weighted_{s}") / F.when(F.col(f"total_{s}") > 0, F.col(f"total_{s}"))).alias(f"mean_{s}") for s in _SIDES]
-    kept = [*keys, "value", *[f"{c}_{s}" for c in ("n", "below", "total") for s in _SIDES]]
-    return ranked.select(*kept, *means)
+    means = _each("if(total_{s} > 0, weighted_{s} / total_{s}, null) as mean_{s}")
+    return ranked.selectExpr(*keys, "value", *_each("n_{s}", "below_{s}", "total_{s}"), *means)
+
+
+# a side without this value must not turn inf or NaN into a NaN total for itself
+_WEIGHTED = "sum(if(n_{s} > 0, n_{s} * value, null))"
+
+
+def _before(group: str, order: str) -> str:
+    return f"(partition by {group} order by {order} rows between unbounded preceding and 1 preceding)"
 
 
 def _ranked_whole(freq: DataFrame, keys: list[str]) -> DataFrame:
-    group = Window.partitionBy(*keys)
-    before = group.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    columns = {}
-    for s in _SIDES:
-        columns[f"below_{s}"] = F.coalesce(F.sum(f"n_{s}").over(before), F.lit(0))
-        columns[f"total_{s}"] = _total(s).over(group)
-        columns[f"weighted_{s}"] = _weighted(s).over(group)
-    return freq.withColumns(columns)
+    group = ", ".join(keys)
+    return freq.selectExpr(
+        "*",
+        *_each(
+            f"coalesce(sum(n_{{s}}) over {_before(group, 'value')}, 0) as below_{{s}}",
+            f"sum(n_{{s}}) over (partition by {group}) as total_{{s}}",
+            f"{_WEIGHTED} over (partition by {group}) as weighted_{{s}}",
+        ),
+    )
 
 
 def _ranked_split(freq: DataFrame, keys: list[str]) -> DataFrame:
     # Range partitions cut hot groups at value boundaries. Their ids are used by two branches, so fix them first.
     ranged = materialise(freq.repartitionByRange(*keys, "value").withColumn("cut", F.spark_partition_id()))
-    subtotals = ranged.groupBy(*keys, "cut").agg(
-        *[_total(s).alias(f"cut_n_{s}") for s in _SIDES], *[_weighted(s).alias(f"cut_w_{s}") for s in _SIDES]
-    )
-    group = Window.partitionBy(*keys)
-    before = group.orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = subtotals.select(
+    subtotals = ranged.groupBy(*keys, "cut").agg(*map(F.expr, _each("sum(n_{s}) as cut_n_{s}", f"{_WEIGHTED} as cut_w_{{s}}")))
+    group = ", ".join(keys)
+    offsets = subtotals.selectExpr(
         *keys,
         "cut",
-        *[F.coalesce(F.sum(f"cut_n_{s}").over(before), F.lit(0)).alias(f"offset_{s}") for s in _SIDES],
-        *[F.sum(f"cut_n_{s}").over(group).alias(f"total_{s}") for s in _SIDES],
-        *[F.sum(f"cut_w_{s}").over(group).alias(f"weighted_{s}") for s in _SIDES],
-    )
-    inside = Window.partitionBy(*keys, "cut").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(offsets, [*keys, "cut"]).withColumns(
-        {f"below_{s}": F.col(f"offset_{s}") + F.coalesce(F.sum(f"n_{s}").over(inside), F.lit(0)) for s in _SIDES}
+        *_each(
+            f"coalesce(sum(cut_n_{{s}}) over {_before(group, 'cut')}, 0) as offset_{{s}}",
+            f"sum(cut_n_{{s}}) over (partition by {group}) as total_{{s}}",
+            f"sum(cut_w_{{s}}) over (partition by {group}) as weighted_{{s}}",
+        ),
     )
+    inside = _before(f"{group}, cut", "value")
+    below = _each(f"offset_{{s}} + coalesce(sum(n_{{s}}) over {inside}, 0) as below_{{s}}")
+    return ranged.join(offsets, [*keys, "cut"]).selectExpr("*", *below)
 
 
 def average_ranks(measures: DataFrame, keys: list[str], split: bool | None = None) -> DataFrame:
     """1-based mid-rank of every distinct value over the pooled sides."""
     ranked = ranked_frequencies(measures, keys, split)
-    pooled = F.col("n_base") + F.col("n_tip")
-    rank = F.col("below_base") + F.col("below_tip") + (pooled + 1) / 2
-    return ranked.select(*keys, "value", "n_base", "n_tip", rank.cast("double").alias("avg_rank"))
+    rank = "cast(below_base + below_tip + (n_base + n_tip + 1) / 2 as double) as avg_rank"
+    return ranked.selectExpr(*keys, "value", "n_base", "n_tip", rank)
 
 
 def sample_statistics(measures: DataFrame, keys: list[str], split: bool | None = None) -> DataFrame:
     """One row per group: n, mean, variance (n-1), exact median per side, and base's U."""
     ranked = ranked_frequencies(measures, keys, split)
-    aggregates = []
-    for s in _SIDES:
-        n, below, total, value = (F.col(f"n_{s}"), F.col(f"below_{s}"), F.col(f"total_{s}"), F.col("value"))
-        present = n > 0
-        off = value - F.col(f"mean_{s}")
-
-        def at(index: Column, below=below, n=n, value=value) -> Column:
-            return F.max(F.when((below <= index) & (index < below + n), value))
-
-        aggregates += [
-            F.first(total).alias(f"n_{s}"),
-            F.first(f"mean_{s}").alias(f"_mean_{s}"),
-            F.sum(F.when(present, n * off * off)).alias(f"_squares_{s}"),
-            F.count(F.when(present, 1)).alias(f"_distinct_{s}"),
-            F.max(F.when(present, value)).alias(f"_top_{s}"),
-            at(F.floor((total - 1) / 2)).alias(f"_lower_{s}"),
-            at(F.floor(total / 2)).alias(f"_upper_{s}"),
-        ]
-    wins = F.col("n_base") * (F.col("below_tip") + F.col("n_tip") * F.lit(0.5))
-    aggregates.append(F.sum(wins).alias("u_base"))
-    grouped = ranked.groupBy(*keys).agg(*aggregates)
-    columns = []
-    for s in _SIDES:
-        constant = F.col(f"_distinct_{s}") == 1  # no rounding noise for a constant sample
-        n = F.col(f"n_{s}").cast("double")
-        columns += [
-            n.alias(f"n_{s}"),
-            F.when(constant, F.col(f"_top_{s}")).otherwise(F.col(f"_mean_{s}")).alias(f"mean_{s}"),
-            F.when((n < 2) | constant, 0.0).otherwise(F.col(f"_squares_{s}") / (n - 1)).alias(f"var_{s}"),
-            ((F.col(f"_lower_{s}") + F.col(f"_upper_{s}")) / 2).alias(f"median_{s}"),
-        ]
-    return grouped.select(*keys, *columns, "u_base")
+    at = "max(if(below_{{s}} <= {0} and {0} < below_{{s}} + n_{{s}}, value, null))"
+    aggregates = _each(
+        "cast(first(total_{s}) as double) as n_{s}",
+        "first(mean_{s}) as plain_mean_{s}",
+        "sum(if(n_{s} > 0, n_{s} * pow(value - mean_{s}, 2), null)) as squares_{s}",
+        "count_if(n_{s} > 0) as distinct_{s}",
+        "max(if(n_{s} > 0, value, null)) as top_{s}",
+        at.format("floor((total_{s} - 1) / 2)") + " as lower_{s}",
+        at.format("floor(total_{s} / 2)") + " as upper_{s}",
+    )
+    aggregates.append("sum(n_base * (below_tip + n_tip * 0.5D)) as u_base")
+    columns = _each(
+        "n_{s}",
+        # no rounding noise for a constant sample
+        "if(distinct_{s} = 1, top_{s}, plain_mean_{s}) as mean_{s}",
+        "if(n_{s} < 2 or distinct_{s} = 1, 0D, squares_{s} / (n_{s} - 1)) as var_{s}",
+        "(lower_{s} + upper_{s}) / 2 as median_{s}",
+    )
+    return ranked.groupBy(*keys).agg(*map(F.expr, aggregates)).selectExpr(*keys, *columns, "u_base")

@@ -53,28 +53,24 @@ def kernel_of_side(rows: DataFrame) -> DataFrame:
     return combos.groupBy("test", "side").agg(F.coalesce(first, F.lit("unknown")).alias("kernel"))
 
 
+def _described(side: str) -> list[str]:
+    """Count, mean, median, deviation and coefficient of variation of one side, from its statistics."""
+    sd = f"sqrt(var_{side})"
+    return [
+        f"cast(n_{side} as bigint) as n_{side}",
+        f"mean_{side}",
+        f"median_{side}",
+        f"{sd} as stddev_{side}",
+        f"if(mean_{side} <> 0, {sd} / abs(mean_{side}), 0D) as cv_{side}",
+    ]
+
+
 def metric_stats(measures: DataFrame, split: bool | None = None) -> DataFrame:
     """n, mean, exact median, stddev (n-1; 0 for one value) and cv per (test, side, metric)."""
-    both = sample_statistics(measures, GROUP, split)
-    sides = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(s).alias("side"), *[F.col(f"{c}_{s}").alias(c) for c in ("n", "mean", "median", "var")])
-                for s in ("base", "tip")
-            ]
-        )
-    )
-    long = both.select(*GROUP, sides.alias("s")).select(*GROUP, "s.*").filter("n > 0")
-    sd = F.sqrt("var")
-    return long.select(
-        *GROUP,
-        "side",
-        F.col("n").cast("long").alias("n"),
-        "mean",
-        "median",
-        sd.alias("stddev"),
-        F.when(F.col("mean") != 0, sd / F.abs("mean")).otherwise(0.0).alias("cv"),
-    )
+    both = sample_statistics(measures, GROUP, split).selectExpr(*GROUP, *_described("base"), *_described("tip"))
+    names = ["n", "mean", "median", "stddev", "cv"]
+    rows = ", ".join(f"'{s}', " + ", ".join(f"{c}_{s}" for c in names) for s in ("base", "tip"))
+    return both.selectExpr(*GROUP, f"stack(2, {rows}) as (side, {', '.join(names)})").filter("n > 0")
 
 
 def compare(
@@ -85,56 +81,25 @@ def compare(
 ) -> DataFrame:
     """One row per (test, metric) measured on both sides, with tests, effect size and verdict."""
     paired = sample_statistics(measures, GROUP, split).filter("n_base > 0 and n_tip > 0")
-    labels = metric_labels(measures.filter(F.col("side") == "base")).drop("side")
-    base = (F.col("mean_base"), F.col("var_base"), F.col("n_base"))
-    tip = (F.col("mean_tip"), F.col("var_tip"), F.col("n_tip"))
-    t, df = stats.welch_t(*base, *tip)
-    u, z = stats.mann_whitney(F.col("u_base"), F.col("n_base"), F.col("n_tip"))
-    scored = (
-        paired.withColumns({"t_statistic": t, "df": df, "u_statistic": u, "z": z})
-        .withColumns(
-            {
-                "pct_change": stats.pct_change(F.col("mean_base"), F.col("mean_tip")),
-                "t_pvalue": stats.welch_p(F.col("t_statistic"), F.col("df")),
-                "u_pvalue": stats.mann_whitney_p(F.col("z")),
-                "cohens_d": stats.cohens_d(*base, *tip),
-            }
-        )
-        .join(labels, GROUP)
-    )
-    verdict = stats.is_regression(
-        F.col("t_pvalue"),
-        F.col("u_pvalue"),
-        F.col("cohens_d"),
-        F.col("pct_change"),
-        F.col("more_is_better"),
-        p_limit,
-        effect_limit,
-    )
-    sides = [
-        c
-        for s in ("base", "tip")
-        for c in (
-            F.col(f"n_{s}").cast("long").alias(f"n_{s}"),
-            F.col(f"mean_{s}"),
-            F.col(f"median_{s}"),
-            F.sqrt(f"var_{s}").alias(f"stddev_{s}"),
-            F.when(F.col(f"mean_{s}") != 0, F.sqrt(f"var_{s}") / F.abs(f"mean_{s}")).otherwise(0.0).alias(f"cv_{s}"),
-        )
-    ]
-    return scored.select(
+    labels = metric_labels(measures.filter("side = 'base'")).drop("side")
+    base, tip = (stats.Sample(f"mean_{s}", f"var_{s}", f"n_{s}") for s in ("base", "tip"))
+    t, df = stats.welch_t(base, tip)
+    u, z = stats.mann_whitney("u_base", "n_base", "n_tip")
+    tested = paired.selectExpr("*", f"{t} as t_statistic", f"{df} as df", f"{u} as u_statistic", f"{z} as z")
+    scored = tested.selectExpr(
         *GROUP,
-        "unit",
-        "more_is_better",
-        *sides,
-        "pct_change",
+        *_described("base"),
+        *_described("tip"),
+        f"{stats.pct_change('mean_base', 'mean_tip')} as pct_change",
         "t_statistic",
-        "t_pvalue",
+        f"{stats.welch_p('t_statistic', 'df')} as t_pvalue",
         "u_statistic",
-        "u_pvalue",
-        "cohens_d",
-        verdict.alias("is_regression"),
+        f"{stats.mann_whitney_p('z')} as u_pvalue",
+        f"{stats.cohens_d(base, tip)} as cohens_d",
     )
+    verdict = stats.is_regression("t_pvalue", "u_pvalue", "cohens_d", "pct_change", "more_is_better", p_limit, effect_limit)
+    measured = [c for c in scored.columns if c not in GROUP]
+    return scored.join(labels, GROUP).selectExpr(*GROUP, "unit", "more_is_better", *measured, f"{verdict} as is_regression")
 
 
 def test_rollup(comparisons: DataFrame, rows: DataFrame) -> DataFrame:

@@ -271,7 +271,7 @@ _DF = "(1 + l_discount * 1200)"
 )
 def normal_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = table(spark, sf_dir, "lineitem").groupBy("l_quantity").agg(F.count("*").alias("n"))
-    return grouped.select("l_quantity", "n", F.round(stats.normal_cdf(F.expr(_Z)), 6).alias("p"))
+    return grouped.select("l_quantity", "n", F.expr(f"round({stats.normal_cdf(_Z)}, 6) as p"))
 
 
 @query(
@@ -281,7 +281,7 @@ def normal_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def t_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = table(spark, sf_dir, "lineitem").groupBy("l_quantity", "l_discount").agg(F.count("*").alias("n"))
-    return grouped.select("l_quantity", "l_discount", "n", F.round(stats.t_two_tailed(F.expr(_T), F.expr(_DF)), 6).alias("p"))
+    return grouped.select("l_quantity", "l_discount", "n", F.expr(f"round({stats.t_two_tailed(_T, _DF)}, 6) as p"))
 
 
 # ---------------------------------------------------------------- files

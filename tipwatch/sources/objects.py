@@ -141,14 +141,13 @@ def scan_offline_csv(spark: SparkSession, run_root: str, pattern: str = "*.csv")
 
 def discover_instances(inventory: DataFrame) -> DataFrame:
     """Distinct (run_prefix, test, instance_id) with an output folder, from a table of object keys."""
-    inside = F.col("key").startswith("run_") & F.col("key").contains("/output/")
+    inside = F.col("key").rlike(r"^run_[^/]*/test_[^/]*/output/[^/]+/.")
     parts = inventory.filter(inside).select(F.split("key", "/").alias("p"))
 
     def part(index: int) -> Column:
         return F.get("p", F.lit(index))
 
-    shaped = parts.filter(part(1).startswith("test_") & (part(2) == "output") & (part(3) != "") & (F.size("p") >= 5))
-    names = shaped.select(part(0).alias("run_prefix"), F.substr(part(1), F.lit(6)).alias("test"), part(3).alias("instance_id"))
+    names = parts.select(part(0).alias("run_prefix"), F.substr(part(1), F.lit(6)).alias("test"), part(3).alias("instance_id"))
     return names.distinct()
 
 

@@ -79,11 +79,13 @@ def advance(state: RunState, news: News, now_ms: int, limits: Limits) -> tuple[R
 
 def condense(events: DataFrame) -> DataFrame:
     """Per task and batch, one row per run from ``(run, ts, seq, message, stopped)``."""
+    ended = F.coalesce("stopped", F.lit(False))
     marked = events.select(
         "run",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
         "seq",
-        F.coalesce("stopped", F.lit(False)).alias("stopped"),
+        ended.cast("int").alias("stopped"),
+        (~ended).cast("int").alias("lines"),
         F.when(is_crash(F.col("message")), first_alert_text(F.col("message"))).alias("crash_message"),
     )
 
@@ -91,9 +93,9 @@ def condense(events: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.empty:
                 continue
-            rows = batch.groupby("run", sort=False).agg(
-                lines=("stopped", lambda s: int((~s).sum())), first_us=("us", "min"), last_us=("us", "max"), stopped=("stopped", "any")
-            )
+            groups = batch.groupby("run", sort=False)
+            rows = groups[["lines", "stopped"]].sum().join(groups["us"].agg(first_us="min", last_us="max"))
+            rows["stopped"] = rows["stopped"] > 0
             hits = batch[batch["crash_message"].notna()].sort_values(["us", "seq"]).drop_duplicates("run").set_index("run")
             rows = rows.join(hits[["us", "seq", "crash_message"]].rename(columns={"us": "crash_us", "seq": "crash_seq"}))
             rows = rows.astype({"crash_us": "Int64", "crash_seq": "Int64"}).reset_index()
