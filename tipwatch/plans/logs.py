@@ -255,13 +255,12 @@ def run_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "failed_by_test",
-    _OUTCOMES + "SELECT run, test, string_agg(instance_id, ',' ORDER BY instance_id) AS instances FROM o WHERE status = 'FAIL' GROUP BY run, test",
+    _OUTCOMES + "SELECT run, test, instance_id FROM o WHERE status = 'FAIL'",
 )
 def failed_by_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In one part where it fits, as in the check; parts are joined again for the comparison."""
-    parts = outcomes.failed_by_test(_outcomes(spark, sf_dir), part_rows=1000)
-    ids = F.array_join(F.array_sort(F.flatten(F.collect_list("instances"))), ",")
-    return parts.groupBy("run", "test").agg(ids.alias("instances"))
+    """The lists with their parts, opened again."""
+    parts = outcomes.failed_by_test(_outcomes(spark, sf_dir), part_rows=100)
+    return parts.select("run", "test", F.explode("instances").alias("instance_id"))
 
 
 @query(

@@ -47,12 +47,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into reliable storage, for plans that must see the same rows twice."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Compute ``df`` once into a table in the shared folder, for plans that must see the same rows twice.
+
+    Lost executors cost a task's rerun, not the lineage; readers prune columns and know the size.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def plan_bytes(df: DataFrame) -> int | None:
