@@ -58,7 +58,10 @@ def runtime_text(seconds: Column) -> Column:
 
 
 def regression_line() -> Column:
-    """Report line of a comparison row, as produced by ``operators.verdicts.compare``."""
+    """Report line of a comparison row, as produced by ``operators.verdicts.compare``.
+
+    Numbers print as Java rounds them: a last digit on the tie goes up, where Python looks at the binary value.
+    """
     return F.format_string(
         "%s: base=%.2f±%.2f (cv: %.2f) → tip=%.2f±%.2f (cv: %.2f) %s (%+.1f%%) "
         "[t-test p=%.4f, U-test p=%.4f, Cohen's d=%.2f]",

@@ -246,16 +246,21 @@ def regression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_PRINTED = ["mean_base", "stddev_base", "mean_tip", "stddev_tip", "pct_change", "cohens_d"]
+
+
 @query(
     "format_regression",
     MOMENTS
-    + """SELECT test, metric, printf('%s: base=%.2f±%.2f (cv: %.2f) → tip=%.2f±%.2f (cv: %.2f) %s (%+.1f%%) '
+    + f""", moved AS (SELECT * REPLACE ({", ".join(f"{c} + {OFF_TIES} AS {c}" for c in _PRINTED)}) FROM verdict WHERE is_regression)
+       SELECT test, metric, printf('%s: base=%.2f±%.2f (cv: %.2f) → tip=%.2f±%.2f (cv: %.2f) %s (%+.1f%%) '
            || '[t-test p=%.4f, U-test p=%.4f, Cohen''s d=%.2f]', metric, mean_base, stddev_base, stddev_base / abs(mean_base),
            mean_tip, stddev_tip, stddev_tip / abs(mean_tip), unit, pct_change, abs(t_pvalue), abs(u_pvalue), cohens_d) AS line
-         FROM verdict WHERE is_regression""",
+         FROM moved""",
 )
 def format_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _compared(spark, sf_dir).filter("is_regression").select("test", "metric", report.regression_line().alias("line"))
+    moved = _compared(spark, sf_dir).filter("is_regression").withColumns({c: F.col(c) + OFF_TIES for c in _PRINTED})
+    return moved.select("test", "metric", report.regression_line().alias("line"))
 
 
 # ---------------------------------------------------------------- tail areas
