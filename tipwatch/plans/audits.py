@@ -21,13 +21,13 @@ def changed_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "missing_shared",
-    """WITH w AS (SELECT DISTINCT concat('run_', cast(o_custkey % 200 as string)) AS run_prefix, concat('f', cast(o_orderkey % 4 as string)) AS folder FROM orders WHERE o_orderkey % 3 <> 0),
-    s AS (SELECT DISTINCT concat('run_', cast(o_custkey % 200 as string)) AS run_prefix, concat('f', cast(o_orderkey % 4 as string)) AS folder FROM orders WHERE o_orderkey % 7 = 0 AND o_custkey % 3 = 0)
+    """WITH w AS (SELECT DISTINCT concat('run_', cast(o_custkey as string)) AS run_prefix, concat('f', cast(o_orderkey % 4 as string)) AS folder FROM orders WHERE o_orderkey % 3 <> 0),
+    s AS (SELECT DISTINCT concat('run_', cast(o_custkey as string)) AS run_prefix, concat('f', cast(o_orderkey % 4 as string)) AS folder FROM orders WHERE o_orderkey % 7 = 0 AND o_custkey % 3 = 0)
     SELECT * FROM w EXCEPT SELECT * FROM s""",
 )
 def missing_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").selectExpr(
-        "concat('run_', cast(o_custkey % 200 as string)) as run_prefix", "concat('f', cast(o_orderkey % 4 as string)) as folder", "o_orderkey", "o_custkey"
+        "concat('run_', cast(o_custkey as string)) as run_prefix", "concat('f', cast(o_orderkey % 4 as string)) as folder", "o_orderkey", "o_custkey"
     )
     wanted = orders.select("run_prefix", F.create_map("folder", F.col("o_orderkey") % 3 != 0, F.lit("off"), F.lit(False)).alias("requirements"))
     present = orders.filter("o_orderkey % 7 = 0 and o_custkey % 3 = 0")

@@ -420,7 +420,7 @@ def result_source_of_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CAPTURES = [
     "l_orderkey",
-    "l_linenumber * 1000000 + l_partkey as attempt",
+    "((l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey) * 100 + cast(l_quantity as bigint) as attempt",
     "case when l_quantity < 25 then 'cleanup' when l_quantity < 35 then 'ssm-failure' else 'post-terminate' end as reason",
     "case when l_suppkey % 5 = 0 then '' else concat('console ', cast(l_partkey as string)) end as content",
 ]
