@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from tipwatch.operators import logs
 from tipwatch.plans.jobs import INTAKE_WHERE, PLATFORMS, RUNTIME, as_events
 from tipwatch.plans.logs import CRASH_HITS
 from tipwatch.plans.registry import query
-from tipwatch.plans.views import SPARK, VIEWS, view_sql
+from tipwatch.plans.views import SPARK, VIEWS, table, view_sql
 from tipwatch.streaming import intake, monitor
 from tipwatch.streaming.runs import drain
 
@@ -22,7 +20,7 @@ HOUR_MS, DAY_MS = 3600 * 1000, 24 * 3600 * 1000
 def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view over its table read as a stream of files."""
     source, columns = VIEWS[name]
-    schema = spark.read.parquet(os.path.join(sf_dir, f"{source}.parquet")).schema
+    schema = table(spark, sf_dir, source).schema
     files = spark.readStream.schema(schema).option("pathGlobFilter", f"{source}.parquet").parquet(sf_dir)
     return files.selectExpr(*[c.format(**SPARK) for c in columns])
 

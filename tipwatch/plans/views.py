@@ -208,6 +208,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables' times carry no zone and mean UTC
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
