@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import bpe, quality
 from .common import table
 
 
@@ -14,8 +14,13 @@ def op4_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.outliers(counted).select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
 
 
+def op8_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_mcd_outliers": op4_mcd_outliers,
+    "op8_bpe_stream": op8_bpe_stream,
 }
 
 CHECKS: dict[str, str] = {}
