@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import text_rows
 
@@ -296,7 +297,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", key: st
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "ids"])
 
     lean = docs.select(key, F.col(text).alias("_text"))
-    return lean.mapInArrow(run, lean.select(key).schema.add("ids", "array<int>"))
+    return lean.mapInArrow(run, lean.select(key).schema.add("ids", ArrayType(IntegerType())))
 
 
 def decode(coded: DataFrame, path: str | None = None, key: str = "doc_id") -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality
-from .common import table
+from . import bpe, quality, tokenfiles
+from .common import shared_path, table
 
 
 def op4_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,12 +14,19 @@ def op4_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.outliers(counted).select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
 
 
+def op6_hash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "ids")
+    tokenfiles.write(table(spark, sf_dir, "documents"), folder)
+    return tokenfiles.read(spark, folder, keep_ids=False)
+
+
 def op8_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op4_mcd_outliers": op4_mcd_outliers,
+    "op6_hash_index": op6_hash_index,
     "op8_bpe_stream": op8_bpe_stream,
 }
 
