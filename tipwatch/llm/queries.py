@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, quality, tokenfiles
+from . import bpe, lines, quality, tokenfiles
 from .common import shared_path, table
 
 
@@ -24,10 +25,17 @@ def op8_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = ["n_chunks", "n_lines", "n_removed_chunks", "n_removed_lines"]
+    return docs.select("doc_id", *counts, F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op4_mcd_outliers": op4_mcd_outliers,
     "op6_hash_index": op6_hash_index,
     "op8_bpe_stream": op8_bpe_stream,
+    "op9_line_chunks": op9_line_chunks,
 }
 
 CHECKS: dict[str, str] = {}
