@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, quality, tokenfiles
+from . import bpe, decontaminate, lines, quality, tokenfiles
 from .common import shared_path, table
 
 
@@ -31,11 +31,16 @@ def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *counts, F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op4_mcd_outliers": op4_mcd_outliers,
     "op6_hash_index": op6_hash_index,
     "op8_bpe_stream": op8_bpe_stream,
     "op9_line_chunks": op9_line_chunks,
+    "op10_qgram_lemma": op10_qgram_lemma,
 }
 
 CHECKS: dict[str, str] = {}
