@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lines, quality, tokenfiles
+from . import bpe, compression, decontaminate, lines, quality, tokenfiles
 from .common import shared_path, table
 
 
@@ -15,6 +15,10 @@ def op4_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.outliers(counted).select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
 
 
+def op5_zstd_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_hash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "ids")
     tokenfiles.write(table(spark, sf_dir, "documents"), folder)
@@ -37,6 +41,7 @@ def op10_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_mcd_outliers": op4_mcd_outliers,
+    "op5_zstd_dictionaries": op5_zstd_dictionaries,
     "op6_hash_index": op6_hash_index,
     "op8_bpe_stream": op8_bpe_stream,
     "op9_line_chunks": op9_line_chunks,
