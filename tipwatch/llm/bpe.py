@@ -29,7 +29,7 @@ from .common import text_rows
 # Fixed values of the byte-level format: the pretoken pattern and the classes of its runs.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 RUNS = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")]
-SLICE, HOLD, MEMO = 1 << 16, 1 << 10, 400_000
+SLICE, HOLD, MEMO = 1 << 16, 1 << 10, 1_000_000
 # A match is stable when this many further characters are known ("'r" may become "'re").
 AHEAD = 2
 
@@ -236,28 +236,26 @@ class Encoder:
                     continue
                 yield np.fromiter(stream.finish(), self.kind)
                 run = stream = None
-            pieces, at = [], 0
-            for hit in PRETOKEN.finditer(rest) if rest else ():
-                long = hit.end() - hit.start() > HOLD
-                if not over and hit.end() > len(rest) - AHEAD:
-                    run = next((r for r in RUNS if r.match(rest[-1])), None) if long and hit.end() == len(rest) else None
-                    if run is None:
+            # the pattern leaves no gap, so the pieces end where they should when their lengths are added up
+            pieces, end = PRETOKEN.findall(rest), len(rest)
+            while pieces and not over and end > len(rest) - AHEAD:
+                if len(pieces[-1]) > HOLD and end == len(rest):
+                    run = next((r for r in RUNS if r.match(rest[-1])), None)
+                    if run is not None:
                         break
-                if long:
-                    if pieces:
-                        yield np.frombuffer(self._whole(pieces), self.kind)
-                        pieces = []
-                    stream = MergeStream(self.merges)
-                    yield np.fromiter(stream.feed(hit.group().encode()), self.kind)
-                    if run is None:
-                        yield np.fromiter(stream.finish(), self.kind)
-                        stream = None
-                else:
-                    pieces.append(hit.group())
-                at = hit.end()
-            if pieces:
+                end -= len(pieces.pop())
+            rest = rest[end:]
+            if pieces and max(map(len, pieces)) <= HOLD:
                 yield np.frombuffer(self._whole(pieces), self.kind)
-            rest = rest[at:]
+                continue
+            for i, piece in enumerate(pieces):
+                if len(piece) <= HOLD:
+                    yield np.frombuffer(self._whole([piece]), self.kind)
+                    continue
+                stream = MergeStream(self.merges)
+                yield np.fromiter(stream.feed(piece.encode()), self.kind)
+                if run is None or i < len(pieces) - 1:
+                    yield np.fromiter(stream.finish(), self.kind)
         if run is not None:
             yield np.fromiter(stream.finish(), self.kind)
 
