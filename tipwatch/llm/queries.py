@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, decontaminate, lines, quality, tokenfiles
+from . import bpe, compression, decontaminate, lines, quality, signature, tokenfiles
 from .common import shared_path, table
 
 
@@ -25,6 +25,10 @@ def op6_hash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(spark, folder, keep_ids=False)
 
 
+def op7_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op4_mcd_outliers": op4_mcd_outliers,
     "op5_zstd_dictionaries": op5_zstd_dictionaries,
     "op6_hash_index": op6_hash_index,
+    "op7_signature_tree": op7_signature_tree,
     "op8_bpe_stream": op8_bpe_stream,
     "op9_line_chunks": op9_line_chunks,
     "op10_qgram_lemma": op10_qgram_lemma,
