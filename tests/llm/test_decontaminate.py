@@ -59,6 +59,15 @@ def test_found_as_by_plain_alignment(cases):
     assert len({e for e in want.values()}) > 3 and len(want) > 40
 
 
+def test_long_rows_go_in_stretches(cases, monkeypatch):
+    items, texts = cases
+    pieces = d.Pieces(items)
+    whole = d.found_in(pa.array(texts), pieces)
+    monkeypatch.setattr(d, "TOGETHER", 200)
+    parts = d.found_in(pa.array(texts), pieces)
+    assert all((whole[k] == parts[k]).all() for k in whole)
+
+
 def test_tables(spark, make, cases):
     items, texts = cases
     docs = make(texts).withColumnRenamed("lang", "item_id").withColumnRenamed("source", "n_edits")

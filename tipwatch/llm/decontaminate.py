@@ -23,8 +23,8 @@ from pyspark.sql.types import StringType
 Q, PIECE, EDITS, BLOCK = 8, 80, 0.08, 4 << 20
 # Pieces of a block share a bit table of this many bits, looked up before the exact q-grams.
 BITS = 22
-# Positions looked up at a time, and alignments done at a time.
-STRIDE, ALIGNED = 1 << 18, 2048
+# Bytes of text taken together, positions looked up at a time, and alignments done at a time.
+TOGETHER, STRIDE, ALIGNED = 1 << 20, 1 << 16, 2048
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -84,7 +84,16 @@ def _bands(where: np.ndarray, which: np.ndarray, row: np.ndarray, pieces: Pieces
     each = np.repeat(np.arange(len(where)), counts)
     inner = np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)
     posting = pieces.begin[which][each] + inner
-    piece, diagonal, row = pieces.piece[posting], where[each] - pieces.offset[posting], row[each]
+    piece, row = pieces.piece[posting], row[each]
+    # most pieces share too little with the whole row already
+    pair = row * len(pieces.texts) + piece
+    ordered = np.sort(pair)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(pair) else np.empty(0, np.int64)
+    total, ordered = np.diff(np.append(first, len(pair))), ordered[first]
+    live = ordered[total >= pieces.least[ordered % len(pieces.texts)]]
+    at = np.searchsorted(live, pair)
+    ok = live[np.minimum(at, len(live) - 1)] == pair if len(live) else np.zeros(len(pair), bool)
+    piece, row, diagonal = piece[ok], row[ok], where[each[ok]] - pieces.offset[posting[ok]]
     step = pieces.edits[piece] + 1  # a band of two steps holds any k + 1 diagonals in a row that begin in its first half
     low = np.floor_divide(diagonal, step)
     keys = np.concatenate([np.stack([row, piece, low]), np.stack([row, piece, low - 1])], axis=1)
@@ -133,28 +142,47 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[ends[0] : ends[-1]] if len(column) else whole[:0], ends - ends[0] if len(column) else np.zeros(1, np.int64)
 
 
+def _stretches(ends: np.ndarray, overlap: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Rows in groups of about TOGETHER bytes as (first row, begins, ends); a longer row comes alone, in stretches that
+    overlap by what a piece with its edits can take."""
+    a = 0
+    while a < len(ends) - 1:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + TOGETHER, side="right")) - 1)
+        if ends[b] - ends[a] <= TOGETHER:
+            yield a, ends[a:b], ends[a + 1 : b + 1]
+        else:
+            for begin in range(int(ends[a]), int(ends[b]), TOGETHER):
+                yield a, np.array([begin]), np.array([min(begin + TOGETHER + overlap, ends[b])])
+        a = b
+
+
 def found_in(column: pa.Array, pieces: Pieces) -> dict[str, np.ndarray]:
-    """Per piece found in a row: row, piece, edits, and begin and end of the stretch in bytes of the text."""
+    """Per piece found in a row: row, piece, edits, and end of the stretch in bytes of the text."""
+    names = ("row", "piece", "edits", "end")
+    out = {k: [np.empty(0, np.int64)] for k in names}
+    if not pieces.texts:
+        return {k: v[0] for k, v in out.items()}
     raw, ends = _buffers(column)
-    data, begins = LOWER[raw], ends[:-1]
-    where, which = _hits(data, pieces)
-    row = np.searchsorted(ends, where, side="right") - 1
-    inside = where + Q <= ends[row + 1] if len(where) else np.empty(0, bool)
-    row, piece, diagonal = _bands(where[inside], which[inside], row[inside], pieces)
-    best, end = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for a in range(0, len(row), ALIGNED):
-        b = slice(a, a + ALIGNED)
-        d, e = _align(data, begins, ends[1:], row[b], piece[b], diagonal[b], pieces)
-        best.append(d)
-        end.append(e)
-    best, end = np.concatenate(best), np.concatenate(end)
-    ok = best <= pieces.edits[piece]
-    row, piece, best, end = row[ok], piece[ok], best[ok], end[ok] - begins[row[ok]]
+    for top, begins, stops in _stretches(ends, int((pieces.sizes + 4 * pieces.edits + 4).max())):
+        low = begins[0]
+        data, begins, stops = LOWER[raw[low : stops[-1]]], begins - low, stops - low
+        where, which = _hits(data, pieces)
+        row = np.searchsorted(stops, where, side="right")
+        inside = where + Q <= stops[np.minimum(row, len(stops) - 1)]
+        row, piece, diagonal = _bands(where[inside], which[inside], row[inside], pieces)
+        for a in range(0, len(row), ALIGNED):
+            b = slice(a, a + ALIGNED)
+            edits, end = _align(data, begins, stops, row[b], piece[b], diagonal[b], pieces)
+            ok = edits <= pieces.edits[piece[b]]
+            found = (row[b][ok] + top, piece[b][ok], edits[ok], end[ok] + low - ends[row[b][ok] + top])
+            for k, v in zip(names, found, strict=True):
+                out[k].append(v)
+    row, piece, edits, end = (np.concatenate(out[k]) for k in names)
     # the same stretch may reach the bound in two bands
-    order = np.lexsort((end, best, piece, row))
-    row, piece, best, end = row[order], piece[order], best[order], end[order]
+    order = np.lexsort((end, edits, piece, row))
+    row, piece, edits, end = row[order], piece[order], edits[order], end[order]
     first = np.concatenate([[True], (row[1:] != row[:-1]) | (piece[1:] != piece[:-1])])[: len(row)]
-    return {"row": row[first], "piece": piece[first], "edits": best[first], "end": end[first]}
+    return {"row": row[first], "piece": piece[first], "edits": edits[first], "end": end[first]}
 
 
 def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", limit: int = BLOCK) -> Iterator[Pieces]:
