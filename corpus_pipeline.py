@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tipwatch.llm import quality
+from tipwatch.llm import bpe, decontaminate, lines, quality, signature
 from tipwatch.llm.common import shared_path, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,8 +22,42 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
 
 
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less their repeated runs of lines; those of which nothing is left go. n_chars follows the text."""
+    out = lines.line_dedup(docs.select(*COLUMNS))
+    emptied = (F.col("n_removed_lines") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \x09-\x0D]")
+    shorter = F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", shorter).withColumn("_emptied", emptied).filter("not _emptied").select(*COLUMNS)
+
+
+def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each class of near duplicates; documents without words stay.
+
+    Rows without an id cannot name a class: they stay too, but for repeats of the same text.
+    """
+    kept = signature.classes(docs).filter(F.col("component_id").eqNullSafe(F.col("doc_id")) | F.col("doc_id").isNull())
+    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_kept"))
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no piece of a benchmark item is found."""
+    return decontaminate.decontaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, their number, and the text that they decode to."""
+    coded = bpe.encode(docs).withColumn("n_tokens", F.size("ids").cast("long"))
+    return bpe.decode(coded)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", keep_good),
+    ("line_dedup", without_repeated_lines),
+    ("jaccard_join", one_of_each_class),
+    ("decontamination", without_benchmark),
+    ("bpe", tokenised),
 ]
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import text_rows
 
@@ -298,17 +298,18 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", key: st
     return lean.mapInArrow(run, lean.select(key).schema.add("ids", ArrayType(IntegerType())))
 
 
-def decode(coded: DataFrame, path: str | None = None, key: str = "doc_id") -> DataFrame:
-    """``key`` and ``text`` of rows with ``ids``; null ids give an empty text."""
+def decode(coded: DataFrame, path: str | None = None, ids: str = "ids", text: str = "text") -> DataFrame:
+    """The rows with ``text`` from their ``ids``; null ids give an empty text. A column of that name is replaced."""
+    rest = coded.drop(text)
 
     def run(batches):
         tool = encoder(path)
         for batch in batches:
-            texts = ["".join(tool.decode([np.array(x.as_py() or [], np.int64)])) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+            column = batch.column(batch.schema.get_field_index(ids))
+            texts = ["".join(tool.decode([np.array(x.as_py() or [], np.int64)])) for x in column]
+            yield batch.append_column(text, pa.array(texts, pa.string()))
 
-    lean = coded.select(key, "ids")
-    return lean.mapInArrow(run, lean.select(key).schema.add("text", "string"))
+    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(text, StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
