@@ -43,7 +43,9 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", mean_lines
     Rows that share a key are one document; a null key counts as the last one.
     """
     lean = chunked(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", mean_lines)
-    each = lean.select("_key", F.posexplode("_chunks").alias("_place", "_chunk"))
+    # the inner form would add a filter on the size of _chunks, which the optimizer moves below the steps that make them
+    # and so unfolds each step into every one that uses it
+    each = lean.select("_key", F.posexplode_outer("_chunks").alias("_place", "_chunk"))
     each = each.select("_key", "_place", F.col("_chunk.text").alias("_chunk"), F.col("_chunk.lines").alias("_n"))
     # one line alone is left, and so are chunks of blank lines
     each = each.filter((F.col("_n") > 1) & F.col("_chunk").rlike(r"\S")).withColumn("_hash", F.xxhash64("_chunk"))
