@@ -32,6 +32,8 @@ from .bpe import MEMO, vocabulary_path
 from .common import text_rows
 
 GAMMA, LEVELS = 2.0, 64
+# What is cut off the end of a word; ">" could end a special token.
+PUNCTUATION = ".,;:!?*#$%&|()[]{}\"'-/"
 MANIFEST = "shard int, first_key long, last_key long, n_docs long, n_ids long, width int"
 
 
@@ -122,30 +124,61 @@ class WordCoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, encoding="utf-8") as file:
-            kinds = json.dumps(json.load(file).get("pre_tokenizer"))
+            data = json.load(file)
+        kinds = json.dumps(data.get("pre_tokenizer"))
+        self.lowers = '"Lowercase"' in json.dumps(data.get("normalizer"))
         self.by_word = '"Removed"' in kinds and "add_prefix_space\": true" not in kinds
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.kind = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
+        suffix = data["model"].get("end_of_word_suffix") or "\0"
+        self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+        self.ends[[i for t, i in data["model"]["vocab"].items() if t.endswith(suffix)]] = True
+
+    def _stem(self, word: str) -> tuple[str, str]:
+        """The word less a last run of punctuation, which is a pretoken of its own after a letter or digit, and that
+        run; in lower case where the tokenizer lowers it to the same. Few new words have a new stem."""
+        stem = word.rstrip(PUNCTUATION)
+        if not stem or not stem[-1].lower().isalnum():  # "\u0130" is lowered to a letter and a mark
+            stem = word
+        tail = word[len(stem) :]
+        return stem.lower() if self.lowers and stem.isascii() and "<|" not in stem else stem, tail
+
+    def _learn(self, plain: list[str], odd: list[str]) -> None:
+        """Codes of new stems. Those of letters alone are coded in one string, which parts again after the tokens that
+        end a word; should the number of parts be another, they go the way of the odd ones, one by one."""
+        if plain and self.ends.any():
+            (code,) = self.library.encode_batch_fast([" ".join(plain)], add_special_tokens=False)
+            ids = np.array(code.ids, self.kind)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(plain) and cuts[-1] == len(ids):
+                data, step = ids.tobytes(), self.kind.itemsize
+                ends = [0, *(cuts * step).tolist()]
+                self.memo.update((p, data[ends[i] : ends[i + 1]]) for i, p in enumerate(plain))
+                plain = []
+        odd = odd + plain
+        for stem, code in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            self.memo[stem] = np.array(code.ids, self.kind).tobytes()
 
     def code(self, text: str) -> bytes:
         # \x1c-\x1f separate words for str.split, not for the tokenizer
         if not self.by_word or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         words, memo = text.split(), self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
-        missing = [w for w in set(words) if w not in memo]
-        if len(memo) + len(missing) > MEMO:
+        coded = list(map(memo.get, words))
+        missing = {w for w, c in zip(words, coded, strict=True) if c is None}
+        if not missing:
+            return b"".join(coded)
+        if len(memo) + 3 * len(missing) > MEMO:
             memo.clear()
-            missing = list(set(words))
-        for word, code in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            memo[word] = np.array(code.ids, self.kind).tobytes()
-        return b"".join([memo[w] for w in words])
+        parts = {w: self._stem(w) for w in missing}
+        stems = {x for x, _ in parts.values()}.union(t for _, t in parts.values() if t).difference(memo)
+        self._learn([x for x in stems if x.isalpha()], [x for x in stems if not x.isalpha()])
+        for word, (stem, tail) in parts.items():
+            memo[word] = memo[stem] + memo[tail] if tail else memo[stem]
+        return b"".join([memo[w] if c is None else c for w, c in zip(words, coded, strict=True)])
 
 
 _CODERS: dict[str, WordCoder] = {}
@@ -217,8 +250,8 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _spread(shards: DataFrame) -> DataFrame:
-    """A task for every few shards: their rows are tiny, what they stand for is not."""
-    return shards.repartition(F.col("shard"))
+    """A task for every few shards: their rows are tiny, what they stand for is not, so the number is given."""
+    return shards.repartition(max(1, shards.count()), "shard")
 
 
 def read(spark: SparkSession, folder: str, keep_ids: bool = True) -> DataFrame:
