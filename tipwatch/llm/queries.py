@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, decontaminate, lines, quality, signature, suffixes, tokenfiles
+from . import bpe, compression, decontaminate, lines, quality, secrets, signature, suffixes, tokenfiles
 from .common import shared_path, table
 
 
+def op1_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")), secrets.BASE, secrets.WEAK)
+
+
 def op2_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.substring_dedup(table(spark, sf_dir, "documents"), keep_bytes=False)
 
@@ -48,6 +52,7 @@ def op10_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_credential_links": op1_credential_links,
     "op2_interval_tree": op2_interval_tree,
     "op4_mcd_outliers": op4_mcd_outliers,
     "op5_zstd_dictionaries": op5_zstd_dictionaries,
