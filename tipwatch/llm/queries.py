@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, decontaminate, lines, quality, secrets, signature, suffixes, tokenfiles
+from . import bpe, compression, decontaminate, lines, personal, quality, secrets, signature, suffixes, tokenfiles
 from .common import shared_path, table
 
 
@@ -17,6 +17,10 @@ def op2_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.substring_dedup(table(spark, sf_dir, "documents"), keep_bytes=False)
 
 
+def op3_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(personal.scan(table(spark, sf_dir, "documents")), personal.BASE, personal.ADDED)
+
+
 def op4_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     counted = quality.written(quality.text_statistics(docs).drop("text"), "statistics")
@@ -54,6 +58,7 @@ def op10_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_credential_links": op1_credential_links,
     "op2_interval_tree": op2_interval_tree,
+    "op3_boosted_candidates": op3_boosted_candidates,
     "op4_mcd_outliers": op4_mcd_outliers,
     "op5_zstd_dictionaries": op5_zstd_dictionaries,
     "op6_hash_index": op6_hash_index,
