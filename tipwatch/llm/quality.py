@@ -146,8 +146,9 @@ def _distances(rows: DataFrame, model: DataFrame) -> DataFrame:
     return out.drop(*[c for c in model.columns if c not in ("_group", "_scale")], *[f"_y{i}" for i in range(DIMS)])
 
 
-# Distances are compared in steps of a 256th of their logarithm: exact quantiles then need few distinct values.
-_STEP = (F.log1p("_d2") * 256).cast("long")
+def _step() -> Column:
+    """Distances are compared in steps of a 256th of their logarithm: exact quantiles then need few distinct values."""
+    return (F.log1p("_d2") * 256).cast("long")
 
 
 def outliers(counted: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS, steps: int = STEPS) -> DataFrame:
@@ -175,13 +176,13 @@ def outliers(counted: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST
     vectors = written(grouped(lean).select("_group", *_vector()), "vectors")
     model = written(_start(vectors), "model")
     for _ in range(steps):
-        far = _distances(vectors, model).withColumn("_step", _STEP)
+        far = _distances(vectors, model).withColumn("_step", _step())
         edge = far.groupBy("_group").agg(F.percentile("_step", F.lit(CORE)).alias("_edge"))
         model = written(_estimate(far.join(edge, "_group").filter(F.col("_step") <= F.col("_edge"))), "model")
     # the core is narrower than the whole: scale it by its median distance, then estimate once more from all rows
     # within the 0.975 quantile, and scale again
     for last in (False, True):
-        far = _distances(vectors, model).withColumn("_step", _STEP)
+        far = _distances(vectors, model).withColumn("_step", _step())
         scale = far.groupBy("_group").agg(F.percentile("_step", F.lit(0.5)).alias("_mid"), F.count("*").alias("_rows"))
         scale = scale.select("_group", F.greatest(F.lit(1.0), F.expm1((F.col("_mid") + 0.5) / 256) / CHI_MEDIAN).alias("_scale"), "_rows")
         if not last:
