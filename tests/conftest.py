@@ -9,9 +9,8 @@ from tipwatch.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session(
-        "tests", **{"spark.master": "local[4]", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"}
-    )
+def spark(tmp_path_factory):
+    settings = {"spark.master": "local[4]", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"}
+    session = build_session("tests", **settings, **{"spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
     session.sparkContext.setLogLevel("ERROR")
     return session

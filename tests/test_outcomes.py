@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tipwatch import sinks
 from tipwatch.operators import outcomes, reporting
 
 GOOD = "+ cp s3://b/run_1/test_boot/input/x\nTest execution completed: SUCCESS\n"
@@ -30,26 +31,34 @@ def test_summary(spark):
     assert (p.actual, p.missing, p.status) == (0, 2, "partial_failure")
     tests = {(t.run, t.test): t for t in outcomes.run_tests(found).collect()}
     assert tests["r", "boot"].first_failed == "i-2" and tests["r", "boot"].failed == 2
-    failed = {(t.test, tuple(t.instances)) for t in outcomes.failed_by_test(found).collect()}
-    assert failed == {("boot", ("i-2", "i-3")), ("unknown", ("i-4",))}
+    failed = {(t.test, t.instance_id) for t in outcomes.failed_by_test(found).collect()}
+    assert failed == {("boot", "i-2"), ("boot", "i-3"), ("unknown", "i-4")}
 
 
-def test_summary_documents(spark):
+def read_summary(spark, docs, path):
+    sinks.write_documents(docs, path)
+    lines = [json.loads(r.value) for r in spark.read.text(path).collect()]
+    heads = {d["run_directory"]: d for d in lines if "kind" not in d}
+    return heads, [d for d in lines if d.get("kind") == "test"], [d for d in lines if d.get("kind") == "instance"]
+
+
+def test_summary_documents(spark, tmp_path):
     found = outcomes.vm_outcomes(logs(spark))
-    docs = outcomes.summary_documents(outcomes.run_summary(found, runs(spark)), found).collect()
-    by = {d.run: json.loads(d.document) for d in docs}
-    assert by["r"]["vms"]["failed_by_test"] == {"boot": ["i-2", "i-3"], "unknown": ["i-4"]}
-    assert by["r"]["vms"]["test_names"] == ["boot"]
-    assert by["q"]["vms"]["expected"] is None and by["q"]["container_failure_log_url"] is None
-    assert by["p"]["vms"]["instances"] == []
+    docs = outcomes.summary_documents(outcomes.run_summary(found, runs(spark)), found)
+    heads, tests, each = read_summary(spark, docs, str(tmp_path / "out"))
+    assert {(d["test"], d["failed"]) for d in tests if d["run_directory"] == "r"} == {("boot", 2), ("unknown", 1)}
+    assert {d["instance_id"] for d in each if d["run_directory"] == "r" and d["status"] == "FAIL"} == {"i-2", "i-3", "i-4"}
+    assert heads["q"]["vms"]["expected"] is None and heads["q"]["container_failure_log_url"] is None
+    assert not [d for d in each if d["run_directory"] == "p"]
 
 
-def test_documents_split_and_stay_whole(spark):
-    many = spark.range(500).selectExpr("'r' as run", "concat('i-', id) as instance_id", "'t' as test", "'PASS' as status")
+def test_summary_is_whole_in_any_size(spark, tmp_path):
+    many = spark.range(500).selectExpr("'r' as run", "concat('i-', id) as instance_id", "concat('t', id % 40) as test", "if(id % 5 = 0, 'FAIL', 'PASS') as status")
     summary = outcomes.run_summary(many, runs(spark).filter("run = 'r'"))
-    docs = outcomes.summary_documents(summary, many, part_rows=50).collect()
-    ids = [i["instance_id"] for d in docs for i in json.loads(d.document)["vms"]["instances"]]
-    assert len(docs) == 10 and len(ids) == len(set(ids)) == 500
+    heads, tests, each = read_summary(spark, outcomes.summary_documents(summary, many), str(tmp_path / "out"))
+    assert list(heads) == ["r"] and heads["r"]["vms"]["actual"] == 500
+    assert {d["test"] for d in tests} == {f"t{i}" for i in range(40)} and sum(d["vms"] for d in tests) == 500
+    assert len({d["instance_id"] for d in each}) == len(each) == 500
 
 
 def test_configurations(spark):
@@ -134,9 +143,8 @@ def test_manifest(spark):
     instances = spark.createDataFrame([("r", "baseline", "i-1"), ("r", "ub", "i-2")], KEYS)
     consoles = reporting.object_digest(spark.createDataFrame([("r", "baseline", "i-1", b"log")], KEYS + ", content binary"))
     entries = reporting.manifest_entries(instances, consoles, "bkt", "eu-west-1")
-    doc = reporting.manifest_documents(entries, "bkt", None).first()
-    manifest = json.loads(doc.document)
-    ready, missing = manifest["artifacts"]
+    docs = reporting.manifest_documents(entries, "bkt", None).orderBy("part", "id").collect()
+    manifest, ready, missing = (json.loads(d.document) for d in docs)
     assert (manifest["schema_version"], manifest["s3_bucket"], manifest["origin"]) == (1, "bkt", None)
     assert ready["log_url"] == "https://bkt.s3.eu-west-1.amazonaws.com/r/test_baseline/output/i-1/console-output.log"
     assert (ready["status"], ready["size_bytes"], len(ready["sha256"]), ready["local_path"]) == ("ready", 3, 64, "vms/i-1-console.log")

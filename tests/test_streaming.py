@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tipwatch.schemas import JOB_EVENT
 from tipwatch.streaming import intake, monitor
 from tipwatch.streaming.monitor import Limits, News, RunState, advance
-from tipwatch.streaming.runs import drain, start_append
+from tipwatch.streaming.runs import batches, drain, start_append
 
 LIMITS = Limits(hang_ms=5_000, timeout_ms=60_000)
 
@@ -62,18 +62,58 @@ def write_console(spark, path, rows):
     df.selectExpr("run", "timestamp_millis(cast(at * 1000 as bigint)) as ts", "seq", "message", "stopped").coalesce(1).write.mode("append").parquet(path)
 
 
-def test_replay_on_event_time(spark, tmp_path):
+ROWS = [("crash", 3, 2, "BUG: later", False), ("crash", 2, 1, "Oops: first", False), ("stop", 1, 3, "x", True), ("alive", 100, 4, "x", False), ("old", 1, 5, "x", False)]
+ROWS += [("long", 1, 6, "x", False), ("long", 99, 7, "Oops: too late", False)]
+EXPECTED = {
+    "crash": ("crash", "kernel crash detected in VM: Oops: first"), "stop": ("stopped", ""), "alive": ("running", ""),
+    "old": ("hang", "no VM console output for 30s"), "hot": ("hang", "no VM console output for 30s"), "long": ("timeout", "task wait timeout exceeded after 98s"),
+}
+REPLAY = Limits(30_000, 97_000)
+HOT = [("hot", 50 + i / 100, 100 + i, "Call Trace:", False) for i in range(1500)]
+
+
+def test_replay_of_one_file(spark, tmp_path):
     path = str(tmp_path / "in")
-    rows = [("crash", 3, 2, "BUG: later", False), ("crash", 2, 1, "Oops: first", False), ("stop", 1, 3, "x", True), ("alive", 100, 4, "x", False), ("old", 1, 5, "x", False)]
-    rows += [("hot", i / 100, 100 + i, "Call Trace:", False) for i in range(5000)]
-    write_console(spark, path, rows)
-    alerts = drain(spark, monitor.run_monitor(spark.readStream.schema(SCHEMA).parquet(path), Limits(30_000, 10**9), "event"), "t")
+    write_console(spark, path, ROWS + HOT)
+    alerts = monitor.replay(spark, spark.readStream.schema(SCHEMA).parquet(path), Limits(30_000, 98_500))
     found = {r.run: (r.status, r.message) for r in monitor.final_states(alerts).collect()}
-    assert found == {
-        "crash": ("crash", "kernel crash detected in VM: Oops: first"), "stop": ("stopped", ""), "alive": ("running", ""),
-        "old": ("hang", "no VM console output for 30s"), "hot": ("hang", "no VM console output for 30s"),
-    }
-    assert alerts.filter("run = 'crash'").count() == 1
+    assert found == {**EXPECTED, "long": ("crash", "kernel crash detected in VM: Oops: too late"), "old": ("timeout", "task wait timeout exceeded after 99s"), "stop": ("stopped", "")}
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_many_files_in_any_order_say_the_same(spark, tmp_path, turn):
+    """One file a batch, the newest lines first or last: a crash in an old file that comes late still counts."""
+    path, rows = str(tmp_path / "in"), ROWS + [(f"r{i}", i, 1000 + i, "Oops: here" if i % 3 == 0 else "x", False) for i in range(12)]
+    for row in sorted(rows, key=lambda r: turn * r[1]):
+        write_console(spark, path, [row])
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    many = {r.run: (r.status, r.message) for r in monitor.replay(spark, stream, REPLAY).collect()}
+    one = monitor.judged(monitor.facts(spark.read.schema(SCHEMA).parquet(path)), REPLAY)
+    assert many == {r.run: (r.status, r.message) for r in one.collect()}
+    assert many["crash"] == EXPECTED["crash"] and many["long"] == EXPECTED["long"]
+    assert sum(s == "crash" for s, _ in many.values()) == 5
+
+
+def test_verdicts_of_facts_are_those_of_the_steps(spark):
+    """A whole run judged at once ends as it does step by step."""
+    cases = [(3, False, None, 3), (3, True, "Oops: 1", 3), (3, False, "Oops: 1", 3), (70, True, None, 70), (3, False, None, 9), (3, False, None, 8), (58, False, None, 61), (2, True, None, 500)]
+    for last, stopped, crash, end in cases:
+        state, message = advance(RunState("running", 0, 0), News(2, stopped, crash), last * 1000, LIMITS)
+        if not state.ended and end > last:
+            state, message = advance(state, News(), end * 1000, LIMITS)
+        rows = [("r", 1, 0, last * 10**6, stopped, (1, 1, crash) if crash else None), ("end", 1, end * 10**6, end * 10**6, False, None)]
+        found = monitor.judged(spark.createDataFrame(rows, monitor.FACTS), LIMITS).filter("run = 'r'").first()
+        assert (found.status, found.message) == (state.status, message or ""), (last, stopped, crash, end)
+
+
+def test_a_folder_of_files_reads_as_one_file(spark, tmp_path):
+    from tipwatch.plans import streams
+
+    table = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    table.repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("tail_new_events", "run_state", "stream_first_crash"):
+        one = sorted(map(tuple, getattr(streams, name)(spark, "/root/testdata/sf0.001").collect()))
+        assert one and one == sorted(map(tuple, getattr(streams, name)(spark, str(tmp_path)).collect()))
 
 
 def test_silence_on_processing_time(spark, tmp_path):
@@ -98,20 +138,34 @@ def job(node, ts, **data):
     return json.dumps({"timestamp": ts, "node": {"id": node, "kind": "job", "state": "available", "data": {"runtime": "lab", **data}, "artifacts": {"job_definition": "https://j/" + node}}})
 
 
-def test_intake_claims_once_across_restarts(spark, tmp_path):
-    source, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "checkpoint")
-    source.mkdir()
+def taken(spark, source, tmp_path, files=1000, **more):
+    stream = intake.read_job_events(spark, str(source), files)
+    out = str(tmp_path / "out")
+    intake.job_intake(stream, out, str(tmp_path / "checkpoint"), "lab", availableNow=True, **more).awaitTermination()
+    return sorted(r.node_id for r in batches(spark, f"{out}/taken", intake.TAKEN).collect())
 
-    def run():
-        stream = intake.job_intake(intake.read_job_events(spark, str(source)), "lab")
-        start_append(stream, out, checkpoint, availableNow=True).awaitTermination()
-        return sorted(r.node_id for r in spark.read.parquet(out).collect())
 
+def test_intake_claims_once_across_restarts(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
     (source / "a.json").write_text("\n".join([job("n1", "2024-01-01T00:00:00"), job("n1", "2024-01-01T00:00:05"), job("n2", "2024-01-01T00:00:01", job_id="lab:x")]))
-    assert run() == ["n1"]
+    assert taken(spark, source, tmp_path) == ["n1"]
     (source / "b.json").write_text("\n".join([job("n1", "2024-01-02T00:00:00"), job("n3", "2024-01-02T00:00:00")]))
-    assert run() == ["n1", "n3"]
-    assert run() == ["n1", "n3"]
+    assert taken(spark, source, tmp_path) == ["n1", "n3"]
+    assert taken(spark, source, tmp_path) == ["n1", "n3"]
+
+
+def test_late_jobs_come_out_and_bad_stamps_do_not_stop_the_stream(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    stamps = ["2024-03-01T00:00:00", "2024-03-02T00:00:00", "not a time", "2024-01-05T00:00:00", "2024-03-03T00:00:00"]
+    for i, stamp in enumerate(stamps):
+        (source / f"{i}.json").write_text(job(f"n{i}", stamp))
+        time.sleep(0.01)
+    nodes = spark.createDataFrame([("n1", "running", None), ("n4", "available", "lab:9"), ("n0", "available", "")], "node_id string, state string, job_id string")
+    assert taken(spark, source, tmp_path, files=1, nodes=nodes) == ["n0", "n3"]
+    bad = batches(spark, str(tmp_path / "out" / "rejected"), intake.REJECTED).collect()
+    assert [(r.node_id, r.timestamp, r.error_code) for r in bad] == [("n2", "not a time", "invalid_timestamp")]
 
 
 def test_new_events(spark, tmp_path):
@@ -121,14 +175,54 @@ def test_new_events(spark, tmp_path):
     assert [r.seq for r in drain(spark, stream, "t").collect()] == [2]
 
 
-def test_cluster_needs_the_shared_folder(spark, monkeypatch):
+def test_an_ended_run_stays_ended(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_console(spark, path, [("r", 1, 1, "Oops: 1", False)])
+    stream = monitor.run_monitor(spark.readStream.schema(SCHEMA).parquet(path), LIMITS)
+    query = start_append(stream, out, str(tmp_path / "checkpoint"), processingTime="1 second")
+
+    def alerts():
+        return [(r.status, r.message) for r in spark.read.schema(monitor.ALERTS).parquet(out).collect()]
+
+    def rows_read():
+        return sum(p["numInputRows"] for p in query.recentProgress)
+
+    try:
+        for turn, line in enumerate(["x", "BUG: 2"], 1):
+            deadline = time.time() + 40
+            while time.time() < deadline and rows_read() < turn:
+                time.sleep(0.5)
+            write_console(spark, path, [("r", 10**6, 9, line, False)])
+        deadline = time.time() + 40
+        while time.time() < deadline and rows_read() < 3:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert rows_read() == 3
+    assert alerts() == [("crash", "kernel crash detected in VM: Oops: 1")]
+
+
+def test_shared_folder(spark):
     from tipwatch import session
 
     class Far:
-        conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
-        sparkContext = type("S", (), {"master": "yarn"})
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: {"spark.sql.warehouse.dir": "hdfs:///warehouse/"}.get(key, default))})
+        sparkContext = type("S", (), {"master": "yarn", "applicationId": "app-1"})
 
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        session.shared_dir(Far)
+    assert session.shared_dir(Far) == "hdfs:///warehouse/_scratch/app-1"
     Far.conf = type("C", (), {"get": staticmethod(lambda key, default=None: "hdfs:///shared/")})
     assert session.shared_dir(Far) == "hdfs:///shared"
+
+
+def test_scratch_tables_are_removed(spark):
+    from tipwatch import session
+
+    given, session._GIVEN[:] = list(session._GIVEN), []
+    held = session.materialise(spark.range(3).toDF("id"))
+    assert held.count() == 3 and len(session._GIVEN) == 1
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session._GIVEN[0])
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert files.exists(place)
+    session.clear_scratch(spark)
+    assert not files.exists(place) and not session._GIVEN
+    session._GIVEN[:] = given

@@ -145,6 +145,9 @@ def test_version_order(spark):
     names = ["run-10.sh", "run-2.sh", "run-1.sh", "run-02b.sh"]
     df = spark.createDataFrame([(n,) for n in names], "n string").orderBy(text.version_key(F.col("n")))
     assert [r.n for r in df.collect()] == ["run-1.sh", "run-2.sh", "run-02b.sh", "run-10.sh"]
+    long = ["v" + "9" * 20, "v" + "1" * 23, "v" + "0" * 30 + "7", "v" + "1" * 120]
+    df = spark.createDataFrame([(n,) for n in long], "n string").orderBy(text.version_key(F.col("n")))
+    assert [r.n for r in df.collect()] == [long[2], long[0], long[1], long[3]]
 
 
 STATUSES = {

@@ -60,11 +60,13 @@ def t_two_tailed(t: str, df: str) -> str:
     """Two-tailed Student t p-value; normal above NORMAL_DF, 1 for df <= 0 or NaN input.
 
     With x = sqrt(df) / tan(phi) the tail area is the share of the integral of sin(phi)^(df-1) over [0, pi/2]
-    that lies below phi0 = atan(sqrt(df) / |t|). The cube moves points towards the steep end.
+    that lies below phi0 = atan(sqrt(df) / |t|). The power moves points towards the steep end, further for df < 1,
+    where the integrand has no bound at 0.
     """
+    power = f"greatest(3D, 3D / ({df}))"
 
     def area(phi: str) -> str:
-        integrand = f"3 * node_ * node_ * pow(sin(({phi}) * pow(node_, 3)), greatest(({df}) - 1, 0D))"
+        integrand = f"{power} * pow(node_, {power} - 1) * pow(sin(({phi}) * pow(node_, {power})), ({df}) - 1)"
         return f"({phi}) * {_integral01(integrand)}"
 
     exact = f"{area(f'atan2(sqrt({df}), abs({t}))')} / ({area(f'{math.pi / 2!r}D')})"

@@ -188,11 +188,14 @@ def kernel_base(version: Column) -> Column:
 def version_key(name: Column) -> Column:
     """Sort key that orders digit runs by their number: 6.9 before 6.10, run-2 before run-10."""
     pieces = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
-    # numbers keep order as text once padded; runs longer than the pad cannot occur in versions
-    padded = F.transform(
-        pieces, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), 20, "0")).otherwise(p)
-    )
-    return F.array_join(padded, "")
+
+    def keyed(piece: Column) -> Column:
+        # numbers keep their order as text behind their length, and that behind its own
+        digits = F.regexp_replace(piece, r"^0+(?=\d)", "")
+        size = F.length(digits).cast("string")
+        return F.when(piece.rlike(r"^\d"), F.concat(F.length(size).cast("string"), size, digits)).otherwise(piece)
+
+    return F.array_join(F.transform(pieces, keyed), "")
 
 
 def any_of(conditions: list[Column]) -> Column:

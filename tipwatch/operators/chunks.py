@@ -1,16 +1,22 @@
-"""Splitting long groups into parts, so that a document never has to hold a whole hot group."""
+"""The layout of documents about a group: a header and one document for each of its entries.
+
+No list of a group is ever collected, so the layout is the same for every size; the sink sorts header and entries of a
+group next to each other (``sinks.write_documents``).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+HEADER, ENTRY = 0, 1
+
+
+def documents(heads: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, part, id, document`` from heads ``(keys, body)`` and entries ``(keys, id, body)``; null fields are kept."""
 
-def in_parts(df: DataFrame, keys: list[str], ids: list[str], part_rows: int) -> DataFrame:
-    """Adds ``part``: 0 for groups up to ``part_rows``, else a hash of ``ids`` over enough parts.
+    def text(body: str):
+        return F.to_json(body, {"ignoreNullFields": "false"}).alias("document")
 
-    Reads ``df`` twice (sizes, then rows): give it a stored table or a cheap plan.
-    """
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / part_rows).alias("_parts"))
-    part = F.pmod(F.xxhash64(*ids), F.col("_parts")).cast("int")
-    return df.join(sizes, keys).withColumn("part", part).drop("_parts")
+    top = heads.select(*keys, F.lit(HEADER).alias("part"), F.lit("").alias("id"), text("body"))
+    return top.unionByName(entries.select(*keys, F.lit(ENTRY).alias("part"), F.col("id").cast("string").alias("id"), text("body")))

@@ -157,8 +157,16 @@ def test_dir(kind: Column, dirs: dict[str, str] | None = None) -> Column:
 
 
 def timeout_seconds(raw: Column) -> Column:
-    """Whole seconds; a missing, zero or unreadable timeout is an hour."""
-    return F.coalesce(F.nullif(F.trim(raw).try_cast("int"), F.lit(0)), F.lit(DEFAULT_TIMEOUT))
+    """Whole seconds, fractions cut off; a missing, zero or unreadable timeout is an hour."""
+    number = F.trim(raw).try_cast("double")
+    whole = F.when(F.abs(number) < 2**53, F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)))
+    return F.coalesce(F.nullif(whole.cast("long"), F.lit(0).cast("long")), F.lit(DEFAULT_TIMEOUT).cast("long"))
+
+
+def job_folders(tests: Column, dirs: dict[str, str] | None = None) -> Column:
+    """Test folders of a job's tests ``ARRAY<STRUCT<id, type>>`` in order, each once; the fallback without tests."""
+    found = F.array_distinct(F.transform(tests, lambda t: test_dir(t["type"], dirs)))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit((dirs or {}).get("_default", FALLBACK_DIR))))
 
 
 def plan_runs(
@@ -176,8 +184,10 @@ def plan_runs(
     A plan is one VM entry per job. A definition without kernel or modules is rejected as invalid. ``id_prefix`` and
     the two parameter names are what the deployment's test scripts expect.
     """
-    # the random id beside the parsed text keeps the filters below from being moved under it, which would parse twice
-    parsed = jobs.withColumns({"d": F.from_json("definition", JOB_DEFINITION), "token": F.replace(F.uuid(), F.lit("-"), F.lit(""))})
+    # the explode keeps the filters below from being moved under the parsed text, which would parse twice
+    parsed = jobs.withColumn("d", F.explode_outer(F.array(F.from_json("definition", JOB_DEFINITION))))
+    # where the node is unknown the definition names the job, so that a repeated task names it alike
+    parsed = parsed.withColumn("token", F.sha2(F.coalesce("definition", F.lit("")), 256))
     env, art = "d.environment.", "d.artifacts."
     present = {n: F.nullif(F.col(art + n), F.lit("")) for n in ("kernel", "modules", "rootfs", "ramdisk")}
     fields = parsed.withColumns(
@@ -190,9 +200,7 @@ def plan_runs(
     )
     complete = F.col("kernel").isNotNull() & F.col("modules").isNotNull()
     instance_type, ami_id = platform_lookup(F.col("arch"), platforms)
-    found = F.array_distinct(F.transform("tests", lambda t: test_dir(t["type"], dirs)))
-    no_tests = F.array(F.lit((dirs or {}).get("_default", FALLBACK_DIR)))
-    folders = F.when(F.size(found) > 0, found).otherwise(no_tests)
+    folders = job_folders(F.col("tests"), dirs)
     label = F.array_join(
         F.transform(
             "tests",

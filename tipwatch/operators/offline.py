@@ -88,7 +88,8 @@ def compare_kernels(rows: DataFrame, kernels: DataFrame | None = None, strict: b
     )
     change = F.col("mean_b") - F.col("mean_a")
     percent = F.when(F.col("mean_a") > 0, change / F.col("mean_a") * 100.0).otherwise(0.0)
-    worse = F.when(F.col("more_is_better"), F.col("percent_change") < 0).otherwise(F.col("percent_change") > 0)
+    # a null flag counts as true
+    worse = F.when(F.coalesce("more_is_better", F.lit(True)), F.col("percent_change") < 0).otherwise(F.col("percent_change") > 0)
     both = means.filter("mean_a is not null and mean_b is not null").select(
         "metric",
         "arch",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipwatch.functions import report, text
-from tipwatch.operators.chunks import in_parts
+from tipwatch.operators.chunks import documents
 
 UNKNOWN = "unknown"
 REBOOT_CODE = 194
@@ -62,45 +62,31 @@ def run_tests(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def failed_by_test(outcomes: DataFrame, part_rows: int = 1000) -> DataFrame:
-    """Failing instances per (run, test) as sorted lists; a long list continues in further parts."""
-    parts = in_parts(outcomes.filter("status = 'FAIL'"), ["run", "test"], ["instance_id"], part_rows)
-    ids = F.array_sort(F.collect_list("instance_id"))
-    return parts.groupBy("run", "test", "part").agg(ids.alias("instances"))
-
-
-def summary_documents(summary: DataFrame, outcomes: DataFrame, part_rows: int = 1000) -> DataFrame:
-    """The run summary as JSON, per-instance list included; long lists continue in further parts."""
-    parts = in_parts(outcomes.filter("status is not null"), ["run"], ["instance_id", "test"], part_rows)
-    entry = F.struct("test", "instance_id", "status")
-    listed = parts.groupBy("run", "part").agg(F.array_sort(F.collect_list(entry)).alias("instances"))
-    names = F.array_sort(F.array_distinct(F.filter(F.transform("instances", lambda i: i["test"]), lambda t: t != UNKNOWN)))
-    failed = F.filter("instances", lambda i: i["status"] == "FAIL")
-    by_test = F.map_from_entries(
-        F.transform(
-            F.array_sort(F.array_distinct(F.transform(failed, lambda i: i["test"]))),
-            lambda t: F.struct(
-                t.alias("key"),
-                F.transform(F.filter(failed, lambda i: i["test"] == t), lambda i: i["instance_id"]).alias("value"),
-            ),
-        )
-    )
-    vms = F.struct(
-        "expected",
-        "actual",
-        "successful",
-        "failed",
-        "missing",
-        names.alias("test_names"),
-        by_test.alias("failed_by_test"),
-        "instances",
-    )
+def failed_by_test(outcomes: DataFrame) -> DataFrame:
+    """The failing instances of each (run, test), a row each."""
+    return outcomes.filter("status = 'FAIL'").select("run", "test", "instance_id")
+
+
+def summary_documents(summary: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The run summary as JSON documents ``(run, part, id, document)``.
+
+    The header of a run has its counts; a document of kind ``test`` for each test name its VMs and failures, one of
+    kind ``instance`` for each instance its test and status. Together they hold the whole run, in any size.
+    """
+    vms = F.struct("expected", "actual", "successful", "failed", "missing")
     head = ["start_time", "end_time", "total_runtime_seconds", "total_runtime_formatted", "task_arn", "status"]
-    body = F.struct(F.col("run").alias("run_directory"), *head, vms.alias("vms"), "container_failure_log_url")
-    joined = summary.join(listed, "run", "left").withColumn(
-        "instances", F.coalesce("instances", F.array().cast("array<struct<test:string,instance_id:string,status:string>>"))
+    heads = summary.select("run", F.struct(F.col("run").alias("run_directory"), *head, vms.alias("vms"), "container_failure_log_url").alias("body"))
+    kind = lambda name, *fields: F.struct(F.col("run").alias("run_directory"), F.lit(name).alias("kind"), *fields)
+    none = F.lit(None)
+    tests = run_tests(outcomes).select(
+        "run", F.concat(F.lit("test/"), "test").alias("id"),
+        kind("test", "test", none.cast("string").alias("instance_id"), none.cast("string").alias("status"), "vms", "failed").alias("body"),
+    )
+    each = outcomes.filter("status is not null").select(
+        "run", F.concat_ws("/", F.lit("vm"), "instance_id", "test").alias("id"),
+        kind("instance", "test", "instance_id", "status", none.cast("long").alias("vms"), none.cast("long").alias("failed")).alias("body"),
     )
-    return joined.select("run", F.coalesce("part", F.lit(0)).alias("part"), F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))
+    return documents(heads, tests.unionByName(each), ["run"])
 
 
 def expected_vms(configs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipwatch.session import fits_one_task, materialise
+from tipwatch.session import materialise
 
 _SIDES = ("base", "tip")
 
@@ -25,16 +25,12 @@ def value_frequencies(measures: DataFrame, keys: list[str]) -> DataFrame:
     return measures.filter("side in ('base', 'tip')").groupBy(*keys, "value").agg(*map(F.expr, counts))
 
 
-def ranked_frequencies(measures: DataFrame, keys: list[str], split: bool | None = None) -> DataFrame:
+def ranked_frequencies(measures: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``below_*`` (measurements with a smaller value), ``total_*`` and ``mean_*`` per side.
 
-    Small inputs sort each group in one task. Larger ones (or ``split=True``) are cut into ranges of the value, so
-    that a hot group is spread over many tasks; only per-range subtotals meet per group.
+    Values are cut into ranges, so that a hot group is spread over many tasks; only per-range subtotals meet per group.
     """
-    freq = value_frequencies(measures, keys)
-    if split is None:
-        split = not fits_one_task(measures)
-    ranked = _ranked_split(freq, keys) if split else _ranked_whole(freq, keys)
+    ranked = _ranked(value_frequencies(measures, keys), keys)
     means = _each("if(total_{s} > 0, weighted_{s} / total_{s}, null) as mean_{s}")
     return ranked.selectExpr(*keys, "value", *_each("n_{s}", "below_{s}", "total_{s}"), *means)
 
@@ -47,19 +43,7 @@ def _before(group: str, order: str) -> str:
     return f"(partition by {group} order by {order} rows between unbounded preceding and 1 preceding)"
 
 
-def _ranked_whole(freq: DataFrame, keys: list[str]) -> DataFrame:
-    group = ", ".join(keys)
-    return freq.selectExpr(
-        "*",
-        *_each(
-            f"coalesce(sum(n_{{s}}) over {_before(group, 'value')}, 0) as below_{{s}}",
-            f"sum(n_{{s}}) over (partition by {group}) as total_{{s}}",
-            f"{_WEIGHTED} over (partition by {group}) as weighted_{{s}}",
-        ),
-    )
-
-
-def _ranked_split(freq: DataFrame, keys: list[str]) -> DataFrame:
+def _ranked(freq: DataFrame, keys: list[str]) -> DataFrame:
     # Range partitions cut hot groups at value boundaries. Their ids are used by two branches, so fix them first.
     ranged = materialise(freq.repartitionByRange(*keys, "value").withColumn("cut", F.spark_partition_id()))
     subtotals = ranged.groupBy(*keys, "cut").agg(*map(F.expr, _each("sum(n_{s}) as cut_n_{s}", f"{_WEIGHTED} as cut_w_{{s}}")))
@@ -78,16 +62,16 @@ def _ranked_split(freq: DataFrame, keys: list[str]) -> DataFrame:
     return ranged.join(offsets, [*keys, "cut"]).selectExpr("*", *below)
 
 
-def average_ranks(measures: DataFrame, keys: list[str], split: bool | None = None) -> DataFrame:
+def average_ranks(measures: DataFrame, keys: list[str]) -> DataFrame:
     """1-based mid-rank of every distinct value over the pooled sides."""
-    ranked = ranked_frequencies(measures, keys, split)
+    ranked = ranked_frequencies(measures, keys)
     rank = "cast(below_base + below_tip + (n_base + n_tip + 1) / 2 as double) as avg_rank"
     return ranked.selectExpr(*keys, "value", "n_base", "n_tip", rank)
 
 
-def sample_statistics(measures: DataFrame, keys: list[str], split: bool | None = None) -> DataFrame:
+def sample_statistics(measures: DataFrame, keys: list[str]) -> DataFrame:
     """One row per group: n, mean, variance (n-1), exact median per side, and base's U."""
-    ranked = ranked_frequencies(measures, keys, split)
+    ranked = ranked_frequencies(measures, keys)
     at = "max(if(below_{{s}} <= {0} and {0} < below_{{s}} + n_{{s}}, value, null))"
     aggregates = _each(
         "cast(first(total_{s}) as double) as n_{s}",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tipwatch.functions import report
-from tipwatch.operators.chunks import in_parts
+from tipwatch.operators.chunks import ENTRY, documents
 
 MANIFEST_VERSION = 1
 CONSOLE_FILE = "console-output.log"
@@ -49,13 +49,8 @@ def manifest_entries(instances: DataFrame, consoles: DataFrame, bucket: str, reg
     )
 
 
-def manifest_documents(
-    entries: DataFrame, bucket: str, origin: str | None = None, generated_at: Column | None = None, part_rows: int = 1000
-) -> DataFrame:
-    """Manifest JSON per run; a run with very many instances gets several documents of the same shape."""
-    parts = in_parts(entries, ["run_prefix"], ["test", "instance_id"], part_rows)
-    names = [c for c in entries.columns if c != "run_prefix"]
-    listed = parts.groupBy("run_prefix", "part").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("artifacts"))
+def manifest_documents(entries: DataFrame, bucket: str, origin: str | None = None, generated_at: Column | None = None) -> DataFrame:
+    """The manifest as JSON documents ``(run_prefix, part, id, document)``: a header per run, one for each entry."""
     stamp = generated_at if generated_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssxxx")
     body = F.struct(
         F.lit(MANIFEST_VERSION).alias("schema_version"),
@@ -63,9 +58,10 @@ def manifest_documents(
         "run_prefix",
         F.lit(bucket).alias("s3_bucket"),
         F.lit(origin).cast("string").alias("origin"),
-        "artifacts",
     )
-    return listed.select("run_prefix", "part", F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))
+    heads = entries.select("run_prefix").distinct().select("run_prefix", body.alias("body"))
+    each = entries.select("run_prefix", F.concat_ws("/", "test", "instance_id").alias("id"), F.struct(*entries.columns).alias("body"))
+    return documents(heads, each, ["run_prefix"])
 
 
 def join_log_urls(instances: DataFrame, urls: DataFrame) -> DataFrame:
@@ -157,19 +153,20 @@ def merge_artifacts(old: Column, urls: Column) -> Column:
     return F.map_concat(kept, F.map_from_arrays(names, urls))
 
 
-def report_documents(rows: DataFrame, build_id: str | None = None, origin: str | None = None, part_rows: int = 1000) -> DataFrame:
-    """Tests-only report documents of about ``part_rows`` rows each; rows lacking build or origin get the given ones."""
+def report_documents(rows: DataFrame, build_id: str | None = None, origin: str | None = None) -> DataFrame:
+    """Tests-only report documents ``(build_id, part, id, document)``, a valid one for each row.
+
+    A receiver takes any number of documents for a build, so none needs to hold all its tests. Rows lacking build or
+    origin get the given ones; empty optionals are left out.
+    """
     filled = rows.withColumns(
         {
             "build_id": F.coalesce("build_id", F.lit(build_id)),
             "origin": F.coalesce("origin", F.lit(origin)),
         }
     )
-    parts = in_parts(filled, ["build_id"], ["id"], part_rows)
-    row = F.to_json(F.struct(*rows.columns)).alias("json")
-    tests = F.transform(F.array_sort(F.collect_list(F.struct("id", row))), lambda r: r["json"])
+    row = F.to_json(F.struct(*rows.columns))
     major, minor = report.REPORT_VERSION
     head = F.lit('{"checkouts":[],"builds":[],"tests":[')
     tail = F.lit(f'],"version":{{"major":{major},"minor":{minor}}}}}')
-    body = F.concat(head, F.array_join(tests, ","), tail)
-    return parts.groupBy("build_id", "part").agg(body.alias("document"), F.count("*").alias("tests"))
+    return filled.select("build_id", F.lit(ENTRY).alias("part"), "id", F.concat(head, row, tail).alias("document"))

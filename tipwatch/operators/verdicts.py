@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tipwatch.functions import stats
-from tipwatch.operators.chunks import in_parts
+from tipwatch.operators.chunks import documents
 from tipwatch.operators.ranking import sample_statistics
 
 GROUP = ["test", "metric"]
@@ -65,22 +65,17 @@ def _described(side: str) -> list[str]:
     ]
 
 
-def metric_stats(measures: DataFrame, split: bool | None = None) -> DataFrame:
+def metric_stats(measures: DataFrame) -> DataFrame:
     """n, mean, exact median, stddev (n-1; 0 for one value) and cv per (test, side, metric)."""
-    both = sample_statistics(measures, GROUP, split).selectExpr(*GROUP, *_described("base"), *_described("tip"))
+    both = sample_statistics(measures, GROUP).selectExpr(*GROUP, *_described("base"), *_described("tip"))
     names = ["n", "mean", "median", "stddev", "cv"]
     rows = ", ".join(f"'{s}', " + ", ".join(f"{c}_{s}" for c in names) for s in ("base", "tip"))
     return both.selectExpr(*GROUP, f"stack(2, {rows}) as (side, {', '.join(names)})").filter("n > 0")
 
 
-def compare(
-    measures: DataFrame,
-    p_limit: float = stats.P_VALUE_LIMIT,
-    effect_limit: float = stats.EFFECT_LIMIT,
-    split: bool | None = None,
-) -> DataFrame:
+def compare(measures: DataFrame, p_limit: float = stats.P_VALUE_LIMIT, effect_limit: float = stats.EFFECT_LIMIT) -> DataFrame:
     """One row per (test, metric) measured on both sides, with tests, effect size and verdict."""
-    paired = sample_statistics(measures, GROUP, split).filter("n_base > 0 and n_tip > 0")
+    paired = sample_statistics(measures, GROUP).filter("n_base > 0 and n_tip > 0")
     labels = metric_labels(measures.filter("side = 'base'")).drop("side")
     base, tip = (stats.Sample(f"mean_{s}", f"var_{s}", f"n_{s}") for s in ("base", "tip"))
     t, df = stats.welch_t(base, tip)
@@ -149,11 +144,11 @@ def pipeline_names(rollup: DataFrame, vm_success: DataFrame | None = None) -> Da
     return names.unionByName(vm_success.filter(~F.col("success")).select(F.lit("failed").alias("kind"), "test"))
 
 
-def regression_report(comparisons: DataFrame, rollup: DataFrame, part_rows: int = 1000) -> DataFrame:
-    """JSON document per test with a regression; long lists continue in further parts of about ``part_rows``."""
-    kernels = rollup.select("test", "base_kernel", "tip_kernel")
-    hits = in_parts(comparisons.filter("is_regression"), ["test"], ["metric"], part_rows)
-    entries = F.array_sort(F.collect_list(F.struct("metric", "pct_change", "cohens_d", "t_pvalue")))
-    docs = hits.groupBy("test", "part").agg(entries.alias("regressions")).join(kernels, "test")
-    body = F.to_json(F.struct("test", "base_kernel", "tip_kernel", "regressions"))
-    return docs.select("test", "part", F.size("regressions").alias("n"), body.alias("document"))
+def regression_report(comparisons: DataFrame, rollup: DataFrame) -> DataFrame:
+    """JSON documents ``(test, part, id, document)``: a header per test with a regression, and one for each of them."""
+    hits = comparisons.filter("is_regression")
+    heads = rollup.filter("has_regression").select(
+        "test", F.struct("test", "base_kernel", "tip_kernel", F.col("regressions").cast("long").alias("n")).alias("body")
+    )
+    entries = hits.select("test", F.col("metric").alias("id"), F.struct("test", "metric", "pct_change", "cohens_d", "t_pvalue").alias("body"))
+    return documents(heads, entries, ["test"])

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tipwatch import sinks
 from tipwatch.functions import report, stats, text
 from tipwatch.operators import offline, ranking, verdicts
 from tipwatch.plans import simpson
 from tipwatch.plans.registry import query
 from tipwatch.plans.views import csv_objects, table, unixbench_objects, view, view_sql
-from tipwatch.session import materialise
+from tipwatch.session import materialise, scratch_path
 from tipwatch.sources import objects
 
 R = 6
@@ -84,8 +85,8 @@ def metric_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
          round(CASE WHEN mean = 0 THEN 0 ELSE sd / abs(mean) END + 1e-9, 6) AS cv FROM side_stats""",
 )
 def metric_stats_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plan for large groups, forced."""
-    found = verdicts.metric_stats(view(spark, sf_dir, "bench"), split=True)
+    """The same under its former name: there is one plan."""
+    found = verdicts.metric_stats(view(spark, sf_dir, "bench"))
     return found.select("test", "metric", "side", "n", *_r("mean", "median", "stddev", "cv"))
 
 
@@ -128,7 +129,7 @@ def mann_whitney_u(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mann_whitney_u_split", _U_SQL)
 def mann_whitney_u_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = verdicts.compare(view(spark, sf_dir, "bench"), split=True)
+    found = verdicts.compare(view(spark, sf_dir, "bench"))
     return found.select("test", "metric", "u_statistic", F.round("u_pvalue", 5).alias("u_pvalue"))
 
 
@@ -230,20 +231,17 @@ def pipeline_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
          FROM verdict v JOIN kernels k USING (test) WHERE is_regression""",
 )
 def regression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, read back into rows."""
+    """The documents, written and read back into rows."""
     rows = view(spark, sf_dir, "bench")
     compared = materialise(verdicts.compare(rows))  # one row per metric, used three times
     docs = verdicts.regression_report(compared, verdicts.test_rollup(compared, rows))
-    shape = "test string, base_kernel string, tip_kernel string, regressions array<struct<metric:string,pct_change:double,cohens_d:double,t_pvalue:double>>"
-    back = docs.select("n", F.from_json("document", shape).alias("d")).select("n", "d.*").withColumn("r", F.explode("regressions"))
-    return back.select(
-        "test",
-        "base_kernel",
-        "tip_kernel",
-        "r.metric",
-        *[F.round(f"r.{c}", 5).alias(c) for c in ("pct_change", "cohens_d", "t_pvalue")],
-        F.col("n").cast("long").alias("n"),
-    )
+    out = scratch_path(spark, "report")
+    sinks.write_documents(docs, out)
+    head = "test string, base_kernel string, tip_kernel string, n long"
+    back = spark.read.schema(head + ", metric string, pct_change double, cohens_d double, t_pvalue double").json(out)
+    rounded = [F.round(c, 5).alias(c) for c in ("pct_change", "cohens_d", "t_pvalue")]
+    entries = back.filter("metric is not null").select("test", "metric", *rounded)
+    return entries.join(back.filter("metric is null").select("test", "base_kernel", "tip_kernel", "n"), "test")
 
 
 _PRINTED = ["mean_base", "stddev_base", "mean_tip", "stddev_tip", "pct_change", "cohens_d"]

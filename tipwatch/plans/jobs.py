@@ -144,19 +144,23 @@ def test_dir_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "dedup_ordered",
-    "SELECT p_partkey, array_to_string(CASE WHEN p_size % 2 = 0 THEN [p_type, p_brand] ELSE [p_brand, p_type] END, ',') AS dirs FROM part",
+    """WITH d AS (SELECT *, CASE p_type WHEN 'ECONOMY' THEN 'eco-dir' WHEN 'PROMO' THEN 'promo-dir' ELSE 'else-dir' END AS dir FROM part)
+    SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'else-dir' WHEN dir = 'else-dir' THEN dir WHEN p_size % 2 = 0 THEN concat(dir, ',else-dir')
+    ELSE concat('else-dir,', dir) END AS dirs FROM d""",
 )
 def dedup_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test folders of a job in order, each once."""
-    repeated = "if(p_size % 2 = 0, array(p_type, p_brand, p_type, p_brand), array(p_brand, p_brand, p_type, p_brand))"
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_distinct(F.expr(repeated)), ",").alias("dirs"))
+    """Test folders of a job in order, each once; some jobs have no tests."""
+    own = {"ECONOMY": "eco-dir", "PROMO": "promo-dir", "_default": "else-dir"}
+    repeated = "case when p_size % 7 = 0 then array() when p_size % 2 = 0 then array(p_type, p_brand, p_type, p_brand) else array(p_brand, p_brand, p_type, p_brand) end"
+    tests = F.transform(F.expr(repeated), lambda t: F.struct(F.lit("i").alias("id"), t.alias("type")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(jobs.job_folders(tests, own), ",").alias("dirs"))
 
 
 @query(
     "plan_runs",
     _DEFS
     + f"""SELECT node_id, concat('job-', arch, '-', left(node_id, 12)) AS test_id, arch, {_IMAGE} AS ami_id, {_MACHINE} AS instance_type, 40 AS root_volume_size,
-  CASE k % 6 WHEN 0 THEN 3600 WHEN 1 THEN 3600 WHEN 2 THEN 900 ELSE 1800 END AS max_runtime, 'url-kernel-boot' AS test, 1 AS min_count,
+  CAST(CASE k % 6 WHEN 0 THEN 3600 WHEN 1 THEN 3600 WHEN 2 THEN 900 ELSE 1800 END AS BIGINT) AS max_runtime, 'url-kernel-boot' AS test, 1 AS min_count,
   concat_ws(',', concat('ARCH=', arch), CASE k % 3 WHEN 1 THEN 'JOB_TESTS=a:ltp,custom:custom' WHEN 2 THEN 'JOB_TESTS=b:baseline' END, concat('KERNEL_URL=http://k/', cast(k as string)),
     'MODULES_URL=http://m/m.tar', concat('NODE_ID=', node_id), CASE k % 4 WHEN 0 THEN 'ROOTFS_URL=http://r/r.img' WHEN 1 THEN 'ROOTFS_URL=http://r/i.cpio' END) AS params
   FROM p WHERE k % 13 <> 0""",

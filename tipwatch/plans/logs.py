@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tipwatch import sinks
 from tipwatch.functions import report, text
 from tipwatch.operators import logs, outcomes
 from tipwatch.plans.registry import query
 from tipwatch.plans.views import table, view, view_sql
+from tipwatch.session import scratch_path
 from tipwatch.sources import objects
 
 
@@ -258,23 +260,27 @@ def run_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     _OUTCOMES + "SELECT run, test, instance_id FROM o WHERE status = 'FAIL'",
 )
 def failed_by_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lists with their parts, opened again."""
-    parts = outcomes.failed_by_test(_outcomes(spark, sf_dir), part_rows=100)
-    return parts.select("run", "test", F.explode("instances").alias("instance_id"))
+    return outcomes.failed_by_test(_outcomes(spark, sf_dir))
 
 
 @query(
     "write_summary",
     _SUMMARY
-    + """SELECT o.run, o.instance_id, o.test, o.status, e.actual, e.failed FROM o JOIN e USING (run) WHERE o.status IS NOT NULL""",
+    + """SELECT o.run, o.instance_id, o.test, o.status, e.actual, e.failed, count(*) OVER (PARTITION BY o.run, o.test) AS test_vms,
+       count(*) FILTER (WHERE o.status = 'FAIL') OVER (PARTITION BY o.run, o.test) AS test_failed FROM o JOIN e USING (run) WHERE o.status IS NOT NULL""",
 )
 def write_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summary documents, read back into one row per instance."""
+    """Summary documents, written and read back: a row per instance with what the documents of its run and test say."""
     found = _outcomes(spark, sf_dir)
-    docs = outcomes.summary_documents(outcomes.run_summary(found, _runs(spark, sf_dir)), found, part_rows=100)
-    shape = "run_directory string, vms struct<actual:bigint,failed:bigint,instances:array<struct<test:string,instance_id:string,status:string>>>"
-    back = docs.select(F.from_json("document", shape).alias("d")).select("d.*").withColumn("i", F.explode("vms.instances"))
-    return back.select(F.col("run_directory").alias("run"), "i.instance_id", "i.test", "i.status", "vms.actual", "vms.failed")
+    out = scratch_path(spark, "summary")
+    sinks.write_documents(outcomes.summary_documents(outcomes.run_summary(found, _runs(spark, sf_dir)), found), out)
+    lines = spark.read.text(out)
+    parsed = lambda shape: lines.select(F.from_json("value", "run_directory string, kind string, " + shape).alias("d")).select("d.*").withColumnRenamed("run_directory", "run")
+    heads = parsed("vms struct<actual:bigint,failed:bigint>").filter("kind is null").select("run", "vms.actual", "vms.failed")
+    tests = parsed("test string, vms bigint, failed bigint").filter("kind = 'test'")
+    tests = tests.select("run", "test", F.col("vms").alias("test_vms"), F.col("failed").alias("test_failed"))
+    each = parsed("test string, instance_id string, status string").filter("kind = 'instance'").drop("kind")
+    return each.join(heads, "run").join(tests, ["run", "test"])
 
 
 _LINES = "string_split(content, chr(10))"

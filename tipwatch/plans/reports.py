@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tipwatch import sinks
 from tipwatch.functions import report
 from tipwatch.operators import reporting
 from tipwatch.plans.registry import query
 from tipwatch.plans.views import table, view, view_sql
+from tipwatch.session import materialise, scratch_path
 from tipwatch.sources import objects
 
 BUCKET, REGION, ORIGIN = "results", "us-west-2", "lab_1"
@@ -75,20 +77,23 @@ def manifest_ready_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     _ENTRIES + "SELECT run_prefix, 1 AS schema_version, 'results' AS s3_bucket, 'lab_1' AS origin, test, instance_id, status, coalesce(log_url, '-') AS log_url, size_bytes FROM e",
 )
 def write_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifest documents, read back into one row per entry."""
-    docs = reporting.manifest_documents(_entries(spark, sf_dir), BUCKET, ORIGIN, F.lit("2024-01-01T00:00:00+00:00"), part_rows=50)
-    from tipwatch.schemas import MANIFEST
-
-    back = docs.select(F.from_json("document", MANIFEST).alias("d")).select("d.*").withColumn("e", F.explode("artifacts"))
-    return back.select(
-        "run_prefix", "schema_version", "s3_bucket", "origin", "e.test", "e.instance_id", "e.status", F.coalesce("e.log_url", F.lit("-")).alias("log_url"), "e.size_bytes"
-    )
+    """Manifest documents, written and read back into one row per entry."""
+    out = scratch_path(spark, "manifest")
+    entries = materialise(_entries(spark, sf_dir), "entries")  # headers and entries are two readers
+    sinks.write_documents(reporting.manifest_documents(entries, BUCKET, ORIGIN, F.lit("2024-01-01T00:00:00+00:00")), out)
+    shape = "run_prefix string, schema_version int, s3_bucket string, origin string, test string, instance_id string, status string, log_url string, size_bytes long"
+    back = spark.read.schema(shape).json(out)
+    each = back.filter("instance_id is not null").select("run_prefix", "test", "instance_id", "status", F.coalesce("log_url", F.lit("-")).alias("log_url"), "size_bytes")
+    return each.join(back.filter("instance_id is null").select("run_prefix", "schema_version", "s3_bucket", "origin"), "run_prefix")
 
 
 def _manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = reporting.manifest_documents(_entries(spark, sf_dir), BUCKET, ORIGIN, F.lit("2024-01-01T00:00:00+00:00"))
+    """Manifest files as the machines leave them, one entry in each, some of them cut off."""
+    entries = _entries(spark, sf_dir)
+    names = [c for c in entries.columns if c != "run_prefix"]
+    whole = F.to_json(F.struct(F.lit(1).alias("schema_version"), "run_prefix", F.array(F.struct(*names)).alias("artifacts")), {"ignoreNullFields": "false"})
     broken = F.col("run_prefix").endswith("7")
-    return docs.select("run_prefix", F.when(broken, F.substring("document", 1, 40)).otherwise(F.col("document")).alias("content"))
+    return entries.select("run_prefix", F.when(broken, F.substring(whole, 1, 40)).otherwise(whole).alias("content"))
 
 
 _URLS = _ENTRIES + ", urls AS (SELECT run_prefix, test, instance_id, log_url FROM e WHERE log_url IS NOT NULL AND test <> '' AND run_prefix NOT LIKE '%7')\n"
@@ -217,11 +222,12 @@ def stable_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     _ROWS + "SELECT id, coalesce(build_id, 'b_default') AS build_id, path, status, coalesce(duration, -1) AS duration, duration IS NOT NULL AS has_duration, 5 AS major, 3 AS minor FROM rows_",
 )
 def write_report_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Report documents, read back into one row per test; an empty optional is left out, not null."""
+    """Report documents, written and read back into one row per test; an empty optional is left out, not null."""
     valid, _ = reporting.build_report_rows(_raw_rows(spark, sf_dir), ORIGIN)
-    docs = reporting.report_documents(valid, build_id="b_default", origin=ORIGIN, part_rows=200)
+    out = scratch_path(spark, "reports")
+    sinks.write_documents(reporting.report_documents(valid, build_id="b_default", origin=ORIGIN), out)
     shape = "tests array<string>, version struct<major:int,minor:int>"
-    rows = docs.select(F.from_json("document", shape).alias("d")).select("d.version", F.explode("d.tests").alias("row"))
+    rows = spark.read.text(out).select(F.from_json("value", shape).alias("d")).select("d.version", F.explode("d.tests").alias("row"))
     row = F.from_json("row", "id string, build_id string, path string, status string, duration double")
     back = rows.select("version.*", row.alias("t"), F.col("row").contains('"duration":').alias("has_duration"))
     return back.select("t.id", "t.build_id", "t.path", "t.status", F.coalesce("t.duration", F.lit(-1.0)).alias("duration"), "has_duration", "major", "minor")

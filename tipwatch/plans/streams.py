@@ -10,18 +10,21 @@ from tipwatch.plans.jobs import INTAKE_WHERE, PLATFORMS, RUNTIME, as_events
 from tipwatch.plans.logs import CRASH_HITS
 from tipwatch.plans.registry import query
 from tipwatch.plans.views import SPARK, VIEWS, table, view_sql
+from tipwatch.session import scratch_path
 from tipwatch.streaming import intake, monitor
-from tipwatch.streaming.runs import drain
+from tipwatch.streaming.runs import batches, drain
 
 AFTER = "2024-01-20 00:00:00"
 HOUR_MS, DAY_MS = 3600 * 1000, 24 * 3600 * 1000
 
 
-def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view over its table read as a stream of files."""
+def stream_view(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 1000) -> DataFrame:
+    """A derived view over its table, a file or a folder of part files, read as a stream of files."""
     source, columns = VIEWS[name]
     schema = table(spark, sf_dir, source).schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", f"{source}.parquet").parquet(sf_dir)
+    # as a pattern, since a stream takes no single file by its plain name; a folder matches with all its files
+    place = f"{sf_dir}/{source}.parque[t]"
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(place)
     return files.selectExpr(*[c.format(**SPARK) for c in columns])
 
 
@@ -31,7 +34,9 @@ def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 )
 def job_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = as_events(stream_view(spark, sf_dir, "job_events"))
-    taken = drain(spark, intake.job_intake(events, RUNTIME, PLATFORMS, "60 days"), "intake")
+    out = scratch_path(spark, "intake")
+    intake.job_intake(events, out, f"{out}/checkpoint", RUNTIME, PLATFORMS, availableNow=True).awaitTermination()
+    taken = batches(spark, f"{out}/taken", intake.TAKEN)
     return taken.groupBy("node_id").agg(F.count("*").alias("claims"))
 
 
@@ -43,7 +48,7 @@ def tail_new_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _alerts(spark: SparkSession, sf_dir: str, limits: monitor.Limits) -> DataFrame:
     """The recorded consoles replayed on their own clock."""
-    return drain(spark, monitor.run_monitor(stream_view(spark, sf_dir, "messages"), limits, clock="event"), "alerts")
+    return monitor.replay(spark, stream_view(spark, sf_dir, "messages"), limits)
 
 
 # a replay ends at the latest event; per run: its age and its silence there, and what it said before

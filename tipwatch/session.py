@@ -1,9 +1,7 @@
-"""Session helpers: settings, shared scratch folder, materialisation, size checks."""
+"""Session helpers: settings, shared scratch folder, materialisation."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +14,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
-# Up to this many input bytes a single task may sort a whole group; beyond it the split plans are used.
-ONE_TASK_BYTES = 64 * 1024 * 1024
+_GIVEN: list[str] = []
 
 
 def build_session(app: str = "tipwatch", **extra: str) -> SparkSession:
@@ -30,41 +27,37 @@ def build_session(app: str = "tipwatch", **extra: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``.
 
-    A machine-local folder is made up only for a local master (tests); on a cluster the setting is required.
+    Where that is unset, a folder of this application under the warehouse, which every executor can reach too.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can read and write")
-    base = os.environ.get("TIPWATCH_SCRATCH") or tempfile.mkdtemp(prefix="tipwatch-")
-    os.environ["TIPWATCH_SCRATCH"] = base
-    return base
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return f"{warehouse}/_scratch/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder; never reused, so a retry cannot see another run's files."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _GIVEN.append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Compute ``df`` once into a table in the shared folder, for plans that must see the same rows twice.
 
-    Lost executors cost a task's rerun, not the lineage; readers prune columns and know the size.
+    Lost executors cost a task's rerun, not the lineage; readers prune columns and know the size. The table is the
+    application's: ``clear_scratch`` removes it with the others once their readers are done.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (no job is run); None when it is not known."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # a Connect session has no JVM handle
-        return None
-
-
-def fits_one_task(df: DataFrame, limit: int = ONE_TASK_BYTES) -> bool:
-    size = plan_bytes(df)
-    return size is not None and size <= limit
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what ``scratch_path`` gave out in this session. Results that still read from there are lost."""
+    jvm = spark.sparkContext._jvm
+    for path in _GIVEN:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _GIVEN.clear()

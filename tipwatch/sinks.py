@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Files that one folder of landed measurements gets at most.
+FILES_A_FOLDER = 8
+
 
 def write_combined(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").csv(path, header=True)
@@ -21,12 +24,11 @@ def publish_analysis(result: DataFrame, root: str) -> None:
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """JSON documents, one per line, from a ``document`` column."""
-    documents.select("document").write.mode("overwrite").text(path)
-
-
-def write_summary(summary: DataFrame, path: str) -> None:
-    summary.write.mode("overwrite").json(path, ignoreNullFields=False)
+    """JSON documents, one per line, from ``(keys..., part, id, document)``: the header of a group and its entries next
+    to each other. Ranges include the entry, so a group of any size is cut over as many files as it needs."""
+    order = [c for c in documents.columns if c != "document"]
+    sorted_ = documents.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_.select("document").write.mode("overwrite").text(path)
 
 
 def write_instance_logs(grouped: DataFrame, path: str) -> None:
@@ -41,5 +43,13 @@ def write_instance_logs(grouped: DataFrame, path: str) -> None:
 
 
 def land_measurements(rows: DataFrame, root: str) -> None:
-    """Measurements by test, the table the analyses read: they skip the tests they do not need."""
-    rows.write.mode("overwrite").partitionBy("test").parquet(root)
+    """Measurements by (run_date, run, test), the table the analyses read: they skip what they do not need.
+
+    Landing a run again replaces its own tests only. Rows are dealt by the folders they go to, so that a task writes
+    few files; ``rows`` has ``run`` as ``run_<id>_<yyyymmdd>_<hhmmss>``, or any text without a date.
+    """
+    stamp = F.regexp_extract("run", r"_(\d{8})_\d{6}$", 1)
+    dated = rows.withColumn("run_date", F.coalesce(F.try_to_timestamp(stamp, F.lit("yyyyMMdd")).cast("date").cast("string"), F.lit("unknown")))
+    dealt = dated.repartition("run_date", "run", "test", F.pmod(F.xxhash64(*rows.columns), F.lit(FILES_A_FOLDER)))
+    writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_date", "run", "test").parquet(root)

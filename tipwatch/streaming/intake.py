@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tipwatch.operators.jobs import available_jobs, filter_has_definition, filter_runtime_platform
 from tipwatch.schemas import JOB_EVENT
+from tipwatch.streaming.runs import each_batch_once, earlier_batches
+
+TAKEN = "event_time timestamp, node_id string, parent string, platform string, definition_url string"
+REJECTED = "timestamp string, node_id string, error_code string"
 
 
 def read_job_events(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -14,20 +19,49 @@ def read_job_events(spark: SparkSession, path: str, files_per_batch: int = 1000)
     return spark.readStream.schema(JOB_EVENT).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def job_intake(events: DataFrame, runtime: str, platforms: list[str] | None = None, horizon: str = "7 days") -> DataFrame:
-    """One row per job node to run. A node seen again within ``horizon`` is not handed on a second time.
-
-    State is kept per node and dropped when the watermark passes, so it does not grow with history.
-    """
+def wanted_jobs(events: DataFrame, runtime: str, platforms: list[str] | None = None) -> DataFrame:
+    """The events of job nodes to run, late ones too; ``event_time`` is null where the stamp cannot be read."""
     wanted = filter_has_definition(filter_runtime_platform(available_jobs(events), runtime, platforms))
-    jobs = wanted.filter("node.id <> '' and coalesce(node.data.job_id, '') = ''").select(
-        F.to_timestamp("timestamp").alias("event_time"),
+    return wanted.filter("node.id <> '' and coalesce(node.data.job_id, '') = ''").select(
+        F.expr("try_to_timestamp(timestamp)").alias("event_time"),
+        "timestamp",
         F.col("node.id").alias("node_id"),
         F.col("node.parent").alias("parent"),
         F.col("node.data.platform").alias("platform"),
         F.col("node.artifacts")["job_definition"].alias("definition_url"),
     )
-    return jobs.withWatermark("event_time", horizon).dropDuplicatesWithinWatermark(["node_id"])
+
+
+def job_intake(
+    events: DataFrame,
+    out: str,
+    checkpoint: str,
+    runtime: str,
+    platforms: list[str] | None = None,
+    nodes: DataFrame | None = None,
+    **trigger,
+) -> StreamingQuery:
+    """Start handing on every job node once, into ``out/taken``; bad stamps go to ``out/rejected``.
+
+    A node is new if no earlier batch took it, however old its event is, and if ``nodes(node_id, state, job_id)``, the
+    nodes as they stand, do not show it taken or past being available. Both are anti-joins. A batch that is tried again
+    replaces its own rows, so each job comes out once.
+    """
+    spark = events.sparkSession
+
+    def claim(batch: DataFrame, number: int) -> dict[str, DataFrame]:
+        stamped = batch.filter("event_time is not null or timestamp is null")
+        first = F.min(F.struct(*[F.col(c.split()[0]) for c in TAKEN.split(", ")])).alias("f")
+        fresh = stamped.groupBy("node_id").agg(first).select("f.*")
+        fresh = fresh.join(earlier_batches(spark, f"{out}/taken", TAKEN, number).select("node_id"), "node_id", "left_anti")
+        if nodes is not None:
+            gone = nodes.filter("coalesce(job_id, '') <> '' or state <> 'available'").select("node_id")
+            fresh = fresh.join(gone, "node_id", "left_anti")
+        bad = batch.filter("event_time is null and timestamp is not null")
+        bad = bad.select("timestamp", "node_id", F.lit("invalid_timestamp").alias("error_code"))
+        return {"taken": fresh.select(*[c.split()[0] for c in TAKEN.split(", ")]), "rejected": bad}
+
+    return each_batch_once(wanted_jobs(events, runtime, platforms), claim, out, checkpoint, **trigger)
 
 
 def new_events(events: DataFrame, after: str) -> DataFrame:

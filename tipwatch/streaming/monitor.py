@@ -1,8 +1,12 @@
 """Watching running tests by their console: crash, silence, overall timeout.
 
-The decision is a small pure function, ``advance``; Spark keeps its state per run and calls it with each batch and when
-a deadline passes. Before the shuffle every task folds its events to one row per run, so that a run with very many
-lines costs the stateful task no more than one with few.
+Live, the decision is a small pure function, ``advance``; Spark keeps its state per run and calls it with each batch and
+when a deadline passes, by arrival, so no line is ever late. Before the shuffle every task folds its events to one row
+per run, so that a run with very many lines costs the stateful task no more than one with few.
+
+A recorded console is replayed on its own clock: every batch folds to facts per run, in the JVM, and when the recording
+is read the facts of all batches together give the verdicts. Facts add up in any order, so late files and one file or
+many make no difference.
 """
 
 from __future__ import annotations
@@ -11,20 +15,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tipwatch.functions.text import first_alert_text, is_crash
+from tipwatch.session import scratch_path
+from tipwatch.streaming.runs import batches, each_batch_once
 
 HANG_MS = 1200 * 1000
 TIMEOUT_MS = 3600 * 1000
-KEEP_ENDED_MS = 24 * 3600 * 1000
 
 CONDENSED = (
-    "run string, lines long, first_us long, last_us long, last_ts timestamp, stopped boolean,"
+    "run string, lines long, first_us long, last_us long, stopped boolean,"
     " crash_us long, crash_seq long, crash_message string"
 )
+FACTS = "run string, lines long, first_us long, last_us long, stopped boolean, crash struct<us:bigint,seq:bigint,message:string>"
 ALERTS = "run string, status string, message string, at_ms long"
 STATE = "status string, start_ms long, last_ms long"
 
@@ -60,7 +66,10 @@ class News:
 
 
 def advance(state: RunState, news: News, now_ms: int, limits: Limits) -> tuple[RunState, str | None]:
-    """Next state and, when the run ends, the message. Age comes first, then a regular stop, crash and silence."""
+    """Next state and, when the run ends, the message. Age comes first, then a regular stop, crash and silence.
+
+    The texts of the messages are fixed.
+    """
     if state.ended:
         return state, None
     age = now_ms - state.start_ms
@@ -99,7 +108,6 @@ def condense(events: DataFrame) -> DataFrame:
             hits = batch[batch["crash_message"].notna()].sort_values(["us", "seq"]).drop_duplicates("run").set_index("run")
             rows = rows.join(hits[["us", "seq", "crash_message"]].rename(columns={"us": "crash_us", "seq": "crash_seq"}))
             rows = rows.astype({"crash_us": "Int64", "crash_seq": "Int64"}).reset_index()
-            rows["last_ts"] = pd.to_datetime(rows["last_us"], unit="us", utc=True)
             yield rows[[f.split()[0] for f in CONDENSED.split(", ")]]
 
     return marked.mapInPandas(fold, CONDENSED)
@@ -128,13 +136,11 @@ class _Folded:
         return News(self.lines, self.stopped, self.crash[2] if self.crash else None)
 
 
-def run_monitor(events: DataFrame, limits: Limits = Limits(), clock: str = "processing", delay: str = "0 seconds") -> DataFrame:
-    """Alerts ``(run, status, message, at_ms)``: one per run when it ends, one ``running`` when first seen alive.
-
-    ``clock='processing'`` measures silence by arrival, which also works when nothing arrives at all.
-    ``clock='event'`` replays recorded consoles: time is the watermark (latest event less ``delay``).
+def run_monitor(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Alerts ``(run, status, message, at_ms)`` as lines arrive: one per run when it ends, one ``running`` when first
+    seen alive. Silence counts by arrival, which also works when nothing arrives at all. A run that has ended stays so:
+    its state, three fields, is kept.
     """
-    by_event = clock == "event"
 
     def watch(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         folded = _Folded()
@@ -142,34 +148,70 @@ def run_monitor(events: DataFrame, limits: Limits = Limits(), clock: str = "proc
             for batch in batches:
                 if not batch.empty:
                     folded.add(batch)
-        now = held.getCurrentWatermarkMs() if by_event else held.getCurrentProcessingTimeMs()
-        if by_event and folded.last_us is not None:
-            now = max(now, folded.last_us // 1000)
+        now = held.getCurrentProcessingTimeMs()
         known = held.exists
-        if known:
-            state = RunState(*held.get)
-        else:
-            start = folded.first_us // 1000 if by_event and folded.first_us is not None else now
-            state = RunState("running", start, start)
-        was_ended = state.ended
-        if was_ended and held.hasTimedOut:
-            held.remove()
+        state = RunState(*held.get) if known else RunState("running", now, now)
+        if state.ended:
             return
         state, message = advance(state, folded.news(), now, limits)
         held.update((state.status, state.start_ms, state.last_ms))
-        wake = now + KEEP_ENDED_MS if state.ended else state.deadline(limits)
-        if by_event:
-            held.setTimeoutTimestamp(max(wake, held.getCurrentWatermarkMs() + 1))
-        else:
-            held.setTimeoutDuration(max(wake - now, 1))
-        if not was_ended and (state.ended or not known):
+        if not state.ended:
+            held.setTimeoutDuration(max(state.deadline(limits) - now, 1))
+        if state.ended or not known:
             yield pd.DataFrame([(key[0], state.status, message or "", now)], columns=["run", "status", "message", "at_ms"])
 
-    condensed = condense(events)
-    if by_event:
-        condensed = condensed.withWatermark("last_ts", delay)
-    timeout = GroupStateTimeout.EventTimeTimeout if by_event else GroupStateTimeout.ProcessingTimeTimeout
-    return condensed.groupBy("run").applyInPandasWithState(watch, ALERTS, STATE, "append", timeout)
+    return condense(events).groupBy("run").applyInPandasWithState(watch, ALERTS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def facts(events: DataFrame) -> DataFrame:
+    """FACTS per run of ``(run, ts, seq, message, stopped)``: counts, ends and the first crash line."""
+    ended = F.coalesce("stopped", F.lit(False))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    crash = F.when(is_crash(F.col("message")), F.struct(us.alias("us"), F.col("seq").cast("long").alias("seq"), first_alert_text(F.col("message")).alias("message")))
+    return events.groupBy("run").agg(
+        F.count_if(~ended).alias("lines"), F.min(us).alias("first_us"), F.max(us).alias("last_us"), F.bool_or(ended).alias("stopped"), F.min(crash).alias("crash")
+    )
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """FACTS of several batches as one row per run."""
+    return rows.groupBy("run").agg(
+        F.sum("lines").alias("lines"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.bool_or("stopped").alias("stopped"), F.min("crash").alias("crash")
+    )
+
+
+def judged(known: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Alerts of whole runs, as ``advance`` orders them: age at its last line, a regular stop, a crash, then age and
+    silence at the end of the recording, the latest line of any run."""
+    end = known.agg(F.max("last_us")).scalar()
+    ms = lambda c: F.floor(c / 1000)
+    age, end_age, quiet = (ms(F.col("last_us")) - ms(F.col("first_us")), ms(F.col("_end")) - ms(F.col("first_us")), ms(F.col("_end")) - ms(F.col("last_us")))
+    status = (
+        F.when(age > limits.timeout_ms, "timeout")
+        .when(F.col("stopped"), "stopped")
+        .when(F.col("crash").isNotNull(), "crash")
+        .when(end_age > limits.timeout_ms, "timeout")
+        .when(quiet > limits.hang_ms, "hang")
+        .otherwise("running")
+    )
+    aged = F.floor(F.when(age > limits.timeout_ms, age).otherwise(end_age) / 1000)
+    # fixed message texts
+    message = (
+        F.when(F.col("status") == "timeout", F.concat(F.lit("task wait timeout exceeded after "), aged.cast("string"), F.lit("s")))
+        .when(F.col("status") == "crash", F.concat(F.lit("kernel crash detected in VM: "), "crash.message"))
+        .when(F.col("status") == "hang", F.lit(f"no VM console output for {limits.hang_ms // 1000}s"))
+        .otherwise("")
+    )
+    out = known.withColumn("_end", end).withColumn("status", status)
+    return out.select("run", "status", message.alias("message"), ms(F.col("_end")).alias("at_ms"))
+
+
+def replay(spark: SparkSession, events: DataFrame, limits: Limits = Limits(), name: str = "replay") -> DataFrame:
+    """Alerts of a recorded stream, read to its end; every file counts, in whatever order the files come."""
+    out = scratch_path(spark, name)
+    step = lambda batch, _: {"facts": facts(batch)}
+    each_batch_once(events, step, out, f"{out}/checkpoint", availableNow=True).awaitTermination()
+    return judged(merged(batches(spark, f"{out}/facts", FACTS)), limits)
 
 
 def final_states(alerts: DataFrame) -> DataFrame:
