@@ -198,3 +198,33 @@ def test_artifacts_and_ids(spark):
     assert merged == [{"job_definition": "j", "test_log": "u1", "test_log_1": "u2"}, {"test_log": "u"}, {"a": "b"}]
     ids = spark.createDataFrame([("n", "i", 3), ("n", None, 3), ("n", "", 4)], "n string, i string, x int")
     assert [r.r for r in ids.select(reporting.row_ids(F.col("n"), F.col("i"), F.col("x")).alias("r")).collect()] == ["n.i", "n.3", "n.4"]
+
+
+def test_rows_of_jobs(spark):
+    """Crashed, empty, mixed and never started jobs."""
+    jobs = spark.createDataFrame(
+        [("crash", "b", "u", None, None, "boom"), ("empty", "b", "u", None, None, None), ("mixed", None, "job", None, None, None), ("lost", "b", "u", "404", None, None), ("bad", "b", "u", None, "no kernel", None)],
+        "node_id string, build_id string, log_url string, fetch_error string, translate_error string, run_error string",
+    )
+    results = spark.createDataFrame(
+        [("mixed", 0, "boot", "pass", 1500, "own", "i-1"), ("mixed", 1, None, None, None, "", ""), ("mixed", 2, "ltp", "fail", 10, None, None), ("crash", 0, "boot", "pass", 1, None, None), ("lost", 0, "x", "pass", 1, None, None)],
+        "node_id string, idx int, name string, status string, duration_ms long, log_url string, instance_id string",
+    )
+    good, rejected = reporting.build_report_rows(reporting.job_report_rows(jobs, results), "lab_1")
+    rows = {r.id: r for r in good.collect()}
+    assert rejected.count() == 0
+    assert {k: (r.path, r.status, r.log_url) for k, r in rows.items()} == {
+        "lab_1:crash.0": ("boot.infrastructure", "ERROR", None), "lab_1:empty.0": ("boot", "ERROR", "u"), "lab_1:mixed.i-1": ("boot", "PASS", "own"),
+        "lab_1:mixed.1": ("test_1", "ERROR", "job"), "lab_1:mixed.2": ("ltp", "FAIL", "job"),
+    }
+    assert rows["lab_1:empty.0"].misc == {"node_id": "empty", "note": "executor returned no per-test results"}
+    assert rows["lab_1:mixed.i-1"].misc["instance_id"] == "i-1" and rows["lab_1:mixed.1"].build_id == "unknown_mixed"
+
+
+def test_output_files(spark):
+    raw = spark.createDataFrame(
+        [("a", "b", "boot", "pass", None, None, None, [("log", "u")]), ("c", "b", "boot", "pass", None, None, None, [])], RAW + ", output_files array<struct<name:string,url:string>>"
+    )
+    good, _ = reporting.build_report_rows(raw, "lab_1")
+    docs = {t["id"]: t for r in reporting.report_documents(good).collect() for t in json.loads(r.document)["tests"]}
+    assert docs["lab_1:a"]["output_files"] == [{"name": "log", "url": "u"}] and "output_files" not in docs["lab_1:c"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tipwatch.functions.text import kernel_base, version_key
+from tipwatch.operators.verdicts import parse_number
 
 PLOT_PERCENT = 1.0
 
@@ -36,6 +37,26 @@ def suite_label(rows: DataFrame) -> DataFrame:
     return rows.filter("unixbench_version is not null").agg(F.coalesce(first, F.lit("")).alias("label"))
 
 
+def measurements(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows to compare, label of the suite) from rows of output files as ``sources.objects.offline_rows`` gives them.
+
+    Suite names are cut from the metrics; values and flags are read, a missing or blank flag stays null (it counts as
+    true); rows without a metric or a number are left out; ``ord`` is the place in the files.
+    """
+    labelled = strip_suite_prefix(rows)
+    flag = F.nullif(F.lower(F.trim("more_is_better")), F.lit(""))
+    read = labelled.withColumns(
+        {"value": parse_number(F.col("value")), "more_is_better": flag == "true", "ord": F.struct("source_file", "pos")}
+    )
+    return read.filter((F.col("metric") != "") & F.col("value").isNotNull()), suite_label(labelled)
+
+
+def analyse(rows: DataFrame, kernels: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """Rows of output files to the comparison of their kernels, with the suite's label as a column."""
+    measured, label = measurements(rows)
+    return compare_kernels(measured, kernels, strict).withColumn("suite", label.select("label").scalar())
+
+
 def two_lowest_kernels(rows: DataFrame) -> DataFrame:
     """One row (kernel_a, kernel_b): the first two kernels in text order, architecture suffix aside."""
     versions = rows.select("kernel_version").distinct()

@@ -93,7 +93,7 @@ def row_ids(node_id: Column, instance_id: Column, idx: Column) -> Column:
 def build_report_rows(rows: DataFrame, origin: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected) report rows from ``(test_id, build_id, path, status, duration_ms, log_url, misc MAP)``.
 
-    Empty optionals become null, which the JSON sink leaves out. With ``strict`` a bad path or origin fails the job.
+    ``output_files ARRAY<STRUCT<name, url>>`` may be there too. Empty optionals become null, which the JSON sink leaves out. With ``strict`` a bad path or origin fails the job.
     """
     ok = report.valid_path(F.col("path")) & report.valid_origin(F.lit(origin))
     built = rows.select(
@@ -104,6 +104,7 @@ def build_report_rows(rows: DataFrame, origin: str, strict: bool = False) -> tup
         report.report_status(F.col("status")).alias("status"),
         (F.col("duration_ms").cast("double") / 1000.0).alias("duration"),
         F.nullif("log_url", F.lit("")).alias("log_url"),
+        *([F.when(F.size("output_files") > 0, F.col("output_files")).alias("output_files")] if "output_files" in rows.columns else []),
         F.when(F.size("misc") > 0, F.col("misc")).alias("misc"),
     )
     if strict:
@@ -113,6 +114,44 @@ def build_report_rows(rows: DataFrame, origin: str, strict: bool = False) -> tup
     return built.filter(ok), built.filter(~ok)
 
 
+def job_report_rows(jobs: DataFrame, results: DataFrame, node_key: str = "node_id") -> DataFrame:
+    """Rows for ``build_report_rows`` of claimed jobs, one for each result and one for a job that has none to show.
+
+    ``jobs(node_id, build_id, log_url, fetch_error, translate_error, run_error)``, ``results(node_id, idx, name, status,
+    duration_ms, log_url, instance_id)``. A job whose execution failed has an infrastructure row, one that gave no
+    results a boot row with a note, one that never ran (bad or unreachable definition) none. A result without an address
+    has the job's, one without a name its position as name; a job without a build gets a placeholder in the id. ``node_key`` is
+    what the receiver calls the node.
+    """
+    ran = jobs.filter("fetch_error is null and translate_error is null").withColumn(
+        "build_id", F.coalesce(F.nullif("build_id", F.lit("")), F.concat(F.lit("unknown_"), "node_id"))
+    )
+    misc = lambda key, value: F.map_from_arrays(F.array(F.lit(node_key), F.lit(key)), F.array(F.col("node_id"), value))
+    node_only = F.create_map(F.lit(node_key), F.col("node_id"))
+    none = F.lit(None).cast("long")
+    well, broken = ran.filter("run_error is null"), ran.filter("run_error is not null")
+    named = results.select(
+        "node_id", "idx", "name", "status", F.col("duration_ms").cast("long").alias("duration_ms"), F.col("log_url").alias("_own"), F.nullif("instance_id", F.lit("")).alias("instance_id")
+    )
+    shown = well.select("node_id", "build_id", "log_url").join(named, "node_id").select(
+        F.concat_ws(".", "node_id", F.coalesce("instance_id", F.col("idx").cast("string"))).alias("test_id"),
+        "build_id",
+        F.coalesce("name", F.concat(F.lit("test_"), F.col("idx").cast("string"))).alias("path"),
+        F.coalesce("status", F.lit("error")).alias("status"),
+        "duration_ms",
+        F.coalesce(F.nullif("_own", F.lit("")), "log_url").alias("log_url"),
+        F.when(F.col("instance_id").isNull(), node_only).otherwise(misc("instance_id", F.col("instance_id"))).alias("misc"),
+    )
+    first = F.concat("node_id", F.lit(".0")).alias("test_id")
+    # fixed names and note of rows about the infrastructure
+    failed = broken.select(first, "build_id", F.lit("boot.infrastructure").alias("path"), F.lit("error").alias("status"), none.alias("duration_ms"), F.lit(None).cast("string").alias("log_url"), node_only.alias("misc"))
+    empty = well.join(results.select("node_id"), "node_id", "left_anti").select(
+        first, "build_id", F.lit("boot").alias("path"), F.lit("error").alias("status"), none.alias("duration_ms"), "log_url",
+        misc("note", F.lit("executor returned no per-test results")).alias("misc"),
+    )
+    return shown.unionByName(failed).unionByName(empty)
+
+
 def node_result(statuses: DataFrame) -> DataFrame:
     """Per node, from its result rows: any FAIL/ERROR/MISS fails it, else PASS/DONE passes, else SKIP, else fail."""
     seen = {n: F.bool_or(F.col("status").isin(*w)) for n, w in (("bad", ["FAIL", "ERROR", "MISS"]), ("good", ["PASS", "DONE"]), ("skipped", ["SKIP"]))}

@@ -10,7 +10,7 @@ from tipwatch.functions import report, stats, text
 from tipwatch.operators import offline, ranking, verdicts
 from tipwatch.plans import simpson
 from tipwatch.plans.registry import query
-from tipwatch.plans.views import csv_objects, table, unixbench_objects, view, view_sql
+from tipwatch.plans.views import csv_objects, kernel_objects, table, unixbench_objects, view, view_sql
 from tipwatch.session import materialise, scratch_path
 from tipwatch.sources import objects
 
@@ -426,9 +426,11 @@ def _shown(result: DataFrame) -> DataFrame:
     return result.withColumns({c: F.round(F.col(c) + OFF_TIES, d) for c, d in digits.items()})
 
 
-@query("offline_compare", _OFFLINE + f"SELECT {_OFFLINE_COLUMNS} FROM judged WHERE arch = 'all'")
+@query("offline_compare", _OFFLINE + f"SELECT {_OFFLINE_COLUMNS}, 'Byte-UnixBench-6.0.0.' AS suite FROM judged")
 def offline_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(_offline(spark, sf_dir).filter("arch = 'all'"))
+    """From the texts of output files, some rows of which lack the flag, to the result."""
+    rows = objects.offline_rows(kernel_objects(spark, sf_dir))
+    return _shown(offline.analyse(rows)).withColumn("more_is_better", F.coalesce("more_is_better", F.lit(True)))
 
 
 @query("arch_slices", _OFFLINE + f"SELECT {_OFFLINE_COLUMNS} FROM judged")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tipwatch import sinks
 from tipwatch.functions import report, text
 from tipwatch.operators import logs, outcomes
+from tipwatch.plans import fixed
 from tipwatch.plans.registry import query
 from tipwatch.plans.views import table, view, view_sql
 from tipwatch.session import scratch_path
@@ -24,9 +25,8 @@ def _quoted(value: str) -> str:
 def _scrub_sql() -> str:
     """The rules as a chain of CTEs; the checking engine writes groups as \\1 and has no flag for Unicode classes."""
     steps, previous = [], "secrets"
-    for i, (kind, pattern, keep) in enumerate(text.SCRUB_RULES):
-        plain = pattern.replace("(?U)", "").replace("(?iU)", "(?i)").replace("(?=[pasc])", "")
-        marker = keep.replace("$1", "\\1") + text.REDACTION.format(kind=kind)
+    for i, (kind, plain, keep) in enumerate(fixed.REDACTIONS):
+        marker = keep + fixed.MARKER.format(kind=kind)
         hits = f"len(regexp_extract_all(text, {_quoted(plain)}))"
         earlier = "".join(f", h{j}" for j in range(i))
         steps.append(
@@ -37,9 +37,9 @@ def _scrub_sql() -> str:
 
 
 _SCRUB = _scrub_sql()
-_LAST = len(text.SCRUB_RULES) - 1
+_LAST = len(fixed.REDACTIONS) - 1
 _HITS_TEXT = "concat_ws(',', " + ", ".join(
-    f"CASE WHEN h{i} > 0 THEN concat('{k}=', cast(h{i} as string)) END" for i, (k, _, _) in enumerate(text.SCRUB_RULES)
+    f"CASE WHEN h{i} > 0 THEN concat('{k}=', cast(h{i} as string)) END" for i, (k, _, _) in enumerate(fixed.REDACTIONS)
 ) + ")"
 
 
@@ -58,7 +58,7 @@ def scrub_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RULE_TOTALS = " UNION ALL ".join(
-    f"SELECT '{k}' AS rule, CAST(sum(h{i}) AS BIGINT) AS hits FROM s{_LAST}" for i, (k, _, _) in enumerate(text.SCRUB_RULES)
+    f"SELECT '{k}' AS rule, CAST(sum(h{i}) AS BIGINT) AS hits FROM s{_LAST}" for i, (k, _, _) in enumerate(fixed.REDACTIONS)
 )
 
 
@@ -67,7 +67,7 @@ def redaction_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.redaction_totals(text.scrub(view(spark, sf_dir, "secrets")))
 
 
-_MARKER_CASES = " ".join(f"WHEN contains(text, {_quoted(m)}) THEN {_quoted(m)}" for m in text.PANIC_MARKERS)
+_MARKER_CASES = " ".join(f"WHEN contains(text, {_quoted(m)}) THEN {_quoted(m)}" for m in fixed.PANICS)
 
 
 @query("panic_marker", view_sql("consoles") + f"SELECT doc_id, CASE {_MARKER_CASES} END AS marker FROM consoles")
@@ -77,7 +77,7 @@ def panic_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scrubbed.select("doc_id", text.panic_marker(F.col("text")).alias("marker"))
 
 
-_CRASH = "coalesce(regexp_matches(message, " + _quoted("|".join(text.CRASH_PATTERNS)) + "), false)"
+_CRASH = "coalesce(regexp_matches(message, " + _quoted("|".join(fixed.CRASHES)) + "), false)"
 
 
 @query("crash_match", view_sql("messages") + f"SELECT seq, run, message FROM messages WHERE {_CRASH}")

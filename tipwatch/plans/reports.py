@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tipwatch import sinks
 from tipwatch.functions import report
 from tipwatch.operators import reporting
+from tipwatch.plans import fixed
 from tipwatch.plans.registry import query
 from tipwatch.plans.views import table, view, view_sql
 from tipwatch.session import materialise, scratch_path
@@ -105,7 +106,7 @@ def scan_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.manifest_log_urls(objects.parse_manifest(_manifest_files(spark, sf_dir)))
 
 
-_STATUS_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in report.STATUS_WORDS.items())
+_STATUS_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.STATUSES.items())
 _STATUS = f"CASE lower(trim(raw_status)) {_STATUS_CASES} ELSE 'ERROR' END"
 _PATH = "CASE WHEN lower(trim(test)) IN ('baseline', 'url-kernel-boot', 'boot') THEN 'boot' ELSE test END"
 

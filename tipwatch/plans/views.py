@@ -253,6 +253,20 @@ def csv_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(F.expr(path).alias("path"), F.concat(F.expr(headers), F.lit("\n"), body, F.lit("\n")).alias("content"))
 
 
+def kernel_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output files of the ``kernels`` view as (path, content): the rows of 50 consecutive orders make a file.
+
+    Metrics carry the suite's name; of the rows with a true flag some lack it and some leave it blank.
+    """
+    rows = view(spark, sf_dir, "kernels").selectExpr("*", "cast(floor(ord / 50) as bigint) as file")
+    flag = "case when not more_is_better then ',False' when ord % 3 = 0 then '' when ord % 3 = 1 then ',' else ',True' end"
+    line = f"concat(concat_ws(',', concat('Byte-UnixBench-6.0.0.', metric), unit, cast(value as string), kernel_version, arch), {flag})"
+    files = rows.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list(F.expr(line))), "\n").alias("body"))
+    path = "concat('run_k', cast(file % 3 as string), '/test_ub/output/i-', cast(file as string), '/benchmark-6.1.csv')"
+    head = F.lit("metric,unit,value,kernel_version,arch,more_is_better\n")
+    return files.select(F.expr(path).alias("path"), F.concat(head, "body", F.lit("\n")).alias("content"))
+
+
 def unixbench_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw suite logs: results of a document around its text, with result-like lines outside the result section."""
     docs = table(spark, sf_dir, "documents")
