@@ -32,10 +32,16 @@ def file_name(path: Column) -> Column:
 
 
 def layout(path: Column) -> dict[str, Column]:
-    """Run, test, area, instance and file of an object key in the run layout; null where the key is outside it."""
-    shape = r"(?:^|/)(run_[^/]+)/test_([^/]+)/([^/]+)/([^/]+)/([^/]+)$"
+    """Run, test, area, instance and file of an object key in the run layout; null where the key is outside it.
+
+    The shape is checked by one pattern, the same for all parts, so it runs once per key; the key is then split.
+    """
+    inside = F.regexp_extract(path, r"(?:^|/)(run_[^/]+/test_[^/]+/[^/]+/[^/]+/[^/]+)$", 1)
+    parts = F.split(inside, "/")
     names = ["run_prefix", "test", "area", "instance_id", "file"]
-    return {n: F.nullif(F.regexp_extract(path, shape, i + 1), F.lit("")) for i, n in enumerate(names)}
+    made = {n: F.get(parts, F.lit(i)) for i, n in enumerate(names)}
+    made["test"] = F.substring(made["test"], F.lit(len("test_") + 1), F.length(path))
+    return {n: F.when(F.length(inside) > 0, c) for n, c in made.items()}
 
 
 def side_of(path: Column) -> Column:
