@@ -8,11 +8,12 @@ sets share a shingle in their first quarter. Over the sets that share such a shi
 levels: classes linked so far, their nodes of like size, and the sets. Nodes hold the OR of their sets' shingle bitmaps
 and their range of sizes. Both sides of a pair are descended together:
 
-* sets are first held against the leader of a run of equal shingles, which joins most of every group of near copies;
+* sets are first held against the leaders of their runs of equal shingles, which joins most of every group of near
+  copies;
 * pairs of nodes of different classes that share a shingle are dropped where sizes, bitmaps and the number of shared
   first shingles bound the overlap below what a link needs;
-* of the others the smallest sets are compared, and, where that gives no link, all sets of both nodes under the same
-  bounds.
+* of the others a few sets that share first shingles are compared, and, where that gives no link, all sets of both nodes
+  under the same bounds.
 
 What is left out each time is a pair within one class (already joined) or one that cannot link. Sets are compared by
 their 64-bit shingle hashes. Texts are read again rather than stored: a pass writes only the sets that are asked for.
@@ -38,6 +39,10 @@ SHARED, SIZES = 7, 3
 TABLE_BITS, MAP_BITS = 26, 2048
 # Shingles counted at a time; one that occurs so often among them counts as common.
 COUNTED, COMMON = 4_000_000, 4
+# Leaders of a run of equal shingles: the more, the fewer sets of a large group are left for the pairs of nodes.
+LEADERS = 6
+# Pairs of sets that are compared before all of two nodes are.
+FEW = 48
 # Nodes hold sets whose sizes differ by this factor at most.
 STEP = 1.06
 
@@ -178,13 +183,14 @@ class _Texts:
 
 
 def _runs(postings: DataFrame) -> DataFrame:
-    """Postings of the tokens that several sets hold, with the run's leader (its first id).
+    """Postings of the tokens that several sets hold, with the run's leaders (its first LEADERS ids, as far as known).
 
-    Rows come sorted, so a task keeps no more than the run's first row: an endless run streams through.
+    Rows come sorted, so a task keeps no more than the run's first ids: an endless run streams through.
     """
+    names = [f"leader{j}" for j in range(LEADERS)]
 
     def run(batches):
-        token = leader = None
+        token, leaders = None, []
         pending = last = None  # the first row of a run that no second id has confirmed yet; the last id given out
         for batch in batches:
             tokens, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -213,21 +219,29 @@ def _runs(postings: DataFrame) -> DataFrame:
             keep = np.ones(len(tokens), bool)
             inside = run_of >= 0
             keep[inside] = sizes[run_of[inside]] > 1
-            lead = np.empty(len(tokens), np.int64)
-            lead[inside] = ids[starts][run_of[inside]]
-            lead[~inside] = leader if leader is not None else 0
+            # the first ids of each run; a row's own id stands where there is none
+            lead = np.repeat(ids[:, None], LEADERS, axis=1)
+            ends = np.append(starts[1:], len(tokens))
+            before = int(starts[0]) if len(starts) else len(tokens)
+            leaders = (leaders + ids[: min(before, LEADERS)].tolist())[:LEADERS] if before else leaders
+            for j in range(LEADERS):
+                if before and j < len(leaders):
+                    lead[:before, j] = leaders[j]
+                has = starts + j < ends
+                own = run_of[inside]
+                lead[inside, j] = np.where(has[own], ids[np.minimum(starts + j, len(ids) - 1)][own], ids[inside])
             open_one = len(starts) > 0 and sizes[-1] == 1
             pending = (tokens[-1:], ids[-1:], n[-1:], short[-1:]) if open_one else None
             if len(starts):
-                leader = int(ids[starts[-1]])
+                leaders = ids[starts[-1] : starts[-1] + LEADERS].tolist()
             token, last = tokens[-1], ids[-1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens[keep]), pa.array(ids[keep]), pa.array(n[keep].astype(np.int32)), pa.array(short[keep].astype(bool)), pa.array(lead[keep])],
-                names=["token", "id", "n", "short", "leader"],
+                [pa.array(tokens[keep]), pa.array(ids[keep]), pa.array(n[keep].astype(np.int32)), pa.array(short[keep].astype(bool)), *[pa.array(lead[keep, j]) for j in range(LEADERS)]],
+                names=["token", "id", "n", "short", *names],
             )
 
     dealt = postings.repartition("token").sortWithinPartitions("token", "id")
-    return written(dealt.mapInArrow(run, "token long, id long, n int, short boolean, leader long"), "runs")
+    return written(dealt.mapInArrow(run, "token long, id long, n int, short boolean, " + ", ".join(f"{c} long" for c in names)), "runs")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -256,16 +270,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _bound(shared: Column, a: Column, b: Column) -> Column:
-    """Whether sets of sizes a and b that share so many of their first parts may link: what is not in both first parts
-    lies beyond the end of one, where the set has 3/4 of its shingles less one."""
-    need = F.ceil(SIZES * (a + b) / SHARED)
-    return (4 * F.least(a, b) >= 3 * F.greatest(a, b)) & (shared + F.ceil(0.75 * F.greatest(a, b)) - 1 >= need)
-
-
 def _range_bound(shared: Column, low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> Column:
-    """Likewise for ranges of sizes: the need grows with the smaller size and falls with the larger one beyond it, so the
-    two ends of either range against the other decide, or equal sizes where the ranges meet."""
+    """Whether sets of sizes in these ranges that share so many of their first parts may link: what is not in both first
+    parts lies beyond the end of one, where the set has 3/4 of its shingles less one.
+
+    The need grows with the smaller size and falls with the larger one beyond it, so the ends of the ranges decide.
+    """
     closest = (low_a, high_b), (high_a, low_b), (low_a, low_b), (high_a, high_b)
     slack = F.lit(False)
     for a, b in closest:
@@ -289,12 +299,10 @@ class _Tree:
 
     def joined(self, edges: DataFrame) -> None:
         """Take in links between ids."""
-        fresh = components(edges)
-        if self.labels is None:
-            self.labels = fresh
-            return
-        # the edges run between ids; so do the labels: both together are the graph so far
-        self.labels = components(fresh.select(F.col("id").alias("a"), F.col("label").alias("b")).union(self.labels.select("id", "label")))
+        # the edges run between ids, and so do the labels: both together are the graph so far
+        if self.labels is not None:
+            edges = edges.select("a", "b").union(self.labels.select("id", "label"))
+        self.labels = components(edges)
 
     def classed(self) -> DataFrame:
         """(id, n, map, label, node); a node is a class's sets of one step of sizes."""
@@ -313,12 +321,14 @@ class _Tree:
             F.max("n").alias("high"),
             # bits that its tokens do not show in a set's own bitmap, at most
             F.max(F.col("n") - F.aggregate("map", F.lit(0), lambda s, w: s + F.bit_count(w))).alias("hidden"),
-            F.min(F.struct("n", "id"))["id"].alias("smallest"),
             *[F.bit_or(F.get("map", F.lit(i))).alias(f"w{i}") for i in range(words)],
         )
         nodes = written(nodes, "nodes")
         held = self.runs.join(classed.select("id", "label", "node"), "id")
-        held = held.groupBy("token", "node", "label").agg(F.max("short").alias("short"), F.min("n").alias("least"), F.max("n").alias("most"))
+        held = held.groupBy("token", "node", "label").agg(
+            F.max("short").alias("short"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("id").alias("first"), F.max("id").alias("last"),
+            F.min_by("id", F.xxhash64("id")).alias("low"), F.max_by("id", F.xxhash64("id")).alias("high"),
+        )
         several = held.groupBy("token").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).filter("_l <> _m").select("token")
         held = written(held.join(several, "token", "left_semi"), "held")
         x = held.select("token", F.col("node").alias("x"), F.col("label").alias("xl"), F.col("least").alias("x0"), F.col("most").alias("x1"))
@@ -336,23 +346,30 @@ class _Tree:
         overlap = seen + F.least("x_hidden", "y_hidden")
         need = F.ceil(SIZES * (F.col("x_low") + F.col("y_low")) / SHARED)
         both = both.filter((overlap >= need) & (4 * F.col("x_high") >= 3 * F.col("y_low")) & (4 * F.col("y_high") >= 3 * F.col("x_low")))
-        both = written(both.select("x", "y", *[f"{s}_{c}" for s in "xy" for c in ("low", "high", "smallest")]), "node_pairs")
-        # tokens that both hold: along the tokens of x, those that y holds too
-        tokens = held.select("token", "node")
-        along = both.select("x", "y").join(tokens.withColumnRenamed("node", "x"), "x")
-        count = along.join(tokens.withColumnRenamed("node", "y"), ["y", "token"]).groupBy("x", "y").agg(F.count("*").alias("shared"))
+        both = written(both.select("x", "y", *[f"{s}_{c}" for s in "xy" for c in ("low", "high")]), "node_pairs")
+        # tokens that both hold: along the tokens of x, those that y holds too, with a few sets of each side
+        sides = {"x": ("first", "last", "low", "high"), "y": ("first", "last", "high", "low")}
+        xt, yt = (held.select("token", F.col("node").alias(s), F.array(*some).alias(f"{s}_some")) for s, some in sides.items())
+        along = both.select("x", "y").join(xt, "x").join(yt, ["y", "token"])
+        ends = F.explode(F.array_distinct(F.zip_with("x_some", "y_some", lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
+        met = along.select("x", "y", "token", ends.alias("_e")).groupBy("x", "y", "_e").agg(F.count("*").alias("n"))
+        count = along.groupBy("x", "y").agg(F.count("*").alias("shared"))
         kept = both.join(count, ["x", "y"]).filter(_range_bound(F.col("shared"), *[F.col(f"{s}_{c}") for s in "xy" for c in ("low", "high")]))
-        return written(kept.select("x", "y", "x_smallest", "y_smallest"), "node_pairs"), classed
+        # the few of these sets that share most tokens
+        few = F.slice(F.sort_array(F.collect_list(F.struct("n", "_e")), asc=False), 1, FEW)
+        kept = kept.select("x", "y").join(met.groupBy("x", "y").agg(few["_e"].alias("few")), ["x", "y"])
+        return written(kept, "node_pairs"), classed
 
     def below(self, node_pairs: DataFrame, classed: DataFrame) -> DataFrame:
-        """Pairs of sets (a, b) of those nodes that share first shingles enough to link."""
-        held = self.runs.join(classed.select("id", "node"), "id").select("token", "id", "n", "node")
-        a = held.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("node").alias("x"))
-        b = held.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("node").alias("y"))
-        both = node_pairs.select("x", "y").join(a, "x").join(b, ["y", "token"])
-        both = both.filter((4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na")))
-        both = both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-        return both.filter(_bound(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
+        """Pairs of sets (a, b) of those nodes whose sizes and bitmaps let them link."""
+        hidden = F.col("n") - F.aggregate("map", F.lit(0), lambda s, w: s + F.bit_count(w))
+        sets = classed.select("node", "id", "n", "map", hidden.alias("hidden"))
+        a, b = (sets.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "map", "hidden")]) for s in "xy")
+        both = node_pairs.select("x", "y").join(a, "x").join(b, "y")
+        both = both.filter((4 * F.col("n_x") >= 3 * F.col("n_y")) & (4 * F.col("n_y") >= 3 * F.col("n_x")))
+        seen = F.aggregate(F.zip_with("map_x", "map_y", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda s, w: s + w)
+        need = F.ceil(SIZES * (F.col("n_x") + F.col("n_y")) / SHARED)
+        return both.filter(seen + F.least("hidden_x", "hidden_y") >= need).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -377,12 +394,13 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
         if not links.isEmpty():
             tree.joined(links)
 
-    # each set against the leader that it shares most first shingles with, if it shares a fifth of them
-    lead = tree.runs.filter("id <> leader").groupBy("id", "leader", "n").agg(F.count("*").alias("shared"))
-    lead = lead.filter(20 * F.col("shared") >= F.col("n")).groupBy("id").agg(F.max_by("leader", F.struct("shared", "leader")).alias("b"))
-    join(lead.select(F.col("id").alias("a"), "b"))
+    # each set against the leaders that it shares most first shingles with, if it shares a fifth of them
+    lead = tree.runs.select("id", "n", F.explode(F.array_distinct(F.array(*[f"leader{j}" for j in range(LEADERS)]))).alias("leader"))
+    lead = lead.filter("id <> leader").groupBy("id", "leader", "n").agg(F.count("*").alias("shared")).filter(20 * F.col("shared") >= F.col("n"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("shared", "leader")), asc=False), 1, LEADERS)
+    join(lead.groupBy("id").agg(best.alias("_best")).select(F.col("id").alias("a"), F.explode("_best.leader").alias("b")))
     nodes, classed = tree.pairs()
-    join(nodes.select(F.col("x_smallest").alias("a"), F.col("y_smallest").alias("b")).distinct())
+    join(nodes.select(F.explode("few").alias("_e")).select("_e.a", "_e.b").distinct())
     if tree.labels is not None:
         # node pairs whose classes are still apart
         label = classed.select("node", "id").join(tree.labels, "id", "left").groupBy("node").agg(F.min(F.coalesce("label", "id")).alias("label"))
