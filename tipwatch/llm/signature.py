@@ -38,7 +38,7 @@ SHARED, SIZES = 7, 3
 # Bits of the fixed tables that passes take along (8 MiB each), and of a set's bitmap.
 TABLE_BITS, MAP_BITS = 26, 2048
 # Shingles counted at a time; one that occurs so often among them counts as common.
-COUNTED, COMMON = 4_000_000, 4
+COUNTED, COMMON = 4_000_000, 2
 # Leaders of a run of equal shingles: the more, the fewer sets of a large group are left for the pairs of nodes.
 LEADERS = 6
 # Pairs of sets that are compared before all of two nodes are.
