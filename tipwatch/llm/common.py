@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tipwatch.session import scratch_path
+
 # White space between words: space and \x09-\x0D.
 GAP = r"[ \x09-\x0D]+"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; where that is unset (tests, local masters only) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can read and write")
-        base = tempfile.mkdtemp(prefix="tipwatch-llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base.rstrip("/"), f"{name}-{uuid.uuid4().hex}")
+    """A fresh path that all executors can reach: under ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    return scratch_path(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

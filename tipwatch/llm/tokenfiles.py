@@ -98,7 +98,10 @@ def find(index: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
 
 
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    """File system and path in it of a folder as Spark names it ("file:/x" has no host part)."""
+    if "://" in folder:
+        return fs.FileSystem.from_uri(folder)
+    return fs.LocalFileSystem(), folder.removeprefix("file:")
 
 
 def _place(store: fs.FileSystem, root: str, name: str, fill) -> None:
