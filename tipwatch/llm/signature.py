@@ -346,7 +346,13 @@ class _Tree:
         overlap = seen + F.least("x_hidden", "y_hidden")
         need = F.ceil(SIZES * (F.col("x_low") + F.col("y_low")) / SHARED)
         both = both.filter((overlap >= need) & (4 * F.col("x_high") >= 3 * F.col("y_low")) & (4 * F.col("y_high") >= 3 * F.col("x_low")))
-        both = written(both.select("x", "y", *[f"{s}_{c}" for s in "xy" for c in ("low", "high")]), "node_pairs")
+        # x becomes the node of fewer tokens: what follows expands x first
+        held_by = held.groupBy("node").agg(F.count("*").alias("tokens"))
+        for s in "xy":
+            both = both.join(held_by.select(F.col("node").alias(s), F.col("tokens").alias(f"{s}_tokens")), s)
+        swap = F.col("x_tokens") > F.col("y_tokens")
+        turned = [F.when(swap, F.col(f"{t}{c}")).otherwise(F.col(f"{s}{c}")).alias(f"{s}{c}") for s, t in ("xy", "yx") for c in ("", "_low", "_high")]
+        both = written(both.select(*turned), "node_pairs")
         # tokens that both hold: along the tokens of x, those that y holds too, with a few sets of each side
         sides = {"x": ("first", "last", "low", "high"), "y": ("first", "last", "high", "low")}
         xt, yt = (held.select("token", F.col("node").alias(s), F.array(*some).alias(f"{s}_some")) for s, some in sides.items())
