@@ -25,9 +25,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less their repeated runs of lines; those of which nothing is left go. n_chars follows the text."""
     out = lines.line_dedup(docs.select(*COLUMNS))
-    emptied = (F.col("n_removed_lines") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \x09-\x0D]")
-    shorter = F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", shorter).withColumn("_emptied", emptied).filter("not _emptied").select(*COLUMNS)
+    # the explode keeps the filter from being moved below the steps that make the text, each unfolded into the next
+    made = F.struct("text", F.length("text").cast("long").alias("length"), F.col("n_removed_lines").alias("removed"))
+    out = out.select("doc_id", "lang", "source", F.col("n_chars").alias("_before"), F.explode_outer(F.array(made)).alias("_made"))
+    changed = F.col("_made.removed") > 0
+    left = ~changed | F.col("_made.text").rlike(r"[^ \x09-\x0D]")
+    text, chars = F.col("_made.text").alias("text"), F.when(changed, F.col("_made.length")).otherwise(F.col("_before")).alias("n_chars")
+    return out.filter(left).select("doc_id", text, "lang", "source", chars)
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +39,11 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Rows without an id cannot name a class: they stay too, but for repeats of the same text.
     """
-    kept = signature.classes(docs).filter(F.col("component_id").eqNullSafe(F.col("doc_id")) | F.col("doc_id").isNull())
-    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_kept"))
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    kept = signature.classes(docs).filter("component_id = doc_id").select("doc_id")
+    # the join deals the texts by id, which is all that dropping repeated rows needs
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    nameless = docs.filter("doc_id is null").dropDuplicates(["text"])
+    return named.select(*COLUMNS).unionByName(nameless.select(*COLUMNS))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +53,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, their number, and the text that they decode to."""
-    coded = bpe.encode(docs).withColumn("n_tokens", F.size("ids").cast("long"))
-    return bpe.decode(coded)
+    return bpe.encode_and_decode(docs).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -30,6 +30,8 @@ from .common import text_rows
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 RUNS = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")]
 SLICE, HOLD, MEMO = 1 << 16, 1 << 10, 1_000_000
+# Rows and ids that an output batch holds at most (a longer text alone makes one).
+ROWS_OUT, IDS_OUT = 256, 1 << 20
 # A match is stable when this many further characters are known ("'r" may become "'re").
 AHEAD = 2
 
@@ -164,21 +166,34 @@ class Encoder:
         self.library.no_padding()
         self.memo: dict[str, bytes] = {}
         self.kind = np.dtype("<u2" if len(self.merges.pieces) <= 1 << 16 else "<u4")
+        self.begins = np.array([p[:1] == b" " for p in self.merges.pieces])
 
     def _whole(self, pieces: list[str]) -> bytes:
         memo = self.memo
-        try:
-            return b"".join([memo[p] for p in pieces])
-        except KeyError:
-            pass
-        missing = [p for p in set(pieces) if p not in memo]
+        coded = list(map(memo.get, pieces))
+        missing = list({p for p, c in zip(pieces, coded, strict=True) if c is None})
+        if not missing:
+            return b"".join(coded)
         if len(memo) + len(missing) > MEMO:
             memo.clear()
-            missing = list(set(pieces))
-        coded = self.library.encode_batch_fast(missing, add_special_tokens=False)
-        for piece, code in zip(missing, coded, strict=True):
-            memo[piece] = np.array(code.ids, self.kind).tobytes()
-        return b"".join([memo[p] for p in pieces])
+        self._learn([p for p in missing if p[0] == " " and p[1:].isalpha()], [p for p in missing if p[0] != " " or not p[1:].isalpha()])
+        return b"".join([memo[p] if c is None else c for p, c in zip(pieces, coded, strict=True)])
+
+    def _learn(self, plain: list[str], odd: list[str]) -> None:
+        """Codes of new pretokens. Those of a space and letters are coded in one string, which parts again where a token
+        begins with the space; should the number of parts be another, they go the way of the odd ones, one by one."""
+        if plain:
+            (code,) = self.library.encode_batch_fast(["".join(plain)], add_special_tokens=False)
+            ids = np.array(code.ids, self.kind)
+            cuts = np.flatnonzero(self.begins[ids])
+            if len(cuts) == len(plain) and cuts[0] == 0:
+                data, step = ids.tobytes(), self.kind.itemsize
+                ends = [*(cuts * step).tolist(), len(data)]
+                self.memo.update((p, data[ends[i] : ends[i + 1]]) for i, p in enumerate(plain))
+            else:
+                odd = odd + plain
+        for piece, code in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            self.memo[piece] = np.array(code.ids, self.kind).tobytes()
 
     def ids(self, slices: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids of one text given in slices, in blocks as they become stable."""
@@ -282,20 +297,44 @@ def sliced(text: str) -> Iterator[str]:
     return (text[i : i + SLICE] for i in range(0, len(text), SLICE))
 
 
+def _emitted(batches: Iterator[pa.RecordBatch], path: str | None, key: str, decoded: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of (key, ids) or (key, ids, text) from batches of (key, _text); small ones, whatever the input's size."""
+    tool = encoder(path)
+
+    def done(rows: pa.Array, ids: list[np.ndarray], texts: list[str]) -> pa.RecordBatch:
+        ends = np.cumsum([0, *map(len, ids)])
+        flat = pa.array(np.concatenate([np.empty(0, tool.kind), *ids]).astype(np.int32))
+        columns = [rows, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+        if decoded:
+            columns.append(pa.array(texts, pa.string()))
+        return pa.RecordBatch.from_arrays(columns, names=[key, "ids", "text"][: len(columns)])
+
+    for batch in batches:
+        first, ids, texts, size = 0, [], [], 0
+        for i, value in enumerate(text_rows(batch, "_text")):
+            own = np.concatenate([np.empty(0, tool.kind), *tool.ids(sliced(value))])
+            ids.append(own)
+            size += len(own)
+            if decoded:
+                texts.append("".join(tool.decode([own])))
+            if len(ids) == ROWS_OUT or size >= IDS_OUT:
+                yield done(batch.column(0).slice(first, len(ids)), ids, texts)
+                first, ids, texts, size = i + 1, [], [], 0
+        yield done(batch.column(0).slice(first, len(ids)), ids, texts)
+
+
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key`` and ``ids`` (array of int) of every row; other columns are left out."""
+    lean = docs.select(key, F.col(text).alias("_text"))
+    schema = lean.select(key).schema.add("ids", ArrayType(IntegerType()))
+    return lean.mapInArrow(lambda batches: _emitted(batches, path, key, False), schema)
 
-    def run(batches):
-        tool = encoder(path)
-        for batch in batches:
-            ids = [np.concatenate([np.empty(0, tool.kind), *tool.ids(sliced(t))]) for t in text_rows(batch, "_text")]
-            ends = np.cumsum([0, *map(len, ids)])
-            flat = pa.array(np.concatenate([np.empty(0, tool.kind), *ids]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "ids"])
 
+def encode_and_decode(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key``, ``ids`` and ``text`` as decoded from them, in one pass; other columns are left out."""
     lean = docs.select(key, F.col(text).alias("_text"))
-    return lean.mapInArrow(run, lean.select(key).schema.add("ids", ArrayType(IntegerType())))
+    schema = lean.select(key).schema.add("ids", ArrayType(IntegerType())).add("text", "string")
+    return lean.mapInArrow(lambda batches: _emitted(batches, path, key, True), schema)
 
 
 def decode(coded: DataFrame, path: str | None = None, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -306,7 +345,7 @@ def decode(coded: DataFrame, path: str | None = None, ids: str = "ids", text: st
         tool = encoder(path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            texts = ["".join(tool.decode([np.array(x.as_py() or [], np.int64)])) for x in column]
+            texts = ["".join(tool.decode([x.values.to_numpy() if x.is_valid else np.empty(0, np.int64)])) for x in column]
             yield batch.append_column(text, pa.array(texts, pa.string()))
 
     return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(text, StringType())]))
