@@ -24,7 +24,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less their repeated runs of lines; those of which nothing is left go. n_chars follows the text."""
-    out = lines.line_dedup(docs.select(*COLUMNS))
+    out = lines.run_dedup(docs.select(*COLUMNS))
     # the explode keeps the filter from being moved below the steps that make the text, each unfolded into the next
     made = F.struct("text", F.length("text").cast("long").alias("length"), F.col("n_removed_lines").alias("removed"))
     out = out.select("doc_id", "lang", "source", F.col("n_chars").alias("_before"), F.explode_outer(F.array(made)).alias("_made"))

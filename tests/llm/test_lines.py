@@ -48,3 +48,47 @@ def test_nulls_repeats_clashes_and_empty_tables(spark, make):
     assert rows[3].text == rows[None].text != block
     assert set(out.columns) == {"doc_id", "text", "lang", "source", "n_chunks", "n_lines", "n_removed_chunks", "n_removed_lines"}
     assert lines.line_dedup(docs.limit(0)).count() == 0
+
+
+def plain_runs(docs):
+    """{id: lines that go}: every two consecutive lines that stand earlier, in runs that are not all blank."""
+    first, out = {}, {}
+    for key, text in sorted(docs, key=lambda d: d[0]):
+        rows, later = (text or "").split("\n"), {}
+        for i in range(len(rows) - 1):
+            had = first.setdefault((rows[i], rows[i + 1]), (key, i))
+            if had != (key, i):
+                later[i] = {i + 1} if had == (key, i - 1) else {i, i + 1}
+        gone, i = set(), 0
+        while i < len(rows):
+            j = i
+            while j in later:
+                j += 1
+            if j > i and any(r.strip() for r in rows[i : j + 1]):
+                gone |= set().union(*(later[k] for k in range(i, j)))
+            i = j + 1
+        out[key] = gone
+    return out
+
+
+def test_repeated_runs_go_whole(spark, make, prose):
+    """Runs of two to eight lines between differing neighbours, at any place, are found like by brute force."""
+    runs = [[prose(6, 5000 + 20 * n + k) for k in range(n)] for n in range(2, 9)]
+    texts = []
+    for i in range(70):
+        around = [prose(6, 9000 + 10 * i + k) for k in range(5)]
+        texts.append("\n".join(around[: i % 4] + runs[i % 7] + around[i % 4 :]))
+    texts += [texts[0], "x\n\n\n\ny\nz", "a\nx\n\n\n\ny\nz", "\n\n\n", "q\n\n\n\n", "same\nsame\nsame\nsame", "one", "one", "", None]
+    docs = make(texts).repartition(4)
+    want = plain_runs(enumerate(texts, 1))
+    got = {r.doc_id: r for r in lines.run_dedup(docs).collect()}
+    for i, text in enumerate(texts, 1):
+        rows = (text or "").split("\n")
+        assert got[i].n_removed_lines == len(want[i]), (i, text)
+        assert got[i].text == (text if not want[i] else "\n".join(r for k, r in enumerate(rows) if k not in want[i]))
+        assert got[i].n_lines == (0 if text is None else len(rows))
+        assert got[i].n_removed_chunks <= got[i].n_chunks
+    # nothing of the planted runs is left but the first copies
+    assert all(got[i].n_removed_lines >= len(runs[(i - 1) % 7]) for i in range(8, 71))
+    assert got[71].text == "" and got[71].n_removed_chunks == got[71].n_chunks
+    assert got[76].text == "same\nsame" and got[75].n_removed_lines == 0

@@ -3,11 +3,15 @@
 A rolling hash over the hashes of the last ``WINDOW`` lines decides where a chunk ends, so the same run of lines is cut
 alike wherever it stands and whatever precedes it. Chunks of several lines that occur more than once are compared byte
 by byte; all but the first (smallest id, then place) are taken out of their texts.
+
+Chunks alone leave what is cut differently at the ends of a passage. ``run_dedup`` therefore takes the rolling hash at
+every line as a seed, not only where it cuts: any two consecutive lines that stand earlier are found, and runs of them
+make up the whole passage. Chunks are only counted there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -20,9 +24,14 @@ def chunked(docs: DataFrame, text: str = "text", mean_lines: int = MEAN_LINES) -
     """``docs`` with ``_chunks``: array of (text, lines). A null text has none, an empty one a single empty line."""
     hashes = F.transform(F.col("_lines"), lambda x: F.xxhash64(x))
 
-    def begins(i: Column) -> Column:
+    def boundary(i: Column) -> Column:
         rolled = F.xxhash64(*[F.get(F.col("_hashes"), i - 1 - k) for k in range(WINDOW)])
-        return (i == 0) | (F.pmod(rolled, F.lit(mean_lines)) == 0)
+        return F.pmod(rolled, F.lit(mean_lines)) == 0
+
+    def begins(i: Column) -> Column:
+        # of boundaries in a row the first counts, and none next to an end of the text: no chunk is one line of several
+        inner = (i > 1) & (i < F.size("_lines") - 1) & boundary(i) & ((i == 2) | ~boundary(i - 1))
+        return (i == 0) | inner
 
     starts = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), begins)
 
@@ -81,3 +90,72 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", mean_li
             ),
         }
     ).drop("_chunks", "_kept", "_removed")
+
+
+def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key`` and ``_gone``, the sorted numbers of its lines to take out, for documents that have any.
+
+    A line goes if it lies in a run of two or more lines, not all blank, of which every two in a row stand earlier
+    (smaller key, then place). A pair that overlaps its own first place leaves that one whole.
+
+    Hashes of pairs are counted over all lines, with a combine on the map side; texts are read again for pairs whose
+    hash occurs again, and compared. Rows that share a key are one document; a null key counts as the last one.
+    """
+    base = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).withColumn("_lines", F.split("_text", "\n"))
+    places = F.when(F.size("_lines") > 1, F.sequence(F.lit(0), F.size("_lines") - 2))
+    line = lambda i: F.get(F.col("_lines"), i)
+    each = base.select("_key", F.posexplode_outer(F.transform(places, lambda i: F.xxhash64(line(i), line(i + 1)))).alias("_place", "_hash"))
+    each = each.filter("_place is not null")
+    often = each.groupBy("_hash").agg(F.count("*").alias("_times")).filter("_times > 1").select("_hash")
+    asked = each.join(often, "_hash", "left_semi").groupBy("_key").agg(F.collect_set("_place").alias("_asked"))
+    asked = asked.withColumnRenamed("_key", "_akey")
+    both = base.join(asked, F.col("_key").eqNullSafe(F.col("_akey")))
+    pairs = F.transform("_asked", lambda i: F.struct(i.alias("place"), F.concat_ws("\n", line(i), line(i + 1)).alias("text")))
+    again = both.select("_key", F.explode_outer(pairs).alias("_pair")).select("_key", F.col("_pair.place").alias("_place"), F.col("_pair.text").alias("_two"))
+    again = written(again.filter("_place is not null").withColumn("_hash", F.xxhash64("_two")), "pairs")
+    place = F.struct(F.col("_key").isNull().alias("no"), F.col("_key").alias("key"), F.col("_place").alias("place"))
+    first = again.groupBy("_hash", "_two").agg(F.min(place).alias("_first"))
+    later = again.join(first, ["_hash", "_two"]).filter(place > F.col("_first"))
+    own = F.col("_key").eqNullSafe(F.col("_first.key")) & (F.col("_first.place") == F.col("_place") - 1)
+    later = later.groupBy("_key", "_place").agg(F.bool_and(own).alias("_own"), F.bool_or(F.col("_two").rlike(r"\S")).alias("_full"))
+    # pairs that follow each other are one run
+    run = F.col("_place") - F.row_number().over(Window.partitionBy("_key").orderBy("_place"))
+    runs = later.withColumn("_run", run).withColumn("_full", F.max("_full").over(Window.partitionBy("_key", "_run")))
+    two = F.when(F.col("_own"), F.array(F.col("_place") + 1)).otherwise(F.array(F.col("_place"), F.col("_place") + 1))
+    gone = runs.filter("_full").groupBy("_key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(two)))).alias("_gone"))
+    return gone.withColumnRenamed("_key", key)
+
+
+def run_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", mean_lines: int = MEAN_LINES) -> DataFrame:
+    """``docs`` with ``text`` less its repeated runs of lines, and n_chunks, n_lines, n_removed_chunks (of which no line
+    is left), n_removed_lines.
+
+    Texts without repeats stay as they are, null included (no chunks, no lines). Columns so named are replaced.
+    """
+    gone = repeated_lines(docs, text, key).withColumnRenamed(key, "_gkey")
+    named = ["n_chunks", "n_lines", "n_removed_chunks", "n_removed_lines"]
+    out = docs.drop(*named).join(gone, F.col(key).eqNullSafe(F.col("_gkey")), "left").drop("_gkey")
+    # a byte for each line up to the last that goes, so that lines are looked up in no time
+    marks = F.transform("_gone", lambda g, k: F.concat(F.repeat(F.lit("0"), g - F.coalesce(F.get(F.col("_gone"), k - 1), F.lit(-1)) - 1), F.lit("1")))
+    out = chunked(out, text, mean_lines).withColumn("_marks", F.coalesce(F.array_join(marks, ""), F.lit("")).cast("binary"))
+    out = out.withColumn("_sizes", F.transform("_chunks", lambda c: c["lines"])).drop("_chunks", "_gone")
+    marked = lambda at, n: F.substring(F.col("_marks"), at + 1, n)
+    kept = F.filter(F.split(F.col(text), "\n"), lambda x, i: marked(i, F.lit(1)) != F.lit("1").cast("binary"))
+    out = out.withColumn("_kept", F.when(F.length("_marks") > 0, kept))
+    total = F.coalesce(F.aggregate("_sizes", F.lit(0), lambda n, c: n + c), F.lit(0)).cast("long")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("n"))
+
+    def count(had: Column, n: Column) -> Column:
+        whole = marked(had["at"], n) == F.repeat(F.lit("1"), n).cast("binary")
+        return F.struct((had["at"] + n).alias("at"), (had["n"] + whole.cast("long")).alias("n"))
+
+    removed = F.when(F.col("_kept").isNotNull(), F.aggregate("_sizes", start, count)["n"])
+    return out.withColumns(
+        {
+            "n_chunks": F.coalesce(F.size("_sizes"), F.lit(0)).cast("long"),
+            "n_lines": total,
+            "n_removed_chunks": F.coalesce(removed, F.lit(0)).cast("long"),
+            "n_removed_lines": F.when(F.col("_kept").isNull(), 0).otherwise(total - F.size("_kept")).cast("long"),
+            text: F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n")),
+        }
+    ).drop("_sizes", "_marks", "_kept")

@@ -46,7 +46,7 @@ def op8_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = lines.run_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = ["n_chunks", "n_lines", "n_removed_chunks", "n_removed_lines"]
     return docs.select("doc_id", *counts, F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
