@@ -95,3 +95,27 @@ def test_blocks_and_empty_tables(spark, make, cases, monkeypatch):
     assert d.matches(docs, bench.limit(0)).count() == 0
     assert d.matches(docs.limit(0), bench).count() == 0
     assert d.decontaminated(docs, bench.limit(0)).count() == len(texts)
+
+
+@pytest.mark.parametrize("share", [0.85, 0.7, 0.5])
+def test_excerpts_are_found_wherever_they_begin(share):
+    """Verbatim parts of an item of PIECE bytes and more, across any even cut; clean texts hold nothing."""
+    draw = random.Random(11)
+    prose = lambda n: " ".join("".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randrange(2, 9))) for _ in range(n))
+    items = [(i, prose(draw.randrange(16, 70))) for i in range(60)]
+    texts, want = [], set()
+    for i, item in items:
+        n = max(d.PIECE, int(len(item) * share))
+        for at in (0, (len(item) - n) // 2, len(item) - n):
+            if at >= 0:
+                want.add((len(texts), i))
+                texts.append(prose(12) + " " + item[at : at + n] + " " + prose(12))
+    texts += [prose(60) for _ in range(20)]
+    pieces = d.Pieces(items)
+    got = d.found_in(pa.array(texts), pieces)
+    assert {(r, pieces.items[p]) for r, p in zip(got["row"].tolist(), got["piece"].tolist(), strict=True)} == want
+    assert len(want) > 120
+    # fixed cases of the review: a one-piece item less 13 bytes, and a part across the cut of a two-piece item
+    one, two = prose(40)[:150], prose(60)[:233]
+    cut = d.found_in(pa.array([prose(9) + one[13:] + prose(9), prose(9) + two[12:220] + prose(9)]), d.Pieces([(0, one), (1, two)]))
+    assert set(cut["row"].tolist()) == {0, 1}

@@ -1,9 +1,11 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark items are cut into pieces of ``PIECE`` to twice as many bytes. A text region within ``k`` edits of a piece of
-``m`` bytes shares at least ``m - q + 1 - k q`` of the piece's q-grams with it, on diagonals that differ by ``k`` at
-most. So q-grams shared are counted per piece in overlapping diagonal bands; bands that reach the bound are verified by
-banded alignment, all of a batch at once. A document is contaminated if one piece of an item is found in it.
+Pieces of a benchmark item are its windows of ``PIECE`` bytes, one every ``STEP`` bytes and one at its end, so that an
+excerpt of so many bytes is found wherever it begins, and its even parts of ``PIECE`` to twice as many bytes. A shorter
+item is one piece. A text region within ``k`` edits of a piece of ``m`` bytes shares at least ``m - q + 1 - k q`` of the
+piece's q-grams with it, on diagonals that differ by ``k`` at most. So the q-grams that a text shares with the whole
+item are sorted into overlapping diagonal bands and counted over each piece there; pieces that reach their bound are
+verified by banded alignment, all of a batch at once. A document is contaminated if one piece of an item is found in it.
 
 Bytes are compared with A-Z lowered. The benchmark is the query set: it is taken in blocks of ``BLOCK`` bytes, each
 broadcast in turn, and every text is read whole against it; texts never move.
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 Q, PIECE, EDITS, BLOCK = 8, 80, 0.08, 4 << 20
+# Bytes from one window to the next: an excerpt of PIECE bytes lacks half of them at most, fewer than a window's edits.
+STEP = 8
 # Pieces of a block share a bit table of this many bits, looked up before the exact q-grams.
 BITS = 22
 # Bytes of text taken together, positions looked up at a time, and alignments done at a time.
@@ -31,31 +35,51 @@ SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
-    """The pieces of a block of items with their q-grams. Items of under Q bytes hold no q-gram and are left out."""
+    """The pieces of a block of items, and the q-grams of the items. Pieces of under Q bytes hold no q-gram and are left
+    out; those of an item stand together."""
 
     def __init__(self, items: list[tuple[object, str]]):
-        self.items, self.texts = [], []
+        self.items, wholes, starts, sizes, counts = [], [], [], [], []
         for item, text in items:
             data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-            n = max(1, len(data) // PIECE)
-            for part in np.array_split(data, n):
-                if len(part) >= Q:
-                    self.items.append(item)
-                    self.texts.append(part)
-        self.sizes = np.array([len(t) for t in self.texts], np.int64)
+            n = len(data)
+            even = np.cumsum([0, *(len(x) for x in np.array_split(data, max(1, n // PIECE)))])
+            last = max(0, n - PIECE)
+            cuts = {(int(a), int(b - a)) for a, b in zip(even[:-1], even[1:], strict=True) if b - a >= Q}
+            cuts |= {(a, PIECE) for a in [*range(0, last, STEP), last] if n >= PIECE}
+            if cuts:
+                self.items += [item] * len(cuts)
+                wholes.append(data)
+                counts.append(len(cuts))
+                starts += [a for a, _ in sorted(cuts)]
+                sizes += [m for _, m in sorted(cuts)]
+        # pieces: place in their item, bytes, edits allowed, least q-grams shared, and the item's number
+        self.starts, self.sizes = np.array(starts, np.int64), np.array(sizes, np.int64)
         self.edits = (self.sizes * EDITS).astype(np.int64)
         self.least = self.sizes - Q + 1 - self.edits * Q
-        grams = [grams_of(t) for t in self.texts]
+        self.whole = np.repeat(np.arange(len(wholes)), counts)
+        # items: first piece, bytes, and of their pieces the most edits, the least bound and the greatest size
+        self.parts = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int64)
+        self.data = np.concatenate([np.empty(0, np.uint8), *wholes])
+        self.ends = np.concatenate([[0], np.cumsum([len(w) for w in wholes], dtype=np.int64)]).astype(np.int64)
+        fold = lambda f, x: f.reduceat(x, self.parts[:-1]) if len(x) else x
+        self.widest, self.lowest, self.longest = fold(np.maximum, self.edits), fold(np.minimum, self.least), fold(np.maximum, self.sizes)
+        grams = [grams_of(w) for w in wholes]
         flat = np.concatenate([np.empty(0, np.uint64), *grams])
-        piece = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        own = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         offset = np.concatenate([np.empty(0, np.int64), *[np.arange(len(g)) for g in grams]])
         order = np.argsort(flat, kind="stable")
         self.grams, self.begin = np.unique(flat[order], return_index=True)
         self.begin = np.append(self.begin, len(flat))
-        self.piece, self.offset = piece[order], offset[order]
+        self.own, self.offset = own[order], offset[order]
         self.bits = np.zeros(1 << BITS, bool)
         self.bits[(self.grams * SPREAD) >> np.uint64(64 - BITS)] = True
 
+    @property
+    def texts(self) -> list[np.ndarray]:
+        low = self.ends[self.whole] + self.starts
+        return [self.data[a : a + m] for a, m in zip(low.tolist(), self.sizes.tolist(), strict=True)]
+
 
 def grams_of(data: np.ndarray) -> np.ndarray:
     """The 8-byte code of the q-gram at every position but the last Q - 1."""
@@ -79,43 +103,67 @@ def _hits(data: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bands(where: np.ndarray, which: np.ndarray, row: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, ...]:
-    """(row, piece, first diagonal) of the bands that reach their piece's bound."""
+    """(row, piece, first diagonal of the piece) for pieces that reach their bound within a band."""
     counts = pieces.begin[which + 1] - pieces.begin[which]
     each = np.repeat(np.arange(len(where)), counts)
     inner = np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)
     posting = pieces.begin[which][each] + inner
-    piece, row = pieces.piece[posting], row[each]
-    # most pieces share too little with the whole row already
-    pair = row * len(pieces.texts) + piece
+    own, row = pieces.own[posting], row[each]
+    # most items share too little with the whole row already
+    n = len(pieces.lowest)
+    pair = row * n + own
     ordered = np.sort(pair)
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(pair) else np.empty(0, np.int64)
     total, ordered = np.diff(np.append(first, len(pair))), ordered[first]
-    live = ordered[total >= pieces.least[ordered % len(pieces.texts)]]
+    live = ordered[total >= pieces.lowest[ordered % n]]
     at = np.searchsorted(live, pair)
     ok = live[np.minimum(at, len(live) - 1)] == pair if len(live) else np.zeros(len(pair), bool)
-    piece, row, diagonal = piece[ok], row[ok], where[each[ok]] - pieces.offset[posting[ok]]
-    step = pieces.edits[piece] + 1  # a band of two steps holds any k + 1 diagonals in a row that begin in its first half
+    own, row, offset, diagonal = own[ok], row[ok], pieces.offset[posting[ok]], where[each[ok]] - pieces.offset[posting[ok]]
+    none = np.empty(0, np.int64)
+    if not len(own):
+        return none, none, none
+    step = pieces.widest[own] + 1  # a band of two steps holds any k + 1 diagonals in a row that begin in its first half
     low = np.floor_divide(diagonal, step)
-    keys = np.concatenate([np.stack([row, piece, low]), np.stack([row, piece, low - 1])], axis=1)
-    order = np.lexsort(keys[::-1])
-    keys = keys[:, order]
-    change = np.any(keys[:, 1:] != keys[:, :-1], axis=0)
-    first = np.flatnonzero(np.concatenate([[True], change])) if keys.shape[1] else np.empty(0, np.int64)
-    total = np.diff(np.append(first, keys.shape[1]))
-    row, piece, low = keys[:, first]
-    ok = total >= pieces.least[piece]
-    return row[ok], piece[ok], (low * (pieces.edits[piece] + 1))[ok]
+    keys = np.concatenate([np.stack([row, own, low, offset]), np.stack([row, own, low - 1, offset])], axis=1)
+    keys = keys[:, np.lexsort(keys[::-1])]
+    # every q-gram of the item counts once in a band
+    keys = keys[:, np.concatenate([[True], np.any(keys[:, 1:] != keys[:, :-1], axis=0)])]
+    group = np.cumsum(np.concatenate([[False], np.any(keys[:3, 1:] != keys[:3, :-1], axis=0)]))
+    # bands with as many q-grams as the least bound asks for, no farther apart than in the longest piece
+    own, offset = keys[1], keys[3]
+    far = np.arange(len(group)) + np.maximum(pieces.lowest[own], 1) - 1
+    inside = np.minimum(far, len(group) - 1)
+    near = (far < len(group)) & (group[inside] == group) & (offset[inside] - offset <= pieces.longest[own] - Q)
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    bands = np.unique(group[near])
+    span = int(pieces.ends.max()) + 1
+    place = group * span + offset
+    out = [(none, none, none)]
+    row, own, low, _ = keys[:, first[bands]]
+    parts = pieces.parts[own + 1] - pieces.parts[own]
+    sums = np.cumsum(parts)
+    a = 0
+    while a < len(bands):  # so many bands at a time that their pieces stay few
+        b = max(a + 1, int(np.searchsorted(sums, (sums[a - 1] if a else 0) + TOGETHER, side="right")))
+        band = np.repeat(np.arange(a, b), parts[a:b])
+        piece = pieces.parts[own[band]] + np.arange(len(band)) - np.repeat(np.cumsum(parts[a:b]) - parts[a:b], parts[a:b])
+        begin = bands[band] * span + pieces.starts[piece]
+        total = np.searchsorted(place, begin + pieces.sizes[piece] - Q + 1) - np.searchsorted(place, begin)
+        ok = total >= np.maximum(pieces.least[piece], 1)
+        band, piece = band[ok], piece[ok]
+        out.append((row[band], piece, low[band] * (pieces.widest[own[band]] + 1) + pieces.starts[piece]))
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _align(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, row, piece, diagonal, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Least edits between each piece and a stretch of its row near the band, and where that stretch ends."""
-    k, m = pieces.edits[piece], pieces.sizes[piece]
+    k, m = pieces.widest[pieces.whole[piece]], pieces.sizes[piece]
     width = int(4 * k.max() + 3)  # two steps of diagonals and k more on either side
     column = np.arange(width)
     start = diagonal - k
-    text = np.zeros((len(piece), int(m.max())), np.uint8)
-    for i, p in enumerate(piece):
-        text[i, : m[i]] = pieces.texts[p]
+    low = pieces.ends[pieces.whole[piece]] + pieces.starts[piece]
+    text = pieces.data[np.minimum(low[:, None] + np.arange(int(m.max())), len(pieces.data) - 1)]
     best, end = np.full(len(piece), 1 << 30), np.zeros(len(piece), np.int64)
     cost = np.zeros((len(piece), width), np.int64)
     for i in range(int(m.max()) + 1):
@@ -160,7 +208,7 @@ def found_in(column: pa.Array, pieces: Pieces) -> dict[str, np.ndarray]:
     """Per piece found in a row: row, piece, edits, and end of the stretch in bytes of the text."""
     names = ("row", "piece", "edits", "end")
     out = {k: [np.empty(0, np.int64)] for k in names}
-    if not pieces.texts:
+    if not len(pieces.sizes):
         return {k: v[0] for k, v in out.items()}
     raw, ends = _buffers(column)
     for top, begins, stops in _stretches(ends, int((pieces.sizes + 4 * pieces.edits + 4).max())):
