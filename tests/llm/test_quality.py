@@ -100,3 +100,18 @@ def test_small_groups_share_an_estimate_and_empty_tables(spark, make, prose):
     assert quality.quality_rules(few.limit(0)).count() == 0
     twice = pooled.unionByName(pooled)
     assert quality.quality_rules(twice).filter("not kept").count() == 2
+
+
+def test_null_sources_and_languages_have_names_of_their_own(spark, make, prose):
+    """Rows of a null source keep their estimate when small sources of the language, or of a null one, come in."""
+    rows = [(prose(20 + i % 40, i), "en", None) for i in range(60)]
+    small = [(" # ".join(prose(3, 500 + 7 * i + k) for k in range(5 + i % 9)), "en", f"s{i % 6}") for i in range(60)]
+    nowhere = [(prose(90 + i % 30, 900 + i), None, None) for i in range(60)]
+    others = [(" | ".join(prose(2, 3000 + 7 * i + k) for k in range(6 + i % 9)), None, f"s{i % 6}") for i in range(60)]
+
+    def distances(rows):
+        counted = quality.written(quality.text_statistics(make(rows)).drop("text"), "statistics")
+        return [r.distance for r in quality.outliers(counted, steps=1).sort("doc_id").collect()]
+
+    together = distances(rows + nowhere + small + others)
+    assert together[:120] == pytest.approx(distances(rows + nowhere))

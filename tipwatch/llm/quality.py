@@ -162,10 +162,12 @@ def outliers(counted: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST
     sizes = lean.groupBy("lang", "source").agg(F.count("*").alias("_rows"))
     by_lang = sizes.filter(F.col("_rows") < least_rows).groupBy("lang").agg(F.sum("_rows").alias("_pool"))
     named = sizes.join(by_lang.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    # nulls are written out, so that no two groups share a name
+    name = lambda kind, *cols: F.to_json(F.struct(F.lit(kind).alias("of"), *cols), {"ignoreNullFields": "false"})
     group = (
-        F.when(F.col("_rows") >= least_rows, F.to_json(F.struct("lang", "source")))
-        .when(F.col("_pool") >= least_rows, F.to_json(F.struct("lang")))
-        .otherwise("pool")
+        F.when(F.col("_rows") >= least_rows, name("own", "lang", "source"))
+        .when(F.col("_pool") >= least_rows, name("language", "lang"))
+        .otherwise(name("all"))
     )
     named = written(named.select(F.col("lang").alias("_glang"), F.col("source").alias("_gsource"), group.alias("_group")), "groups")
     same = F.col("lang").eqNullSafe(F.col("_glang")) & F.col("source").eqNullSafe(F.col("_gsource"))
