@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, decontaminate, lines, personal, quality, secrets, signature, suffixes, tokenfiles
+from . import bpe, compression, decontaminate, lines, middle, personal, quality, ranked, secrets, sharding, signature, suffixes, tokenfiles
+from .checks import CHECKS  # noqa: F401
 from .common import shared_path, table
 
 
@@ -55,6 +56,20 @@ def op10_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_bag_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_wavelet_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.transform(table(spark, sf_dir, "documents"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_credential_links": op1_credential_links,
     "op2_interval_tree": op2_interval_tree,
@@ -66,6 +81,7 @@ QUERIES = {
     "op8_bpe_stream": op8_bpe_stream,
     "op9_line_chunks": op9_line_chunks,
     "op10_qgram_lemma": op10_qgram_lemma,
+    "op11_bag_dedup": op11_bag_dedup,
+    "op12_wavelet_cuts": op12_wavelet_cuts,
+    "op13_sampled_splitters": op13_sampled_splitters,
 }
-
-CHECKS: dict[str, str] = {}
