@@ -51,23 +51,27 @@ def _alerts(spark: SparkSession, sf_dir: str, limits: monitor.Limits) -> DataFra
     return monitor.replay(spark, stream_view(spark, sf_dir, "messages"), limits)
 
 
-# a replay ends at the latest event; per run: its age and its silence there, and what it said before
-_RUNS = (
-    view_sql("messages")
-    + CRASH_HITS
-    + """, r AS (SELECT m.run, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, bool_or(stopped) AS stopped, max(c.message) AS crash
-      FROM messages m LEFT JOIN (SELECT run, message FROM hits WHERE k = 1) c USING (run) GROUP BY m.run),
-e AS (SELECT *, (SELECT max(ts_ms) FROM messages) AS end_ms FROM r)
-"""
-)
-
-
 def _state_sql(hang_ms: int, timeout_ms: int) -> str:
-    """Ageing counts at a run's own last event or, where nothing ended it there, at the end of the recording."""
+    """The first ending of each run. The loop that watches a run asks for its age, then whether it stopped, then reads
+    new lines for a crash and, where there are none, counts the silence since the last ones; a recording is watched
+    without pause, so the earliest moment decides, and that order only among equal moments."""
+    hang_us, timeout_us = hang_ms * 1000, timeout_ms * 1000
     return (
-        _RUNS
-        + f""", s AS (SELECT run, CASE WHEN last_ms - first_ms > {timeout_ms} THEN 'timeout' WHEN stopped THEN 'stopped' WHEN crash IS NOT NULL THEN 'crash'
-  WHEN end_ms - first_ms > {timeout_ms} THEN 'timeout' WHEN end_ms - last_ms > {hang_ms} THEN 'hang' ELSE 'running' END AS status, crash FROM e)
+        view_sql("messages")
+        + CRASH_HITS
+        + f""", m AS (SELECT run, epoch_us(ts) AS us, stopped FROM messages),
+w AS (SELECT max(us) AS end_us FROM m),
+r AS (SELECT run, min(us) AS first_us, min(us) FILTER (stopped) AS stop_us FROM m GROUP BY run),
+seen AS (SELECT run, first_us AS us FROM r UNION SELECT run, us FROM m WHERE NOT stopped),
+gaps AS (SELECT run, us, coalesce(lead(us) OVER (PARTITION BY run ORDER BY us), end_us) - us AS quiet_us FROM seen, w),
+h AS (SELECT run, min(us) + {hang_us} + 1 AS hang_us FROM gaps WHERE quiet_us > {hang_us} GROUP BY run),
+c AS (SELECT run, epoch_us(ts) AS crash_us, message AS crash FROM hits WHERE k = 1),
+ends AS (SELECT run, first_us + {timeout_us} + 1 AS at_us, 1 AS turn, 'timeout' AS status FROM r, w WHERE end_us - first_us > {timeout_us}
+  UNION ALL SELECT run, stop_us, 2, 'stopped' FROM r WHERE stop_us IS NOT NULL
+  UNION ALL SELECT run, crash_us, 3, 'crash' FROM c
+  UNION ALL SELECT run, hang_us, 4, 'hang' FROM h),
+s AS (SELECT run, coalesce(arg_min(status, (at_us, turn)), 'running') AS status, coalesce(min(at_us), any_value(end_us)) // 1000 AS at_ms, any_value(crash) AS crash
+  FROM r LEFT JOIN ends USING (run) LEFT JOIN c USING (run), w GROUP BY run)
 """
     )
 
