@@ -1,5 +1,8 @@
+import os
 import random
 import re
+import shutil
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,6 +153,29 @@ def test_version_order(spark):
     assert [r.n for r in df.collect()] == [long[2], long[0], long[1], long[3]]
 
 
+VERSIONS = ["6.01", "6.1", "6.1a", "6.1-1", "6.1.0~rc1", "6.1.0", "6.1.0-2"]
+
+
+def in_version_order(spark, names):
+    df = spark.createDataFrame([(n,) for n in names], "n string").repartition(3).orderBy(text.version_key(F.col("n")))
+    return [r.n for r in df.collect()]
+
+
+def test_version_key_knows_tildes_letters_and_zeros(spark):
+    assert in_version_order(spark, VERSIONS[::-1]) == VERSIONS
+    rest = ["", ".", "..", ".a", ".10", "abc0~", "abc", "abc0", "abc0x", "kernel-6.1.0~rc1.rpm", "kernel-6.1.0.rpm", "kernel-6.1.0-2.rpm"]
+    assert in_version_order(spark, rest[::-1]) == rest
+
+
+@pytest.mark.skipif(not shutil.which("sort"), reason="needs sort -V")
+def test_version_order_is_that_of_sort(spark):
+    draw = random.Random(5)
+    parts = ["0", "00", "1", "01", "10", "9", "~", "a", "Z", "-", ".", ".", "_", "+", "rc", ".rpm", ".x86_64", "6.1", "~rc1"]
+    names = sorted({"".join(draw.choices(parts, k=draw.randrange(1, 7))) for _ in range(1500)} | set(VERSIONS))
+    done = subprocess.run(["sort", "-V"], input="\n".join(names) + "\n", env={**os.environ, "LC_ALL": "C"}, capture_output=True, text=True, check=True)
+    assert in_version_order(spark, names) == done.stdout.split("\n")[:-1]
+
+
 STATUSES = {
     "pass": "PASS", "PASS": "PASS", "ok": "PASS", "success": "PASS", "fail": "FAIL", "FAILED": "FAIL", "skip": "SKIP", "skipped": "SKIP",
     "error": "ERROR", "incomplete": "ERROR", "miss": "MISS", "done": "DONE", "": "ERROR", "unheard-of": "ERROR", "  pass  ": "PASS", None: "ERROR",

@@ -185,17 +185,35 @@ def kernel_base(version: Column) -> Column:
     return F.regexp_replace(version, r"\.(x86_64|aarch64|arm64)\z", "")
 
 
-def version_key(name: Column) -> Column:
-    """Sort key that orders digit runs by their number: 6.9 before 6.10, run-2 before run-10."""
-    pieces = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
+# Ranks of a version key, in the order of ``sort -V`` where a run of characters that are no digits may go on: a tilde, a
+# zero before a tilde, the end, another zero, a number, and then letters before all other characters.
+_TILDE, _ZERO_TILDE, _END, _ZERO, _NUMBER, _LETTER, _OTHER = 0, 1, 2, 3, 4, 10, 300
+
+
+def _version_ranks(name: Column) -> Column:
+    """Ranks of the characters and numbers of a name; comparing the arrays compares the names as versions."""
+    pieces = F.regexp_extract_all(name, F.lit(r"([0-9]+|[^0-9])"), F.lit(1))
 
-    def keyed(piece: Column) -> Column:
-        # numbers keep their order as text behind their length, and that behind its own
-        digits = F.regexp_replace(piece, r"^0+(?=\d)", "")
-        size = F.length(digits).cast("string")
-        return F.when(piece.rlike(r"^\d"), F.concat(F.length(size).cast("string"), size, digits)).otherwise(piece)
+    def rank(piece: Column, place: Column) -> Column:
+        digits = F.regexp_replace(piece, r"^0+", "")
+        following = F.get(pieces, place + 1)
+        zero = F.when(following.isNull(), F.array().cast("array<int>")).otherwise(F.array(F.when(following == "~", _ZERO_TILDE).otherwise(_ZERO)))
+        number = F.concat(F.array(F.lit(_NUMBER), F.length(digits)), F.transform(F.split(digits, ""), lambda d: d.cast("int")))
+        code = F.ascii(piece)
+        other = F.when(piece == "~", _TILDE).when(piece.rlike("[A-Za-z]"), code + _LETTER).otherwise(code + _OTHER)
+        return F.when(~piece.rlike("[0-9]"), F.array(other)).when(digits == "", zero).otherwise(number)
 
-    return F.array_join(F.transform(pieces, keyed), "")
+    return F.concat(F.flatten(F.transform(pieces, rank)), F.array(F.lit(_END)))
+
+
+def version_key(name: Column) -> Column:
+    """Sort key in the order of ``sort -V``: numbers by their value (6.9 before 6.10), a tilde before the end
+    (6.1~rc1 before 6.1), letters before other characters (6.1a before 6.1-1), names with a leading dot first, endings
+    such as ``.rpm`` only where all before them is equal, and names of equal versions (6.01 and 6.1) by their text."""
+    leading = F.when(name == "", 0).when(name == ".", 1).when(name == "..", 2).when(name.startswith("."), 3).otherwise(4)
+    stem = F.regexp_extract(name, r"(?s)\A(.*?)(?:\.[A-Za-z~][A-Za-z0-9~]*)*\z", 1)
+    key = F.struct(leading.alias("leading"), _version_ranks(stem).alias("stem"), _version_ranks(name).alias("whole"), name.alias("text"))
+    return F.when(name.isNotNull(), key)
 
 
 def any_of(conditions: list[Column]) -> Column:

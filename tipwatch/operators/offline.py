@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipwatch.functions.text import kernel_base, version_key
@@ -156,3 +156,9 @@ def version_range(names: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 def version_sort(names: DataFrame, name: str) -> DataFrame:
     return names.orderBy(version_key(F.col(name)))
+
+
+def version_successors(names: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Each distinct name of a group with the one that follows in version order, null after the last."""
+    each = names.select(*keys, name).distinct()
+    return each.withColumn("following", F.lead(name).over(Window.partitionBy(*keys).orderBy(version_key(F.col(name)))))

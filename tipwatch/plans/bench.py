@@ -473,14 +473,29 @@ def kernel_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("kernel_version", text.kernel_base(F.col("kernel_version")).alias("kernel"), "n")
 
 
+# a name in one of seven forms, and its place among all of them: the number first, then the form as ``sort -V`` has them,
+# then the text where only a zero before the number differs
+_VERSION_FORMS = "case p_partkey % 7 when 0 then '~rc1' when 1 then '' when 2 then 'a' when 3 then '-1' when 4 then '.0~rc1' when 5 then '.0' else '.0-2' end"
+_VERSION = f"concat('linux-6.', case when p_partkey % 2 = 0 then '0' else '' end, cast(p_size as string), '.', cast(p_partkey % 13 as string), {_VERSION_FORMS})"
+
+
 @query(
     "version_sort",
-    """WITH v AS (SELECT p_brand, concat('linux-6.', cast(p_size as string), '.', cast(p_partkey % 13 as string), '-x') AS name,
-         p_size * 100 + p_partkey % 13 AS place FROM part)
+    f"""WITH v AS (SELECT p_brand, {_VERSION} AS name, ((p_size * 100 + p_partkey % 13) * 10 + p_partkey % 7) * 2 + p_partkey % 2 AS place FROM part)
     SELECT p_brand, arg_min(name, place) AS first_version, arg_max(name, place) AS last_version FROM v GROUP BY ALL""",
 )
 def version_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last version per brand in version order."""
-    name = F.expr("concat('linux-6.', cast(p_size as string), '.', cast(p_partkey % 13 as string), '-x')")
-    names = table(spark, sf_dir, "part").select("p_brand", name.alias("name"))
+    names = table(spark, sf_dir, "part").select("p_brand", F.expr(_VERSION).alias("name"))
     return offline.version_range(names, ["p_brand"], "name").withColumnsRenamed({"first": "first_version", "last": "last_version"})
+
+
+@query(
+    "version_successors",
+    f"""WITH v AS (SELECT DISTINCT p_brand, {_VERSION} AS name, ((p_size * 100 + p_partkey % 13) * 10 + p_partkey % 7) * 2 + p_partkey % 2 AS place FROM part)
+    SELECT p_brand, name, coalesce(lead(name) OVER (PARTITION BY p_brand ORDER BY place), '-') AS following FROM v""",
+)
+def version_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of a brand with the next one in version order."""
+    names = table(spark, sf_dir, "part").select("p_brand", F.expr(_VERSION).alias("name"))
+    return offline.version_successors(names, ["p_brand"], "name").withColumn("following", F.coalesce("following", F.lit("-")))
