@@ -64,6 +64,31 @@ def test_build_lookup(spark):
     assert {r.node_id: r.build_id for r in jobs.with_build_ids(asked, df, "o").collect()} == wanted
 
 
+def test_build_lookup_doubles_its_reach(spark):
+    """Nine chains in ten meet in one root that is no build; three joins see eight nodes, each join in a plan of its own."""
+    rows = [("root", "checkout", None), ("built", "kbuild", "root")]
+    rows += [(f"n{i}", "job", "root" if i % 10 else "built") for i in range(2000)] + [("l0", "kbuild", None), ("l1", "job", "l0")]
+    rows += [(f"l{i}", "job", f"l{i - 1}") for i in range(2, 11)] + [("loop", "job", "loop"), ("blank", "job", "")]
+    df = spark.createDataFrame(rows, "id string, kind string, parent string")
+    found = {r.id: r.build_id for r in jobs.resolve_build_ids(df, "o").collect()}
+    want = {f"n{i}": None if i % 10 else "o:built" for i in range(2000)}
+    want |= {"root": None, "built": "o:built", "loop": None, "blank": None, **{f"l{i}": "o:l0" if i < 8 else None for i in range(11)}}
+    assert found == want
+    steps, real = [], jobs.materialise
+
+    def seen(chains, name):
+        steps.append(chains)
+        return real(chains, name)
+
+    jobs.materialise = seen
+    try:
+        steps.append(jobs.resolve_build_ids(df, "o"))
+    finally:
+        jobs.materialise = real
+    plans = [s._jdf.queryExecution().optimizedPlan().toString() for s in steps]
+    assert [p.count("Join LeftOuter") for p in plans] == [1, 1, 1]
+
+
 JOB = {"environment": {"arch": "arm64", "platform": "vm"}, "artifacts": {"kernel": "k", "modules": "m", "rootfs": "r"}, "tests": [{"id": "a", "type": "baseline"}, {"type": "ltp"}], "timeout": 900}
 
 

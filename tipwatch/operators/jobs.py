@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tipwatch.schemas import JOB_DEFINITION
+from tipwatch.session import materialise
 
 # ---- Fixed values: machine and image per architecture, the last resort, and the test folder per test type ----
 PLATFORMS = {
@@ -51,9 +52,10 @@ def allowlist(raw: str | Iterable[str] | None) -> list[str] | None:
     return [x.strip() for x in items if x.strip()] or None
 
 
-def available_jobs(events: DataFrame, cursor: str = EPOCH_CURSOR) -> DataFrame:
-    """Events of available job nodes from the cursor on. Batch or stream."""
-    return events.filter((F.col("node.state") == "available") & (F.col("node.kind") == "job") & (F.col("timestamp") >= cursor))
+def available_jobs(events: DataFrame, cursor: str | None = EPOCH_CURSOR) -> DataFrame:
+    """Events of available job nodes from the cursor on; without one (None) all, whatever their stamps. Batch or stream."""
+    found = events.filter((F.col("node.state") == "available") & (F.col("node.kind") == "job"))
+    return found if cursor is None else found.filter(F.col("timestamp") >= cursor)
 
 
 def filter_runtime_platform(events: DataFrame, runtime: str, platforms: list[str] | None = None) -> DataFrame:
@@ -85,33 +87,39 @@ def strip_readonly_fields(nodes: DataFrame, *service_fields: str) -> DataFrame:
     return nodes.drop(*READ_ONLY_FIELDS, *service_fields)
 
 
+def _seen_further(chains: DataFrame, seen: int) -> DataFrame:
+    """Chains ``(id, build, hops, next)`` that looked at ``seen`` nodes each, now at twice as many: where a chain is open it
+    goes on with what its next node has seen. Only open chains are joined, and only with nodes that have more to say."""
+    is_open = F.col("build").isNull() & F.col("next").isNotNull()
+    ahead = chains.filter("build is not null or next is not null")
+    ahead = ahead.select(F.col("id").alias("next"), F.col("build").alias("_build"), F.col("hops").alias("_hops"), F.col("next").alias("_next"))
+    further = chains.filter(is_open).select("id", "next").join(ahead, "next", "left")
+    further = further.select("id", F.col("_build").alias("build"), (F.col("_hops") + seen).alias("hops"), F.col("_next").alias("next"))
+    return chains.filter(~is_open).unionByName(further)
+
+
 def resolve_build_ids(nodes: DataFrame, origin: str, asked: DataFrame | None = None, inspect: int = 8) -> DataFrame:
     """``build_id`` per node: origin and id of the nearest build among the node and its ancestors, else null.
 
     ``nodes(id, kind, parent)``; ``asked(id)`` limits the answer to these ids, each once. At most ``inspect`` nodes of
-    a chain are looked at: a fixed number of left joins against the same three columns, whose exchange is shared.
-    A chain that has ended gets a key of its own that matches nothing, so that ends do not pile up on null.
+    a chain are looked at. Every join doubles how far all chains have seen (three joins for eight nodes); each but the
+    last is written, since the next one reads it on both sides. Chains that have ended take no part in a join, so ends
+    do not pile up on a key; many chains that meet in one node are a skewed left side, which adaptive execution splits.
     """
     is_build = F.col("kind") == "kbuild"
-    steps = nodes.select(F.col("id").alias("at"), F.nullif("parent", F.lit("")).alias("_up"), is_build.alias("_is_build"))
-    chains = (nodes if asked is None else asked).select("id", F.col("id").alias("at"), F.lit(None).cast("string").alias("build"))
-    ended = F.concat(F.lit("end of "), "id")
-    for _ in range(inspect):
-        chains = chains.join(steps, "at", "left").select(
-            "id",
-            F.when(F.col("build").isNull() & ~F.coalesce("_is_build", F.lit(True)), F.coalesce("_up", ended)).otherwise(ended).alias("at"),
-            F.coalesce("build", F.when(F.col("_is_build"), F.col("at"))).alias("build"),
-        )
-    return chains.select("id", F.concat(F.lit(origin + ":"), "build").alias("build_id"))
+    build = F.when(is_build, F.col("id")).alias("build")
+    parent = F.when(~F.coalesce(is_build, F.lit(False)), F.nullif("parent", F.lit(""))).alias("next")
+    chains, seen = nodes.select("id", build, F.when(is_build, F.lit(0)).alias("hops"), parent), 1
+    while seen < inspect:
+        chains = _seen_further(chains if seen == 1 else materialise(chains, "chains"), seen)
+        seen *= 2
+    found = chains.select("id", F.when(F.col("hops") < inspect, F.concat(F.lit(origin + ":"), "build")).alias("build_id"))
+    return found if asked is None else asked.select("id").join(found, "id", "left")
 
 
 def with_build_ids(jobs: DataFrame, nodes: DataFrame, origin: str) -> DataFrame:
-    """Jobs ``(node_id, kind, parent, ...)`` with their build, or a stand-in id where no ancestor is a build.
-
-    Jobs share few parents, so chains are walked once per parent and not once per job.
-    """
-    parents = jobs.filter("parent <> ''").select(F.col("parent").alias("id")).distinct()
-    builds = resolve_build_ids(nodes, origin, parents, inspect=7).withColumnRenamed("id", "parent")
+    """Jobs ``(node_id, kind, parent, ...)`` with their build, or a stand-in id where no ancestor is a build."""
+    builds = resolve_build_ids(nodes, origin, inspect=7).filter("build_id is not null").withColumnRenamed("id", "parent")
     own = F.when(F.col("kind") == "kbuild", F.concat(F.lit(origin + ":"), "node_id"))
     unknown = F.concat(F.lit(f"{origin}:unknown_"), "node_id")
     joined = jobs.join(builds, "parent", "left")
