@@ -1,10 +1,12 @@
 import json
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tipwatch.schemas import JOB_EVENT
+from tipwatch.sources.paged import PageReader
 from tipwatch.streaming import intake, monitor
 from tipwatch.streaming.monitor import Limits, News, RunState, advance
 from tipwatch.streaming.runs import batches, drain, start_append
@@ -66,7 +68,7 @@ ROWS = [("crash", 3, 2, "BUG: later", False), ("crash", 2, 1, "Oops: first", Fal
 ROWS += [("long", 1, 6, "x", False), ("long", 99, 7, "Oops: too late", False)]
 EXPECTED = {
     "crash": ("crash", "kernel crash detected in VM: Oops: first"), "stop": ("stopped", ""), "alive": ("running", ""),
-    "old": ("hang", "no VM console output for 30s"), "hot": ("hang", "no VM console output for 30s"), "long": ("timeout", "task wait timeout exceeded after 98s"),
+    "old": ("hang", "no VM console output for 30s"), "hot": ("hang", "no VM console output for 30s"), "long": ("hang", "no VM console output for 30s"),
 }
 REPLAY = Limits(30_000, 97_000)
 HOT = [("hot", 50 + i / 100, 100 + i, "Call Trace:", False) for i in range(1500)]
@@ -75,9 +77,8 @@ HOT = [("hot", 50 + i / 100, 100 + i, "Call Trace:", False) for i in range(1500)
 def test_replay_of_one_file(spark, tmp_path):
     path = str(tmp_path / "in")
     write_console(spark, path, ROWS + HOT)
-    alerts = monitor.replay(spark, spark.readStream.schema(SCHEMA).parquet(path), Limits(30_000, 98_500))
-    found = {r.run: (r.status, r.message) for r in monitor.final_states(alerts).collect()}
-    assert found == {**EXPECTED, "long": ("crash", "kernel crash detected in VM: Oops: too late"), "old": ("timeout", "task wait timeout exceeded after 99s"), "stop": ("stopped", "")}
+    alerts = monitor.replay(spark, spark.readStream.schema(SCHEMA).parquet(path), REPLAY)
+    assert {r.run: (r.status, r.message) for r in monitor.final_states(alerts).collect()} == EXPECTED
 
 
 @pytest.mark.parametrize("turn", [1, -1])
@@ -88,22 +89,74 @@ def test_many_files_in_any_order_say_the_same(spark, tmp_path, turn):
         write_console(spark, path, [row])
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
     many = {r.run: (r.status, r.message) for r in monitor.replay(spark, stream, REPLAY).collect()}
-    one = monitor.judged(monitor.facts(spark.read.schema(SCHEMA).parquet(path)), REPLAY)
+    one = monitor.judged(monitor.facts(spark.read.schema(SCHEMA).parquet(path), REPLAY), REPLAY)
     assert many == {r.run: (r.status, r.message) for r in one.collect()}
     assert many["crash"] == EXPECTED["crash"] and many["long"] == EXPECTED["long"]
     assert sum(s == "crash" for s, _ in many.values()) == 5
 
 
-def test_verdicts_of_facts_are_those_of_the_steps(spark):
-    """A whole run judged at once ends as it does step by step."""
-    cases = [(3, False, None, 3), (3, True, "Oops: 1", 3), (3, False, "Oops: 1", 3), (70, True, None, 70), (3, False, None, 9), (3, False, None, 8), (58, False, None, 61), (2, True, None, 500)]
-    for last, stopped, crash, end in cases:
-        state, message = advance(RunState("running", 0, 0), News(2, stopped, crash), last * 1000, LIMITS)
-        if not state.ended and end > last:
-            state, message = advance(state, News(), end * 1000, LIMITS)
-        rows = [("r", 1, 0, last * 10**6, stopped, (1, 1, crash) if crash else None), ("end", 1, end * 10**6, end * 10**6, False, None)]
-        found = monitor.judged(spark.createDataFrame(rows, monitor.FACTS), LIMITS).filter("run = 'r'").first()
-        assert (found.status, found.message) == (state.status, message or ""), (last, stopped, crash, end)
+def polled(rows, limits):
+    """Status and end of each run by polling every half millisecond, as a watcher that never pauses would."""
+    rows, limits = [(r[0], 2 * r[1], *r[2:]) for r in rows], Limits(2 * limits.hang_ms, 2 * limits.timeout_ms)
+    end, out = max(r[1] for r in rows), {}
+    for run in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == run]
+        first = min(r[1] for r in mine)
+        state = RunState("running", first, first)
+        for now in range(first, end + 1):
+            news = [r for r in mine if r[1] == now]
+            crash = next((m for _, _, _, m, stop in sorted(news, key=lambda r: r[2]) if m.startswith("Oops")), None)
+            state, message = advance(state, News(sum(not r[4] for r in news), any(r[4] for r in news), crash), now, limits)
+            if state.ended:
+                out[run] = (state.status, message, now // 2)
+                break
+        else:
+            out[run] = ("running", "", end // 2)
+    return out
+
+
+def replayed(spark, rows, limits):
+    """The same from the facts of single events, of which slots are made by merging."""
+    df = spark.createDataFrame(rows, "run string, at long, seq long, message string, stopped boolean")
+    events = df.selectExpr("run", "timestamp_millis(at) as ts", "seq", "message", "stopped")
+    halves = [monitor.facts(events.filter(f"seq % 2 = {i}"), limits) for i in (0, 1)]
+    found = monitor.judged(monitor.merged(halves[0].unionByName(halves[1])), limits).collect()
+    return {r.run: (r.status, r.message, r.at_ms) for r in found}
+
+
+MINUTE = 60_000
+PROBES = {  # default limits: 20 minutes of silence, 60 of age
+    "inner silence": ("hang", [(0, "x", False), (30, "x", False), (35, "x", False), (61, "x", False)]),
+    "crash, then a stop": ("crash", [(0, "x", False), (5, "Oops: 1", False), (10, "", True)]),
+    "crash, then a long end": ("crash", [(0, "x", False), (4, "Oops: 1", False), (20, "x", False), (39, "x", False), (58, "x", False), (61, "x", False)]),
+    "stop after a silence": ("hang", [(0, "x", False), (25, "", True)]),
+    "stop, then a crash": ("stopped", [(0, "x", False), (5, "", True), (10, "Oops: 1", False)]),
+    "lines up to the limit": ("timeout", [(m, "x", False) for m in range(0, 62, 10)]),
+    "a crash beyond the limit": ("timeout", [(m, "x", False) for m in range(0, 61, 10)] + [(60.01, "Oops: 1", False)]),
+    "both at one moment": ("stopped", [(0, "x", False), (5, "Oops: 1", False), (5, "", True)]),
+    "a silence just long enough": ("running", [(m, "x", False) for m in (22, 42, 61)]),
+}
+
+
+def test_the_first_ending_counts(spark):
+    rows = [(run, int(m * MINUTE), i, text, stop) for run, (_, lines) in PROBES.items() for i, (m, text, stop) in enumerate(lines)]
+    rows.append(("another", 62 * MINUTE, 0, "x", False))
+    assert {run: s for run, (s, _, _) in replayed(spark, rows, Limits()).items()} == {**{r: s for r, (s, _) in PROBES.items()}, "another": "running"}
+
+
+def test_the_replay_is_a_poll_without_pauses(spark):
+    draw = random.Random(8)
+    for turn in range(6):
+        limits = Limits(draw.choice([3, 10, 40]), draw.choice([20, 60, 200]))
+        rows = []
+        for run in range(60):
+            at, n = draw.randrange(50), draw.randrange(1, 12)
+            for _ in range(n):
+                at += draw.choice([0, 1, 2, 3, 4, limits.hang_ms - 1, limits.hang_ms, limits.hang_ms + 1, limits.hang_ms + 2])
+                rows.append((f"r{run}", at, len(rows), draw.choice(["x", "x", "x", "x", "Oops: 1"]), draw.random() < 0.06))
+        want, got = polled(rows, limits), replayed(spark, rows, limits)
+        assert {r: (s, at) for r, (s, _, at) in got.items()} == {r: (s, at) for r, (s, _, at) in want.items()}, turn
+        assert all(got[r][1] == want[r][1] for r in want if want[r][0] == "crash")
 
 
 def test_a_folder_of_files_reads_as_one_file(spark, tmp_path):
@@ -168,6 +221,78 @@ def test_late_jobs_come_out_and_bad_stamps_do_not_stop_the_stream(spark, tmp_pat
     assert [(r.node_id, r.timestamp, r.error_code) for r in bad] == [("n2", "not a time", "invalid_timestamp")]
 
 
+def test_stamps_of_any_kind_are_seen(spark, tmp_path):
+    """Stamps that sort before all dates are set aside, and an event without one claims its node."""
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.json").write_text("\n".join([job("n1", "12/31/2024"), job("n2", None), job("n3", ""), job("n4", "2024-01-01T00:00:00"), job("n4", "0")]))
+    assert taken(spark, source, tmp_path) == ["n2", "n4"]
+    bad = batches(spark, str(tmp_path / "out" / "rejected"), intake.REJECTED).collect()
+    assert sorted((r.node_id, r.timestamp) for r in bad) == [("n1", "12/31/2024"), ("n3", ""), ("n4", "0")]
+
+
+def test_claims_are_looked_up_by_node(spark, tmp_path):
+    """Fifty batches, of which the state alone remembers the claims: what they wrote is gone when the last ones run."""
+    source = tmp_path / "in"
+    source.mkdir()
+    for i in range(50):
+        (source / f"{i:03}.json").write_text("\n".join(job(f"n{n}", f"2024-01-01T00:00:{i:02}") for n in (i // 2, i % 7, 100 + i)))
+        time.sleep(0.002)
+    first = taken(spark, source, tmp_path, files=1)
+    assert first == sorted([f"n{n}" for n in range(25)] + [f"n{100 + i}" for i in range(50)])
+    (tmp_path / "out").rename(tmp_path / "elsewhere")
+    for i in range(3):
+        (source / f"x{i}.json").write_text("\n".join([job(f"n{i}", "2024-01-02T00:00:00"), job(f"n{200 + i}", "2024-01-02T00:00:00")] * 3))
+    assert taken(spark, source, tmp_path) == ["n200", "n201", "n202"]
+    state = [f for f in (tmp_path / "checkpoint" / "state").rglob("*") if f.is_file()]
+    assert state
+
+
+def pages(folder, rows):
+    folder.mkdir(exist_ok=True)
+    for name, text in rows.items():
+        (folder / name).write_text(text)
+
+
+def test_pages_are_read_by_place_and_not_by_stamp(tmp_path):
+    stamps = ["2024-03-01", "2024-01-01", None, "2024-02-01", "2024-02-01", "2023-01-01", "x"]
+    lines = [json.dumps({"timestamp": s, "n": i}) for i, s in enumerate(stamps)]
+    pages(tmp_path / "p", {"0": "\n".join(lines[:3]) + "\n", "1": lines[3] + "\n\nno event\n" + lines[4], "2": "\n".join(lines[5:]) + "\n" + '{"half', "_made": "x\n", ".x": "y\n"})
+    for limit in (1, 2, 3, 100):
+        reader, at, got, cursors = PageReader(str(tmp_path / "p"), limit), None, [], []
+        at = reader.initialOffset()
+        while True:
+            rows, end = reader.read(at)
+            rows = list(rows)
+            assert len(rows) <= limit and list(reader.readBetweenOffsets(at, end)) == rows
+            if end == at:
+                break
+            got, at = got + rows, json.loads(json.dumps(end))
+            cursors.append(end["stamp"])
+        assert [r[0] for r in got] == [*lines[:4], "no event", *lines[4:]]
+        assert cursors[-1] == "x" and (limit > 1 or cursors == ["2024-03-01", "2024-01-01", "2024-01-01", "2024-02-01", "2024-02-01", "2024-02-01", "2023-01-01", "x"])
+    pages(tmp_path / "p", {"2": "\n".join(lines[5:]) + "\n" + '{"half": 1}\n'})  # the last page grows
+    rows, end = reader.read(at)
+    assert [r[0] for r in rows] == ['{"half": 1}'] and end["stamp"] == "x"
+    assert PageReader(str(tmp_path / "none"), 5).read(reader.initialOffset())[1] == reader.initialOffset()
+
+
+def test_a_poll_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Stamps go back and forth over pages and polls; three starts lose and repeat nothing."""
+    draw, folder, n = random.Random(3), tmp_path / "p", 0
+    for start in range(3):
+        for _ in range(4):
+            rows = [job(f"n{n + i}", f"2024-01-{draw.randrange(1, 28):02}T00:00:00") for i in range(draw.randrange(1, 40))]
+            pages(folder, {f"{n:06}.json": "\n".join(rows) + "\n"})
+            n += len(rows)
+        query = start_append(intake.poll_job_events(spark, str(folder), 17).select("node.id"), str(tmp_path / "out"), str(tmp_path / "checkpoint"), processingTime="0 seconds")
+        query.processAllAvailable()
+        assert all(p["numInputRows"] <= 17 for p in query.recentProgress)
+        query.stop()
+        found = [r.id for r in spark.read.schema("id string").parquet(str(tmp_path / "out")).collect()]
+        assert sorted(found) == sorted(f"n{i}" for i in range(n)), start
+
+
 def test_new_events(spark, tmp_path):
     path = str(tmp_path / "in")
     write_console(spark, path, [("r", 1, 1, "a", False), ("r", 2, 2, "b", False)])

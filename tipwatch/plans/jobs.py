@@ -29,7 +29,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _AVAILABLE = f"state = 'available' AND kind = 'job' AND stamp >= '{CURSOR}'"
 _MINE = f"runtime = '{RUNTIME}' AND platform IN ('qemu-arm64', 'metal')"
-INTAKE_WHERE = f"{_AVAILABLE} AND {_MINE} AND definition LIKE 'http%'"
+INTAKE_WHERE = f"state = 'available' AND kind = 'job' AND {_MINE} AND definition LIKE 'http%'"
 
 
 @query("scan_job_events", view_sql("job_events") + f"SELECT stamp AS timestamp, node_id AS id FROM job_events WHERE {_AVAILABLE}")

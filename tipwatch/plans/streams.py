@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,10 @@ from tipwatch.operators import logs
 from tipwatch.plans.jobs import INTAKE_WHERE, PLATFORMS, RUNTIME, as_events
 from tipwatch.plans.logs import CRASH_HITS
 from tipwatch.plans.registry import query
-from tipwatch.plans.views import SPARK, VIEWS, table, view_sql
+from tipwatch.plans.views import SPARK, VIEWS, table, view, view_sql
 from tipwatch.session import scratch_path
 from tipwatch.streaming import intake, monitor
-from tipwatch.streaming.runs import batches, drain
+from tipwatch.streaming.runs import batches, drain, start_append
 
 AFTER = "2024-01-20 00:00:00"
 HOUR_MS, DAY_MS = 3600 * 1000, 24 * 3600 * 1000
@@ -28,18 +30,61 @@ def stream_view(spark: SparkSession, sf_dir: str, name: str, files_per_batch: in
     return files.selectExpr(*[c.format(**SPARK) for c in columns])
 
 
-@query(
-    "job_intake",
-    view_sql("job_events") + f"SELECT node_id, count(*) AS claims FROM (SELECT DISTINCT node_id FROM job_events WHERE {INTAKE_WHERE.replace('2024-01-03', '1970-01-01')}) GROUP BY ALL",
+# some events have a stamp that cannot be read, some none
+_STAMP = "case when definition like '%7' then '12/31/2024' when definition like '%8' then null else stamp end"
+_OFFERED = (
+    view_sql("job_events", "nodes")
+    + f""", offered AS (SELECT node_id, {_STAMP} AS stamp FROM job_events WHERE {INTAKE_WHERE}
+  AND node_id NOT IN (SELECT id FROM nodes WHERE job_id <> '' OR state <> 'available'))
+"""
 )
+
+
+def _intake(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The intake over all job events, a few files at a time; gives the folder of its tables."""
+    flat = stream_view(spark, sf_dir, "job_events", 2).withColumn("stamp", F.expr(_STAMP))
+    nodes = view(spark, sf_dir, "nodes").withColumnRenamed("id", "node_id")
+    out = scratch_path(spark, name)
+    intake.job_intake(as_events(flat), out, f"{out}/checkpoint", RUNTIME, PLATFORMS, nodes, availableNow=True).awaitTermination()
+    return out
+
+
+@query("job_intake", _OFFERED + "SELECT node_id, count(*) AS claims FROM (SELECT DISTINCT node_id FROM offered WHERE stamp IS NULL OR stamp LIKE '2024-%') GROUP BY ALL")
 def job_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = as_events(stream_view(spark, sf_dir, "job_events"))
-    out = scratch_path(spark, "intake")
-    intake.job_intake(events, out, f"{out}/checkpoint", RUNTIME, PLATFORMS, availableNow=True).awaitTermination()
-    taken = batches(spark, f"{out}/taken", intake.TAKEN)
+    taken = batches(spark, f"{_intake(spark, sf_dir, 'intake')}/taken", intake.TAKEN)
     return taken.groupBy("node_id").agg(F.count("*").alias("claims"))
 
 
+@query("intake_rejects", _OFFERED + "SELECT node_id, stamp AS timestamp, 'invalid_timestamp' AS error_code FROM offered WHERE stamp LIKE '12/%'")
+def intake_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batches(spark, f"{_intake(spark, sf_dir, 'rejects')}/rejected", intake.REJECTED).select("node_id", "timestamp", "error_code")
+
+
+@query(
+    "poll_job_events",
+    view_sql("job_events") + "SELECT stamp AS timestamp, node_id AS id, kind, count(*) AS times FROM job_events GROUP BY ALL",
+)
+def poll_job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All job events out of pages, polled by a cursor; the poll is broken off once and goes on from its checkpoint.
+
+    Events arrive by their numbers, which their stamps do not follow.
+    """
+    source, columns = VIEWS["job_events"]
+    flat = table(spark, sf_dir, source).orderBy("event_id").selectExpr(*[c.format(**SPARK) for c in columns])
+    pages, out = scratch_path(spark, "pages"), scratch_path(spark, "polled")
+    as_events(flat).select(F.to_json(F.struct("timestamp", "node"))).write.text(pages)
+    polled = intake.poll_job_events(spark, pages).select("timestamp", "node.id", "node.kind")
+    for last in (False, True):
+        running = start_append(polled, f"{out}/rows", f"{out}/checkpoint", processingTime="0 seconds")
+        while not last and not any(p["numInputRows"] for p in running.recentProgress) and running.isActive:
+            time.sleep(0.05)
+        if last:
+            running.processAllAvailable()
+        running.stop()
+    found = spark.read.schema(polled.schema).parquet(f"{out}/rows")
+    return found.groupBy("timestamp", "id", "kind").agg(F.count("*").alias("times"))
+
+
 @query("tail_new_events", view_sql("messages") + f"SELECT stream, seq FROM messages WHERE ts > timestamp '{AFTER}'")
 def tail_new_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = intake.new_events(stream_view(spark, sf_dir, "messages"), AFTER)
@@ -100,6 +145,20 @@ def run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.final_states(_alerts(spark, sf_dir, _QUIET)).select("run", "status")
 
 
+_MIXED = monitor.Limits(hang_ms=60 * HOUR_MS, timeout_ms=12 * DAY_MS)
+
+
+@query(
+    "run_endings",
+    _state_sql(_MIXED.hang_ms, _MIXED.timeout_ms)
+    + """SELECT run, status, at_ms, CASE status WHEN 'crash' THEN concat('kernel crash detected in VM: ', left(trim(crash), 300))
+  WHEN 'hang' THEN 'no VM console output for 216000s' WHEN 'timeout' THEN 'task wait timeout exceeded after 1036800s' ELSE '' END AS message FROM s""",
+)
+def run_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How and when each run ended, with limits of which every one ends some runs."""
+    return _alerts(spark, sf_dir, _MIXED).select("run", "status", "at_ms", "message")
+
+
 @query("stream_first_crash", view_sql("messages") + CRASH_HITS + "SELECT run, left(trim(message), 300) AS message FROM hits WHERE k = 1")
 def stream_first_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The earliest crash line per run from a recorded stream: matching lines are drained, then reduced."""

@@ -4,9 +4,11 @@ Live, the decision is a small pure function, ``advance``; Spark keeps its state
 when a deadline passes, by arrival, so no line is ever late. Before the shuffle every task folds its events to one row
 per run, so that a run with very many lines costs the stateful task no more than one with few.
 
-A recorded console is replayed on its own clock: every batch folds to facts per run, in the JVM, and when the recording
-is read the facts of all batches together give the verdicts. Facts add up in any order, so late files and one file or
-many make no difference.
+A recorded console is replayed on its own clock, as if watched without pause: the earliest of age, regular stop, crash and
+silence ends a run. Every batch folds to facts per run and time slot, in the JVM, and when the recording is read the
+facts of all batches together give the verdicts. Facts add up in any order, so late files and one file or many make no
+difference; a silence reaches over the end of a slot, so first and last line of each slot are all it takes to find it.
+Events without a time or a run say nothing there.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -30,7 +32,10 @@ CONDENSED = (
     "run string, lines long, first_us long, last_us long, stopped boolean,"
     " crash_us long, crash_seq long, crash_message string"
 )
-FACTS = "run string, lines long, first_us long, last_us long, stopped boolean, crash struct<us:bigint,seq:bigint,message:string>"
+FACTS = (
+    "run string, slot long, lines long, first_us long, last_us long, line_first_us long, line_last_us long, stop_us long,"
+    " crash struct<us:bigint,seq:bigint,message:string>"
+)
 ALERTS = "run string, status string, message string, at_ms long"
 STATE = "status string, start_ms long, last_ms long"
 
@@ -163,53 +168,66 @@ def run_monitor(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return condense(events).groupBy("run").applyInPandasWithState(watch, ALERTS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def facts(events: DataFrame) -> DataFrame:
-    """FACTS per run of ``(run, ts, seq, message, stopped)``: counts, ends and the first crash line."""
+def facts(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """FACTS per run and slot, as long as the silence that counts, of ``(run, ts, seq, message, stopped)``."""
     ended = F.coalesce("stopped", F.lit(False))
     us = F.unix_micros(F.col("ts").cast("timestamp"))
+    line = F.when(~ended, us)
     crash = F.when(is_crash(F.col("message")), F.struct(us.alias("us"), F.col("seq").cast("long").alias("seq"), first_alert_text(F.col("message")).alias("message")))
-    return events.groupBy("run").agg(
-        F.count_if(~ended).alias("lines"), F.min(us).alias("first_us"), F.max(us).alias("last_us"), F.bool_or(ended).alias("stopped"), F.min(crash).alias("crash")
+    slot = F.floor(us / max(1, limits.hang_ms * 1000)).alias("slot")
+    return events.filter("run is not null and ts is not null").groupBy("run", slot).agg(
+        F.count_if(~ended).alias("lines"),
+        F.min(us).alias("first_us"),
+        F.max(us).alias("last_us"),
+        F.min(line).alias("line_first_us"),
+        F.max(line).alias("line_last_us"),
+        F.min(F.when(ended, us)).alias("stop_us"),
+        F.min(crash).alias("crash"),
     )
 
 
 def merged(rows: DataFrame) -> DataFrame:
-    """FACTS of several batches as one row per run."""
-    return rows.groupBy("run").agg(
-        F.sum("lines").alias("lines"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.bool_or("stopped").alias("stopped"), F.min("crash").alias("crash")
-    )
+    """FACTS of several batches as one row per run and slot."""
+    least = [F.min(c).alias(c) for c in ("first_us", "line_first_us", "stop_us", "crash")]
+    return rows.groupBy("run", "slot").agg(F.sum("lines").alias("lines"), *least, *[F.max(c).alias(c) for c in ("last_us", "line_last_us")])
 
 
 def judged(known: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Alerts of whole runs, as ``advance`` orders them: age at its last line, a regular stop, a crash, then age and
-    silence at the end of the recording, the latest line of any run."""
+    """Alerts of whole runs from their merged facts: the earliest ending; of equal moments age, stop, crash, silence.
+
+    The recording ends at the latest event of any run, so that silence and age up to there count too. A deadline is the
+    first microsecond beyond it. Slots must be no longer than ``limits.hang_ms``.
+    """
+    hang, timeout = limits.hang_ms * 1000, limits.timeout_ms * 1000
     end = known.agg(F.max("last_us")).scalar()
-    ms = lambda c: F.floor(c / 1000)
-    age, end_age, quiet = (ms(F.col("last_us")) - ms(F.col("first_us")), ms(F.col("_end")) - ms(F.col("first_us")), ms(F.col("_end")) - ms(F.col("last_us")))
-    status = (
-        F.when(age > limits.timeout_ms, "timeout")
-        .when(F.col("stopped"), "stopped")
-        .when(F.col("crash").isNotNull(), "crash")
-        .when(end_age > limits.timeout_ms, "timeout")
-        .when(quiet > limits.hang_ms, "hang")
-        .otherwise("running")
-    )
-    aged = F.floor(F.when(age > limits.timeout_ms, age).otherwise(end_age) / 1000)
+    run = Window.partitionBy("run")
+    begun = F.min("first_us").over(run)
+    heard = F.coalesce(F.max("line_last_us").over(run.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), begun)
+    slots = known.withColumn("_heard", heard).withColumn("_gap", F.when(F.col("line_first_us") - F.col("_heard") > hang, F.col("_heard") + hang + 1))
+    least = [F.min(c).alias(c) for c in ("first_us", "stop_us", "crash", "_gap")]
+    runs = slots.groupBy("run").agg(*least, F.max("line_last_us").alias("_last")).withColumn("_end", end)
+    quiet = F.coalesce("_last", "first_us")
+    silence = F.coalesce("_gap", F.when(F.col("_end") - quiet > hang, quiet + hang + 1))
+    aged = F.when(F.col("_end") - F.col("first_us") > timeout, F.col("first_us") + timeout + 1)
+    moments = [(aged, "timeout"), (F.col("stop_us"), "stopped"), (F.col("crash.us"), "crash"), (silence, "hang")]
+    endings = F.array(*[F.struct(at.alias("us"), F.lit(turn).alias("turn"), F.lit(status).alias("status")) for turn, (at, status) in enumerate(moments)])
+    first = F.array_min(F.filter(endings, lambda e: e["us"].isNotNull()))
+    status = F.coalesce("_first.status", F.lit("running"))
     # fixed message texts
     message = (
-        F.when(F.col("status") == "timeout", F.concat(F.lit("task wait timeout exceeded after "), aged.cast("string"), F.lit("s")))
-        .when(F.col("status") == "crash", F.concat(F.lit("kernel crash detected in VM: "), "crash.message"))
-        .when(F.col("status") == "hang", F.lit(f"no VM console output for {limits.hang_ms // 1000}s"))
+        F.when(F.col("_first.status") == "timeout", F.lit(f"task wait timeout exceeded after {limits.timeout_ms // 1000}s"))
+        .when(F.col("_first.status") == "crash", F.concat(F.lit("kernel crash detected in VM: "), "crash.message"))
+        .when(F.col("_first.status") == "hang", F.lit(f"no VM console output for {limits.hang_ms // 1000}s"))
         .otherwise("")
     )
-    out = known.withColumn("_end", end).withColumn("status", status)
-    return out.select("run", "status", message.alias("message"), ms(F.col("_end")).alias("at_ms"))
+    at = F.floor(F.coalesce("_first.us", "_end") / 1000).alias("at_ms")
+    return runs.withColumn("_first", first).select("run", status.alias("status"), message.alias("message"), at)
 
 
 def replay(spark: SparkSession, events: DataFrame, limits: Limits = Limits(), name: str = "replay") -> DataFrame:
     """Alerts of a recorded stream, read to its end; every file counts, in whatever order the files come."""
     out = scratch_path(spark, name)
-    step = lambda batch, _: {"facts": facts(batch)}
+    step = lambda batch, _: {"facts": facts(batch, limits)}
     each_batch_once(events, step, out, f"{out}/checkpoint", availableNow=True).awaitTermination()
     return judged(merged(batches(spark, f"{out}/facts", FACTS)), limits)
 
