@@ -3,8 +3,8 @@
 Texts are linked when their sets of five-word shingles have a similarity of 0.75 or more; the classes of the links come
 back, with one representative for each different set, so copies are never paired.
 
-The join is exact. Shingles have one global order (rarer first, as far as ``hot_bits`` knows, then by hash), and linked
-sets share a shingle in their first quarter. Over the sets that share such a shingle with another stands a tree of three
+The join is exact. Shingles have one global order (by the grade of their count, rarer first, then by hash; grades come from
+counts that tasks add up, and any grades give the same links), and linked sets share a shingle in their first quarter. Over the sets that share such a shingle with another stands a tree of three
 levels: classes linked so far, their nodes of like size, and the sets. Nodes hold the OR of their sets' shingle bitmaps
 and their range of sizes. Both sides of a pair are descended together:
 
@@ -37,8 +37,10 @@ from .common import written
 SHARED, SIZES = 7, 3
 # Bits of the fixed tables that passes take along (8 MiB each), and of a set's bitmap.
 TABLE_BITS, MAP_BITS = 26, 2048
-# Shingles counted at a time; one that occurs so often among them counts as common.
+# Shingles counted at a time; one that occurs so often among them is counted towards its grade.
 COUNTED, COMMON = 4_000_000, 2
+# Grades go by powers of two of the counts that share a place in the fixed table, 4 bits each.
+GRADE_BITS, GRADES = 24, 16
 # Leaders of a run of equal shingles: the more, the fewer sets of a large group are left for the pairs of nodes.
 LEADERS = 6
 # Pairs of sets that are compared before all of two nodes are.
@@ -52,9 +54,11 @@ def first_part(n):
     return n - (3 * n + 3) // 4 + 1
 
 
-def short_part(n):
-    """Likewise, of the smaller one of two linked sets, among the first part of the other."""
-    return n - (6 * n + 6) // 7 + 1
+def reach(n, place):
+    """Three times the size of the largest set that a set of ``n`` shingles may link with if their first common shingle
+    in the global order is its shingle at ``place``: all that they share comes from there on, and 7 (n - place) must be
+    no less than 3 (n + other)."""
+    return (SHARED - SIZES) * n - SHARED * place
 
 
 def _pack(ids: pa.Table, name: str) -> np.ndarray:
@@ -69,6 +73,21 @@ def _bit_table(positions: DataFrame) -> np.ndarray:
     return _pack(words.agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toArrow(), "bits")
 
 
+def _grades(counts: DataFrame) -> np.ndarray:
+    """Sixteen grades a word from (bit, count): 0 for a place without counts, else one more than the power of two."""
+    grade = F.least(F.lit(GRADES - 1), 1 + F.floor(F.log2(F.sum("count").cast("double")))).alias("grade")
+    each = counts.groupBy("bit").agg(grade).withColumn("word", F.shiftright("bit", 4).cast("int"))
+    words = each.groupBy("word").agg(F.expr("bit_or(shiftleft(cast(grade as bigint), cast(4 * (bit % 16) as int)))").alias("grades")).toArrow()
+    table = np.zeros(1 << (GRADE_BITS - 4), "<u8")
+    table[words["word"].to_numpy()] = words["grades"].to_numpy().view(np.uint64)
+    return table
+
+
+def _grade(table: np.ndarray, own: np.ndarray) -> np.ndarray:
+    at = own >> np.uint64(64 - GRADE_BITS)
+    return ((table[at >> np.uint64(4)] >> ((at & np.uint64(15)) << np.uint64(2))) & np.uint64(GRADES - 1)).astype(np.uint8)
+
+
 def _is_set(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
@@ -96,8 +115,9 @@ class _Texts:
         self.spark: SparkSession = docs.sparkSession
 
     def summaries(self) -> DataFrame:
-        """A row per document: size, id and bitmap of its set (null without words); and rows that hold only ``bit``,
-        the place of a common shingle in the fixed table. Equal sets of a task count once."""
+        """A row per document: size, id and bitmap of its set (null without words); and rows that hold only ``bit`` and
+        ``count``, the place of shingles that occur again in the table of grades and how often. Equal sets of a task
+        count once."""
 
         def run(batches):
             seen, held, size = set(), [], 0
@@ -105,8 +125,10 @@ class _Texts:
             def common():
                 every = np.sort(np.concatenate(held))
                 at = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-                often = every[at[np.diff(np.append(at, len(every))) >= COMMON]]
-                return np.unique(often >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+                times = np.diff(np.append(at, len(every)))
+                often = times >= COMMON
+                places, back = np.unique(every[at[often]] >> np.uint64(64 - GRADE_BITS), return_inverse=True)
+                return places.astype(np.int64), np.bincount(back, times[often], len(places)).astype(np.int64)
 
             for batch in batches:
                 sizes, ids, maps = [], [], []
@@ -118,50 +140,53 @@ class _Texts:
                         seen.add(ids[-1])
                         held.append(own)
                         size += len(own)
-                columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), _lists(maps), pa.nulls(len(sizes), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["_key", "n", "id", "map", "bit"])
+                none = [pa.nulls(len(sizes), pa.int64())] * 2
+                columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), _lists(maps), *none]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 if size >= COUNTED:
-                    yield from rows_of(common(), batch)
+                    yield from rows_of(*common(), batch)
                     held, size = [], 0
             if held:
-                yield from rows_of(common(), batch)
+                yield from rows_of(*common(), batch)
 
-        def rows_of(bits, batch):
-            none = [pa.nulls(len(bits), t) for t in (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(bits)], names=["_key", "n", "id", "map", "bit"])
+        def rows_of(places, counts, batch):
+            none = [pa.nulls(len(places), t) for t in (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(places), pa.array(counts)], names=names)
 
-        kinds = StructType([self.docs.schema["_key"]]).add("n", "long").add("id", "long").add("map", ArrayType(LongType())).add("bit", "long")
+        names = ["_key", "n", "id", "map", "bit", "count"]
+        kinds = StructType([self.docs.schema["_key"]]).add("n", "long").add("id", "long").add("map", ArrayType(LongType()))
+        kinds = kinds.add("bit", "long").add("count", "long")
         return written(self.docs.mapInArrow(run, kinds), "summaries")
 
-    def postings(self, hot_bits: np.ndarray) -> DataFrame:
-        """The first part of every different set of a task: token, id, n, and whether it is in the short part."""
-        shared = self.spark.sparkContext.broadcast(hot_bits)
+    def postings(self, grades: np.ndarray) -> DataFrame:
+        """The first part of every different set of a task: token, id, n, and how far its place reaches."""
+        shared = self.spark.sparkContext.broadcast(grades)
 
         def run(batches):
-            hot, seen = shared.value, set()
+            table, seen = shared.value, set()
             for batch in batches:
-                tokens, ids, sizes, short = [], [], [], []
+                tokens, ids, sizes, reaches = [], [], [], []
                 for own in shingles.sets(batch.column(0)):
                     if not len(own) or (name := _id_of(own)) in seen:
                         continue
                     seen.add(name)
-                    n, common = len(own), _is_set(hot, own >> np.uint64(64 - TABLE_BITS))
-                    tokens.append(np.concatenate([own[~common], own[common]])[: first_part(n)].view(np.int64))
+                    n = len(own)
+                    tokens.append(own[np.argsort(_grade(table, own), kind="stable")[: first_part(n)]].view(np.int64))
                     ids.append(name)
                     sizes.append(n)
-                    short.append(np.arange(first_part(n)) < short_part(n))
+                    reaches.append(reach(n, np.arange(first_part(n))).astype(np.int32))
                 counts = [len(t) for t in tokens]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([np.empty(0, np.int64), *tokens])),
                         pa.array(np.repeat(np.array(ids, np.int64), counts)),
                         pa.array(np.repeat(np.array(sizes, np.int32), counts)),
-                        pa.array(np.concatenate([np.empty(0, bool), *short])),
+                        pa.array(np.concatenate([np.empty(0, np.int32), *reaches])),
                     ],
-                    names=["token", "id", "n", "short"],
+                    names=["token", "id", "n", "reach"],
                 )
 
-        return self.docs.select("_text").mapInArrow(run, "token long, id long, n int, short boolean")
+        return self.docs.select("_text").mapInArrow(run, "token long, id long, n int, reach int")
 
     def sets(self, wanted: DataFrame, summaries: DataFrame) -> DataFrame:
         """A written table of id and tokens for the wanted ids, from one document each (and now and then another)."""
@@ -196,18 +221,18 @@ def _runs(postings: DataFrame) -> DataFrame:
             tokens, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(tokens):
                 continue
-            n, short = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+            n, far = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             fresh = np.ones(len(tokens), bool)
             fresh[1:] = (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])
             if tokens[0] == token and ids[0] == last:
                 fresh[0] = False
-            tokens, ids, n, short = tokens[fresh], ids[fresh], n[fresh], short[fresh]
+            tokens, ids, n, far = tokens[fresh], ids[fresh], n[fresh], far[fresh]
             if not len(tokens):
                 continue
             extra = 0
             if pending is not None and tokens[0] == token:
                 tokens, ids = np.append(pending[0], tokens), np.append(pending[1], ids)
-                n, short = np.append(pending[2], n), np.append(pending[3], short)
+                n, far = np.append(pending[2], n), np.append(pending[3], far)
             elif pending is None and tokens[0] == token:
                 extra = 1  # goes on with a run that is confirmed
             begin = np.concatenate([[True], tokens[1:] != tokens[:-1]])
@@ -231,17 +256,17 @@ def _runs(postings: DataFrame) -> DataFrame:
                 own = run_of[inside]
                 lead[inside, j] = np.where(has[own], ids[np.minimum(starts + j, len(ids) - 1)][own], ids[inside])
             open_one = len(starts) > 0 and sizes[-1] == 1
-            pending = (tokens[-1:], ids[-1:], n[-1:], short[-1:]) if open_one else None
+            pending = (tokens[-1:], ids[-1:], n[-1:], far[-1:]) if open_one else None
             if len(starts):
                 leaders = ids[starts[-1] : starts[-1] + LEADERS].tolist()
             token, last = tokens[-1], ids[-1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens[keep]), pa.array(ids[keep]), pa.array(n[keep].astype(np.int32)), pa.array(short[keep].astype(bool)), *[pa.array(lead[keep, j]) for j in range(LEADERS)]],
-                names=["token", "id", "n", "short", *names],
+                [pa.array(tokens[keep]), pa.array(ids[keep]), pa.array(n[keep].astype(np.int32)), pa.array(far[keep].astype(np.int32)), *[pa.array(lead[keep, j]) for j in range(LEADERS)]],
+                names=["token", "id", "n", "reach", *names],
             )
 
     dealt = postings.repartition("token").sortWithinPartitions("token", "id")
-    return written(dealt.mapInArrow(run, "token long, id long, n int, short boolean, " + ", ".join(f"{c} long" for c in names)), "runs")
+    return written(dealt.mapInArrow(run, "token long, id long, n int, reach int, " + ", ".join(f"{c} long" for c in names)), "runs")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -326,16 +351,19 @@ class _Tree:
         nodes = written(nodes, "nodes")
         held = self.runs.join(classed.select("id", "label", "node"), "id")
         held = held.groupBy("token", "node", "label").agg(
-            F.max("short").alias("short"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("id").alias("first"), F.max("id").alias("last"),
+            F.max("reach").alias("reach"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("id").alias("first"), F.max("id").alias("last"),
             F.min_by("id", F.xxhash64("id")).alias("low"), F.max_by("id", F.xxhash64("id")).alias("high"),
         )
         several = held.groupBy("token").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).filter("_l <> _m").select("token")
         held = written(held.join(several, "token", "left_semi"), "held")
-        x = held.select("token", F.col("node").alias("x"), F.col("label").alias("xl"), F.col("least").alias("x0"), F.col("most").alias("x1"))
-        y = held.select("token", F.col("node").alias("y"), F.col("label").alias("yl"), "short", F.col("least").alias("y0"), F.col("most").alias("y1"))
-        # y holds the smaller set, whose short part has the token
-        meets = (F.col("xl") != F.col("yl")) & (F.col("y0") <= F.col("x1")) & (4 * F.col("y1") >= 3 * F.col("x0"))
-        found = x.join(y.filter("short"), "token").filter(meets)
+        x, y = (
+            held.select("token", *[F.col(c).alias(f"{s}{d}") for c, d in (("node", ""), ("label", "l"), ("least", "0"), ("most", "1"), ("reach", "r"))])
+            for s in "xy"
+        )
+        # y holds the smaller set; the token may be the first that two sets share if each one's place in its set reaches
+        # to the size of the other
+        meets = (F.col("xl") != F.col("yl")) & (F.col("y0") <= F.col("x1")) & (F.col("xr") >= SIZES * F.col("y0")) & (F.col("yr") >= SIZES * F.col("x0"))
+        found = x.join(y.filter(F.col("yr") >= SIZES * F.col("y0")), "token").filter(meets)
         found = found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
         def of(side: str) -> DataFrame:
@@ -387,9 +415,9 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     """
     texts = _Texts(docs, text, key)
     summaries = texts.summaries()
-    hot = _bit_table(summaries.filter("bit is not null").select("bit"))
-    rows = summaries.filter("bit is null").drop("bit")
-    tree = _Tree(_runs(texts.postings(hot)), rows)
+    grades = _grades(summaries.filter("bit is not null").select("bit", "count"))
+    rows = summaries.filter("bit is null").drop("bit", "count")
+    tree = _Tree(_runs(texts.postings(grades)), rows)
 
     def join(pairs: DataFrame, check: Callable = _linked) -> None:
         pairs = written(pairs, "pairs")
