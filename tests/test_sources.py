@@ -1,10 +1,13 @@
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tipwatch import sinks
-from tipwatch.operators import offline, verdicts
-from tipwatch.sources import objects
+from tipwatch.functions import text
+from tipwatch.operators import logs, offline, outcomes, rejects, verdicts
+from tipwatch.sources import cut, groups, objects
 
 HEADER = "metric,unit,value,more_is_better,kernel_version,instance_id,instance_type,arch\n"
 
@@ -170,11 +173,159 @@ def test_suite_prefix(spark):
 
 def test_instance_logs_keep_order(spark, tmp_path):
     rows = [(f"i-{i % 3}", ("stdout", "stderr")[i % 2], i * 7919 % 1000, i) for i in range(600)] + [("i-9", None, 1, 1)]
+    rows += [(f"small-{i}", "stdout", 0, i) for i in range(40)]
     df = spark.createDataFrame(rows, "instance_id string, channel string, at int, seq int")
     grouped = df.selectExpr("instance_id", "channel", "timestamp_seconds(at) as ts", "seq", "concat(channel, ' ', lpad(cast(at as string), 4, '0'), ' ', lpad(cast(seq as string), 4, '0')) as line")
-    sinks.write_instance_logs(grouped, str(tmp_path / "out"))
-    folders = sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir())
-    assert folders == ["instance_id=i-0", "instance_id=i-1", "instance_id=i-2"]
-    for folder in folders:
-        lines = [x for f in sorted((tmp_path / "out" / folder).glob("part-*")) for x in f.read_text().splitlines()]
+    out = str(tmp_path / "out")
+    sinks.write_instance_logs(grouped, out, 4000)
+    index = spark.read.parquet(f"{out}/index").collect()
+    assert {r.instance_id for r in index} == {"i-0", "i-1", "i-2", *(f"small-{i}" for i in range(40))}
+    files = {r.file for r in index}
+    assert 3 <= len(files) <= 8 and any(sum(r.file == f for r in index) > 10 for f in files)  # files follow bytes
+    assert any(len({r.file for r in index if r.instance_id == i}) > 1 for i in ("i-0", "i-1", "i-2"))
+    for i in range(3):
+        found = sinks.read_instance_log(spark, out, f"i-{i}")
+        assert len(found.inputFiles()) == sum(r.instance_id == f"i-{i}" for r in index)
+        lines = [r.line for r in found.orderBy("place").collect()]
         assert len(lines) == 200 and lines == sorted(x for x in lines if x.startswith("stdout")) + sorted(x for x in lines if x.startswith("stderr"))
+        sinks.export_instance_log(spark, out, f"i-{i}", str(tmp_path / f"text{i}"))
+        assert [x for f in sorted((tmp_path / f"text{i}").glob("part-*")) for x in f.read_text().splitlines()] == lines
+    assert sinks.read_instance_log(spark, out, "i-9").count() == 0
+
+
+def test_container_log(spark, tmp_path):
+    rows = [(5, 2, "b"), (5, 1, "a"), (None, 3, "never"), (70, 4, None)]
+    events = spark.createDataFrame(rows, "at int, seq int, message string").selectExpr("timestamp_seconds(at) as ts", "seq", "message")
+    sinks.write_container_log(logs.container_lines(events), str(tmp_path / "out"))
+    text = [x for f in sorted((tmp_path / "out").glob("part-*")) for x in f.read_text().split("\n")[:-1]]
+    stamp = "[1970-01-01 00:0{}] [CONTAINER] "
+    assert text == [stamp.format("0:00") + "never", stamp.format("0:05") + "a", stamp.format("0:05") + "b", stamp.format("1:10")]
+
+
+@pytest.fixture
+def small_cuts(spark):
+    """Tasks read 64 bytes of a file."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_a_file_over_many_tasks_has_the_same_rows(spark, tmp_path, small_cuts):
+    draw = random.Random(6)
+    cells = ["a", "", "b c", '"q,r"', '"two\nlines"', '"say ""x"""', '"\n\n"', '"cr\r\nlf"', "x" * 90, '"' + "y\n" * 60 + '"', "é", 'in"ner"']
+    bodies = []
+    for i in range(12):
+        head = draw.choice(["m,v,m", "v,w,m", '"m",v', "v"])
+        rows = [",".join(draw.choices(cells, k=draw.randrange(1, 5))) for _ in range(draw.randrange(0, 60))]
+        bodies.append("\n" * (i % 3) + draw.choice(["\n", "\r\n"]).join([head, *rows]) + draw.choice(["", "\n"]))
+    bodies += ["", "\n\n", "m,v", "m,v\n1,2\n" * 40, "m\rv\r" * 20, 'm,v\n1,"open\n2,3\n']
+    for i, body in enumerate(bodies):
+        put(tmp_path, f"run/{i:02}.csv", body)
+    found = objects.read_headed(spark, str(tmp_path / "run"), ["m", "v"], "*.csv", whole_bytes=0)
+    whole = objects.parse_csv(spark.createDataFrame([(f"{i:02}.csv", b) for i, b in enumerate(bodies)], "path string, content string"), ["m", "v"])
+
+    def rows(df):
+        out = {}
+        for r in df.collect():
+            out.setdefault(r.path[-6:], []).append((r.pos, r.m, r.v, sorted(r.present), r.extras))
+        return {k: [x[1:] for x in sorted(v, key=lambda x: x[0])] for k, v in out.items()}
+
+    assert rows(found) == rows(whole)
+    big = cut.read_lines(spark, str(tmp_path / "run"), "15.csv")
+    assert big.select("block").distinct().count() >= 4
+    mixed = objects.read_headed(spark, str(tmp_path / "run"), ["m", "v"], "*.csv", whole_bytes=200)
+    assert rows(mixed) == rows(whole)
+
+
+def test_large_benchmark_files_scan_alike(spark, run, small_cuts):
+    def told(df, *columns):
+        return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
+
+    root = str(run)
+    texts = objects.read_texts(spark, root, "*benchmark-*.csv")
+    columns = ("run_prefix", "test", "side", "metric", "unit", "value", "more_is_better", "kernel_version", "instance_id", "arch")
+    assert told(objects.scan_benchmark_csv(spark, root), *columns) == told(objects.benchmark_rows(texts), *columns)
+    columns = ("test", "instance", "source_file", "metric", "value", "extras")
+    assert told(objects.scan_offline_csv(spark, root), *columns) == told(objects.offline_rows(objects.read_texts(spark, root, "*.csv")), *columns)
+    kept = verdicts.clean_measurements(objects.scan_benchmark_csv(spark, root))
+    assert verdicts.kernel_of_side(objects.scan_benchmark_csv(spark, root)).count() == 2 and kept.count() == 7
+
+
+def test_excerpts_of_lines_are_those_of_whole_logs(spark, tmp_path, small_cuts):
+    draw = random.Random(9)
+    parts = ["Warning: a", "warn", "+ error x", "ERROR one", "it failed", "ok", "", "  error  two  ", "a\x0bfailed b", "warning\u2028error", "x" * 150 + " error", "test_a/input/ y", "no test_b, /input/", "test_/input/"]
+    bodies = ["\n".join(draw.choices(parts, k=draw.randrange(0, 40))) for _ in range(25)]
+    for i, body in enumerate(bodies):
+        put(tmp_path, f"logs/{i:02}.log", body)
+    lines, files = cut.read_lines(spark, str(tmp_path / "logs")), cut.read_files(spark, str(tmp_path / "logs"))
+    got = {r.path[-6:]: (r.warnings, r.errors) for r in outcomes.excerpts_of_lines(lines, files).collect()}
+    whole = spark.createDataFrame([(f"{i:02}.log", b) for i, b in enumerate(bodies)], "path string, content string")
+    assert got == {r.path: (r.warnings, r.errors) for r in outcomes.failure_excerpts(whole).collect()}
+    tests = {r.path[-6:]: r.test for r in outcomes.tests_of_lines(lines, files).collect()}
+    assert tests == {r.path: "unknown" if r.t is None else r.t for r in whole.select("path", text.test_of_log(F.col("content")).alias("t")).collect()}
+    failures = {}
+    for r in outcomes.failures_of_lines(lines).orderBy("path", "block", "line", "part").collect():
+        failures.setdefault(r.path[-6:], []).append(r.text)
+    found = whole.select("path", text.failure_lines(text.split_lines(F.col("content"))).alias("l")).collect()
+    assert failures == {r.path: r.l for r in found if r.l}
+
+
+def test_log_groups(spark, tmp_path):
+    root = str(tmp_path / "groups")
+    assert groups.read_log_group(spark, root, "/ec2/t", "r1").count() == 0
+    rows = [("/ec2/t", "r1", None, "cmd1/i-1/stdout", 5, 1, "a"), ("/ec2/t", "r1", "console", "s", 6, 2, "b"), ("/ec2/t", None, None, "s", 7, 3, "c"), ("/ec2/u", "r1", None, "s", 8, 4, "d")]
+    events = spark.createDataFrame(rows, "base string, run string, suffix string, stream string, at int, seq long, message string")
+    events = events.selectExpr("base", "run", "suffix", "stream", "timestamp_seconds(at) as ts", "seq", "message")
+    groups.write_log_events(events, root)
+    groups.write_log_events(events.limit(0), root)
+
+    def seqs(*name, **more):
+        return [r.seq for r in groups.read_log_group(spark, root, *name, **more).collect()]
+
+    assert seqs("/ec2/t", "r1") == [1] and seqs("/ec2/t", "r1", "console") == [2] and seqs("/ec2/t") == [3] and seqs("/ec2/u", "r1") == [4]
+    assert seqs("/ec2/t", "r2") == [] and seqs("/ec2/none") == []
+    assert seqs("/ec2/t", "r1", stream_prefix="cmd2") == [] and seqs("/ec2/t", "r1", start_ms=5000) == [1] and seqs("/ec2/t", "r1", start_ms=5001) == []
+    one = groups.read_log_group(spark, root, "/ec2/t", "r1")
+    assert "PartitionFilters: [isnotnull(base" in one._jdf.queryExecution().executedPlan().toString()
+    named = groups.read_log_groups(spark, root, [("/ec2/t", "r1", "console"), ("/ec2/x",), ("/ec2/t",)])
+    assert sorted((r.log_group, r.seq) for r in named.collect()) == [("/ec2/t", 3), ("/ec2/t/r1/console", 2)]
+
+
+def test_bad_records_are_set_aside_and_counted(spark, run, tmp_path):
+    rows = objects.scan_benchmark_csv(spark, str(run))
+    bad = verdicts.rejected_measurements(rows).collect()
+    assert sorted((r.metric or "", r.value or "", r.reason) for r in bad) == [("", "1", "no metric"), ("m", "bad", "no number")] or len(bad) == 3
+    watched, seen = rejects.counted(verdicts.judged_measurements(rows), ["no metric", "no number"])
+    watched.write.format("noop").mode("overwrite").save()
+    got = seen.get
+    assert got["read"] == rows.count() == got["kept"] + got["no metric"] + got["no number"]
+    assert got["kept"] == verdicts.clean_measurements(rows).count() and len(bad) == got["read"] - got["kept"]
+    place = "run_a/test_t/output/i-1/stats.json"
+    files = [(place, json.dumps({"exit_code": 3, "success": False})), (place, '{"exit_code": 3'), (place, " "), (place, None), ("stats.json", "{}"), ("other.json", "x")]
+    stats = rejects.judged_stage_stats(spark.createDataFrame(files, "path string, content string")).collect()
+    assert [(r.exit_code, r.reason) for r in stats][:1] == [(3, None)] and [r.reason for r in stats] == [None, "unreadable", "empty", "empty", "outside the layout"]
+    assert [r.content for r in stats][:2] == [None, '{"exit_code": 3']
+    entry = {"test": "t", "instance_id": "i", "log_url": "u"}
+    docs = [json.dumps({"run_prefix": "r", "artifacts": [entry, {"test": "t"}]}), json.dumps({"run_prefix": "r", "artifacts": []}), "{cut", None]
+    found = rejects.judged_manifests(spark.createDataFrame([(d,) for d in docs], "content string")).collect()
+    assert [(r.run_prefix, r.pos, r.reason) for r in found][:3] == [("r", 0, None), ("r", 1, "no test or instance"), ("r", None, "no entries")]
+    assert [r.reason for r in found][3:] == ["unreadable", "empty"]
+    keys = [("run_a/test_t/output/i-1/x.log",), ("run_a/test_t/input/i-1/x",), ("elsewhere/x",)]
+    assert [r.reason for r in rejects.judged_keys(spark.createDataFrame(keys, "key string")).collect()] == [None, "no output", "outside the layout"]
+
+
+def test_a_landed_folder_is_cut_by_its_bytes(spark, tmp_path):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes",)}
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k")
+    try:
+        rows = spark.range(60000).selectExpr("'run_a_20240101_000000' as run", "case when id % 100 = 0 then 'small' else 'hot' end as test", "cast(rand(3) * id as string) as value").repartition(16)
+        sinks.land_measurements(rows, str(tmp_path / "landed"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {t: len(list((tmp_path / "landed").rglob(f"test={t}/part-*"))) for t in ("hot", "small")}
+    assert files["hot"] > 8 and files["small"] <= 8
+    assert spark.read.parquet(str(tmp_path / "landed")).count() == 60000

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -142,29 +143,61 @@ def split_lines(text: Column) -> Column:
     return F.split(text, _LINE_ENDS)
 
 
+def lines_within(line: Column) -> Column:
+    """The lines of what a reader that knows line feeds only took for one."""
+    return F.when(line.rlike(_LINE_ENDS), split_lines(line)).otherwise(F.array(line))
+
+
 def _strip(s: Column) -> Column:
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
 
 
-def _excerpt(lines: Column, pattern: str, words: list[str]) -> Column:
-    """First matching lines that are not shell trace, trimmed and cut. A plain search spares most lines the pattern."""
-    hits = F.filter(lines, lambda x: may_contain(x, F.upper(x), words) & x.rlike("(?iU)" + pattern) & ~x.startswith("+"))
-    return F.transform(F.slice(hits, 1, EXCERPT_LINES), lambda x: F.substring(_strip(x), 1, EXCERPT_CHARS))
+# What makes a line a warning or an error.
+_WARNING, _ERROR = r"warning|warn\b", r"error|failed"
+
+
+def _tells(line: Column, pattern: str, words: list[str]) -> Column:
+    """Whether a line matches and is no shell trace. A plain search spares most lines the pattern."""
+    return may_contain(line, F.upper(line), words) & line.rlike("(?iU)" + pattern) & ~line.startswith("+")
+
+
+def is_warning(line: Column) -> Column:
+    return _tells(line, _WARNING, ["WARN"])
+
+
+def is_error(line: Column) -> Column:
+    return _tells(line, _ERROR, ["ERROR", "FAILED"])
+
+
+def excerpt(line: Column) -> Column:
+    """A line as it is shown: trimmed and cut."""
+    return F.substring(_strip(line), 1, EXCERPT_CHARS)
+
+
+def _first(lines: Column, tells: Callable[[Column], Column]) -> Column:
+    return F.transform(F.slice(F.filter(lines, tells), 1, EXCERPT_LINES), excerpt)
 
 
 def warning_lines(lines: Column) -> Column:
-    return _excerpt(lines, r"warning|warn\b", ["WARN"])
+    return _first(lines, is_warning)
 
 
 def error_lines(lines: Column) -> Column:
-    return _excerpt(lines, r"error|failed", ["ERROR", "FAILED"])
+    return _first(lines, is_error)
+
+
+def is_failure(line: Column) -> Column:
+    return line.contains("FAILED") | line.contains("✗ Test result")
+
+
+def failure_text(line: Column) -> Column:
+    """A container log line without the timestamp and source in front."""
+    return F.regexp_replace(_strip(line), r"(?s)^.*?\[CONTAINER\] ", "")
 
 
 def failure_lines(lines: Column) -> Column:
     """Container log lines that report a failure, without the timestamp and source in front."""
-    hits = F.filter(lines, lambda x: x.contains("FAILED") | x.contains("✗ Test result"))
-    message = r"(?s)^.*?\[CONTAINER\] "
-    return F.transform(hits, lambda x: F.regexp_replace(_strip(x), message, ""))
+    return F.transform(F.filter(lines, is_failure), failure_text)
 
 
 def test_of_log(text: Column) -> Column:

@@ -24,6 +24,14 @@ def head_log_events(events: DataFrame, stream: str, limit: int) -> DataFrame:
     return events.filter(F.col("stream") == stream).orderBy("ts", "seq").limit(limit)
 
 
+def container_lines(events: DataFrame) -> DataFrame:
+    """Rendered lines of a container's events ``(ts, seq, message)``; the source stands behind the stamp. An event without
+    a message is an empty line, one without a time begins in 1970."""
+    ts = F.coalesce("ts", F.timestamp_seconds(F.lit(0))).alias("ts")
+    line = F.concat(F.lit("["), F.date_format(ts, STAMP), F.lit("] [CONTAINER] "), F.coalesce("message", F.lit("")))
+    return events.select(ts, "seq", line.alias("line"))
+
+
 def recent_streams(events: DataFrame, limit: int = 10) -> DataFrame:
     """The streams with the latest events, newest first."""
     last = events.groupBy("stream").agg(F.max("ts").alias("last_ts"))

@@ -235,3 +235,40 @@ def failure_excerpts(logs: DataFrame) -> DataFrame:
     lined = logs.withColumn("_lines", text.split_lines(F.col("content")))
     lines = F.col("_lines")
     return lined.select(*others, text.warning_lines(lines).alias("warnings"), text.error_lines(lines).alias("errors"))
+
+
+def excerpts_of_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """``failure_excerpts`` from ``(path, block, line, value)`` as ``sources.cut`` reads it, for all ``files(path)``.
+
+    Only lines that match are looked at further, and each task passes on no more of a file than its first few of a kind;
+    no file has to fit into a row.
+    """
+    each = lines.select("path", "block", "line", F.posexplode(text.lines_within(F.col("value"))).alias("part", "value"))
+    kinds = F.array(F.when(text.is_warning(F.col("value")), F.lit("warnings")), F.when(text.is_error(F.col("value")), F.lit("errors")))
+    hits = each.withColumn("_kind", F.explode(F.array_compact(kinds)))
+    order = ["block", "line", "part"]
+    nth = F.row_number().over(Window.partitionBy("path", "_kind").orderBy(*order))
+    first = hits.withColumn("_nth", nth).filter(F.col("_nth") <= text.EXCERPT_LINES)
+
+    def shown(kind: str) -> Column:
+        ones = F.collect_list(F.when(F.col("_kind") == kind, F.struct("_nth", text.excerpt(F.col("value")).alias("value"))))
+        return F.transform(F.array_sort(ones), lambda x: x["value"]).alias(kind)
+
+    found = first.groupBy("path").agg(shown("warnings"), shown("errors"))
+    none = F.array().cast("array<string>")
+    out = files.select("path").join(found, "path", "left")
+    return out.select("path", F.coalesce("warnings", none).alias("warnings"), F.coalesce("errors", none).alias("errors"))
+
+
+def failures_of_lines(lines: DataFrame) -> DataFrame:
+    """Lines of container logs that report a failure, a row each, in the order of ``(path, block, line, part)``."""
+    each = lines.select("path", "block", "line", F.posexplode(text.lines_within(F.col("value"))).alias("part", "value"))
+    hits = each.filter(text.is_failure(F.col("value")))
+    return hits.select("path", "block", "line", "part", text.failure_text(F.col("value")).alias("text"))
+
+
+def tests_of_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """``(path, test)``: the test that the first line of a log with an input folder names, else unknown."""
+    named = lines.filter(F.col("value").contains("/input/")).withColumn("test", text.test_of_log(F.col("value")))
+    first = named.filter("test is not null").groupBy("path").agg(F.min_by("test", F.struct("block", "line")).alias("test"))
+    return files.select("path").join(first, "path", "left").select("path", F.coalesce("test", F.lit(UNKNOWN)).alias("test"))

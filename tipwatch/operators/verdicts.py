@@ -26,16 +26,29 @@ def parse_number(raw: Column) -> Column:
     return F.when(~suffixed, F.trim(plain).try_cast("double"))
 
 
-def clean_measurements(rows: DataFrame) -> DataFrame:
-    """Drop rows without a metric or a parsable value; a null flag counts as true and is marked."""
+def judged_measurements(rows: DataFrame) -> DataFrame:
+    """All rows with their number read and ``reason``, why a row cannot be used: it has no metric, or no number for a value;
+    null for the others. A null flag counts as true and is marked."""
+    reason = F.when(F.coalesce("metric", F.lit("")) == "", "no metric").when(F.col("value").isNull(), "no number")
     return (
-        rows.withColumn("value", parse_number(F.col("value")))
-        .filter((F.col("metric") != "") & F.col("value").isNotNull())
+        rows.withColumns({"raw_value": F.col("value"), "value": parse_number(F.col("value"))})
+        .withColumn("reason", reason)
         .withColumn("flag_defaulted", F.col("more_is_better").isNull())
         .withColumn("more_is_better", F.lower(F.coalesce("more_is_better", F.lit("true"))) == "true")
     )
 
 
+def clean_measurements(rows: DataFrame) -> DataFrame:
+    """Drop rows without a metric or a parsable value; a null flag counts as true and is marked."""
+    return judged_measurements(rows).filter("reason is null").drop("reason", "raw_value")
+
+
+def rejected_measurements(rows: DataFrame) -> DataFrame:
+    """The rows that ``clean_measurements`` drops, with the value as it was read and the reason."""
+    bad = judged_measurements(rows).filter("reason is not null")
+    return bad.withColumn("value", F.col("raw_value")).drop("raw_value", "flag_defaulted")
+
+
 def metric_labels(measures: DataFrame) -> DataFrame:
     """First-seen unit and direction per (test, side, metric).
 

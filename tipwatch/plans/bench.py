@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tipwatch import sinks
 from tipwatch.functions import report, stats, text
-from tipwatch.operators import offline, ranking, verdicts
+from tipwatch.operators import offline, ranking, rejects, verdicts
 from tipwatch.plans import simpson
 from tipwatch.plans.registry import query
 from tipwatch.plans.views import csv_objects, kernel_objects, table, unixbench_objects, view, view_sql
@@ -340,6 +340,61 @@ def scan_offline_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("test", "instance", "source_file", "metric", F.col("value").try_cast("double").alias("value"), "arch")
 
 
+@query(
+    "scan_cut_csv",
+    """SELECT concat('f', cast(user_id % 3 as string)) AS file, event_id, CASE WHEN event_id % 5 = 0 THEN concat('two', chr(10), 'lines, "', event_type, '"') ELSE event_type END AS note,
+    value, CASE WHEN user_id % 3 <> 1 THEN CASE WHEN event_id % 7 = 0 THEN '' ELSE 'u' END END AS unit FROM events""",
+)
+def scan_cut_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three headed files, each cut over many tasks, with line breaks inside quotes on either side of cuts."""
+    root = scratch_path(spark, "large")
+    note = "case when event_id % 5 = 0 then concat('\"two', chr(10), 'lines, \"\"', event_type, '\"\"\"') else event_type end"
+    unit = "case when event_id % 7 = 0 then '' else 'u' end"
+    line = f"case when user_id % 3 = 1 then concat_ws(',', event_id, {note}, value) else concat_ws(',', {unit}, value, {note}, event_id) end"
+    lines = table(spark, sf_dir, "events").selectExpr("concat('f', cast(user_id % 3 as string)) as file", "event_id", f"{line} as value")
+    heads = "values ('f0', -1L, 'unit,value,note,id'), ('f1', -1L, 'id,note,value'), ('f2', -1L, 'unit,value,note,id') as h(file, event_id, value)"
+    whole = lines.unionByName(spark.sql(f"select * from {heads}")).repartition("file").sortWithinPartitions("file", "event_id")
+    whole.select("file", "value").write.partitionBy("file").text(root)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")  # as if the files were large
+    try:
+        rows = materialise(objects.read_headed(spark, root, ["id", "note", "value", "unit"], "*.txt"), "rows")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    file = F.regexp_extract("path", "file=(f[0-9])/", 1).alias("file")
+    return rows.select(file, F.col("id").cast("long").alias("event_id"), "note", F.col("value").cast("double").alias("value"), "unit")
+
+
+@query(
+    "rejected_measurements",
+    _FILE_ROWS
+    + """, r AS (SELECT test, instance_id, CASE WHEN coalesce(metric, '') = '' THEN 'no metric' WHEN TRY_CAST(value AS DOUBLE) IS NULL THEN 'no number' END AS reason FROM rows_)
+    SELECT test, instance_id, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY ALL""",
+)
+def rejected_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = verdicts.rejected_measurements(objects.benchmark_rows(csv_objects(spark, sf_dir)))
+    return bad.groupBy("test", "instance_id", "reason").agg(F.count("*").alias("n"))
+
+
+@query(
+    "measurement_audit",
+    _FILE_ROWS
+    + """, r AS (SELECT CASE WHEN coalesce(metric, '') = '' THEN 'no metric' WHEN TRY_CAST(value AS DOUBLE) IS NULL THEN 'no number' END AS reason FROM rows_)
+    SELECT count(*) AS read, count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason = 'no metric') AS no_metric, count(*) FILTER (reason = 'no number') AS no_number,
+      count(*) FILTER (reason IS NULL) AS written, count(*) FILTER (reason IS NOT NULL) AS set_aside FROM r""",
+)
+def measurement_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was read, kept and set aside, counted while the rows were written, next to what then lies there."""
+    marked = verdicts.judged_measurements(objects.benchmark_rows(csv_objects(spark, sf_dir)))
+    watched, seen = rejects.counted(marked.withColumn("bad", F.col("reason").isNotNull()), ["no metric", "no number"], "measurements")
+    out = scratch_path(spark, "judged")
+    watched.drop("ord").write.partitionBy("bad").parquet(out)
+    there = spark.read.schema("reason string, bad boolean").parquet(out)
+    got = seen.get
+    counts = [F.lit(got[k]).cast("long").alias(k.replace(" ", "_")) for k in ("read", "kept", "no metric", "no number")]
+    return there.agg(F.count_if(~F.col("bad")).alias("written"), F.count_if("bad").alias("set_aside")).select(*counts, "written", "set_aside")
+
+
 @query(
     "combine_results",
     """WITH f AS (SELECT *, CAST(floor(event_id / 50) AS BIGINT) AS file FROM events)

@@ -11,8 +11,8 @@ from tipwatch.operators import logs, outcomes
 from tipwatch.plans import fixed
 from tipwatch.plans.registry import query
 from tipwatch.plans.views import table, view, view_sql
-from tipwatch.session import scratch_path
-from tipwatch.sources import objects
+from tipwatch.session import materialise, scratch_path
+from tipwatch.sources import cut, objects
 
 
 def _quoted(value: str) -> str:
@@ -302,6 +302,73 @@ def failure_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("instance_id", F.array_join("warnings", "|").alias("warnings"), F.array_join("errors", "|").alias("errors"))
 
 
+def _log_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The VM logs as lines of forty text files, one log after the other; two files more hold a blank."""
+    root = scratch_path(spark, "logs")
+    logs_ = view(spark, sf_dir, "vmlog").filter("content is not null")
+    rows = logs_.select((F.col("doc_id") % 40).alias("file"), "doc_id", F.posexplode(F.split("content", "\n")).alias("nth", "value"))
+    rows.repartition("file").sortWithinPartitions("file", "doc_id", "nth").select("file", "value").write.partitionBy("file").text(root)
+    spark.range(40, 42).select(F.col("id").alias("file"), F.lit("").alias("value")).repartition("file").write.mode("append").partitionBy("file").text(root)
+    return root
+
+
+def _cut_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines and files of those logs, each file cut over several tasks."""
+    root = _log_folder(spark, sf_dir)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")  # as if the files were large
+    try:
+        return materialise(cut.read_lines(spark, root, "*.txt"), "lines"), cut.read_files(spark, root, "*.txt")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+_FILE = "cast(regexp_extract(path, 'file=([0-9]+)/', 1) as bigint) as file"
+_FILED = (
+    view_sql("vmlog")
+    + """, l AS (SELECT doc_id % 40 AS file, doc_id, unnest(string_split(content, chr(10))) AS x, unnest(range(len(string_split(content, chr(10))))) AS nth FROM vmlog WHERE content IS NOT NULL),
+f AS (SELECT DISTINCT file FROM l UNION ALL VALUES (40), (41))
+"""
+)
+
+
+def _first_lines_sql(kind: str, pattern: str) -> str:
+    hits = f"SELECT *, row_number() OVER (PARTITION BY file ORDER BY doc_id, nth) AS k FROM l WHERE regexp_matches(x, '{pattern}') AND NOT starts_with(x, '+')"
+    shown = r"left(regexp_replace(x, '^\s+|\s+$', '', 'g'), 200)"
+    return f"{kind} AS (SELECT file, string_agg({shown}, '|' ORDER BY k) AS {kind} FROM ({hits}) WHERE k <= 3 GROUP BY file)"
+
+
+@query(
+    "line_excerpts",
+    _FILED
+    + f", {_first_lines_sql('warnings', '(?i)warning|warn\b')}, {_first_lines_sql('errors', '(?i)error|failed')}"
+    + " SELECT file, coalesce(warnings, '') AS warnings, coalesce(errors, '') AS errors FROM f LEFT JOIN warnings USING (file) LEFT JOIN errors USING (file)",
+)
+def line_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First warnings and errors of files whose lines many tasks read."""
+    found = outcomes.excerpts_of_lines(*_cut_lines(spark, sf_dir))
+    return found.selectExpr(_FILE, "array_join(warnings, '|') as warnings", "array_join(errors, '|') as errors")
+
+
+@query(
+    "line_tests",
+    _FILED
+    + f""", t AS (SELECT file, doc_id, nth, {_TEST.replace('content', 'x')} AS test FROM l WHERE contains(x, '/input/') AND contains(x, 'test_'))
+SELECT file, coalesce(arg_min(test, (doc_id, nth)), 'unknown') AS test FROM f LEFT JOIN t USING (file) GROUP BY file""",
+)
+def line_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcomes.tests_of_lines(*_cut_lines(spark, sf_dir)).selectExpr(_FILE, "test")
+
+
+@query(
+    "line_failures",
+    _FILED + r"SELECT file, regexp_replace(x, '^\s+|\s+$', '', 'g') AS text, count(*) AS n FROM l WHERE contains(x, 'FAILED') OR contains(x, '✗ Test result') GROUP BY ALL",
+)
+def line_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = outcomes.failures_of_lines(_cut_lines(spark, sf_dir)[0])
+    return found.selectExpr(_FILE, "text").groupBy("file", "text").agg(F.count("*").alias("n"))
+
+
 _CONTAINER = "concat('[2024-01-01 00:00:00] [CONTAINER] ', replace(content, chr(10), concat(chr(10), '[2024-01-01 00:00:00] [CONTAINER] ')), chr(10), '✗ Test result: ', lang)"
 
 

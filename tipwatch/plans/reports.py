@@ -209,6 +209,72 @@ def build_report_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# jobs of all customers: some have no orders and so no results, some failed on the way
+_JOB_ROWS = (
+    view_sql("results")
+    + f""", jobs AS (SELECT concat('n', cast(c_custkey as string)) AS node_id, CASE WHEN c_custkey % 7 <> 0 THEN concat('b', cast(c_custkey % 30 as string)) ELSE concat('{ORIGIN}:unknown_n', cast(c_custkey as string)) END AS build_id,
+  CASE WHEN c_custkey % 3 = 0 THEN concat('https://job/', cast(c_custkey as string)) END AS job_url, c_custkey % 5 = 0 AS broken FROM customer WHERE c_custkey % 17 <> 0 AND c_custkey % 19 <> 0),
+shown AS (SELECT concat('{ORIGIN}:', node_id, '.', CASE WHEN o_orderkey % 5 <> 0 THEN instance_id ELSE cast(o_orderkey as string) END) AS id, build_id,
+  CASE WHEN o_orderkey % 9 = 0 THEN concat('test_', cast(o_orderkey as string)) ELSE {_PATH} END AS path, CASE WHEN o_orderkey % 13 = 0 THEN 'ERROR' ELSE {_STATUS} END AS status,
+  CASE WHEN o_orderkey % 4 <> 0 THEN floor(o_totalprice) / 1000 END AS duration, CASE WHEN o_orderkey % 2 = 0 THEN concat('https://l/', cast(o_orderkey as string)) ELSE job_url END AS log_url,
+  CASE WHEN o_orderkey % 6 = 0 THEN concat('trace.txt=https://f/', cast(o_orderkey as string)) END AS output_files, CASE WHEN o_orderkey % 5 <> 0 THEN instance_id END AS instance, NULL AS note
+  FROM results JOIN jobs USING (node_id) WHERE NOT broken),
+failed AS (SELECT concat('{ORIGIN}:', node_id, '.0') AS id, build_id, 'boot.infrastructure' AS path, 'ERROR' AS status, NULL AS duration, NULL AS log_url, NULL AS output_files, NULL AS instance, NULL AS note FROM jobs WHERE broken),
+empty AS (SELECT concat('{ORIGIN}:', node_id, '.0') AS id, build_id, 'boot' AS path, 'ERROR' AS status, NULL AS duration, job_url AS log_url, NULL AS output_files, NULL AS instance, 'executor returned no per-test results' AS note
+  FROM jobs WHERE NOT broken AND node_id NOT IN (SELECT node_id FROM results)),
+all_ AS (SELECT * FROM shown UNION ALL SELECT * FROM failed UNION ALL SELECT * FROM empty)
+"""
+)
+
+
+def _job_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of jobs that ran, that gave no results, that broke off, and that never began."""
+    key = F.col("c_custkey")
+    jobs = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("n"), key.cast("string")).alias("node_id"),
+        F.when(key % 7 != 0, F.concat(F.lit("b"), (key % 30).cast("string"))).alias("build_id"),
+        F.when(key % 3 == 0, F.concat(F.lit("https://job/"), key.cast("string"))).alias("log_url"),
+        F.when(key % 17 == 0, "no answer").alias("fetch_error"),
+        F.when(key % 19 == 0, "no kernel").alias("translate_error"),
+        F.when(key % 5 == 0, "lost").alias("run_error"),
+    )
+    order = F.col("o_orderkey")
+    file = F.struct(F.lit("trace.txt").alias("name"), F.concat(F.lit("https://f/"), order.cast("string")).alias("url"))
+    results = view(spark, sf_dir, "results").select(
+        "node_id",
+        order.alias("idx"),
+        F.when(order % 9 != 0, report.test_path(F.col("test"))).alias("name"),
+        F.when(order % 13 != 0, F.col("raw_status")).alias("status"),
+        F.when(order % 4 != 0, F.floor("o_totalprice")).alias("duration_ms"),
+        F.when(order % 2 == 0, F.concat(F.lit("https://l/"), order.cast("string"))).alias("log_url"),
+        F.when(order % 5 != 0, F.col("instance_id")).alias("instance_id"),
+        F.when(order % 6 == 0, F.array(file)).otherwise(F.array().cast("array<struct<name:string,url:string>>")).alias("output_files"),
+    )
+    return reporting.job_report_rows(jobs, results, origin=ORIGIN)
+
+
+@query(
+    "job_report_rows",
+    _JOB_ROWS + "SELECT id, build_id, path, status, coalesce(duration, -1) AS duration, coalesce(log_url, '-') AS log_url, coalesce(output_files, '-') AS output_files, coalesce(instance, '-') AS instance, coalesce(note, '-') AS note FROM all_",
+)
+def job_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid report rows with their addresses, output files and notes."""
+    valid, _ = reporting.build_report_rows(_job_rows(spark, sf_dir), ORIGIN)
+    dash = F.lit("-")
+    files = F.array_join(F.transform("output_files", lambda f: F.concat_ws("=", f["name"], f["url"])), ",")
+    return valid.select(
+        "id",
+        "build_id",
+        "path",
+        "status",
+        F.coalesce("duration", F.lit(-1.0)).alias("duration"),
+        F.coalesce("log_url", dash).alias("log_url"),
+        F.coalesce(files, dash).alias("output_files"),
+        F.coalesce(F.try_element_at("misc", F.lit("instance_id")), dash).alias("instance"),
+        F.coalesce(F.try_element_at("misc", F.lit("note")), dash).alias("note"),
+    )
+
+
 @query(
     "stable_row_ids",
     view_sql("results") + "SELECT o_orderkey, concat(node_id, '.', CASE WHEN o_orderkey % 5 <> 0 THEN instance_id ELSE cast(o_orderkey as string) END) AS row_id FROM results",

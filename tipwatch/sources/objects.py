@@ -6,15 +6,14 @@ Benchmark files are small and many; land them once as Parquet partitioned by (ru
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tipwatch.schemas import MANIFEST, MEASUREMENT_COLUMNS, STAGE_STATS
-
-# A record runs to a line end outside quotes; loops run over characters or quoted stretches, never both at once.
-_RECORDS = r'([^"\r\n]+(?:"[^"]*"[^"\r\n]*)*|(?:"[^"]*"[^"\r\n]*)+)'
-_FIELDS = r',("[^"]*(?:""[^"]*)*"|[^,]*)'
-
+from tipwatch.sources import cut
+from tipwatch.sources.fields import BOUND, RECORDS, bound_header, fields_of, named_fields
 
 def read_texts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, content) of the files below ``root`` whose name matches the glob, one row per file."""
@@ -27,6 +26,30 @@ def read_binaries(spark: SparkSession, root: str, pattern: str = "*") -> DataFra
     return reader.load(root).select("path", F.col("content"), F.col("length").alias("size"))
 
 
+def split_bytes(spark: SparkSession) -> int:
+    """How much of a file a task reads at most."""
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+
+
+def read_headed(
+    spark: SparkSession, root: str, columns: list[str], pattern: str = "*", chosen: Callable[[Column], Column] | None = None, whole_bytes: int | None = None
+) -> DataFrame:
+    """(path, pos, ``columns``, present, extras) of the headed CSV files below ``root``, as ``parse_csv`` gives them.
+
+    Files of up to ``whole_bytes`` (what a task reads at most) are read whole, which takes no shuffle; the lines of
+    larger ones are cut over as many tasks as they need (``sources.cut``). ``pos`` orders the rows of a file.
+    """
+    most = split_bytes(spark) if whole_bytes is None else whole_bytes
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    of_path, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
+    wanted = F.lit(True) if chosen is None else chosen(of_path)
+    whole = reader.text(root, wholetext=True).filter((size <= most) & wanted)
+    small = parse_csv(whole.select(of_path.alias("path"), F.col("value").alias("content")), columns)
+    place = F.struct(F.lit(0).cast("long").alias("block"), F.col("pos").cast("long").alias("line"), F.lit(0).alias("part"))
+    lines = cut.numbered(reader.option("lineSep", "\n").text(root).filter((size > most) & wanted))
+    return small.withColumn("pos", place).unionByName(cut.headed_rows(cut.records(lines), columns))
+
+
 def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -50,17 +73,6 @@ def side_of(path: Column) -> Column:
     )
 
 
-def _fields(line: Column) -> Column:
-    """Fields of one CSV record; the comma in front makes every field, also an empty one, match once."""
-
-    def unquoted(f: Column) -> Column:
-        inner = F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
-        return F.when(f.startswith('"') & f.endswith('"') & (F.length(f) >= 2), inner).otherwise(f)
-
-    quoted = F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELDS), F.lit(1)), unquoted)
-    return F.when(line.contains('"'), quoted).otherwise(F.split(line, ",", -1))
-
-
 def parse_csv(objects: DataFrame, columns: list[str], content: str = "content") -> DataFrame:
     """Rows of headed CSV texts, bound by column name: reordered and short files are fine.
 
@@ -68,26 +80,12 @@ def parse_csv(objects: DataFrame, columns: list[str], content: str = "content")
     ``present`` (which of the asked columns the header has) and ``extras`` (all other columns).
     """
     kept = [c for c in objects.columns if c != content]
-    records = objects.withColumn("_records", F.regexp_extract_all(content, F.lit(_RECORDS), F.lit(1)))
-    headers = records.withColumn("_header", _fields(F.get("_records", F.lit(0))))
-    # where the columns are is worked out once per file; of repeated headers the last one counts
-    backwards = F.reverse("_header")
-    found = [F.array_position(backwards, c) for c in columns]
-    places = F.array(*[F.when(p > 0, F.size("_header") - p).cast("int") for p in found])
-    extra_names = F.array_distinct(F.array_except("_header", F.lit(columns)))
-    extra_places = F.transform(extra_names, lambda n: (F.array_position(F.col("_header"), n) - 1).cast("int"))
+    records = objects.withColumn("_records", F.regexp_extract_all(content, F.lit(RECORDS), F.lit(1)))
+    headers = bound_header(records.withColumn("_header", fields_of(F.get("_records", F.lit(0)))), columns)
     lines = headers.select(
-        *kept,
-        places.alias("_places"),
-        F.array_intersect(F.lit(columns), "_header").alias("present"),
-        extra_names.alias("_extra_names"),
-        extra_places.alias("_extra_places"),
-        F.posexplode(F.slice("_records", F.lit(2), F.greatest(F.size("_records") - 1, F.lit(0)))).alias("pos", "_line"),
+        *kept, *BOUND, F.posexplode(F.slice("_records", F.lit(2), F.greatest(F.size("_records") - 1, F.lit(0)))).alias("pos", "_line")
     )
-    rows = lines.withColumn("_row", _fields(F.col("_line")))
-    named = [F.get("_row", F.get("_places", F.lit(i))).alias(c) for i, c in enumerate(columns)]
-    extra_values = F.transform("_extra_places", lambda p: F.get(F.col("_row"), p))
-    return rows.select(*kept, "pos", *named, "present", F.map_from_arrays("_extra_names", extra_values).alias("extras"))
+    return named_fields(lines, columns).select(*kept, "pos", *columns, "present", "extras")
 
 
 def benchmark_rows(objects: DataFrame) -> DataFrame:
@@ -96,9 +94,15 @@ def benchmark_rows(objects: DataFrame) -> DataFrame:
     Takes ``(path, content)``; other files are passed over. Columns a file lacks get the documented defaults:
     value 0, more_is_better true, kernel unknown.
     """
+    return _measured(parse_csv(objects.filter(_is_benchmark(F.col("path"))), MEASUREMENT_COLUMNS))
+
+
+def _is_benchmark(path: Column) -> Column:
+    return path.rlike(r"/test_[^/]+/output/") & path.endswith(".csv") & path.contains("benchmark-")
+
+
+def _measured(rows: DataFrame) -> DataFrame:
     path = F.col("path")
-    chosen = objects.filter(path.rlike(r"/test_[^/]+/output/") & path.endswith(".csv") & path.contains("benchmark-"))
-    rows = parse_csv(chosen, MEASUREMENT_COLUMNS)
 
     def lacking(name: str, default: str) -> Column:
         return F.when(F.array_contains("present", name), F.col(name)).otherwise(F.lit(default))
@@ -121,28 +125,33 @@ def benchmark_rows(objects: DataFrame) -> DataFrame:
 
 
 def scan_benchmark_csv(spark: SparkSession, run_root: str) -> DataFrame:
-    return benchmark_rows(read_texts(spark, run_root, "*benchmark-*.csv"))
+    """``benchmark_rows`` of the files below ``run_root``; large files are cut over many tasks."""
+    return _measured(read_headed(spark, run_root, MEASUREMENT_COLUMNS, "*benchmark-*.csv", _is_benchmark))
 
 
 def offline_rows(objects: DataFrame, pattern: str = "*.csv") -> DataFrame:
     """All measurements of the output files whose name matches ``pattern``, kernel suffixes and suite names included."""
+    return _sourced(parse_csv(objects.filter(_is_output(F.col("path"), pattern)), MEASUREMENT_COLUMNS))
+
+
+def _is_output(path: Column, pattern: str) -> Column:
     if not pattern.endswith(".csv"):
         raise ValueError(f"file pattern {pattern!r} is not supported, only *.csv")
-    path = F.col("path")
     like = "^" + pattern.replace(".", r"\.").replace("*", ".*").replace("?", ".") + "$"
-    key = F.regexp_extract(path, r"(run_[^/]+/.*)$", 1)
-    parts = F.split(key, "/")
+    return path.contains("/output/") & file_name(path).rlike(like)
+
+
+def _sourced(rows: DataFrame) -> DataFrame:
+    path = F.col("path")
+    parts = F.split(F.regexp_extract(path, r"(run_[^/]+/.*)$", 1), "/")
     test = F.coalesce(F.replace(F.get(parts, F.lit(1)), F.lit("test_"), F.lit("")), F.lit("unknown"))
     instance = F.coalesce(F.get(parts, F.lit(3)), F.lit("unknown"))
-    chosen = objects.filter(path.contains("/output/") & file_name(path).rlike(like)).withColumns(
-        {"test": test, "instance": instance}
-    )
-    source = F.concat_ws("_", "test", "instance", file_name(path))
-    return parse_csv(chosen, MEASUREMENT_COLUMNS).withColumn("source_file", source)
+    return rows.withColumns({"test": test, "instance": instance, "source_file": F.concat_ws("_", test, instance, file_name(path))})
 
 
 def scan_offline_csv(spark: SparkSession, run_root: str, pattern: str = "*.csv") -> DataFrame:
-    return offline_rows(read_texts(spark, run_root, pattern), pattern)
+    """``offline_rows`` of the files below ``run_root``; large files are cut over many tasks."""
+    return _sourced(read_headed(spark, run_root, MEASUREMENT_COLUMNS, pattern, lambda path: _is_output(path, pattern)))
 
 
 def discover_instances(inventory: DataFrame) -> DataFrame:
