@@ -114,24 +114,26 @@ def build_report_rows(rows: DataFrame, origin: str, strict: bool = False) -> tup
     return built.filter(ok), built.filter(~ok)
 
 
-def job_report_rows(jobs: DataFrame, results: DataFrame, node_key: str = "node_id") -> DataFrame:
+def job_report_rows(jobs: DataFrame, results: DataFrame, node_key: str = "node_id", origin: str | None = None) -> DataFrame:
     """Rows for ``build_report_rows`` of claimed jobs, one for each result and one for a job that has none to show.
 
     ``jobs(node_id, build_id, log_url, fetch_error, translate_error, run_error)``, ``results(node_id, idx, name, status,
     duration_ms, log_url, instance_id)``. A job whose execution failed has an infrastructure row, one that gave no
     results a boot row with a note, one that never ran (bad or unreachable definition) none. A result without an address
-    has the job's, one without a name its position as name; a job without a build gets a placeholder in the id. ``node_key`` is
-    what the receiver calls the node.
+    has the job's, one without a name its position as name; a job without a build gets a placeholder, of the ``origin``
+    if that is given. ``node_key`` is what the receiver calls the node. ``output_files`` of results are passed on.
     """
+    unknown = F.concat(F.lit(f"{origin}:unknown_" if origin else "unknown_"), "node_id")
     ran = jobs.filter("fetch_error is null and translate_error is null").withColumn(
-        "build_id", F.coalesce(F.nullif("build_id", F.lit("")), F.concat(F.lit("unknown_"), "node_id"))
+        "build_id", F.coalesce(F.nullif("build_id", F.lit("")), unknown)
     )
+    files = ["output_files"] if "output_files" in results.columns else []
     misc = lambda key, value: F.map_from_arrays(F.array(F.lit(node_key), F.lit(key)), F.array(F.col("node_id"), value))
     node_only = F.create_map(F.lit(node_key), F.col("node_id"))
     none = F.lit(None).cast("long")
     well, broken = ran.filter("run_error is null"), ran.filter("run_error is not null")
     named = results.select(
-        "node_id", "idx", "name", "status", F.col("duration_ms").cast("long").alias("duration_ms"), F.col("log_url").alias("_own"), F.nullif("instance_id", F.lit("")).alias("instance_id")
+        "node_id", "idx", "name", "status", F.col("duration_ms").cast("long").alias("duration_ms"), F.col("log_url").alias("_own"), F.nullif("instance_id", F.lit("")).alias("instance_id"), *files
     )
     shown = well.select("node_id", "build_id", "log_url").join(named, "node_id").select(
         F.concat_ws(".", "node_id", F.coalesce("instance_id", F.col("idx").cast("string"))).alias("test_id"),
@@ -141,6 +143,7 @@ def job_report_rows(jobs: DataFrame, results: DataFrame, node_key: str = "node_i
         "duration_ms",
         F.coalesce(F.nullif("_own", F.lit("")), "log_url").alias("log_url"),
         F.when(F.col("instance_id").isNull(), node_only).otherwise(misc("instance_id", F.col("instance_id"))).alias("misc"),
+        *files,
     )
     first = F.concat("node_id", F.lit(".0")).alias("test_id")
     # fixed names and note of rows about the infrastructure
@@ -149,7 +152,7 @@ def job_report_rows(jobs: DataFrame, results: DataFrame, node_key: str = "node_i
         first, "build_id", F.lit("boot").alias("path"), F.lit("error").alias("status"), none.alias("duration_ms"), "log_url",
         misc("note", F.lit("executor returned no per-test results")).alias("misc"),
     )
-    return shown.unionByName(failed).unionByName(empty)
+    return shown.unionByName(failed, allowMissingColumns=True).unionByName(empty, allowMissingColumns=True)
 
 
 def node_result(statuses: DataFrame) -> DataFrame:
