@@ -1,6 +1,7 @@
 """Streaming BPE and token files, held against the tokenizers library."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -26,10 +27,12 @@ def library():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@pytest.mark.parametrize("size", [1 << 16, 37, 1])
+@pytest.mark.parametrize("size", [1 << 16, 37, 3, 1])
 def test_slices_do_not_change_ids(library, size):
     tool = bpe.encoder()
-    for text in [*mixed(60), "", "a" * 3000, "the" * 2000, " " * 1200 + "a", "日本語" * 900]:
+    tool.memo.clear()
+    odd = ["'really 'll'r'", "we're''re 'nd", " 'd  'dd", "a \n\n  b", "  \t x", " " * 70 + "\n" * 70, "x" + " " * 80, "..." * 60 + "'s", "12 345" * 40]
+    for text in [*mixed(60), *odd, "", "a" * 3000, "the" * 2000, " " * 1200 + "a", "日本語" * 900]:
         blocks = list(tool.ids(text[i : i + size] for i in range(0, len(text), size)))
         ids = np.concatenate([np.empty(0, np.int64), *blocks]).tolist()
         assert ids == library.encode(text, add_special_tokens=False).ids
@@ -48,6 +51,62 @@ def test_merge_stream_keeps_little(library):
     assert ids == library.encode(data.decode(), add_special_tokens=False).ids
 
 
+def test_every_pretoken_goes_through_the_stream(monkeypatch, library):
+    """Nothing but the transducer gives ids: without it there are none."""
+    tool = bpe.Encoder(bpe.vocabulary_path(None, "byte_bpe_50k.json"))
+    seen = []
+    real = bpe.MergeStream.feed
+    monkeypatch.setattr(bpe.MergeStream, "feed", lambda self, more: seen.append(bytes(more)) or real(self, more))
+    text = "some words, some more; and 'some' of 3 kinds\n\nthe end of it"
+    ids = np.concatenate(list(tool.ids(bpe.sliced(text)))).tolist()
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    assert set(seen) - {b""} == {p.encode() for p in bpe.PRETOKEN.findall(text)} and not hasattr(tool, "library")
+
+
+def streamed(merges, data, step=7, lookahead=None):
+    stream, out = bpe.MergeStream(merges, lookahead), []
+    for i in range(0, len(data), step):
+        out += stream.feed(data[i : i + step])
+    return [*out, *stream.finish()]
+
+
+def test_the_lookahead_follows_from_the_merges(tmp_path):
+    """It is the longest token that the merges make of its own bytes, and nothing shorter will do."""
+    letters = {b: c for c, b in bpe.byte_letters().items()}
+    made = ["ab", "cd", "abcd", "ef", "gh", "efgh", "abcdefgh", "bc", "hab", "zz"]
+    pairs = [("a", "b"), ("c", "d"), ("ab", "cd"), ("e", "f"), ("g", "h"), ("ef", "gh"), ("abcd", "efgh"), ("h", "a"), ("ha", "b")]
+    vocab = [letters[b] for b in range(256)] + [*made, "ha", "unreachablelongtoken"]
+    place = tmp_path / "small.json"
+    place.write_text(json.dumps({"model": {"vocab": {t: i for i, t in enumerate(vocab)}, "merges": [list(p) for p in pairs]}, "added_tokens": []}))
+    merges = bpe.Merges(str(place))
+    assert merges.lookahead == 8
+    draw = random.Random(2)
+    texts = ["".join(draw.choices(["abcdefgh", "abcd", "efgh", "h", "a", "cd", "z"], k=60)).encode() for _ in range(60)]
+    want = [[merges.ids[t] for t in merges.plain(t)] for t in texts]
+    assert [streamed(merges, t) for t in texts] == want
+
+    def fails(lookahead):
+        for text, ids in zip(texts, want, strict=True):
+            try:
+                if streamed(merges, text, lookahead=lookahead) != ids:
+                    return True
+            except ValueError:
+                return True
+        return False
+
+    assert not fails(8) and all(fails(shorter) for shorter in (1, 2, 4))
+
+
+def test_the_lookahead_of_the_public_vocabulary(library):
+    tool = bpe.encoder()
+    assert 1 < tool.merges.lookahead <= max(map(len, tool.merges.ids))
+    assert tool.merges.plain(max((t for t in tool.merges.ids if len(t) == tool.merges.lookahead), key=lambda t: tool.merges.plain(t) == [t])) != []
+    draw = random.Random(4)
+    for _ in range(40):
+        text = "".join(draw.choices(["=", "-", "a", "th", "ing", " "], k=draw.randrange(200, 900)))
+        assert streamed(tool.merges, text.replace(" ", "").encode()) == [tool.merges.ids[t] for t in tool.merges.plain(text.replace(" ", "").encode())]
+
+
 def test_decoder_waits_for_cut_characters(library):
     tool = bpe.encoder()
     ids = library.encode("日本語😀é", add_special_tokens=False).ids

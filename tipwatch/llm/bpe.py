@@ -1,9 +1,9 @@
 """Byte-level BPE as a bounded-lookahead streaming transducer, and its inverse.
 
-Texts pass through in slices. Pretokens leave a slice as soon as two further characters cannot change them; a pretoken
-longer than ``HOLD`` characters goes on, part by part, through ``MergeStream``, which emits ids once they are stable.
-Shorter pretokens lie within the lookahead, so they are encoded whole and remembered. Memory is one slice, the
-remembered pretokens (``MEMO`` at most) and a few longest pieces, however long a text or a run of letters is.
+Texts pass through in slices. Pretokens leave a slice as soon as two further characters cannot change them, and every
+one is encoded by ``MergeStream``, which emits ids once they are stable; what it gave for a pretoken is remembered. A
+pretoken that fills all that is held goes on, part by part, from slice to slice. Memory is two slices, the remembered
+pretokens (``MEMO`` at most) and a few longest pieces, however long a text, a run of letters or one of blanks is.
 
 Null and empty texts have no ids. The special token's literal is its id wherever it occurs, as the tokenizers library
 does by default; decoding gives the literal back.
@@ -14,7 +14,6 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
-import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,8 +27,10 @@ from .common import text_rows
 
 # Fixed values of the byte-level format: the pretoken pattern and the classes of its runs.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-RUNS = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")]
-SLICE, HOLD, MEMO = 1 << 16, 1 << 10, 1_000_000
+BLANKS = regex.compile(r"\s+")
+# How a pretoken that may go on begins, and how it goes on.
+RUNS = [(regex.compile(" ?" + x), regex.compile(x)) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")] + [(BLANKS, BLANKS)]
+SLICE, MEMO = 1 << 16, 1_000_000
 # Rows and ids that an output batch holds at most (a longer text alone makes one).
 ROWS_OUT, IDS_OUT = 256, 1 << 20
 # A match is stable when this many further characters are known ("'r" may become "'re").
@@ -71,10 +72,8 @@ class Merges:
         for literal, i in self.special.items():
             self.pieces[i] = literal.encode()
         self.decimal = [str(i).encode() for i in range(size)]
-        # Sufficient lookahead: no token reaches further back than the longest one, so what is the same for all
-        # prefixes that end within that many bytes cannot change any more.
-        self.lookahead = max(map(len, self.ids))
         self._meet: dict[tuple[bytes, bytes], bool] = {}
+        self.lookahead = self._sufficient_lookahead()
         # by last bytes: all proper tails of tokens, so that the search backwards ends early
         self.tails = {piece[i:] for piece in self.ids for i in range(len(piece))}
 
@@ -88,6 +87,15 @@ class Merges:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _sufficient_lookahead(self) -> int:
+        """The longest token that the merges make of its own bytes; vocabulary that no merge reaches does not count.
+
+        The encoding of any longer text steps back from prefix to prefix by one token each time. No step is longer than
+        this, so none passes over that many prefixes in a row: what all of the last ones share is decided.
+        """
+        made = {a + b for a, b in self.ranks} | {t for t in self.ids if len(t) == 1}
+        return next((len(t) for t in sorted(made, key=len, reverse=True) if self.plain(t) == [t]), 1)
+
     def meet(self, left: bytes, right: bytes) -> bool:
         """Whether ``right`` can follow ``left`` (empty: begin): their bytes together encode to just these two."""
         key = (left, right)
@@ -106,8 +114,8 @@ class MergeStream:
     share is stable and leaves as ids.
     """
 
-    def __init__(self, merges: Merges):
-        self.m = merges
+    def __init__(self, merges: Merges, lookahead: int | None = None):
+        self.m, self.lookahead = merges, lookahead or merges.lookahead
         self.data = bytearray()  # from the last stable position on
         self.last: list[bytes] = [b""]  # last token of each prefix; of the stable one at 0
 
@@ -115,7 +123,7 @@ class MergeStream:
         for value in more:
             self.data.append(value)
             self._extend()
-            if len(self.data) >= 8 * self.m.lookahead:
+            if len(self.data) >= 8 * self.lookahead:
                 yield from self._emit(self._shared())
 
     def finish(self) -> Iterator[int]:
@@ -130,12 +138,14 @@ class MergeStream:
             if tail in self.m.ids and self.m.meet(self.last[start], tail):
                 found = tail
                 break
+        if not found:  # what was emitted cannot be gone on from: the lookahead was too short
+            raise ValueError("no token can follow what was emitted")
         self.last.append(found)
 
     def _shared(self) -> int:
         """The furthest position that the encodings of all prefixes within the lookahead pass through."""
         end = len(self.data)
-        live = set(range(max(0, end - self.m.lookahead), end + 1))
+        live = set(range(max(0, end - self.lookahead + 1), end + 1))
         while len(live) > 1:  # the last of them steps back to where its token begins, until all have met
             top = max(live)
             live.remove(top)
@@ -154,19 +164,12 @@ class MergeStream:
 
 
 class Encoder:
-    """Texts to ids, slice by slice. ``whole`` encodes many short pretokens at once (the tokenizers library)."""
+    """Texts to ids, slice by slice."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
         self.merges = Merges(path)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
         self.memo: dict[str, bytes] = {}
         self.kind = np.dtype("<u2" if len(self.merges.pieces) <= 1 << 16 else "<u4")
-        self.begins = np.array([p[:1] == b" " for p in self.merges.pieces])
 
     def _whole(self, pieces: list[str]) -> bytes:
         memo = self.memo
@@ -176,25 +179,12 @@ class Encoder:
             return b"".join(coded)
         if len(memo) + len(missing) > MEMO:
             memo.clear()
-        self._learn([p for p in missing if p[0] == " " and p[1:].isalpha()], [p for p in missing if p[0] != " " or not p[1:].isalpha()])
+        for piece in missing:
+            stream = MergeStream(self.merges)
+            found = [*stream.feed(piece.encode("utf-8", "surrogatepass")), *stream.finish()]
+            memo[piece] = np.array(found, self.kind).tobytes()
         return b"".join([memo[p] if c is None else c for p, c in zip(pieces, coded, strict=True)])
 
-    def _learn(self, plain: list[str], odd: list[str]) -> None:
-        """Codes of new pretokens. Those of a space and letters are coded in one string, which parts again where a token
-        begins with the space; should the number of parts be another, they go the way of the odd ones, one by one."""
-        if plain:
-            (code,) = self.library.encode_batch_fast(["".join(plain)], add_special_tokens=False)
-            ids = np.array(code.ids, self.kind)
-            cuts = np.flatnonzero(self.begins[ids])
-            if len(cuts) == len(plain) and cuts[0] == 0:
-                data, step = ids.tobytes(), self.kind.itemsize
-                ends = [*(cuts * step).tolist(), len(data)]
-                self.memo.update((p, data[ends[i] : ends[i + 1]]) for i, p in enumerate(plain))
-            else:
-                odd = odd + plain
-        for piece, code in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.memo[piece] = np.array(code.ids, self.kind).tobytes()
-
     def ids(self, slices: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids of one text given in slices, in blocks as they become stable."""
         for literal, part in self._segments(slices):
@@ -242,37 +232,32 @@ class Encoder:
             more = next(slices, None)
             over = more is None
             rest += more or ""
-            if run is not None:  # a long pretoken goes on
+            if run is not None:  # a pretoken that fills all that is held goes on
                 hit = run.match(rest)
-                part = hit.group() if hit else ""
-                yield np.fromiter(stream.feed(part.encode()), self.kind)
-                rest = rest[len(part) :]
-                if not rest and not over:
+                size = len(hit.group()) if hit else 0
+                if run is BLANKS and not (over and size == len(rest)):
+                    size = max(0, size - 1)  # the last blank goes with what follows
+                yield np.fromiter(stream.feed(rest[:size].encode()), self.kind)
+                ended = over or size + (run is BLANKS) < len(rest)
+                rest = rest[size:]
+                if not ended:
                     continue
                 yield np.fromiter(stream.finish(), self.kind)
                 run = stream = None
             # the pattern leaves no gap, so the pieces end where they should when their lengths are added up
             pieces, end = PRETOKEN.findall(rest), len(rest)
+            if len(pieces) == 1 and not over and end > AHEAD:
+                run = next((more for begin, more in RUNS if begin.fullmatch(rest)), None)
+                if run is not None:
+                    stream, size = MergeStream(self.merges), end - (run is BLANKS)
+                    yield np.fromiter(stream.feed(rest[:size].encode()), self.kind)
+                    rest = rest[size:]
+                    continue
             while pieces and not over and end > len(rest) - AHEAD:
-                if len(pieces[-1]) > HOLD and end == len(rest):
-                    run = next((r for r in RUNS if r.match(rest[-1])), None)
-                    if run is not None:
-                        break
                 end -= len(pieces.pop())
             rest = rest[end:]
-            if pieces and max(map(len, pieces)) <= HOLD:
+            if pieces:
                 yield np.frombuffer(self._whole(pieces), self.kind)
-                continue
-            for i, piece in enumerate(pieces):
-                if len(piece) <= HOLD:
-                    yield np.frombuffer(self._whole([piece]), self.kind)
-                    continue
-                stream = MergeStream(self.merges)
-                yield np.fromiter(stream.feed(piece.encode()), self.kind)
-                if run is None or i < len(pieces) - 1:
-                    yield np.fromiter(stream.finish(), self.kind)
-        if run is not None:
-            yield np.fromiter(stream.finish(), self.kind)
 
     def decode(self, blocks: Iterable[np.ndarray]) -> Iterator[str]:
         """Ids to text, block by block; bytes of a character cut by a block wait for the next one."""
