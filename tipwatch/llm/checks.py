@@ -96,4 +96,30 @@ select doc_id, size, text_crc32, 'bytes' as law, shard, place - min(place) over
 from placed
 """
 
-CHECKS = {"op11_bag_dedup": OP11, "op12_wavelet_cuts": OP12, "op13_sampled_splitters": OP13}
+OP7 = r"""
+with recursive docs as (
+    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda w: w <> '') as words
+    from documents
+),
+sets as (
+    select doc_id, case when len(words) >= 5 then list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')))
+        when len(words) > 0 then [array_to_string(words, ' ')] else [] end as shingles
+    from docs
+),
+distinct_sets as (select min(doc_id) as id, list_sort(shingles) as own, len(shingles) as n from sets where len(shingles) > 0 group by 2, 3),
+spread as (select id, n, unnest(own) as shingle from distinct_sets),
+shared as (
+    select a.id as a, b.id as b, a.n as na, b.n as nb, count(*) as common
+    from spread a join spread b on a.shingle = b.shingle and a.id < b.id and 4 * a.n >= 3 * b.n and 4 * b.n >= 3 * a.n
+    group by all
+),
+links as (select a, b from shared where 100 * common >= 75 * (na + nb - common)),
+edges as (select a, b from links union all select b, a from links),
+reach as (select id, id as other from distinct_sets union select r.id, e.b from reach r join edges e on e.a = r.other),
+least as (select id, min(other) as component from reach group by id)
+select s.doc_id, len(s.shingles)::bigint as n_shingles, coalesce(l.component, s.doc_id) as component_id
+from sets s left join distinct_sets d on len(s.shingles) > 0 and d.own = list_sort(s.shingles) left join least l on l.id = d.id
+"""
+
+CHECKS = {"op7_signature_tree": OP7, "op11_bag_dedup": OP11, "op12_wavelet_cuts": OP12, "op13_sampled_splitters": OP13}
