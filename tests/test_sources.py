@@ -1,5 +1,6 @@
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -273,6 +274,29 @@ def test_excerpts_of_lines_are_those_of_whole_logs(spark, tmp_path, small_cuts):
     assert failures == {r.path: r.l for r in found if r.l}
 
 
+def test_redaction_over_cuts_is_that_of_whole_texts(spark, tmp_path, small_cuts):
+    draw = random.Random(12)
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join("M" * 60 for _ in range(8)) + "\n-----END RSA PRIVATE KEY-----"
+    parts = [key, "before " + key + " after", "plain line", "", " ", "\r", "password", ":", "=", "'", "hunter2-secret", "x password =", "Authorization: Bearer", "tok12345678", "ssh-rsa", "A" * 50,
+             "api_key=AKIA" + "0" * 16, "-----END RSA PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----", "-----BEGIN A PRIVATE KEY----- x -----END A PRIVATE KEY----- y", "session_token: \"abc-def-1234\""]
+    bodies = ["\n".join(draw.choices(parts, k=draw.randrange(1, 30))) for _ in range(30)] + [key, "a\n" + key, "-----BEGIN RSA PRIVATE KEY-----\nopen\n" + "line\n" * 50 + "password=opensecret"]
+    for i, body in enumerate(bodies):
+        put(tmp_path, f"texts/{i:02}.log", body)
+    lines = cut.read_lines(spark, str(tmp_path / "texts"))
+    assert lines.filter("path like '%/30.log'").select("block").distinct().count() >= 3  # a key over three ranges and more
+    got, hits = {}, {}
+    for r in text.scrub_lines(lines).orderBy("path", "block", "line").collect():
+        got.setdefault(r.path[-6:], []).append(r.value)
+        for kind, n in r.redactions.items():
+            hits.setdefault(r.path[-6:], Counter())[kind] += n
+    whole = text.scrub(spark.createDataFrame([(f"{i:02}.log", b) for i, b in enumerate(bodies)], "path string, text string")).collect()
+    for r in whole:
+        # a line feed at the very end of a file begins no further line
+        assert "\n".join(got.get(r.path, [])) in (r.text, r.text.removesuffix("\n")), r.path
+        assert dict(hits.get(r.path, {})) == r.redactions, r.path
+    assert sum(r.redactions.get("pem-private-key", 0) for r in whole) > 10 and sum(r.redactions.get("bearer-token", 0) for r in whole) > 2
+
+
 def test_log_groups(spark, tmp_path):
     root = str(tmp_path / "groups")
     assert groups.read_log_group(spark, root, "/ec2/t", "r1").count() == 0

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tipwatch.sources import cut
+
 # ---- Fixed values: redaction rules, in the order they apply: (name, pattern, text kept in front of the marker) ----
 SCRUB_RULES = [
     ("pem-private-key", r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----", ""),
@@ -112,6 +114,28 @@ def scrub(df: DataFrame, text: str = "text", counts: str = "redactions") -> Data
     return work.select(*columns, found.alias(counts))
 
 
+# What a rule that may reach over a line end has at the end of a line, and lines that may stand between that and the rest.
+_KEY_BEGIN, _KEY_END = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", r"-----END [A-Z0-9 ]*PRIVATE KEY-----"
+_HANGING = (
+    r"(?iU)(?:ssh-(?:rsa|ed25519|dss|ecdsa-[a-z0-9-]+)|bearer|(?:password|passwd|secret|api[_-]?key|access[_-]?key|private[_-]?key"
+    r"|session[_-]?token|auth[_-]?token|client[_-]?secret)(?:\s*[:=]\s*['\"]?)?)\s*$"
+)
+_BETWEEN = r"(?U)^\s*[:=]?\s*['\"]?\s*$"
+
+
+def scrub_lines(lines: DataFrame, counts: str = "redactions") -> DataFrame:
+    """``scrub`` of files that are cut over many tasks, from ``(path, block, line, value)`` as ``sources.cut`` reads them.
+
+    Lines are redacted one by one, but for those that a key block or the two halves of a hit hold together: these are one
+    ``value``, wherever the file is cut.
+    """
+    value = F.col("value")
+    opens = value.rlike(f"(?s){_KEY_BEGIN}(?!.*{_KEY_END})")
+    hangs = value.rlike(_HANGING)
+    together = cut.stretches(lines, [(opens, value.rlike(_KEY_END)), (hangs, ~value.rlike(_BETWEEN))])
+    return scrub(together, "value", counts)
+
+
 def scrub_bytes(df: DataFrame, data: str, counts: str = "redactions") -> DataFrame:
     """Redact a binary column: undecodable bytes become the replacement character first."""
     readable = df.withColumn(data, F.make_valid_utf8(F.col(data).cast("string")))

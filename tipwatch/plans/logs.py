@@ -22,9 +22,9 @@ def _quoted(value: str) -> str:
 # ---------------------------------------------------------------- redaction and crash markers
 
 
-def _scrub_sql() -> str:
+def _scrub_sql(source: str = "secrets", before: str | None = None) -> str:
     """The rules as a chain of CTEs; the checking engine writes groups as \\1 and has no flag for Unicode classes."""
-    steps, previous = [], "secrets"
+    steps, previous = [], source
     for i, (kind, plain, keep) in enumerate(fixed.REDACTIONS):
         marker = keep + fixed.MARKER.format(kind=kind)
         hits = f"len(regexp_extract_all(text, {_quoted(plain)}))"
@@ -33,7 +33,7 @@ def _scrub_sql() -> str:
             f"s{i} AS (SELECT doc_id{earlier}, {hits} AS h{i}, regexp_replace(text, {_quoted(plain)}, {_quoted(marker)}, 'g') AS text FROM {previous})"
         )
         previous = f"s{i}"
-    return view_sql("secrets") + ",\n" + ",\n".join(steps) + "\n"
+    return (before or view_sql("secrets")) + ",\n" + ",\n".join(steps) + "\n"
 
 
 _SCRUB = _scrub_sql()
@@ -50,6 +50,29 @@ def scrub_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("chars"), hits.alias("hits"))
 
 
+_FILE_TEXTS = view_sql("secrets") + ", files AS (SELECT doc_id % 8 AS doc_id, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM secrets GROUP BY 1)"
+
+
+@query(
+    "scrub_cut_text",
+    _scrub_sql("files", _FILE_TEXTS)
+    + f", l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS x FROM s{_LAST}) SELECT file, md5(x) AS digest, count(*) AS n FROM l GROUP BY ALL",
+)
+def scrub_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight files, each cut over many tasks, redacted line by line; keys of three lines lie across cuts."""
+    root = scratch_path(spark, "texts")
+    rows = view(spark, sf_dir, "secrets").select((F.col("doc_id") % 8).alias("file"), "doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "value"))
+    rows.repartition("file").sortWithinPartitions("file", "doc_id", "nth").select("file", "value").write.partitionBy("file").text(root)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")  # as if the files were large
+    try:
+        lines = materialise(cut.read_lines(spark, root, "*.txt"), "lines")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    done = text.scrub_lines(lines).selectExpr(_FILE, "explode(split(value, '\\n')) as x")
+    return done.groupBy("file", F.md5("x").alias("digest")).agg(F.count("*").alias("n"))
+
+
 @query("scrub_bytes", _SCRUB + f"SELECT doc_id, md5(text) AS digest, strlen(text) AS bytes FROM s{_LAST}")
 def scrub_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = view(spark, sf_dir, "secrets").select("doc_id", F.encode("text", "UTF-8").alias("data"))
