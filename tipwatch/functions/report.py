@@ -62,6 +62,7 @@ def regression_line() -> Column:
 
     Numbers print as Java rounds them: a last digit on the tie goes up, where Python looks at the binary value.
     """
+    # fixed value: the line as its readers know it
     return F.format_string(
         "%s: base=%.2f±%.2f (cv: %.2f) → tip=%.2f±%.2f (cv: %.2f) %s (%+.1f%%) "
         "[t-test p=%.4f, U-test p=%.4f, Cohen's d=%.2f]",
