@@ -105,7 +105,8 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     runs = written(runs.select("_doc", "lo", "hi", "_from", (F.col("lo") - F.col("shift")).alias("flo"), (F.col("hi") - F.col("shift")).alias("fhi")), "runs")
     asked = runs.select("_doc", "lo", "hi").union(runs.select("_from", "flo", "fhi")).distinct()
     asked = asked.groupBy("_doc").agg(F.collect_list(F.struct("lo", "hi")).alias("_asked"))
-    lines = base.join(asked, "_doc").select("_doc", "_asked", F.split("_text", "\n").alias("_lines"))
+    # texts are dealt by document at every size, so that a small run tells what a large one costs
+    lines = base.join(asked.hint("merge"), "_doc").select("_doc", "_asked", F.split("_text", "\n").alias("_lines"))
     own = F.transform("_asked", lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi"), F.slice("_lines", a["lo"] + 1, a["hi"] - a["lo"] + 1).alias("lines")))
     parts = lines.select("_doc", F.explode_outer(own).alias("_a")).select("_doc", "_a.*").filter("lo is not null")
     full = F.size(F.filter("lines", lambda x: x.rlike(r"\S"))) >= FULL
@@ -126,7 +127,7 @@ def run_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     """
     gone = repeated_lines(docs, text, key).withColumnRenamed("_doc", "_gdoc")
     out = docs.drop(*COUNTS).withColumn("_doc", _identity(F.col(key), F.col(text)))
-    out = out.join(gone, F.col("_doc") == F.col("_gdoc"), "left").drop("_gdoc", "_doc")
+    out = out.join(gone.hint("merge"), F.col("_doc") == F.col("_gdoc"), "left").drop("_gdoc", "_doc")
     # a byte for each line up to the last that goes, so that lines are looked up in no time
     marks = F.transform("_gone", lambda g, k: F.concat(F.repeat(F.lit("0"), g - F.coalesce(F.get(F.col("_gone"), k - 1), F.lit(-1)) - 1), F.lit("1")))
     out = chunked(out, text).withColumn("_marks", F.coalesce(F.array_join(marks, ""), F.lit("")).cast("binary")).drop("_rolled", "_gone")
