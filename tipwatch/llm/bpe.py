@@ -72,19 +72,23 @@ class Merges:
         for literal, i in self.special.items():
             self.pieces[i] = literal.encode()
         self.decimal = [str(i).encode() for i in range(size)]
-        self._meet: dict[tuple[bytes, bytes], bool] = {}
+        self.known: dict[tuple[bytes, bytes], bool] = {}
         self.lookahead = self._sufficient_lookahead()
         # by last bytes: all proper tails of tokens, so that the search backwards ends early
         self.tails = {piece[i:] for piece in self.ids for i in range(len(piece))}
 
     def plain(self, data: bytes) -> list[bytes]:
         """Encoding by its definition: merge the pair of lowest rank, the leftmost first, until none is left."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 60:
-                break
+        parts, rank, never = [data[i : i + 1] for i in range(len(data))], self.ranks.get, 1 << 60
+        ranks = [rank(pair, never) for pair in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) < never:
+            at = ranks.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank((parts[at - 1], parts[at]), never)
+            if at < len(ranks):
+                ranks[at] = rank((parts[at], parts[at + 1]), never)
         return parts
 
     def _sufficient_lookahead(self) -> int:
@@ -99,11 +103,11 @@ class Merges:
     def meet(self, left: bytes, right: bytes) -> bool:
         """Whether ``right`` can follow ``left`` (empty: begin): their bytes together encode to just these two."""
         key = (left, right)
-        if key not in self._meet:
-            if len(self._meet) > MEMO:
-                self._meet.clear()
-            self._meet[key] = self.plain(left + right) == ([left, right] if left else [right])
-        return self._meet[key]
+        if key not in self.known:
+            if len(self.known) > MEMO:
+                self.known.clear()
+            self.known[key] = self.plain(left + right) == ([left, right] if left else [right])
+        return self.known[key]
 
 
 class MergeStream:
@@ -119,28 +123,33 @@ class MergeStream:
         self.data = bytearray()  # from the last stable position on
         self.last: list[bytes] = [b""]  # last token of each prefix; of the stable one at 0
 
-    def feed(self, more: bytes) -> Iterator[int]:
+    def feed(self, more: bytes) -> list[int]:
+        """Take in bytes; what has become stable. Each byte ends one more prefix, whose last token is looked for backwards."""
+        m, data, last, out = self.m, self.data, self.last, []
+        ids, tails, known, most = m.ids, m.tails, m.known, m.lookahead
         for value in more:
-            self.data.append(value)
-            self._extend()
-            if len(self.data) >= 8 * self.lookahead:
-                yield from self._emit(self._shared())
-
-    def finish(self) -> Iterator[int]:
-        yield from self._emit(len(self.data))
-
-    def _extend(self) -> None:
-        end, found = len(self.data), b""
-        for start in range(end - 1, max(-1, end - 1 - self.m.lookahead), -1):
-            tail = bytes(self.data[start:end])
-            if tail not in self.m.tails:
-                break
-            if tail in self.m.ids and self.m.meet(self.last[start], tail):
-                found = tail
-                break
-        if not found:  # what was emitted cannot be gone on from: the lookahead was too short
-            raise ValueError("no token can follow what was emitted")
-        self.last.append(found)
+            data.append(value)
+            end = len(data)
+            low = end - most if end > most else 0
+            window = bytes(data[low:])
+            for at in range(end - low - 1, -1, -1):
+                tail = window[at:]
+                if tail in ids:
+                    before = last[low + at]
+                    follows = known.get((before, tail))
+                    if follows or (follows is None and m.meet(before, tail)):
+                        last.append(tail)
+                        break
+                elif tail not in tails:
+                    break
+            if len(last) <= end:  # what was emitted cannot be gone on from: the lookahead was too short
+                raise ValueError("no token can follow what was emitted")
+            if end >= 8 * self.lookahead:
+                out += self._emit(self._shared())
+        return out
+
+    def finish(self) -> list[int]:
+        return self._emit(len(self.data))
 
     def _shared(self) -> int:
         """The furthest position that the encodings of all prefixes within the lookahead pass through."""
@@ -152,15 +161,16 @@ class MergeStream:
             live.add(top - len(self.last[top]))
         return live.pop()
 
-    def _emit(self, upto: int) -> Iterator[int]:
+    def _emit(self, upto: int) -> list[int]:
         found, at = [], upto
         while at > 0:
-            found.append(self.last[at])
-            at -= len(self.last[at])
-        yield from (self.m.ids[t] for t in reversed(found))
+            token = self.last[at]
+            found.append(self.m.ids[token])
+            at -= len(token)
         if upto:
             del self.data[:upto]
             del self.last[:upto]
+        return found[::-1]
 
 
 class Encoder:
@@ -181,8 +191,8 @@ class Encoder:
             memo.clear()
         for piece in missing:
             stream = MergeStream(self.merges)
-            found = [*stream.feed(piece.encode("utf-8", "surrogatepass")), *stream.finish()]
-            memo[piece] = np.array(found, self.kind).tobytes()
+            found = stream.feed(piece.encode("utf-8", "surrogatepass"))
+            memo[piece] = np.array(found + stream.finish(), self.kind).tobytes()
         return b"".join([memo[p] if c is None else c for p, c in zip(pieces, coded, strict=True)])
 
     def ids(self, slices: Iterable[str]) -> Iterator[np.ndarray]:
