@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tipwatch.schemas import JOB_EVENT
-from tipwatch.sources.paged import PageReader
+from tipwatch.sources import paged
+from tipwatch.sources.paged import PageRangesReader, PageReader
 from tipwatch.streaming import intake, monitor
 from tipwatch.streaming.monitor import Limits, News, RunState, advance
 from tipwatch.streaming.runs import batches, drain, start_append
@@ -293,6 +294,53 @@ def test_a_poll_goes_on_from_its_checkpoint(spark, tmp_path):
         assert sorted(found) == sorted(f"n{i}" for i in range(n)), start
 
 
+def test_polls_side_by_side_read_the_same_lines(tmp_path, monkeypatch):
+    """Ranges and batches cut anywhere, pages that end in the middle of a line, a last page that grows."""
+    monkeypatch.setattr(paged, "BLOCK", 7)
+    draw, folder = random.Random(5), tmp_path / "p"
+    for turn in range(30):
+        lines = [draw.choice(["", " ", "no event", "é" * draw.randrange(9), json.dumps({"timestamp": draw.choice([None, "a", "b", "c"])})]) for _ in range(draw.randrange(1, 30))]
+        cuts = sorted(draw.randrange(len(lines) + 1) for _ in range(3))
+        shown = ["\n".join(lines[a:b]) + draw.choice(["", "\n"]) for a, b in zip([0, *cuts], [*cuts, len(lines)], strict=True)]
+        root = folder / str(turn)
+        root.mkdir(parents=True)
+        pages(root, {str(i): body for i, body in enumerate(shown)})
+        alone = PageReader(str(root), 1000)
+        for size, room, limit in ((1, 3, 2), (5, 1, 1), (40, 11, 3), (10**6, 10**6, 1000)):
+            monkeypatch.setattr(paged, "RANGE", room)
+            reader, got, at = PageRangesReader(str(root), limit, size), [], alone.initialOffset()
+            while (end := json.loads(json.dumps(reader.latestOffset()))) != at:
+                again = PageRangesReader(str(root), limit, size)  # as after a restart
+                polls = [p for part in again.partitions(at, end) for p in again.read(part)]
+                assert all(0 < p.num_rows <= limit for p in polls)
+                found = [tuple(r.values()) for p in polls for r in p.to_pylist()]
+                assert found == list(alone.readBetweenOffsets(at, end)) and again.at == end
+                assert end["stamp"] == next((s for r in reversed(found) if (s := paged.stamp_of(r[0].encode()))), at["stamp"])
+                got, at = got + found, end
+            rows, last = alone.read(alone.initialOffset())
+            assert got == list(rows) and at["stamp"] == last["stamp"]
+        pages(root, {str(len(shown)): "more\n"})
+        assert reader.latestOffset()["page"] == str(len(shown))
+    assert PageRangesReader(str(tmp_path / "none"), 5, 5).latestOffset() == alone.initialOffset()
+
+
+def test_a_batch_takes_many_polls(spark, tmp_path):
+    """Three thousand events in polls of 17 take a few batches, over starts that lose and repeat nothing."""
+    folder, n = tmp_path / "p", 0
+    for start in range(3):
+        rows = [job(f"n{n + i}", "2024-01-01T00:00:00") for i in range(1000)]
+        pages(folder, {f"{n:06}.json": "\n".join(rows) + "\n"})
+        n += len(rows)
+        stream = intake.poll_job_events(spark, str(folder), 17, batch_bytes=60_000).select("node.id")
+        query = start_append(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), processingTime="0 seconds")
+        query.processAllAvailable()
+        read = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+        query.stop()
+        assert 2 <= len(read) <= 10 and sum(read) == 1000
+        found = [r.id for r in spark.read.schema("id string").parquet(str(tmp_path / "out")).collect()]
+        assert sorted(found) == sorted(f"n{i}" for i in range(n)), start
+
+
 def test_new_events(spark, tmp_path):
     path = str(tmp_path / "in")
     write_console(spark, path, [("r", 1, 1, "a", False), ("r", 2, 2, "b", False)])

@@ -12,7 +12,7 @@ from tipwatch.plans.jobs import INTAKE_WHERE, PLATFORMS, RUNTIME, as_events
 from tipwatch.plans.logs import CRASH_HITS
 from tipwatch.plans.registry import query
 from tipwatch.plans.views import SPARK, VIEWS, table, view, view_sql
-from tipwatch.session import scratch_path
+from tipwatch.session import folder_bytes, scratch_path
 from tipwatch.streaming import intake, monitor
 from tipwatch.streaming.runs import batches, drain, start_append
 
@@ -67,13 +67,14 @@ def intake_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def poll_job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All job events out of pages, polled by a cursor; the poll is broken off once and goes on from its checkpoint.
 
-    Events arrive by their numbers, which their stamps do not follow.
+    Events arrive by their numbers, which their stamps do not follow. A batch takes the polls of an eighth of the pages.
     """
     source, columns = VIEWS["job_events"]
     flat = table(spark, sf_dir, source).orderBy("event_id").selectExpr(*[c.format(**SPARK) for c in columns])
     pages, out = scratch_path(spark, "pages"), scratch_path(spark, "polled")
     as_events(flat).select(F.to_json(F.struct("timestamp", "node"))).write.text(pages)
-    polled = intake.poll_job_events(spark, pages).select("timestamp", "node.id", "node.kind")
+    eighth = folder_bytes(spark, pages) // 8 + 1
+    polled = intake.poll_job_events(spark, pages, batch_bytes=eighth).select("timestamp", "node.id", "node.kind")
     for last in (False, True):
         running = start_append(polled, f"{out}/rows", f"{out}/checkpoint", processingTime="0 seconds")
         while not last and not any(p["numInputRows"] for p in running.recentProgress) and running.isActive:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +56,26 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """The bytes of the files below ``path``."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+
+
+@contextmanager
+def small_cuts(spark: SparkSession, root: str, least: int, cuts: int = 256) -> Iterator[None]:
+    """Meanwhile tasks read files as if those below ``root`` were large: a ``cuts``-th of all their bytes at a time, though
+    ``least`` bytes or more, and no more than is set. So the number of tasks does not grow with small files."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    spark.conf.set(key, str(min(most, max(least, -(-folder_bytes(spark, root) // cuts)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove what ``scratch_path`` gave out in this session. Results that still read from there are lost."""
     jvm = spark.sparkContext._jvm

@@ -27,9 +27,12 @@ def read_job_events(spark: SparkSession, path: str, files_per_batch: int = 1000)
     return spark.readStream.schema(JOB_EVENT).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def poll_job_events(spark: SparkSession, path: str, limit: int = 1000) -> DataFrame:
-    """JSON event lines of a folder of pages as a stream, in the order of their arrival and ``limit`` a poll."""
-    return read_pages(spark, path, limit).select(F.from_json("value", JOB_EVENT).alias("event")).select("event.*")
+def poll_job_events(spark: SparkSession, path: str, limit: int = 1000, batch_bytes: int | None = None) -> DataFrame:
+    """JSON event lines of a folder of pages as a stream, in the order of their arrival and ``limit`` a poll.
+
+    A batch is one poll, or as many as ``batch_bytes`` hold, which tasks do side by side.
+    """
+    return read_pages(spark, path, limit, batch_bytes).select(F.from_json("value", JOB_EVENT).alias("event")).select("event.*")
 
 
 def wanted_jobs(events: DataFrame, runtime: str, platforms: list[str] | None = None) -> DataFrame:
