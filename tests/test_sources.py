@@ -297,6 +297,20 @@ def test_redaction_over_cuts_is_that_of_whole_texts(spark, tmp_path, small_cuts)
     assert sum(r.redactions.get("pem-private-key", 0) for r in whole) > 10 and sum(r.redactions.get("bearer-token", 0) for r in whole) > 2
 
 
+def test_the_number_of_cuts_does_not_grow_with_the_files(spark, tmp_path):
+    """Six megabytes of logs: their files are cut, but into no more ranges than a fixed number and one a file."""
+    from tipwatch.plans import logs as plans
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    docs = spark.range(2400).selectExpr("id as doc_id", "concat('line ', id, repeat(concat(chr(10), 'some words of a line'), 120)) as text", "'en' as lang", "'s' as source", "id as n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for lines, files, share in ((plans._cut_texts(spark, str(tmp_path)), 8, 1), (plans._cut_lines(spark, str(tmp_path))[0], 40, 28 / 29)):
+        ranges = lines.select("path", "block").distinct().count()
+        assert 2 * files < ranges <= 256 + files + 2 and len(lines.inputFiles()) <= 256 + files + 2
+        assert lines.filter("value = 'some words of a line'").count() == pytest.approx(2400 * 120 * share, rel=0.01)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
 def test_log_groups(spark, tmp_path):
     root = str(tmp_path / "groups")
     assert groups.read_log_group(spark, root, "/ec2/t", "r1").count() == 0

@@ -130,9 +130,10 @@ def scrub_lines(lines: DataFrame, counts: str = "redactions") -> DataFrame:
     ``value``, wherever the file is cut.
     """
     value = F.col("value")
-    opens = value.rlike(f"(?s){_KEY_BEGIN}(?!.*{_KEY_END})")
-    hangs = value.rlike(_HANGING)
-    together = cut.stretches(lines, [(opens, value.rlike(_KEY_END)), (hangs, ~value.rlike(_BETWEEN))])
+    key = any_of([value.contains(w) for w in _NEEDED["pem-private-key"]])
+    opens, closes = key & value.rlike(f"(?s){_KEY_BEGIN}(?!.*{_KEY_END})"), key & value.rlike(_KEY_END)
+    hangs = may_contain(value, F.upper(value), ["SSH-", *_NEEDED["bearer-token"], *_NEEDED["credential-kv"]]) & value.rlike(_HANGING)
+    together = cut.stretches(lines, [(opens, closes), (hangs, ~value.rlike(_BETWEEN))])
     return scrub(together, "value", counts)
 
 

@@ -11,7 +11,7 @@ from tipwatch.operators import offline, ranking, rejects, verdicts
 from tipwatch.plans import simpson
 from tipwatch.plans.registry import query
 from tipwatch.plans.views import csv_objects, kernel_objects, table, unixbench_objects, view, view_sql
-from tipwatch.session import materialise, scratch_path
+from tipwatch.session import materialise, scratch_path, small_cuts
 from tipwatch.sources import objects
 
 R = 6
@@ -355,12 +355,8 @@ def scan_cut_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = "values ('f0', -1L, 'unit,value,note,id'), ('f1', -1L, 'id,note,value'), ('f2', -1L, 'unit,value,note,id') as h(file, event_id, value)"
     whole = lines.unionByName(spark.sql(f"select * from {heads}")).repartition("file").sortWithinPartitions("file", "event_id")
     whole.select("file", "value").write.partitionBy("file").text(root)
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")  # as if the files were large
-    try:
+    with small_cuts(spark, root, 16 << 10):
         rows = materialise(objects.read_headed(spark, root, ["id", "note", "value", "unit"], "*.txt"), "rows")
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     file = F.regexp_extract("path", "file=(f[0-9])/", 1).alias("file")
     return rows.select(file, F.col("id").cast("long").alias("event_id"), "note", F.col("value").cast("double").alias("value"), "unit")
 

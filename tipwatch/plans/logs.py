@@ -11,7 +11,7 @@ from tipwatch.operators import logs, outcomes
 from tipwatch.plans import fixed
 from tipwatch.plans.registry import query
 from tipwatch.plans.views import table, view, view_sql
-from tipwatch.session import materialise, scratch_path
+from tipwatch.session import materialise, scratch_path, small_cuts
 from tipwatch.sources import cut, objects
 
 
@@ -60,17 +60,23 @@ _FILE_TEXTS = view_sql("secrets") + ", files AS (SELECT doc_id % 8 AS doc_id, st
 )
 def scrub_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight files, each cut over many tasks, redacted line by line; keys of three lines lie across cuts."""
+    done = text.scrub_lines(_cut_texts(spark, sf_dir)).selectExpr(_FILE, "explode(split(value, '\\n')) as x")
+    return done.groupBy("file", F.md5("x").alias("digest")).agg(F.count("*").alias("n"))
+
+
+def _write_files(rows: DataFrame, files: int, root: str) -> None:
+    """Lines (file, doc_id, nth, value) as one text file for each number below ``files``, a task each."""
+    dealt = rows.repartitionById(files, F.col("file").cast("int")).sortWithinPartitions("file", "doc_id", "nth")
+    dealt.select("file", "value").write.partitionBy("file").text(root)
+
+
+def _cut_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the eight files of texts."""
     root = scratch_path(spark, "texts")
     rows = view(spark, sf_dir, "secrets").select((F.col("doc_id") % 8).alias("file"), "doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "value"))
-    rows.repartition("file").sortWithinPartitions("file", "doc_id", "nth").select("file", "value").write.partitionBy("file").text(root)
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")  # as if the files were large
-    try:
-        lines = materialise(cut.read_lines(spark, root, "*.txt"), "lines")
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    done = text.scrub_lines(lines).selectExpr(_FILE, "explode(split(value, '\\n')) as x")
-    return done.groupBy("file", F.md5("x").alias("digest")).agg(F.count("*").alias("n"))
+    _write_files(rows, 8, root)
+    with small_cuts(spark, root, 4 << 10):
+        return materialise(cut.read_lines(spark, root, "*.txt"), "lines")
 
 
 @query("scrub_bytes", _SCRUB + f"SELECT doc_id, md5(text) AS digest, strlen(text) AS bytes FROM s{_LAST}")
@@ -330,7 +336,7 @@ def _log_folder(spark: SparkSession, sf_dir: str) -> str:
     root = scratch_path(spark, "logs")
     logs_ = view(spark, sf_dir, "vmlog").filter("content is not null")
     rows = logs_.select((F.col("doc_id") % 40).alias("file"), "doc_id", F.posexplode(F.split("content", "\n")).alias("nth", "value"))
-    rows.repartition("file").sortWithinPartitions("file", "doc_id", "nth").select("file", "value").write.partitionBy("file").text(root)
+    _write_files(rows, 40, root)
     spark.range(40, 42).select(F.col("id").alias("file"), F.lit("").alias("value")).repartition("file").write.mode("append").partitionBy("file").text(root)
     return root
 
@@ -338,12 +344,8 @@ def _log_folder(spark: SparkSession, sf_dir: str) -> str:
 def _cut_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Lines and files of those logs, each file cut over several tasks."""
     root = _log_folder(spark, sf_dir)
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")  # as if the files were large
-    try:
+    with small_cuts(spark, root, 16 << 10):
         return materialise(cut.read_lines(spark, root, "*.txt"), "lines"), cut.read_files(spark, root, "*.txt")
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 _FILE = "cast(regexp_extract(path, 'file=([0-9]+)/', 1) as bigint) as file"
