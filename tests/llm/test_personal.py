@@ -104,3 +104,24 @@ def test_nulls_repeats_and_empty_tables(spark, make):
     assert len(rows) == 9
     assert {r.spans for r in rows} == {"email:5:11,phone:15:32", ""}
     assert personal.scan(docs.limit(0)).count() == 0
+
+
+def test_all_examples_take_part(spark, monkeypatch):
+    """Nine thousand addresses that meet the rule and some that do not: all are learnt from or calibrated on, a frequent
+    kind weighs no more than a bounded number."""
+    good = [f"1{i % 100:02}.1{i // 100:02}.12.34" for i in range(9000)]
+    bad = [f"3{i % 100:02}.9{i // 100:02}.12.345" for i in range(700)]
+    rows = [(0, 9, "ip", t, before, "") for t in good + bad for before in ("ip ", "ip ")]
+    raw = spark.createDataFrame(rows, "start int, end int, kind string, text string, before string, after string")
+    tables, taken, written, fit = {}, [], personal.written, personal.GBTClassifier.fit
+    monkeypatch.setattr(personal, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    monkeypatch.setattr(personal.GBTClassifier, "fit", lambda self, df: taken.append(df) or fit(self, df))
+    model, threshold = personal.fitted(raw)
+    n = "n" if "n" in tables["examples"].columns else "1"
+    count = lambda df: {r.label: r.n for r in df.groupBy("label").agg(personal.F.expr(f"sum({n})").alias("n")).collect()}
+    assert count(tables["examples"]) == {1.0: 9000, 0.0: 700}
+    learnt = count(taken[0])
+    assert 9000 * 0.7 < learnt[1.0] < 9000 * 0.8 and 700 * 0.65 < learnt[0.0] < 700 * 0.85
+    weight = {r.label: r.w for r in taken[0].groupBy("label").agg(personal.F.sum("weight").alias("w")).collect()}
+    assert weight[1.0] == pytest.approx(personal.MOST * learnt[1.0] / 9000) and weight[0.0] == learnt[0.0]
+    assert threshold == 0.5

@@ -5,11 +5,12 @@ candidates: numbers in groups, disguised addresses, account numbers. Gradient-bo
 the words beside them. They learn from the corpus itself: of the generators' finds of one kind, those that meet a fixed
 form are the positive examples, those that break its rule (a check digit, a part over 255, a wrong length) the negative
 ones, and the rule itself is hidden from the features, so what is learnt is how such data are written and introduced.
-A candidate is redacted where its score reaches its kind's threshold, the lowest at which ``PRECISION`` of the examples
-set aside for calibration are positive; of overlapping ones the best stays.
+A candidate is redacted where its score reaches the threshold, the lowest at which ``PRECISION`` of the examples set
+aside for calibration are positive; of overlapping ones the best stays.
 
-The trees are fitted on at most ``FIT_ROWS`` examples of each kind, the first by a hash; all texts are scanned and
-scored whole.
+All examples take part, in the fit or, every ``SET_ASIDE``-th by a hash of its text, in the calibration. Examples of equal
+features are one row that weighs as many. The examples of a kind and label weigh ``MOST`` together where they are more, so
+that a frequent kind does not drown the others. All texts are scanned and scored whole.
 """
 
 from __future__ import annotations
@@ -41,8 +42,12 @@ ADDED = ["number", "digits", "disguised", "account"]
 # Words that introduce personal data, looked for in the NEAR code points before a candidate.
 HINTS = r"(?i)\b(?:phone|tel|call|mobile|cell|fax|whatsapp|telefon|t\xe9l\xe9phone|tel\xe9fono|mail|e-mail|contact|reach|card|visa|account|konto|compte|cuenta|iban|ssn|passport|id)\b"
 NEAR = 32
-FIT_ROWS, TREES, DEPTH = 4000, 12, 4
+MOST, TREES, DEPTH = 4000, 12, 4
 PRECISION, SET_ASIDE = 0.9, 4
+# Spark looks for splits in a sample where there are more rows than the square of this; and all values of a feature are bins.
+BINS = 1 << 12
+# Rows of different features that a task of the fit takes.
+FIT_ROWS = 100_000
 # Longest candidate, for the join of overlapping ones.
 REACH = 128
 
@@ -139,7 +144,8 @@ def _features() -> dict[str, Column]:
 
 
 def _examples(raw: DataFrame) -> DataFrame:
-    """Base matches as labelled examples: 1 where they meet their kind's rule. Equal texts count once."""
+    """Base matches as labelled examples, 1 where they meet their kind's rule: (kind, label, aside, features, n), a row
+    for the ``n`` of equal features. Equal texts of equal features count once."""
     rule = (
         F.when(F.col("kind") == "ip", is_ip(F.col("text")))
         .when(F.col("kind") == "card", is_card(F.col("text")))
@@ -148,7 +154,9 @@ def _examples(raw: DataFrame) -> DataFrame:
     )
     # numbers far from any kind's length are no examples of how such data are written
     some = raw.filter(F.col("text").rlike("^.{5,48}$") & (F.length(_digits(F.col("text"))).between(7, 22) | (F.col("kind") == "email")))
-    return some.dropDuplicates(["text"]).withColumn("label", rule.cast("double"))
+    aside = F.pmod(F.xxhash64("text"), F.lit(SET_ASIDE)) == 0
+    each = some.select("kind", "text", rule.cast("double").alias("label"), aside.alias("aside"), *[v.alias(k) for k, v in _features().items()]).distinct()
+    return each.groupBy("kind", "label", "aside", *_features()).agg(F.count("*").alias("n"))
 
 
 def fitted(raw: DataFrame):
@@ -156,23 +164,22 @@ def fitted(raw: DataFrame):
 
     ``raw`` is a written table of base matches with their context.
     """
-    every = _examples(raw).withColumn("_order", F.xxhash64("text"))
-    parts = [every.filter((F.col("kind") == k) & (F.col("label") == v)).orderBy("_order", "text").limit(FIT_ROWS) for k in BASE for v in (0.0, 1.0)]
-    sample = parts[0]
-    for part in parts[1:]:
-        sample = sample.unionByName(part)
-    sample = sample.withColumns(_features()).select("label", "_order", *_features())
-    # a bounded sample in one task: the fit is the same whatever the cluster
-    sample = written(sample.coalesce(1), "examples")
-    fit, aside = sample.filter(f"pmod(_order, {SET_ASIDE}) <> 0"), sample.filter(f"pmod(_order, {SET_ASIDE}) = 0")
+    examples = written(_examples(raw), "examples")
+    totals = examples.groupBy("kind", "label").agg(F.sum("n").alias("_total"))  # a row for each kind and label
+    weight = F.col("n") * F.least(F.lit(1.0), MOST / F.col("_total"))
+    examples = examples.join(F.broadcast(totals), ["kind", "label"]).withColumn("weight", weight)
+    fit, aside = examples.filter("not aside"), examples.filter("aside")
     if fit.select("label").distinct().count() < 2:
         return None
     pack = VectorAssembler(inputCols=list(_features()), outputCol="features")
-    trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7)
-    model = trees.fit(pack.transform(fit))
-    # twenty steps of the score: how many examples lie in each, and how many of them are positive
+    trees = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=BINS)
+    # as many tasks as the rows need, in one order: the fit is the same whatever the cluster
+    columns = ["label", *_features()]
+    dealt = fit.repartitionByRange(1 + fit.count() // FIT_ROWS, *columns).sortWithinPartitions(*columns, "kind")
+    model = trees.fit(pack.transform(dealt))
+    # twenty steps of the score: how much the examples in each weigh, and how much of that the positive ones
     scored = _scored(aside, model).withColumn("_step", F.floor(F.col("score") * 20).cast("int"))
-    steps = {r._step: (r.n, r.good) for r in scored.groupBy("_step").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()}
+    steps = {r._step: (r.n, r.good) for r in scored.groupBy("_step").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("good")).collect()}
     threshold = None
     for low in range(20, 9, -1):
         n, good = (sum(v[i] for k, v in steps.items() if k >= low) for i in (0, 1))
