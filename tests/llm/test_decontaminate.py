@@ -119,3 +119,19 @@ def test_excerpts_are_found_wherever_they_begin(share):
     one, two = prose(40)[:150], prose(60)[:233]
     cut = d.found_in(pa.array([prose(9) + one[13:] + prose(9), prose(9) + two[12:220] + prose(9)]), d.Pieces([(0, one), (1, two)]))
     assert set(cut["row"].tolist()) == {0, 1}
+
+
+def test_bands_are_the_same_by_one_number_or_all_columns(cases, monkeypatch):
+    """Bands are sorted by one number a row, and rows counted in a table of cells, where those fit."""
+    items, texts = cases
+    pieces = d.Pieces(items)
+    draw = np.random.default_rng(3)
+    columns = [draw.integers(-3, 4, 500) for _ in range(3)]
+    want = sorted(set(zip(*(c.tolist() for c in columns), strict=True)))
+    assert list(zip(*(c.tolist() for c in d._distinct(*columns)), strict=True)) == want
+    narrow = d.found_in(pa.array(texts), pieces)
+    monkeypatch.setattr(d, "WHOLE", 0)
+    assert list(zip(*(c.tolist() for c in d._distinct(*columns)), strict=True)) == want
+    monkeypatch.setattr(d, "CELLS", 0)
+    wide = d.found_in(pa.array(texts), pieces)
+    assert len(wide["row"]) and all((wide[k] == narrow[k]).all() for k in wide)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,9 @@ STEP = 8
 BITS = 22
 # Bytes of text taken together, positions looked up at a time, and alignments done at a time.
 TOGETHER, STRIDE, ALIGNED = 1 << 20, 1 << 16, 2048
+# Rows and items are counted in a table of up to so many cells; rows of integers are sorted by one number of 63 bits up
+# to so many combinations.
+CELLS, WHOLE = 1 << 20, 1 << 62
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -85,7 +89,11 @@ def grams_of(data: np.ndarray) -> np.ndarray:
     """The 8-byte code of the q-gram at every position but the last Q - 1."""
     if len(data) < Q:
         return np.empty(0, np.uint64)
-    return np.lib.stride_tricks.sliding_window_view(data, Q).copy().view("<u8").ravel()
+    codes = np.empty(len(data) - Q + 1, "<u8")
+    for k in range(min(Q, len(codes))):  # every Q-th code lies as it is in the bytes
+        own = codes[k::Q]
+        own[:] = np.frombuffer(data[k : k + Q * len(own)].tobytes(), "<u8")
+    return codes
 
 
 def _hits(data: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +110,27 @@ def _hits(data: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *where]), np.concatenate([none, *which])
 
 
+def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
+    """The different rows of integer columns in order: by one number for a row where that fits, else by all columns."""
+    lows = [int(c.min()) for c in columns]
+    spans = [int(c.max()) - a + 1 for c, a in zip(columns, lows, strict=True)]
+    if prod(spans) > WHOLE:
+        keys = np.stack(columns)
+        keys = keys[:, np.lexsort(keys[::-1])]
+        return list(keys[:, np.concatenate([[True], np.any(keys[:, 1:] != keys[:, :-1], axis=0)])])
+    key = np.zeros(len(columns[0]), np.int64)
+    for c, a, span in zip(columns, lows, spans, strict=True):
+        key = key * span + (c - a)
+    key = np.sort(key)
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    out = []
+    for a, span in zip(lows[::-1], spans[::-1], strict=True):
+        rest = key // span
+        out.append(key - rest * span + a)
+        key = rest
+    return out[::-1]
+
+
 def _bands(where: np.ndarray, which: np.ndarray, row: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, ...]:
     """(row, piece, first diagonal of the piece) for pieces that reach their bound within a band."""
     counts = pieces.begin[which + 1] - pieces.begin[which]
@@ -112,25 +141,30 @@ def _bands(where: np.ndarray, which: np.ndarray, row: np.ndarray, pieces: Pieces
     # most items share too little with the whole row already
     n = len(pieces.lowest)
     pair = row * n + own
-    ordered = np.sort(pair)
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(pair) else np.empty(0, np.int64)
-    total, ordered = np.diff(np.append(first, len(pair))), ordered[first]
-    live = ordered[total >= pieces.lowest[ordered % n]]
-    at = np.searchsorted(live, pair)
-    ok = live[np.minimum(at, len(live) - 1)] == pair if len(live) else np.zeros(len(pair), bool)
-    own, row, offset, diagonal = own[ok], row[ok], pieces.offset[posting[ok]], where[each[ok]] - pieces.offset[posting[ok]]
+    cells = n * (int(row.max()) + 1) if len(pair) else 0
+    if cells <= CELLS:
+        enough = np.bincount(pair, minlength=cells) >= np.maximum(np.tile(pieces.lowest, cells // n), 1)
+        live, ok = np.flatnonzero(enough), enough[pair]
+        at = (np.cumsum(enough) - 1)[pair]
+    else:
+        ordered = np.sort(pair)
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        total, ordered = np.diff(np.append(first, len(pair))), ordered[first]
+        live = ordered[total >= pieces.lowest[ordered % n]]
+        at = np.searchsorted(live, pair)
+        ok = live[np.minimum(at, len(live) - 1)] == pair if len(live) else np.zeros(len(pair), bool)
+    own, pair, offset = own[ok], at[ok], pieces.offset[posting[ok]]
+    diagonal = where[each[ok]] - offset
     none = np.empty(0, np.int64)
     if not len(own):
         return none, none, none
     step = pieces.widest[own] + 1  # a band of two steps holds any k + 1 diagonals in a row that begin in its first half
     low = np.floor_divide(diagonal, step)
-    keys = np.concatenate([np.stack([row, own, low, offset]), np.stack([row, own, low - 1, offset])], axis=1)
-    keys = keys[:, np.lexsort(keys[::-1])]
     # every q-gram of the item counts once in a band
-    keys = keys[:, np.concatenate([[True], np.any(keys[:, 1:] != keys[:, :-1], axis=0)])]
-    group = np.cumsum(np.concatenate([[False], np.any(keys[:3, 1:] != keys[:3, :-1], axis=0)]))
+    pair, low, offset = _distinct(np.concatenate([pair, pair]), np.concatenate([low, low - 1]), np.concatenate([offset, offset]))
+    group = np.cumsum(np.concatenate([[False], (pair[1:] != pair[:-1]) | (low[1:] != low[:-1])]))
+    row, own = live[pair] // n, live[pair] % n
     # bands with as many q-grams as the least bound asks for, no farther apart than in the longest piece
-    own, offset = keys[1], keys[3]
     far = np.arange(len(group)) + np.maximum(pieces.lowest[own], 1) - 1
     inside = np.minimum(far, len(group) - 1)
     near = (far < len(group)) & (group[inside] == group) & (offset[inside] - offset <= pieces.longest[own] - Q)
@@ -139,7 +173,7 @@ def _bands(where: np.ndarray, which: np.ndarray, row: np.ndarray, pieces: Pieces
     span = int(pieces.ends.max()) + 1
     place = group * span + offset
     out = [(none, none, none)]
-    row, own, low, _ = keys[:, first[bands]]
+    row, own, low = (x[first[bands]] for x in (row, own, low))
     parts = pieces.parts[own + 1] - pieces.parts[own]
     sums = np.cumsum(parts)
     a = 0
@@ -160,18 +194,22 @@ def _align(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, row, piece, d
     """Least edits between each piece and a stretch of its row near the band, and where that stretch ends."""
     k, m = pieces.widest[pieces.whole[piece]], pieces.sizes[piece]
     width = int(4 * k.max() + 3)  # two steps of diagonals and k more on either side
-    column = np.arange(width)
+    column = np.arange(width, dtype=np.int16)
     start = diagonal - k
     low = pieces.ends[pieces.whole[piece]] + pieces.starts[piece]
     text = pieces.data[np.minimum(low[:, None] + np.arange(int(m.max())), len(pieces.data) - 1)]
+    # all bytes that a piece may meet; no byte equals those outside its row
+    at = start[:, None] + np.arange(int(m.max()) + width)
+    outside = (at < begins[row][:, None]) | (at >= ends[row][:, None])
+    near = np.where(outside, np.int16(256), data[np.clip(at, 0, len(data) - 1)])
     best, end = np.full(len(piece), 1 << 30), np.zeros(len(piece), np.int64)
-    cost = np.zeros((len(piece), width), np.int64)
+    # costs grow by one a byte at most, and pieces have fewer than twice PIECE bytes
+    cost = np.zeros((len(piece), width), np.int16)
+    far = np.full((len(piece), 1), 1 << 14, np.int16)
     for i in range(int(m.max()) + 1):
         if i:
-            at = (start + i - 1)[:, None] + column
-            outside = (at < begins[row][:, None]) | (at >= ends[row][:, None])
-            differs = (data[np.clip(at, 0, len(data) - 1)] != text[:, i - 1][:, None]) | outside
-            skipped = np.concatenate([cost[:, 1:], np.full((len(piece), 1), 1 << 20)], axis=1) + 1
+            differs = near[:, i - 1 : i - 1 + width] != text[:, i - 1 : i]
+            skipped = np.concatenate([cost[:, 1:], far], axis=1) + 1
             cost = np.minimum(cost + differs, skipped)
             cost = np.minimum.accumulate(cost - column, axis=1) + column
         done = m == i
