@@ -115,3 +115,17 @@ def test_null_sources_and_languages_have_names_of_their_own(spark, make, prose):
 
     together = distances(rows + nowhere + small + others)
     assert together[:120] == pytest.approx(distances(rows + nowhere))
+
+
+def test_words_are_hashed_once_and_windows_sorted_without_a_comparator(make):
+    """Five words a window hashed again and again, and an order by a lambda, took most of the time."""
+    plan = quality.text_statistics(make(["a b c d e f a b c d e f"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort(" not in plan and plan.count("xxhash64(") == 4
+    assert all(call.count("lambda") <= 2 for call in re.findall(r"xxhash64\(([^()]*)\)", plan))
+
+
+def test_repeated_windows_at_the_ends_and_on_top_of_each_other(make):
+    run, other = "p q r s t", "u v w x y"
+    texts = [f"{run} {run}", f"{run} z {run} {other} {run}", f"{run} p q r s", "k " * 4, "k " * 5, "k " * 6, f"{run} {other}", f"{other} {run} {other} 1"]
+    rows = {r.doc_id: r.n_repeat_words for r in quality.text_statistics(make(texts)).collect()}
+    assert [rows[i] for i in range(1, len(texts) + 1)] == [plain_counts(t)[4] for t in texts]

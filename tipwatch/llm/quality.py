@@ -45,33 +45,30 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     Null and blank texts have no words: all counts 0, base failed. A repeated 5-word window is found by its 64-bit
     hash within the one text, sorted with its positions only if the text has a repeat at all.
     """
-    words, windows = F.col("_words"), F.col("_windows")
+    words, hashes, windows = F.col("_words"), F.col("_hashes"), F.col("_windows")
     n = F.size(words)
-    made = F.transform(
-        F.sequence(F.lit(0), n - WINDOW),
-        lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]),
-    )
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^ \x09-\x0D]"))
     out = docs.drop(*COUNTS, "base_failed", "_lines").withColumn("_words", words_of(F.col(text)))
-    out = out.withColumn("_windows", F.when(n >= WINDOW, made)).withColumn("_text_lines", lines)
-    ordered = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    out = out.withColumn("_sorted", F.when(F.size(F.array_distinct(windows)) < F.size(windows), ordered))
-    s = F.col("_sorted")
-
-    def starts(i: Column) -> Column:
-        own = F.get(s, i)
-        # the neighbour before the first and after the last is null: never equal
-        same = F.coalesce(F.get(s, i - 1)["h"] == own["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == own["h"], F.lit(False))
-        return F.when(same, own["i"])
-
-    found = F.array_sort(F.array_compact(F.transform(F.sequence(F.lit(0), F.size(s) - 1), starts)))
-    out = out.withColumn("_starts", F.when(s.isNotNull(), found))
+    out = out.withColumn("_hashes", F.when(n >= WINDOW, F.transform(words, lambda w: F.xxhash64(w)))).withColumn("_text_lines", lines)
+    both = lambda a, b: F.xxhash64(a, b)
+    # every word is hashed once; neighbours make pairs, pairs make fours, and a four and its next word a window
+    pairs = F.zip_with(F.slice(hashes, 1, n - 1), F.slice(hashes, 2, n - 1), both)
+    out = out.withColumn("_pairs", F.when(n >= WINDOW, pairs))
+    fours = F.zip_with(F.slice("_pairs", 1, n - 4), F.slice("_pairs", 3, n - 4), both)
+    out = out.withColumn("_windows", F.when(n >= WINDOW, F.zip_with(fours, F.slice(hashes, 5, n - 4), both))).drop("_pairs", "_hashes")
+    places = F.sequence(F.lit(0), F.size(windows) - 1)
+    ordered = F.sort_array(F.arrays_zip(windows.alias("h"), places.alias("i")))
+    out = out.withColumn("_sorted", F.when(F.size(F.array_distinct(windows)) < F.size(windows), ordered)).drop("_windows")
+    h, last = F.col("_sorted.h"), F.size("_sorted") - 1
+    out = out.withColumn("_same", F.zip_with(F.slice(h, 1, last), F.slice(h, 2, last), lambda a, b: a == b))
+    # a window is found again if it equals the one before or after it in order
+    edge = F.array(F.lit(False))
+    again = F.zip_with(F.concat(edge, "_same"), F.concat("_same", edge), lambda a, b: a | b)
+    found = F.zip_with(again, F.col("_sorted.i"), lambda a, i: F.when(a, i))
+    out = out.withColumn("_starts", F.sort_array(F.array_compact(found))).drop("_sorted", "_same")
     d = F.col("_starts")
-    covered = F.aggregate(
-        F.transform(d, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(d, i + 1) - x, F.lit(WINDOW)))),
-        F.lit(0),
-        lambda a, x: a + x,
-    )
+    # the last one has no next: least passes over the null
+    covered = F.aggregate(F.zip_with(d, F.slice(d, 2, F.size(d)), lambda x, y: F.least(F.lit(WINDOW), y - x)), F.lit(0), lambda a, x: a + x)
     out = out.withColumns(
         {
             "n_words": n.cast("long"),
@@ -81,7 +78,7 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
             "_lines": F.size("_text_lines").cast("long"),
         }
-    ).drop("_words", "_windows", "_text_lines", "_sorted", "_starts")
+    ).drop("_words", "_text_lines", "_starts")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
