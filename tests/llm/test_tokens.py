@@ -63,6 +63,20 @@ def test_every_pretoken_goes_through_the_stream(monkeypatch, library):
     assert set(seen) - {b""} == {p.encode() for p in bpe.PRETOKEN.findall(text)} and not hasattr(tool, "library")
 
 
+def test_what_a_worker_remembers_stays_small(monkeypatch, library):
+    """A worker serves the tasks of all stages, so that what it remembers is bounded, and forgetting changes no id."""
+    monkeypatch.setattr(bpe, "YOUNG", 50)
+    monkeypatch.setattr(bpe, "KNOWN", 80)
+    tool, draw, most, pairs = bpe.Encoder(bpe.vocabulary_path(None, "byte_bpe_50k.json")), random.Random(5), 0, 0
+    for _ in range(60):
+        words = ["".join(draw.choices("etaoinshrd", k=draw.randrange(1, 9))) for _ in range(40)]
+        text = " ".join([*words, "the same few words", "=" * draw.randrange(100, 3000)])
+        assert np.concatenate(list(tool.ids(bpe.sliced(text)))).tolist() == library.encode(text, add_special_tokens=False).ids
+        most, pairs = max(most, len(tool.memo) + len(tool.older)), max(pairs, len(tool.merges.known))
+    assert 50 < most <= 100 and 0 < pairs <= 80
+    assert max(map(len, [*tool.memo, *tool.older])) <= bpe.LONGEST
+
+
 def streamed(merges, data, step=7, lookahead=None):
     stream, out = bpe.MergeStream(merges, lookahead), []
     for i in range(0, len(data), step):

@@ -3,7 +3,9 @@
 Texts pass through in slices. Pretokens leave a slice as soon as two further characters cannot change them, and every
 one is encoded by ``MergeStream``, which emits ids once they are stable; what it gave for a pretoken is remembered. A
 pretoken that fills all that is held goes on, part by part, from slice to slice. Memory is two slices, the remembered
-pretokens (``MEMO`` at most) and a few longest pieces, however long a text, a run of letters or one of blanks is.
+pretokens (two generations of ``YOUNG``, none longer than ``LONGEST``), the pairs of tokens looked at (``KNOWN`` at most)
+and a few longest pieces, however long a text, a run of letters or one of blanks is. A Python worker goes on to the tasks
+of other stages and holds all of this beside their data, so it has to stay small.
 
 Null and empty texts have no ids. The special token's literal is its id wherever it occurs, as the tokenizers library
 does by default; decoding gives the literal back.
@@ -30,7 +32,9 @@ PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 BLANKS = regex.compile(r"\s+")
 # How a pretoken that may go on begins, and how it goes on.
 RUNS = [(regex.compile(" ?" + x), regex.compile(x)) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")] + [(BLANKS, BLANKS)]
-SLICE, MEMO = 1 << 16, 1_000_000
+SLICE = 1 << 16
+# Pretokens that a generation of the memory holds, characters of the longest, and pairs of tokens that are remembered.
+YOUNG, LONGEST, KNOWN = 160_000, 64, 400_000
 # Rows and ids that an output batch holds at most (a longer text alone makes one).
 ROWS_OUT, IDS_OUT = 256, 1 << 20
 # A match is stable when this many further characters are known ("'r" may become "'re").
@@ -72,10 +76,11 @@ class Merges:
         for literal, i in self.special.items():
             self.pieces[i] = literal.encode()
         self.decimal = [str(i).encode() for i in range(size)]
-        self.known: dict[tuple[bytes, bytes], bool] = {}
+        # by pairs of ids in one number, which takes a third of the room that pairs of bytes do
+        self.begin, self.known = size, dict[int, bool]()
         self.lookahead = self._sufficient_lookahead()
-        # by last bytes: all proper tails of tokens, so that the search backwards ends early
-        self.tails = {piece[i:] for piece in self.ids for i in range(len(piece))}
+        # by last bytes: all tails of tokens, so that the search backwards ends early, with the id of those that are tokens
+        self.tails = {piece[i:]: self.ids.get(piece[i:], -1) for piece in self.ids for i in range(len(piece))}
 
     def plain(self, data: bytes) -> list[bytes]:
         """Encoding by its definition: merge the pair of lowest rank, the leftmost first, until none is left."""
@@ -100,14 +105,16 @@ class Merges:
         made = {a + b for a, b in self.ranks} | {t for t in self.ids if len(t) == 1}
         return next((len(t) for t in sorted(made, key=len, reverse=True) if self.plain(t) == [t]), 1)
 
-    def meet(self, left: bytes, right: bytes) -> bool:
-        """Whether ``right`` can follow ``left`` (empty: begin): their bytes together encode to just these two."""
-        key = (left, right)
-        if key not in self.known:
-            if len(self.known) > MEMO:
+    def meet(self, left: int, right: int) -> bool:
+        """Whether token ``right`` can follow ``left`` (or ``begin``): their bytes together encode to just these two."""
+        key = left * (self.begin + 1) + right
+        follows = self.known.get(key)
+        if follows is None:
+            if len(self.known) >= KNOWN:
                 self.known.clear()
-            self.known[key] = self.plain(left + right) == ([left, right] if left else [right])
-        return self.known[key]
+            pair = [self.pieces[i] for i in (left, right) if i != self.begin]
+            follows = self.known[key] = self.plain(b"".join(pair)) == pair
+        return follows
 
 
 class MergeStream:
@@ -121,30 +128,31 @@ class MergeStream:
     def __init__(self, merges: Merges, lookahead: int | None = None):
         self.m, self.lookahead = merges, lookahead or merges.lookahead
         self.data = bytearray()  # from the last stable position on
-        self.last: list[bytes] = [b""]  # last token of each prefix; of the stable one at 0
+        self.last: list[int] = [merges.begin]  # last token of each prefix; of the stable one at 0
 
     def feed(self, more: bytes) -> list[int]:
         """Take in bytes; what has become stable. Each byte ends one more prefix, whose last token is looked for backwards."""
-        m, data, last, out = self.m, self.data, self.last, []
-        ids, tails, known, most = m.ids, m.tails, m.known, m.lookahead
-        for value in more:
-            data.append(value)
-            end = len(data)
-            low = end - most if end > most else 0
-            window = bytes(data[low:])
-            for at in range(end - low - 1, -1, -1):
-                tail = window[at:]
-                if tail in ids:
-                    before = last[low + at]
-                    follows = known.get((before, tail))
-                    if follows or (follows is None and m.meet(before, tail)):
-                        last.append(tail)
+        m, last, full, out, begin = self.m, self.last, 8 * self.lookahead, [], 0
+        id_of, known, most, radix = m.tails.get, m.known.get, m.lookahead, m.begin + 1
+        while begin < len(more):
+            start, taken = len(self.data), more[begin : begin + max(1, full - len(self.data))]
+            begin += len(taken)
+            self.data += taken
+            data = bytes(self.data)
+            for end in range(start + 1, len(data) + 1):
+                for at in range(end - 1, (end - most if end > most else 0) - 1, -1):
+                    token = id_of(data[at:end])
+                    if token is None:
                         break
-                elif tail not in tails:
-                    break
-            if len(last) <= end:  # what was emitted cannot be gone on from: the lookahead was too short
-                raise ValueError("no token can follow what was emitted")
-            if end >= 8 * self.lookahead:
+                    if token >= 0:
+                        before = last[at]
+                        follows = known(before * radix + token)
+                        if follows or (follows is None and m.meet(before, token)):
+                            last.append(token)
+                            break
+                if len(last) <= end:  # what was emitted cannot be gone on from: the lookahead was too short
+                    raise ValueError("no token can follow what was emitted")
+            if len(data) >= full:
                 out += self._emit(self._shared())
         return out
 
@@ -158,15 +166,15 @@ class MergeStream:
         while len(live) > 1:  # the last of them steps back to where its token begins, until all have met
             top = max(live)
             live.remove(top)
-            live.add(top - len(self.last[top]))
+            live.add(top - len(self.m.pieces[self.last[top]]))
         return live.pop()
 
     def _emit(self, upto: int) -> list[int]:
         found, at = [], upto
         while at > 0:
             token = self.last[at]
-            found.append(self.m.ids[token])
-            at -= len(token)
+            found.append(token)
+            at -= len(self.m.pieces[token])
         if upto:
             del self.data[:upto]
             del self.last[:upto]
@@ -179,21 +187,28 @@ class Encoder:
     def __init__(self, path: str):
         self.merges = Merges(path)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.kind = np.dtype("<u2" if len(self.merges.pieces) <= 1 << 16 else "<u4")
 
     def _whole(self, pieces: list[str]) -> bytes:
-        memo = self.memo
+        memo, older, found = self.memo, self.older, {}
         coded = list(map(memo.get, pieces))
-        missing = list({p for p, c in zip(pieces, coded, strict=True) if c is None})
-        if not missing:
+        for piece in {p for p, c in zip(pieces, coded, strict=True) if c is None}:
+            known = older.get(piece)
+            if known is None:
+                stream = MergeStream(self.merges)
+                ids = stream.feed(piece.encode("utf-8", "surrogatepass"))
+                known = np.array(ids + stream.finish(), self.kind).tobytes()
+            found[piece] = known
+        if not found:
             return b"".join(coded)
-        if len(memo) + len(missing) > MEMO:
-            memo.clear()
-        for piece in missing:
-            stream = MergeStream(self.merges)
-            found = stream.feed(piece.encode("utf-8", "surrogatepass"))
-            memo[piece] = np.array(found + stream.finish(), self.kind).tobytes()
-        return b"".join([memo[p] if c is None else c for p, c in zip(pieces, coded, strict=True)])
+        whole = b"".join([found[p] if c is None else c for p, c in zip(pieces, coded, strict=True)])
+        for piece, known in found.items():
+            if len(piece) <= LONGEST:
+                if len(self.memo) >= YOUNG:  # what is not met again before the next time is forgotten then
+                    self.memo, self.older = {}, self.memo
+                self.memo[piece] = known
+        return whole
 
     def ids(self, slices: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids of one text given in slices, in blocks as they become stable."""

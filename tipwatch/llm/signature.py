@@ -123,7 +123,9 @@ class _Texts:
             seen, held, size = set(), [], 0
 
             def common():
-                every = np.sort(np.concatenate(held))
+                every = np.concatenate(held)
+                held.clear()
+                every.sort()
                 at = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
                 times = np.diff(np.append(at, len(every)))
                 often = times >= COMMON

@@ -28,10 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import MEMO, vocabulary_path
+from .bpe import vocabulary_path
 from .common import text_rows
 
 GAMMA, LEVELS = 2.0, 64
+# Words that a worker remembers at most.
+MEMO = 1_000_000
 # What is cut off the end of a word; ">" could end a special token.
 PUNCTUATION = ".,;:!?*#$%&|()[]{}\"'-/"
 MANIFEST = "shard int, first_key long, last_key long, n_docs long, n_ids long, width int"
