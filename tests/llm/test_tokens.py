@@ -77,6 +77,45 @@ def test_what_a_worker_remembers_stays_small(monkeypatch, library):
     assert max(map(len, [*tool.memo, *tool.older])) <= bpe.LONGEST
 
 
+def test_streams_end_side_by_side(monkeypatch, library):
+    """The short pretokens that are new in a group of texts are worked out together, not byte by byte each."""
+    tool = bpe.Encoder(bpe.vocabulary_path(None, "byte_bpe_50k.json"))
+    alone, fed, draw = [], [], random.Random(6)
+    look, feed = bpe.MergeStream._look, bpe.MergeStream.feed
+    monkeypatch.setattr(bpe.MergeStream, "_look", lambda self: alone.append(bytes(self.data)) or look(self))
+    monkeypatch.setattr(bpe.MergeStream, "feed", lambda self, more: fed.append(bytes(more)) or feed(self, more))
+    words = ["".join(draw.choices("etaoinshrdéß日", k=draw.randrange(1, 12))) for _ in range(4000)]
+    texts = [" ".join([*words[i : i + 40], "=" * (i % 90)]) for i in range(0, 4000, 40)]
+    got = [np.concatenate([np.empty(0, np.int64), *blocks]).tolist() for blocks in tool.each(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert set(fed) == {p.encode() for t in texts for p in bpe.PRETOKEN.findall(t)}
+    assert all(len(data) > bpe.WIDE for data in alone) and len(alone) < 60
+
+
+@pytest.mark.parametrize("few", [1, 128])
+def test_groups_of_texts_do_not_change_ids(monkeypatch, library, few):
+    monkeypatch.setattr(bpe, "FEW", few)
+    monkeypatch.setattr(bpe, "YOUNG", 100)
+    tool = bpe.Encoder(bpe.vocabulary_path(None, "byte_bpe_50k.json"))
+    texts = [*mixed(150, 7), "", "", "word " * 30000, "the end<|endoftext|>", *mixed(300, 8), "\0 \0", "x" * 70000, "last"]
+    got = [np.concatenate([np.empty(0, np.int64), *blocks]).tolist() for blocks in tool.each(iter(texts))]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(tool.each([])) == []
+
+
+def test_streams_end_together_as_one_by_one(library):
+    """With bytes of every kind, and a table of pairs that forgets."""
+    merges, draw = bpe.encoder().merges, random.Random(9)
+    datas = ["".join(draw.choices("etaoinshrd=é", k=draw.randrange(1, 400))).encode() for _ in range(40)] + [bytes([b]) * 3 for b in range(256)]
+    streams = [bpe.MergeStream(merges) for _ in datas]
+    assert not any([stream.feed(data) for stream, data in zip(streams, datas, strict=True)])
+    merges.pairs[::2] = -1
+    ids, counts = bpe.finish_together(streams)
+    parts = np.split(ids, np.cumsum(counts)[:-1])
+    assert [p.tolist() for p in parts] == [[merges.ids[t] for t in merges.plain(d)] for d in datas]
+    assert [p.tolist() for p in parts] == [stream.finish() for stream in streams]
+
+
 def streamed(merges, data, step=7, lookahead=None):
     stream, out = bpe.MergeStream(merges, lookahead), []
     for i in range(0, len(data), step):

@@ -2,10 +2,12 @@
 
 Texts pass through in slices. Pretokens leave a slice as soon as two further characters cannot change them, and every
 one is encoded by ``MergeStream``, which emits ids once they are stable; what it gave for a pretoken is remembered. A
-pretoken that fills all that is held goes on, part by part, from slice to slice. Memory is two slices, the remembered
-pretokens (two generations of ``YOUNG``, none longer than ``LONGEST``), the pairs of tokens looked at (``KNOWN`` at most)
-and a few longest pieces, however long a text, a run of letters or one of blanks is. A Python worker goes on to the tasks
-of other stages and holds all of this beside their data, so it has to stay small.
+pretoken that fills all that is held goes on, part by part, from slice to slice. Texts of a slice at most are cut in
+groups of ``GROUP`` characters, and the streams of the pretokens that are new in a group end side by side, position by
+position in numpy. Memory is two slices, a group, the remembered pretokens (two generations of ``YOUNG``, none longer than
+``LONGEST``), the pairs of tokens looked at (``KNOWN`` at most, and a table of ``2 ** PAIR_BITS``) and a few longest
+pieces, however long a text, a run of letters or one of blanks is. A Python worker goes on to the tasks of other stages
+and holds all of this beside their data, so it has to stay small.
 
 Null and empty texts have no ids. The special token's literal is its id wherever it occurs, as the tokenizers library
 does by default; decoding gives the literal back.
@@ -17,6 +19,7 @@ import codecs
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +31,18 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .common import text_rows
 
 # Fixed values of the byte-level format: the pretoken pattern and the classes of its runs.
-PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# Letters and digits come first, which no contraction begins with, as most pretokens are runs of them.
+PRETOKEN = regex.compile(r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 BLANKS = regex.compile(r"\s+")
 # How a pretoken that may go on begins, and how it goes on.
 RUNS = [(regex.compile(" ?" + x), regex.compile(x)) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")] + [(BLANKS, BLANKS)]
 SLICE = 1 << 16
 # Pretokens that a generation of the memory holds, characters of the longest, and pairs of tokens that are remembered.
-YOUNG, LONGEST, KNOWN = 160_000, 64, 400_000
+YOUNG, LONGEST, KNOWN = 160_000, 64, 100_000
+# Characters of short texts that are cut together, and the table of pairs of tokens that their streams look at.
+GROUP, PAIR_BITS = 1 << 17, 19
+# Streams that end side by side: so many at least, of so many bytes at most; others cost less one by one.
+FEW, WIDE = 128, 48
 # Rows and ids that an output batch holds at most (a longer text alone makes one).
 ROWS_OUT, IDS_OUT = 256, 1 << 20
 # A match is stable when this many further characters are known ("'r" may become "'re").
@@ -75,12 +83,20 @@ class Merges:
             self.pieces[i] = piece
         for literal, i in self.special.items():
             self.pieces[i] = literal.encode()
-        self.decimal = [str(i).encode() for i in range(size)]
+        self.decimal = np.array([b",%d" % i for i in range(size)])  # filled up with zero bytes
         # by pairs of ids in one number, which takes a third of the room that pairs of bytes do
         self.begin, self.known = size, dict[int, bool]()
         self.lookahead = self._sufficient_lookahead()
         # by last bytes: all tails of tokens, so that the search backwards ends early, with the id of those that are tokens
         self.tails = {piece[i:]: self.ids.get(piece[i:], -1) for piece in self.ids for i in range(len(piece))}
+        # the same as a tree for many at once: a tail is a node, and one byte more to its left leads to the next
+        node = {b"": 0} | {tail: n for n, tail in enumerate(self.tails, 1)}
+        self.token = np.array([-1, *self.tails.values()], np.int32)
+        steps = np.array([(node[tail[1:]] << 8) + tail[0] for tail in self.tails], np.int64)
+        order = np.argsort(steps)
+        self.steps, self.next_node = steps[order], (order + 1).astype(np.int32)
+        self.sizes = np.array([len(p) for p in self.pieces], np.int32)
+        self.pairs = np.full(1 << PAIR_BITS, -1, np.int64)
 
     def plain(self, data: bytes) -> list[bytes]:
         """Encoding by its definition: merge the pair of lowest rank, the leftmost first, until none is left."""
@@ -116,6 +132,25 @@ class Merges:
             follows = self.known[key] = self.plain(b"".join(pair)) == pair
         return follows
 
+    def longer(self, nodes: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The tails that are one byte longer, 0 where no token ends so."""
+        step = (nodes.astype(np.int64) << 8) + left
+        at = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+        return np.where(self.steps[at] == step, self.next_node[at], 0)
+
+    def meet_each(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``meet`` of many pairs; a place of the table holds the pair last put there and its answer in the lowest bit."""
+        key = left * (self.begin + 1) + right
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        entry = self.pairs[slot]
+        follows, new = (entry & 1).astype(bool), np.flatnonzero(entry >> 1 != key)
+        if len(new):
+            keys, where = np.unique(key[new], return_inverse=True)
+            answers = np.array([self.meet(*divmod(k, self.begin + 1)) for k in keys.tolist()])
+            follows[new] = answers[where]
+            self.pairs[slot[new]] = key[new] << 1 | follows[new]
+        return follows
+
 
 class MergeStream:
     """Encodes the bytes of one pretoken as they come.
@@ -131,34 +166,39 @@ class MergeStream:
         self.last: list[int] = [merges.begin]  # last token of each prefix; of the stable one at 0
 
     def feed(self, more: bytes) -> list[int]:
-        """Take in bytes; what has become stable. Each byte ends one more prefix, whose last token is looked for backwards."""
-        m, last, full, out, begin = self.m, self.last, 8 * self.lookahead, [], 0
-        id_of, known, most, radix = m.tails.get, m.known.get, m.lookahead, m.begin + 1
+        """Take in bytes; what has become stable."""
+        full, out, begin = 8 * self.lookahead, [], 0
         while begin < len(more):
-            start, taken = len(self.data), more[begin : begin + max(1, full - len(self.data))]
+            taken = more[begin : begin + max(1, full - len(self.data))]
             begin += len(taken)
             self.data += taken
-            data = bytes(self.data)
-            for end in range(start + 1, len(data) + 1):
-                for at in range(end - 1, (end - most if end > most else 0) - 1, -1):
-                    token = id_of(data[at:end])
-                    if token is None:
-                        break
-                    if token >= 0:
-                        before = last[at]
-                        follows = known(before * radix + token)
-                        if follows or (follows is None and m.meet(before, token)):
-                            last.append(token)
-                            break
-                if len(last) <= end:  # what was emitted cannot be gone on from: the lookahead was too short
-                    raise ValueError("no token can follow what was emitted")
-            if len(data) >= full:
+            if len(self.data) >= full:
+                self._look()
                 out += self._emit(self._shared())
         return out
 
     def finish(self) -> list[int]:
+        self._look()
         return self._emit(len(self.data))
 
+    def _look(self) -> None:
+        """Each byte ends one more prefix, whose last token is looked for backwards."""
+        m, last, data = self.m, self.last, bytes(self.data)
+        id_of, known, most, radix = m.tails.get, m.known.get, m.lookahead, m.begin + 1
+        for end in range(len(last), len(data) + 1):
+            for at in range(end - 1, (end - most if end > most else 0) - 1, -1):
+                token = id_of(data[at:end])
+                if token is None:
+                    break
+                if token >= 0:
+                    before = last[at]
+                    follows = known(before * radix + token)
+                    if follows or (follows is None and m.meet(before, token)):
+                        last.append(token)
+                        break
+            if len(last) <= end:  # what was emitted cannot be gone on from: the lookahead was too short
+                raise ValueError("no token can follow what was emitted")
+
     def _shared(self) -> int:
         """The furthest position that the encodings of all prefixes within the lookahead pass through."""
         end = len(self.data)
@@ -181,6 +221,48 @@ class MergeStream:
         return found[::-1]
 
 
+def finish_together(streams: list[MergeStream]) -> tuple[np.ndarray, np.ndarray]:
+    """What ``finish`` gives of each stream that no id has left, and how many ids of each: their last tokens are looked for
+    side by side."""
+    m = streams[0].m
+    sizes = np.array([len(s.data) for s in streams])
+    order = np.argsort(-sizes, kind="stable")  # the longest first, so that those that go on are the first ones
+    data = np.frombuffer(b"".join([s.data for s in streams]), np.uint8).astype(np.int64)
+    first, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    root = first + order  # of each stream's prefixes in ``last``
+    last = np.empty(len(data) + len(streams), np.int64)
+    last[root] = m.begin
+    for end in range(1, sizes[0] + 1):
+        row = np.arange(np.searchsorted(-sizes, -end, "right"))
+        node = np.zeros(len(row), np.int32)
+        for at in range(end - 1, max(0, end - m.lookahead) - 1, -1):
+            node = m.longer(node, data[first[row] + at])
+            token = m.token[node]
+            found = token >= 0
+            found[found] = m.meet_each(last[root[row[found]] + at], token[found])
+            last[root[row[found]] + end] = token[found]
+            left = ~found & (node > 0)
+            if np.count_nonzero(left) + np.count_nonzero(found) < len(row):
+                raise ValueError("no token can follow what was emitted")
+            row, node = row[left], node[left]
+            if not len(row):
+                break
+        if len(row):
+            raise ValueError("no token can follow what was emitted")
+    at, row, back = sizes.copy(), np.arange(len(streams)), []
+    while len(row):
+        token = last[root[row] + at[row]]
+        back.append((row, token))
+        at[row] -= m.sizes[token]
+        row = row[at[row] > 0]
+    counts = np.empty(len(streams), np.int64)
+    counts[order] = np.bincount(np.concatenate([row for row, _ in back]), minlength=len(streams))
+    ends, ids = np.cumsum(counts)[order], np.empty(counts.sum(), np.int64)
+    for step, (row, token) in enumerate(back, 1):
+        ids[ends[row] - step] = token
+    return ids, counts
+
+
 class Encoder:
     """Texts to ids, slice by slice."""
 
@@ -190,25 +272,60 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.kind = np.dtype("<u2" if len(self.merges.pieces) <= 1 << 16 else "<u4")
 
-    def _whole(self, pieces: list[str]) -> bytes:
-        memo, older, found = self.memo, self.older, {}
-        coded = list(map(memo.get, pieces))
-        for piece in {p for p, c in zip(pieces, coded, strict=True) if c is None}:
-            known = older.get(piece)
-            if known is None:
-                stream = MergeStream(self.merges)
-                ids = stream.feed(piece.encode("utf-8", "surrogatepass"))
-                known = np.array(ids + stream.finish(), self.kind).tobytes()
-            found[piece] = known
-        if not found:
-            return b"".join(coded)
-        whole = b"".join([found[p] if c is None else c for p, c in zip(pieces, coded, strict=True)])
-        for piece, known in found.items():
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        """Pretokens through the transducer, each by a stream of its own."""
+        found, held = {}, {}
+        for piece in pieces:
+            stream = MergeStream(self.merges)
+            ids = stream.feed(piece.encode("utf-8", "surrogatepass"))
+            if ids or len(stream.data) > WIDE or len(pieces) < FEW:
+                found[piece] = np.array(ids + stream.finish(), self.kind).tobytes()
+            else:
+                held[piece] = stream
+        if held:
+            ids, counts = finish_together([*held.values()])
+            packed, ends = ids.astype(self.kind).tobytes(), (np.cumsum(counts) * self.kind.itemsize).tolist()
+            found |= {piece: packed[a:b] for piece, a, b in zip(held, [0, *ends], ends, strict=False)}
+        return found
+
+    def _codes(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of each different pretoken, remembered or worked out now."""
+        codes = dict.fromkeys(pieces)
+        codes = dict(zip(codes, map(self.memo.get, codes), strict=True))
+        new = [piece for piece, known in codes.items() if known is None]
+        codes |= {piece: self.older[piece] for piece in new if piece in self.older}
+        codes |= self._encoded([piece for piece in new if codes[piece] is None])
+        for piece in new:
             if len(piece) <= LONGEST:
                 if len(self.memo) >= YOUNG:  # what is not met again before the next time is forgotten then
                     self.memo, self.older = {}, self.memo
-                self.memo[piece] = known
-        return whole
+                self.memo[piece] = codes[piece]
+        return codes
+
+    def _joined(self, pieces: list[str], codes: dict[str, bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(codes.__getitem__, pieces)), self.kind)
+
+    def each(self, texts: Iterable[str]) -> Iterator[Iterable[np.ndarray]]:
+        """The blocks of ``ids`` of each text in turn, to be read before the next; short texts are cut in groups."""
+        group, size = [], 0
+        for text in texts:
+            if len(text) > SLICE or any(s in text for s in self.merges.special):
+                yield from self._grouped(group)
+                group, size = [], 0
+                yield self.ids(sliced(text))
+            else:
+                group.append(text)
+                size += len(text)
+                if size >= GROUP or len(group) == ROWS_OUT:
+                    yield from self._grouped(group)
+                    group, size = [], 0
+        yield from self._grouped(group)
+
+    def _grouped(self, texts: list[str]) -> Iterator[Iterable[np.ndarray]]:
+        cut = [PRETOKEN.findall(text) for text in texts]
+        codes = self._codes(list(chain.from_iterable(cut)))
+        for pieces in cut:
+            yield [self._joined(pieces, codes)]
 
     def ids(self, slices: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids of one text given in slices, in blocks as they become stable."""
@@ -282,7 +399,7 @@ class Encoder:
                 end -= len(pieces.pop())
             rest = rest[end:]
             if pieces:
-                yield np.frombuffer(self._whole(pieces), self.kind)
+                yield self._joined(pieces, self._codes(pieces))
 
     def decode(self, blocks: Iterable[np.ndarray]) -> Iterator[str]:
         """Ids to text, block by block; bytes of a character cut by a block wait for the next one."""
@@ -321,8 +438,8 @@ def _emitted(batches: Iterator[pa.RecordBatch], path: str | None, key: str, deco
 
     for batch in batches:
         first, ids, texts, size = 0, [], [], 0
-        for i, value in enumerate(text_rows(batch, "_text")):
-            own = np.concatenate([np.empty(0, tool.kind), *tool.ids(sliced(value))])
+        for i, blocks in enumerate(tool.each(text_rows(batch, "_text"))):
+            own = np.concatenate([np.empty(0, tool.kind), *blocks])
             ids.append(own)
             size += len(own)
             if decoded:
@@ -367,21 +484,21 @@ def round_trip(docs: DataFrame, path: str | None = None, text: str = "text", key
 
     def run(batches):
         tool = encoder(path)
-        decimal = tool.merges.decimal.__getitem__
+        decimal = tool.merges.decimal
         for batch in batches:
             counts, coded, plain = [], [], []
-            for value in text_rows(batch, "_text"):
+            for own in tool.each(text_rows(batch, "_text")):
                 n, ids_digest, text_digest = 0, hashlib.sha256(), hashlib.sha256()
 
                 def seen(blocks, ids_digest=ids_digest):
                     nonlocal n
                     for block in blocks:
                         if len(block):
-                            ids_digest.update((b"," if n else b"") + b",".join(map(decimal, block.tolist())))
+                            ids_digest.update(decimal[block].tobytes().translate(None, b"\0")[n == 0 :])
                             n += len(block)
                             yield block
 
-                for part in tool.decode(seen(tool.ids(sliced(value)))):
+                for part in tool.decode(seen(own)):
                     text_digest.update(part.encode())
                 counts.append(n)
                 coded.append(ids_digest.hexdigest())
